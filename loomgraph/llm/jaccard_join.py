@@ -36,7 +36,7 @@ from .words import scramble, slices, text_bytes, words
 
 RARE, GROUPS, SMALL, OVERLAP = 16, 8, 24, 18
 #: Shingles in one range of the exchange.
-RANGE = 4_000_000
+RANGE = 1_500_000
 _PLACES = np.random.default_rng(777).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
