@@ -43,8 +43,3 @@ def text_or_empty(column: str = "text") -> Column:
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo; a null counts as an empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
-
-
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on the parts only: 52 bits of their MD5, so any SQL engine can repeat it."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))

@@ -5,9 +5,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard_join
-from .common import table
+from . import best_fit_packing, jaccard_join, line_crf, minimax_shards, poisson_mix, secret_spans
+from .common import fold, table
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = line_crf.train(docs, labels.filter(fold("doc_id", 3) != 1))
+    held_out = (fold("doc_id", 3) == 1).alias("held_out")
+    return line_crf.score_documents(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimax_shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.poisson_mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_copy", "mix_count", "mix_key")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +40,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op5_secret_spans": op5_secret_spans,
+        "op6_line_crf": op6_line_crf,
+        "op7_minimax_shards": op7_minimax_shards,
+        "op9_poisson_mix": op9_poisson_mix,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_poisson_mix": poisson_mix.ORACLE_SQL}
