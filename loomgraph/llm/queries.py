@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, jaccard_join, line_crf, minimax_shards, poisson_mix, secret_spans
+from . import best_fit_packing, hidden_markov, jaccard_join, line_crf, minimax_shards, poisson_mix, secret_spans
 from .common import fold, table
 
 
+def op1_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_documents(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hidden_markov": op1_hidden_markov,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op5_secret_spans": op5_secret_spans,
         "op6_line_crf": op6_line_crf,
