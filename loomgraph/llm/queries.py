@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, hidden_markov, jaccard_join, line_crf, minimax_shards, poisson_mix, secret_spans
+from . import best_fit_packing, hidden_markov, jaccard_join, line_crf, minimax_shards, poisson_mix, secret_spans, warc_archive
 from .common import fold, table
 
 
@@ -19,6 +19,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc_archive.archive_pages(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hidden_markov": op1_hidden_markov,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_warc_archive": op3_warc_archive,
         "op5_secret_spans": op5_secret_spans,
         "op6_line_crf": op6_line_crf,
         "op7_minimax_shards": op7_minimax_shards,
@@ -55,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_poisson_mix": poisson_mix.ORACLE_SQL}
+    return {"op3_warc_archive": warc_archive.ORACLE_SQL, "op9_poisson_mix": poisson_mix.ORACLE_SQL}
