@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, hidden_markov, jaccard_join, line_crf, minimax_shards, poisson_mix, secret_spans, warc_archive
+from . import best_fit_packing, hidden_markov, jaccard_join, line_crf, minimax_shards, mtree_search, poisson_mix, pruned_graph, secret_spans, warc_archive
 from .common import fold, table
 
 
@@ -24,6 +24,10 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree_search.mtree_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans.find_secrets(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned_graph.graph_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.poisson_mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_copy", "mix_count", "mix_key")
 
@@ -52,13 +60,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hidden_markov": op1_hidden_markov,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_warc_archive": op3_warc_archive,
+        "op4_mtree_search": op4_mtree_search,
         "op5_secret_spans": op5_secret_spans,
         "op6_line_crf": op6_line_crf,
         "op7_minimax_shards": op7_minimax_shards,
+        "op8_pruned_graph": op8_pruned_graph,
         "op9_poisson_mix": op9_poisson_mix,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": warc_archive.ORACLE_SQL, "op9_poisson_mix": poisson_mix.ORACLE_SQL}
+    return {"op3_warc_archive": warc_archive.ORACLE_SQL, "op4_mtree_search": mtree_search.ORACLE_SQL, "op9_poisson_mix": poisson_mix.ORACLE_SQL}
