@@ -257,6 +257,6 @@ def jaccard_join(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFra
 
 
 def one_of_each(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
-    """The documents that are the first of their component; of rows that share that doc_id, those with its set stay."""
+    """The documents that are the first of their component. Rows of one doc_id are one document and stay or go together."""
     first = jaccard_join(docs, length, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
