@@ -4,9 +4,9 @@ A document's set holds its distinct shingles (five words; all words where there
 same set form one class; everything below works on classes, so copies are never compared with one another.
 
 1. Token exchange. Each batch of documents deals its shingle hashes out by ranges of the hash, packed as binary
-   columns. A range's task counts in how many classes each shingle occurs and returns those in two or more, with
-   that count, to their classes. A shingle of one class only can't take part in a link, but comes first in the
-   global order (count, hash), so its number is all that is needed of it.
+   columns. A range's task counts in how many classes (of all batches) each shingle occurs and returns those in two
+   or more, with that count, to their batches. A shingle of one class only can't take part in a link, but comes first
+   in the global order (count, hash), so its number is all that is needed of it.
 2. Prefixes. Two sets with Jaccard >= t share at least ceil(t * size) shingles for either size; hence the first
    size - ceil(t * size) + q shingles of both sets have q in common (where so many are shared). Shingles of up to
    RARE classes are indexed alone. The frequent ones are dealt into GROUPS token classes by their hash and indexed
@@ -15,7 +15,8 @@ same set form one class; everything below works on classes, so copies are never
    of different regimes can't be missed, as sets from OVERLAP on are indexed in both ways.
 3. Verification on the returned shingles (which hold every common one), first of each class against one centre
    of each index entry. Connected components of these links contract the index entries; in entries that still hold
-   several components, all pairs across components are verified as well. No link between different texts is lost.
+   several components, pairs across components are verified as well, but for those that the triangle inequality rules
+   out by their distances from the entry's centre. No link between different texts is lost.
 
 Nulls and texts without words have empty sets, linked with nothing. Extra columns are ignored.
 Repeated rows are documents with equal sets. A null doc_id is the smallest in its component.
@@ -23,6 +24,7 @@ Repeated rows are documents with equal sets. A null doc_id is the smallest in it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,7 +86,10 @@ def _sets(length: int):
 
 
 def _deal(length: int, ranges: int):
-    """Rows (range, classes, counts, low, high): of each class in the batch, its shingles in that range."""
+    """Rows (part, batch, owner, low, high) of the batch's shingles in a range; one of them also holds its classes and their sizes.
+
+    A shingle is its range and 40 bits; owners are numbers of classes within the batch, so a shingle has 7 bytes at any scale.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -95,60 +100,51 @@ def _deal(length: int, ranges: int):
             keep[firsts] = True
             keep &= sizes > 0
             tokens, ids, sizes = tokens[np.repeat(keep, sizes)], ids[keep], sizes[keep]
-            owner = np.repeat(np.arange(len(ids)), sizes)
-            bucket = ((tokens >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            tokens, owner, edges = tokens[order], owner[order], np.searchsorted(bucket[order], np.arange(ranges + 1))
-            rows: list[tuple] = []
-            for k in range(ranges):
-                a, b = edges[k], edges[k + 1]
-                if a < b:
-                    counts = np.bincount(owner[a:b], minlength=len(ids))
-                    has = counts > 0
-                    part = tokens[a:b]
-                    rows.append((k, ids[has].tobytes(), sizes[has].astype(np.uint32).tobytes(), counts[has].astype(np.uint32).tobytes(), (part & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint16).tobytes()))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "classes", "sizes", "counts", "low", "high"])
+            if not len(ids):
+                continue
+            for at in range(0, len(ids), 1 << 16):
+                yield _dealt(ids[at : at + (1 << 16)], sizes[at : at + (1 << 16)], tokens[sizes[:at].sum() : sizes[: at + (1 << 16)].sum()], ranges)
 
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in column])
+def _dealt(ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranges: int) -> pa.RecordBatch:
+    owner = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
+    part = ((tokens >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.uint16 if ranges < 1 << 16 else np.int32)
+    order = np.argsort(part, kind="stable")
+    tokens, owner, edges = tokens[order], owner[order], np.searchsorted(part[order], np.arange(ranges + 1)).tolist()
+    low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint8)
+    name = uuid.uuid4().int >> 65
+    own = name % ranges
+    full = [k for k in range(ranges) if edges[k] < edges[k + 1] or k == own]
+    cut = [slice(edges[k], edges[k + 1]) for k in full]
+    whole = [(ids.tobytes() if k == own else None, sizes.astype(np.uint32).tobytes() if k == own else None) for k in full]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.int64()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (owner, low, high)), *(pa.array(x, pa.binary()) for x in zip(*whole, strict=True))],
+        ["part", "batch", "owner", "low", "high", "classes", "sizes"],
+    )
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Of one range: the shingles that several classes have, by class, with the number of classes."""
+    """Of one range: for each batch the shingles that others hold too, with the number of holders."""
     part = group.column("part")[0].as_py()
-    classes, counts = _joined(group.column("classes"), np.uint64), _joined(group.column("counts"), np.uint32)
-    sizes = _joined(group.column("sizes"), np.uint32)
-    tokens = _joined(group.column("low"), np.uint32).astype(np.uint64) | _joined(group.column("high"), np.uint16).astype(np.uint64) << np.uint64(32)
-    ids, firsts, owner = np.unique(classes, return_index=True, return_inverse=True)
-    owner = np.repeat(owner.astype(np.uint32), counts)
+    columns = {x: [np.frombuffer(v.as_py(), kind) for v in group.column(x)] for x, kind in (("owner", np.uint16), ("low", np.uint32), ("high", np.uint8))}
+    rows = np.repeat(np.arange(len(group), dtype=np.uint32), [len(x) for x in columns["owner"]])
+    owner = np.concatenate(columns["owner"])
+    tokens = np.concatenate(columns["low"]) | np.concatenate(columns["high"]).astype(np.uint64) << np.uint64(32)
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    edge = np.concatenate(([True], tokens[1:] != tokens[:-1]))
-    number = np.cumsum(edge) - 1
-    pair = np.unique(number.astype(np.uint64) << np.uint64(32) | owner)  # a class that several batches hold counts once
-    number, owner = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    count = np.bincount(number)
-    kept = count[number] > 1
-    number, owner = number[kept], owner[kept]
-    order = np.argsort(owner, kind="stable")
-    number, owner = number[order], owner[order]
-    values, count = tokens[edge][number] | np.uint64(part) << np.uint64(48), count[number].astype(np.uint32)
-    edges = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
-    ends = [*edges[1:].tolist(), len(owner)]
-    who = owner[edges]
-    return pa.table(
-        {
-            "class_id": pa.array(ids[who].view(np.int64)),
-            "n": pa.array(sizes[firsts][who].astype(np.int64)),
-            "tokens": pa.array([values[a:b].tobytes() for a, b in zip(edges.tolist(), ends, strict=True)], pa.binary()),
-            "counts": pa.array([count[a:b].tobytes() for a, b in zip(edges.tolist(), ends, strict=True)], pa.binary()),
-        }
-    )
+    ordered = tokens[order]
+    edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edges, len(ordered)))
+    each = np.zeros(len(tokens), np.uint32)
+    each[order] = np.repeat(count, count)
+    kept = each > 1
+    tokens, owner, rows, each = tokens[kept] | np.uint64(part) << np.uint64(40), owner[kept], rows[kept], each[kept]
+    edges = np.searchsorted(rows, np.arange(len(group) + 1)).tolist()
+    cut = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    packed = {x: pa.array([v[c].tobytes() for c in cut], pa.binary()) for x, v in (("owner", owner), ("tokens", tokens), ("counts", each))}
+    out = pa.table({"batch": group.column("batch"), **packed, "classes": group.column("classes"), "sizes": group.column("sizes")})
+    return out.filter(pa.array([a < b or c for a, b, c in zip(edges[:-1], edges[1:], group.column("classes").is_valid().to_pylist(), strict=True)]))
 
 
 def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int) -> np.ndarray:
@@ -173,19 +169,23 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int) ->
 
 
 def _index(percent: int):
-    """One row for each class that has index keys: its shared shingles, sorted, and the keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for cls, n, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                tokens = np.concatenate([np.frombuffer(x["tokens"], np.uint64) for x in parts])
-                counts = np.concatenate([np.frombuffer(x["counts"], np.uint32) for x in parts])
-                if len(keys := signatures(tokens, counts, n, percent)):
-                    rows.append((cls, n, np.sort(tokens).tobytes(), keys.view(np.int64)))
-            if rows:
-                a, b, c, d = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary()), pa.array(d, pa.list_(pa.int64()))], ["class_id", "n", "tokens", "keys"])
+    """Of one batch: a row for each class that has index keys, with its shared shingles, sorted, its keys and its rank as
+    a centre: how many holders its shingles have on average, which is most for the text that a family stems from."""
+
+    def run(group: pa.Table) -> pa.Table:
+        joined = lambda x, kind: np.concatenate([np.frombuffer(v, kind) for v in group.column(x).to_pylist() if v is not None])
+        classes, sizes = joined("classes", np.int64), joined("sizes", np.uint32).astype(np.int64)
+        owner, tokens, counts = joined("owner", np.uint16), joined("tokens", np.uint64), joined("counts", np.uint32)
+        order = np.argsort(owner, kind="stable")
+        owner, tokens, counts = owner[order], tokens[order], counts[order]
+        edges = np.searchsorted(owner, np.arange(len(classes) + 1)).tolist()
+        rows = []
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if a < b and len(keys := signatures(tokens[a:b], counts[a:b], int(sizes[k]), percent)):
+                rows.append((int(classes[k]), int(sizes[k]), float(counts[a:b].sum() / sizes[k]), np.sort(tokens[a:b]).tobytes(), keys.view(np.int64)))
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["class_id", "n", "central", "tokens", "keys"])
 
     return run
 
@@ -194,7 +194,7 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m, s, t = (batch.column(k) for k in ("a", "b", "n_a", "n_b", "tokens_a", "tokens_b"))
-            linked = np.zeros(len(batch), bool)
+            linked, far = np.zeros(len(batch), bool), np.zeros(len(batch))
             for k, (size, other) in enumerate(zip(n.to_pylist(), m.to_pylist(), strict=True)):
                 x, y = np.frombuffer(s[k].as_py(), np.uint64), np.frombuffer(t[k].as_py(), np.uint64)
                 if len(x) > len(y):
@@ -203,7 +203,8 @@ def _verify(percent: int):
                 at[at == len(y)] = 0
                 common = int((y[at] == x).sum())
                 linked[k] = 100 * common >= percent * (size + other - common)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked)], ["a", "b", "linked"])
+                far[k] = 1 - common / (size + other - common)
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked), pa.array(far)], ["a", "b", "linked", "far"])
 
     return run
 
@@ -212,7 +213,7 @@ def _verified(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b): distinct, in either order; the result also says whether they link."""
     side = lambda x: index.select(F.col("class_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(_verify(percent), "a long, b long, linked boolean")
+    return both.mapInArrow(_verify(percent), "a long, b long, linked boolean, far double")
 
 
 def _alike(n: str, m: str, percent: int):
@@ -222,22 +223,30 @@ def _alike(n: str, m: str, percent: int):
 def class_components(docs: DataFrame, total: int, length: int = 5, percent: int = 75) -> DataFrame:
     """(class_id, component): the classes that link with others. total: shingles in all sets."""
     ranges = max(1, -(-total // RANGE))
-    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), "part int, classes binary, sizes binary, counts binary, low binary, high binary")
-    back = dealt.groupBy("part").applyInArrow(_shared, "class_id long, n long, tokens binary, counts binary")
-    whole = back.groupBy("class_id").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "counts")).alias("parts"))
-    index = stored(whole.mapInArrow(_index(percent), "class_id long, n long, tokens binary, keys array<long>"), "jaccard-index")
-    entries = index.select("class_id", "n", F.explode("keys").alias("key"))
-    centres = entries.groupBy("key").agg(F.min(F.struct("class_id", "n")).alias("centre"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("centre.class_id").alias("a"), F.col("centre.n").alias("n_a"))
-    stars = entries.join(centres, "key").filter(F.col("class_id") != F.col("a")).filter(_alike("n", "n_a", percent)).select("a", F.col("class_id").alias("b")).distinct()
+    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), "part int, batch long, owner binary, low binary, high binary, classes binary, sizes binary")
+    back = dealt.groupBy("part").applyInArrow(_shared, "batch long, owner binary, tokens binary, counts binary, classes binary, sizes binary")
+    rows = back.groupBy("batch").applyInArrow(_index(percent), "class_id long, n long, central double, tokens binary, keys array<long>")
+    once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "central", "tokens", "keys")))  # copies in several batches
+    index = stored(once, "jaccard-index")
+    entries = index.select("class_id", "n", "central", F.explode("keys").alias("key"))
+    centres = entries.groupBy("key").agg(F.max(F.struct("central", "class_id", "n")).alias("centre"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("centre.class_id").alias("a"), F.col("centre.n").alias("n_a"))
+    entries = stored(entries.drop("central").join(centres, "key"), "jaccard-entries")
+    stars = entries.filter(F.col("class_id") != F.col("a")).filter(_alike("n", "n_a", percent)).select("a", F.col("class_id").alias("b")).distinct()
     tested = stored(_verified(stars, index, percent), "jaccard-stars")
     links = tested.filter("linked").select("a", "b")
-    found = connected_components(links)
-    # What is still apart within an entry: all pairs across its components that haven't been tested.
-    part = entries.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    found = connected_components(links).withColumnRenamed("node", "class_id")
+    # What is still apart within an entry: pairs across its components. 1 - Jaccard is a metric, so two that differ in
+    # their distance from the entry's centre by more than a link has are too far from one another.
+    part = entries.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    part = stored(part.join(mixed, "key", "left_semi"), "jaccard-rest")
-    other = part.select("key", F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"))
-    rest = part.withColumnRenamed("class_id", "a").join(other, "key").filter(F.col("component") < F.col("other")).filter(_alike("n", "n_b", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    distance = tested.select("a", F.col("b").alias("class_id"), "far")
+    part = part.join(mixed, "key", "left_semi").join(distance, ["a", "class_id"], "left").withColumn("far", F.when(F.col("class_id") == F.col("a"), 0.0).otherwise(F.col("far")))
+    part = stored(part, "jaccard-rest")
+    other = part.select("key", F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"), F.col("far").alias("far_b"))
+    near = F.coalesce(F.abs(F.col("far") - F.col("far_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    across = (F.col("component") < F.col("other")) & _alike("n", "n_b", percent) & near & (F.col("class_id") != F.col("a")) & (F.col("b") != F.col("a"))
+    # A centre has been tested against all members of a similar size; what is left is pairs without it.
+    rest = part.join(other, "key").filter(across).select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
     rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stored(_verified(rest, index, percent).filter("linked").select("a", "b"), "jaccard-links")
     return connected_components(links.unionByName(more)).select(F.col("node").alias("class_id"), "component")
