@@ -15,8 +15,8 @@ same set form one class; everything below works on classes, so copies are never
    of different regimes can't be missed, as sets from OVERLAP on are indexed in both ways.
 3. Verification on the returned shingles (which hold every common one), first of each class against one centre
    of each index entry. Connected components of these links contract the index entries; in entries that still hold
-   several components, pairs across components are verified as well, but for those that the triangle inequality rules
-   out by their distances from the entry's centre. No link between different texts is lost.
+   several components, pairs across components are verified as well, but for those that can't have enough in common
+   by what each has in common with the entry's centre. No link between different texts is lost.
 
 Nulls and texts without words have empty sets, linked with nothing. Extra columns are ignored.
 Repeated rows are documents with equal sets. A null doc_id is the smallest in its component.
@@ -194,17 +194,16 @@ def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m, s, t = (batch.column(k) for k in ("a", "b", "n_a", "n_b", "tokens_a", "tokens_b"))
-            linked, far = np.zeros(len(batch), bool), np.zeros(len(batch))
+            linked, common = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64)
             for k, (size, other) in enumerate(zip(n.to_pylist(), m.to_pylist(), strict=True)):
                 x, y = np.frombuffer(s[k].as_py(), np.uint64), np.frombuffer(t[k].as_py(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                common = int((y[at] == x).sum())
-                linked[k] = 100 * common >= percent * (size + other - common)
-                far[k] = 1 - common / (size + other - common)
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked), pa.array(far)], ["a", "b", "linked", "far"])
+                common[k] = (y[at] == x).sum()
+                linked[k] = 100 * common[k] >= percent * (size + other - common[k])
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked), pa.array(common)], ["a", "b", "linked", "common"])
 
     return run
 
@@ -213,11 +212,12 @@ def _verified(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b): distinct, in either order; the result also says whether they link."""
     side = lambda x: index.select(F.col("class_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(_verify(percent), "a long, b long, linked boolean, far double")
+    return both.mapInArrow(_verify(percent), "a long, b long, linked boolean, common long")
 
 
-def _alike(n: str, m: str, percent: int):
-    return (100 * F.col(n) >= percent * F.col(m)) & (100 * F.col(m) >= percent * F.col(n))
+def _possible(n: str, shared: str, m: str, other: str, percent: int):
+    """Whether sets of n and m shingles could link, of which that many occur in other sets at all: no more can be common."""
+    return (100 + percent) * F.least(shared, other) >= percent * (F.col(n) + F.col(m))
 
 
 def class_components(docs: DataFrame, total: int, length: int = 5, percent: int = 75) -> DataFrame:
@@ -228,24 +228,25 @@ def class_components(docs: DataFrame, total: int, length: int = 5, percent: int
     rows = back.groupBy("batch").applyInArrow(_index(percent), "class_id long, n long, central double, tokens binary, keys array<long>")
     once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "central", "tokens", "keys")))  # copies in several batches
     index = stored(once, "jaccard-index")
-    entries = index.select("class_id", "n", "central", F.explode("keys").alias("key"))
-    centres = entries.groupBy("key").agg(F.max(F.struct("central", "class_id", "n")).alias("centre"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("centre.class_id").alias("a"), F.col("centre.n").alias("n_a"))
+    entries = index.select("class_id", "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "central", F.explode("keys").alias("key"))
+    centres = entries.groupBy("key").agg(F.max(F.struct("central", "class_id", "n", "s")).alias("centre"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("centre.class_id").alias("a"), F.col("centre.n").alias("n_a"), F.col("centre.s").alias("s_a"))
     entries = stored(entries.drop("central").join(centres, "key"), "jaccard-entries")
-    stars = entries.filter(F.col("class_id") != F.col("a")).filter(_alike("n", "n_a", percent)).select("a", F.col("class_id").alias("b")).distinct()
+    stars = entries.filter(F.col("class_id") != F.col("a")).filter(_possible("n", "s", "n_a", "s_a", percent)).select("a", F.col("class_id").alias("b")).distinct()
     tested = stored(_verified(stars, index, percent), "jaccard-stars")
     links = tested.filter("linked").select("a", "b")
     found = connected_components(links).withColumnRenamed("node", "class_id")
-    # What is still apart within an entry: pairs across its components. 1 - Jaccard is a metric, so two that differ in
-    # their distance from the entry's centre by more than a link has are too far from one another.
+    # What is still apart within an entry: pairs across its components. What two have in common is in both of their
+    # parts in the entry's centre, or is what one shares with anybody outside that part; that is an upper bound.
     part = entries.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    distance = tested.select("a", F.col("b").alias("class_id"), "far")
-    part = part.join(mixed, "key", "left_semi").join(distance, ["a", "class_id"], "left").withColumn("far", F.when(F.col("class_id") == F.col("a"), 0.0).otherwise(F.col("far")))
+    held = tested.select("a", F.col("b").alias("class_id"), "common")
+    part = part.join(mixed, "key", "left_semi").join(held, ["a", "class_id"], "left")
     part = stored(part, "jaccard-rest")
-    other = part.select("key", F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("other"), F.col("far").alias("far_b"))
-    near = F.coalesce(F.abs(F.col("far") - F.col("far_b")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    across = (F.col("component") < F.col("other")) & _alike("n", "n_b", percent) & near & (F.col("class_id") != F.col("a")) & (F.col("b") != F.col("a"))
-    # A centre has been tested against all members of a similar size; what is left is pairs without it.
+    other = part.select("key", F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("component").alias("other"), F.col("common").alias("common_b"))
+    most = F.least(F.col("common") + F.col("s_b") - F.col("common_b"), F.col("common_b") + F.col("s") - F.col("common"))
+    near = F.coalesce((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")), F.lit(True))
+    across = (F.col("component") < F.col("other")) & _possible("n", "s", "n_b", "s_b", percent) & near & (F.col("class_id") != F.col("a")) & (F.col("b") != F.col("a"))
+    # A centre has been tested against all members that could link with it; what is left is pairs without it.
     rest = part.join(other, "key").filter(across).select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
     rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stored(_verified(rest, index, percent).filter("linked").select("a", "b"), "jaccard-links")
