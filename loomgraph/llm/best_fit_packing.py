@@ -16,6 +16,7 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -34,40 +35,42 @@ END = 0
 
 
 class WordTokenizer:
-    """Ids of words, each word tokenised once, for as many words as the bound allows at a time."""
+    """Ids of words (two bytes each: vocabularies of up to 65536), each word tokenised once, for as many words as the bound allows at a time."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[int, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
-        self.filled = 0
+        self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.ends = np.zeros(1 << 20, np.uint16), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[int], texts: list[bytes]) -> None:
-        parts = []
-        for text in texts:  # letters or digits before final marks are tokenised apart from them
-            body = text.rstrip(b".,;:!?")
-            parts.append((body, text[len(body) :]) if body and (48 <= body[-1] <= 57 or 97 <= body[-1] <= 122) and len(body) < len(text) else (text, b""))
-        distinct = list({x for part in parts for x in part if x})
-        known = dict(zip(distinct, self._encode([x.decode("utf-8", "replace") for x in distinct]), strict=True)) | {b"": []}
-        for key, (body, tail) in zip(keys, parts, strict=True):
-            ids = known[body] + known[tail]
-            n = len(self.places)
-            if n == len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
-            while self.filled + len(ids) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self.filled : self.filled + len(ids)] = ids
-            self.starts[n], self.lengths[n] = self.filled, len(ids)
-            self.filled += len(ids)
-            self.places[key] = n
+    def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
+        at, ends = int(self.ends[-1]), []
+        for begin in range(0, len(texts), 4096):
+            parts = []
+            for text in texts[begin : begin + 4096]:  # letters or digits before final marks are tokenised apart from them
+                body = text.rstrip(b".,;:!?")
+                parts.append((body, text[len(body) :]) if body and (48 <= body[-1] <= 57 or 97 <= body[-1] <= 122) and len(body) < len(text) else (text, b""))
+            distinct = list({x for part in parts for x in part if x})
+            known = dict(zip(distinct, self._encode([x.decode("utf-8", "replace") for x in distinct]), strict=True)) | {b"": []}
+            new = [known[body] + known[tail] for body, tail in parts]
+            flat = np.fromiter((x for ids in new for x in ids), np.uint16)
+            while at + len(flat) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint16)))
+            self.ids[at : at + len(flat)] = flat
+            ends.append(at + np.cumsum([len(ids) for ids in new]))
+            at += len(flat)
+        place = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
+        both, where = np.concatenate((self.keys, keys)), np.concatenate((self.places, place))
+        order = np.argsort(both, kind="stable")
+        self.keys, self.places, self.ends = both[order], where[order], np.concatenate((self.ends, *ends))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END, and where each text's begin (one more entry for the end)."""
@@ -79,17 +82,17 @@ class WordTokenizer:
         odd = np.unique(np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1)
         hashes, begins, ends, before = words(data, offsets)
         keys, firsts, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.places) + len(keys) > KNOWN_WORDS:
+        if len(self.keys) + len(keys) > KNOWN_WORDS:
             self.clear()
-        listed = keys.tolist()
-        missing = [k for k, x in enumerate(listed) if x not in self.places]
-        if missing:
+        at = np.searchsorted(self.keys, keys)
+        missing = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(missing):
             raw = data.tobytes()
-            self._learn([listed[k] for k in missing], [raw[begins[f] : ends[f]].lower() for f in firsts[missing].tolist()])
-        place = np.fromiter(map(self.places.__getitem__, listed), np.int64, len(listed))[inverse] if listed else np.zeros(0, np.int64)
-        length = self.lengths[place]
+            self._learn(keys[missing], [raw[begins[f] : ends[f]].lower() for f in firsts[missing].tolist()])
+        place = self.places[np.searchsorted(self.keys, keys)][inverse]
+        starts, length = self.ends[place], self.ends[place + 1] - self.ends[place]
         sums = np.concatenate(([0], np.cumsum(length)))
-        flat = self.ids[np.repeat(self.starts[place] - sums[:-1], length) + np.arange(sums[-1])]
+        flat = self.ids[np.repeat(starts - sums[:-1], length) + np.arange(sums[-1])]
         edges = sums[before]
         out = np.insert(flat, edges[1:], END).astype(np.uint32)
         edges = edges + np.arange(len(edges))
