@@ -36,7 +36,7 @@ from .common import stored, text_or_empty
 from .components import connected_components
 from .words import scramble, slices, text_bytes, words
 
-RARE, GROUPS, SMALL, OVERLAP = 16, 8, 24, 18
+RARE, GROUPS, SMALL, OVERLAP, BITS = 16, 8, 24, 18, 512
 #: Shingles in one range of the exchange.
 RANGE = 1_500_000
 _PLACES = np.random.default_rng(777).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -168,9 +168,8 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int) ->
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _index(percent: int):
-    """Of one batch: a row for each class that has index keys, with its shared shingles, sorted, its keys and its rank as
-    a centre: how many holders its shingles have on average, which is most for the text that a family stems from."""
+def _candidates(percent: int):
+    """Of one batch: the classes that could have index keys, with their shingles that others hold and the numbers of holders."""
 
     def run(group: pa.Table) -> pa.Table:
         joined = lambda x, kind: np.concatenate([np.frombuffer(v, kind) for v in group.column(x).to_pylist() if v is not None])
@@ -178,41 +177,67 @@ def _index(percent: int):
         owner, tokens, counts = joined("owner", np.uint16), joined("tokens", np.uint64), joined("counts", np.uint32)
         order = np.argsort(owner, kind="stable")
         owner, tokens, counts = owner[order], tokens[order], counts[order]
-        edges = np.searchsorted(owner, np.arange(len(classes) + 1)).tolist()
-        rows = []
-        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if a < b and len(keys := signatures(tokens[a:b], counts[a:b], int(sizes[k]), percent)):
-                rows.append((int(classes[k]), int(sizes[k]), float(counts[a:b].sum() / sizes[k]), np.sort(tokens[a:b]).tobytes(), keys.view(np.int64)))
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["class_id", "n", "central", "tokens", "keys"])
+        edges = np.searchsorted(owner, np.arange(len(classes) + 1))
+        few = -(-percent * sizes // 100)  # with fewer shared shingles than that there is no link
+        kept = np.flatnonzero(np.diff(edges) >= few)
+        cut = [slice(edges[k], edges[k + 1]) for k in kept]
+        return pa.table({"class_id": pa.array(classes[kept]), "n": pa.array(sizes[kept]), "tokens": pa.array([tokens[c].tobytes() for c in cut], pa.binary()), "counts": pa.array([counts[c].tobytes() for c in cut], pa.binary())})
+
+    return run
+
+
+def _index(percent: int):
+    """A row for each class that has index keys: its shingles that other classes have too, sorted, their number, the keys,
+    and its rank as a centre: how many holders its shingles have on average, which is most for the text that a family stems from.
+
+    holders: in how many batches the class itself is; a shingle with no more holders is no other class's.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for cls, n, tokens, counts, holders in zip(*(batch.column(x) for x in ("class_id", "n", "tokens", "counts", "holders")), strict=True):
+                n, tokens, counts = n.as_py(), np.frombuffer(tokens.as_py(), np.uint64), np.frombuffer(counts.as_py(), np.uint32)
+                shared = counts > holders.as_py()
+                tokens, counts = tokens[shared], counts[shared]
+                if 100 * len(tokens) >= percent * n and len(keys := signatures(tokens, counts, n, percent)):
+                    rows.append((cls.as_py(), n, len(tokens), float(counts.sum() / n), np.sort(tokens).tobytes(), keys.view(np.int64)))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["class_id", "n", "s", "central", "tokens", "keys"])
 
     return run
 
 
 def _verify(percent: int):
+    """Also, as BITS bits, which of the first set's shingles the second misses, and how many of those share a bit with another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, m, s, t = (batch.column(k) for k in ("a", "b", "n_a", "n_b", "tokens_a", "tokens_b"))
-            linked, common = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64)
+            linked, common, double = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            missing = np.zeros((len(batch), BITS), bool)
             for k, (size, other) in enumerate(zip(n.to_pylist(), m.to_pylist(), strict=True)):
                 x, y = np.frombuffer(s[k].as_py(), np.uint64), np.frombuffer(t[k].as_py(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                common[k] = (y[at] == x).sum()
+                absent = y[at] != x
+                common[k] = len(x) - absent.sum()
                 linked[k] = 100 * common[k] >= percent * (size + other - common[k])
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked), pa.array(common)], ["a", "b", "linked", "common"])
+                missing[k, (scramble(x[absent]) % np.uint64(BITS)).astype(np.int64)] = True
+                double[k] = absent.sum() - missing[k].sum()
+            words = np.packbits(missing, axis=1).view(np.int64)
+            bits = pa.ListArray.from_arrays(np.arange(0, words.size + 1, BITS // 64, dtype=np.int32), words.ravel())
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked), pa.array(common), bits, pa.array(double)], ["a", "b", "linked", "common", "missing", "double"])
 
     return run
 
 
 def _verified(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b): distinct, in either order; the result also says whether they link."""
+    """pairs (a, b): distinct; the result also says whether they link, and what a and b have and haven't in common."""
     side = lambda x: index.select(F.col("class_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(_verify(percent), "a long, b long, linked boolean, common long")
+    return both.mapInArrow(_verify(percent), "a long, b long, linked boolean, common long, missing array<bigint>, double long")
 
 
 def _possible(n: str, shared: str, m: str, other: str, percent: int):
@@ -225,28 +250,30 @@ def class_components(docs: DataFrame, total: int, length: int = 5, percent: int
     ranges = max(1, -(-total // RANGE))
     dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), "part int, batch long, owner binary, low binary, high binary, classes binary, sizes binary")
     back = dealt.groupBy("part").applyInArrow(_shared, "batch long, owner binary, tokens binary, counts binary, classes binary, sizes binary")
-    rows = back.groupBy("batch").applyInArrow(_index(percent), "class_id long, n long, central double, tokens binary, keys array<long>")
-    once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "central", "tokens", "keys")))  # copies in several batches
-    index = stored(once, "jaccard-index")
-    entries = index.select("class_id", "n", (F.octet_length("tokens") / 8).cast("long").alias("s"), "central", F.explode("keys").alias("key"))
+    rows = back.groupBy("batch").applyInArrow(_candidates(percent), "class_id long, n long, tokens binary, counts binary")
+    once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "tokens", "counts")), F.count("*").alias("holders"))
+    index = stored(once.mapInArrow(_index(percent), "class_id long, n long, s long, central double, tokens binary, keys array<long>"), "jaccard-index")
+    entries = index.select("class_id", "n", "s", "central", F.explode("keys").alias("key"))
     centres = entries.groupBy("key").agg(F.max(F.struct("central", "class_id", "n", "s")).alias("centre"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("centre.class_id").alias("a"), F.col("centre.n").alias("n_a"), F.col("centre.s").alias("s_a"))
     entries = stored(entries.drop("central").join(centres, "key"), "jaccard-entries")
     stars = entries.filter(F.col("class_id") != F.col("a")).filter(_possible("n", "s", "n_a", "s_a", percent)).select("a", F.col("class_id").alias("b")).distinct()
     tested = stored(_verified(stars, index, percent), "jaccard-stars")
     links = tested.filter("linked").select("a", "b")
     found = connected_components(links).withColumnRenamed("node", "class_id")
-    # What is still apart within an entry: pairs across its components. What two have in common is in both of their
-    # parts in the entry's centre, or is what one shares with anybody outside that part; that is an upper bound.
+    # What is still apart within an entry: pairs across its components. Let h be the entry's centre. What u and v have in
+    # common is in h (all of h but what u or v misses; BITS bits bound how much they miss together), or outside of h.
     part = entries.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    held = tested.select("a", F.col("b").alias("class_id"), "common")
-    part = part.join(mixed, "key", "left_semi").join(held, ["a", "class_id"], "left")
+    held = tested.select("a", F.col("b").alias("class_id"), "common", "missing", "double")
+    part = part.filter(F.col("class_id") != F.col("a")).join(mixed, "key", "left_semi").join(held, ["a", "class_id"], "left")
     part = stored(part, "jaccard-rest")
-    other = part.select("key", F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("component").alias("other"), F.col("common").alias("common_b"))
-    most = F.least(F.col("common") + F.col("s_b") - F.col("common_b"), F.col("common_b") + F.col("s") - F.col("common"))
+    other = part.select("key", F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("component").alias("other"), F.col("common").alias("common_b"), F.col("missing").alias("missing_b"), F.col("double").alias("double_b"))
+    together = sum((F.bit_count(F.get("missing", F.lit(k)).bitwiseAND(F.get("missing_b", F.lit(k)))) for k in range(BITS // 64)), F.least("double", "double_b"))
+    within = F.col("common") + F.col("common_b") - F.col("s_a") + F.least(together, F.col("s_a") - F.col("common"), F.col("s_a") - F.col("common_b"))
+    most = within + F.least(F.col("s") - F.col("common"), F.col("s_b") - F.col("common_b"))
     near = F.coalesce((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")), F.lit(True))
-    across = (F.col("component") < F.col("other")) & _possible("n", "s", "n_b", "s_b", percent) & near & (F.col("class_id") != F.col("a")) & (F.col("b") != F.col("a"))
-    # A centre has been tested against all members that could link with it; what is left is pairs without it.
+    across = (F.col("component") < F.col("other")) & _possible("n", "s", "n_b", "s_b", percent) & near
+    # The centre itself has been tested against all members that could link with it.
     rest = part.join(other, "key").filter(across).select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
     rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = stored(_verified(rest, index, percent).filter("linked").select("a", "b"), "jaccard-links")
