@@ -30,10 +30,16 @@ from .common import stored
 from .linear_grouping import plan
 from .words import slices, text_bytes, words
 
-CAPACITY, CELLS, KNOWN_WORDS = 2048, 256, 1_000_000
+CAPACITY, CELLS, KNOWN_WORDS = 2048, 256, 3_000_000
 END = 0
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs flat[starts[k] : starts[k] + length[k]], one after the other."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(starts - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class WordTokenizer:
     """Ids of words (two bytes each: vocabularies of up to 65536), each word tokenised once, for as many words as the bound allows at a time."""
 
@@ -42,6 +48,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -51,26 +60,51 @@ class WordTokenizer:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all in one array, and each one's place and number there. Words of letters alone are joined: the vocabulary marks their ends."""
+        plain, rest = [k for k, x in enumerate(texts) if x.isalpha()], [k for k, x in enumerate(texts) if not x.isalpha()]
+        order, flat, length = [], [], []
+        for at in range(0, len(plain), 512):
+            some = plain[at : at + 512]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[k] for k in some]), add_special_tokens=False).ids, np.uint16)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                order += some
+                flat.append(ids)
+                length.append(np.diff(ends, prepend=0))
+            else:
+                rest += some
+        own = self._encode([texts[k] for k in rest])
+        flat.append(np.fromiter((i for x in own for i in x), np.uint16))
+        length.append(np.array([len(x) for x in own], np.int64))
+        size, starts = np.concatenate(length), np.zeros(len(texts), np.int64)
+        order = np.array(order + rest, np.int64)
+        starts[order] = np.cumsum(size) - size
+        lengths = np.zeros(len(texts), np.int64)
+        lengths[order] = size
+        return np.concatenate(flat), starts, lengths
+
     def _learn(self, keys: np.ndarray, texts: list[bytes]) -> None:
-        at, ends = int(self.ends[-1]), []
-        for begin in range(0, len(texts), 4096):
-            parts = []
-            for text in texts[begin : begin + 4096]:  # letters or digits before final marks are tokenised apart from them
-                body = text.rstrip(b".,;:!?")
-                parts.append((body, text[len(body) :]) if body and (48 <= body[-1] <= 57 or 97 <= body[-1] <= 122) and len(body) < len(text) else (text, b""))
-            distinct = list({x for part in parts for x in part if x})
-            known = dict(zip(distinct, self._encode([x.decode("utf-8", "replace") for x in distinct]), strict=True)) | {b"": []}
-            new = [known[body] + known[tail] for body, tail in parts]
-            flat = np.fromiter((x for ids in new for x in ids), np.uint16)
-            while at + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint16)))
-            self.ids[at : at + len(flat)] = flat
-            ends.append(at + np.cumsum([len(ids) for ids in new]))
-            at += len(flat)
-        place = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
-        both, where = np.concatenate((self.keys, keys)), np.concatenate((self.places, place))
-        order = np.argsort(both, kind="stable")
-        self.keys, self.places, self.ends = both[order], where[order], np.concatenate((self.ends, *ends))
+        """keys: sorted and new. Letters or digits before final marks are tokenised apart from the marks."""
+        parts: dict[bytes, int] = {b"": 0}
+        which = np.zeros((len(texts), 2), np.int64)
+        for k, text in enumerate(texts):
+            body = text.rstrip(b".,;:!?")
+            if not (body and len(body) < len(text) and (48 <= body[-1] <= 57 or 97 <= body[-1] <= 122)):
+                body = text
+            which[k, 0] = parts.setdefault(body, len(parts))
+            if len(body) < len(text):
+                which[k, 1] = parts.setdefault(text[len(body) :], len(parts))
+        flat, starts, length = self._encode_words([x.decode("utf-8", "replace") for x in parts])
+        new = gather(flat, starts[which.ravel()], length[which.ravel()])
+        at = int(self.ends[-1])
+        while at + len(new) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint16)))
+        self.ids[at : at + len(new)] = new
+        where = np.searchsorted(self.keys, keys)
+        self.places = np.insert(self.places, where, np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32))
+        self.keys = np.insert(self.keys, where, keys)
+        self.ends = np.concatenate((self.ends, at + np.cumsum(length[which].sum(1))))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END, and where each text's begin (one more entry for the end)."""
@@ -91,9 +125,8 @@ class WordTokenizer:
             self._learn(keys[missing], [raw[begins[f] : ends[f]].lower() for f in firsts[missing].tolist()])
         place = self.places[np.searchsorted(self.keys, keys)][inverse]
         starts, length = self.ends[place], self.ends[place + 1] - self.ends[place]
-        sums = np.concatenate(([0], np.cumsum(length)))
-        flat = self.ids[np.repeat(starts - sums[:-1], length) + np.arange(sums[-1])]
-        edges = sums[before]
+        flat = gather(self.ids, starts, length)
+        edges = np.concatenate(([0], np.cumsum(length)))[before]
         out = np.insert(flat, edges[1:], END).astype(np.uint32)
         edges = edges + np.arange(len(edges))
         if len(odd):
