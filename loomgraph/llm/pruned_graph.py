@@ -169,7 +169,7 @@ def graph_search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame
     shards, _ = packed(rows, SHARD, "shard")
     blocks, number = packed(asked, BLOCK, "query_block")
     # A shard's graph is built once for a set of query blocks; there is one set for every SHARD queries.
-    sets = blocks.withColumn("query_set", (F.col("query_block") / F.lit(SHARD // BLOCK)).cast("int")).groupBy("dim", "query_set").agg(F.collect_list(F.struct(F.col("ids").alias("query_ids"), F.col("values").alias("queries"))).alias("blocks"))
+    sets = blocks.withColumn("query_set", (F.col("query_block") / F.lit(max(1, SHARD // BLOCK))).cast("int")).groupBy("dim", "query_set").agg(F.collect_list(F.struct(F.col("ids").alias("query_ids"), F.col("values").alias("queries"))).alias("blocks"))
     pairs = shards.join(sets, "dim").repartition("dim", "shard", "query_set")
     found = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score double")
     return best(found, k)

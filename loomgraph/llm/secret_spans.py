@@ -33,8 +33,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character, over a window of 20.
 THRESHOLDS = {"hex": 3.1, "lower": 3.6, "mixed": 3.75}
-ALLOWED = re.compile(r"://|^/|/\w+/|^[A-Za-z]+([-_/][A-Za-z]+)+$|example|placeholder|changeme|x{6}|0{8}|1234567|abcdef", re.IGNORECASE | re.ASCII)
-_TERM = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 1)]
+ALLOWED = re.compile(r"://|^/|/[a-z_-]+/|^[A-Za-z]+([-_/][A-Za-z]+)+$|(?i:example|placeholder|changeme|x{6}|0{8}|1234567|abcdef)", re.ASCII)
+_TERM = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 2)]
 
 
 def character_class(run: str) -> str | None:
@@ -81,7 +81,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         around = text[max(0, m.start() - 3) : m.end()]
         for a, b in high_windows(run, THRESHOLDS[kind]):
             a, b = a + m.start(), b + m.start()
-            if not any(s < b and a < e for s, _, e in fixed) and not ALLOWED.search(text[a:b]) and "://" not in around:
+            if not any(s < b and a < e for s, _, e in fixed) and not ALLOWED.search(text[m.start() : b]) and "://" not in around:
                 found.append((a, 3, b))
     return sorted(found)
 

@@ -1,0 +1,49 @@
+"""The pipeline against its stages' brute-force versions."""
+
+from __future__ import annotations
+
+import collections
+
+import corpus_pipeline
+from loomgraph.llm import line_crf, secret_spans
+from loomgraph.llm.common import stored, table
+
+from .test_operators import brute_components
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = table(spark, DATA, "documents")
+    quality, near, secrets, mixing, packing = (f for _, f in corpus_pipeline.STAGES)
+    kept = stored(quality(spark, docs, DATA), "t")
+    assert kept.columns == docs.columns
+    model = line_crf.train(docs, table(spark, DATA, "labels"))
+    scores = {r["doc_id"]: r["score"] for r in line_crf.score_documents(docs, model).collect()}
+    good = {r["doc_id"]: r["text"] for r in docs.collect() if scores[r["doc_id"]] >= 0.5}
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == good
+    labels = {r["doc_id"]: r["quality"] for r in table(spark, DATA, "labels").collect()}
+    assert all((k in good) == bool(q) for k, q in labels.items())
+
+    first = stored(near(spark, kept, DATA), "t")
+    ids = sorted(good)
+    want = {ids[k] for k, (_, c) in brute_components([good[i] for i in ids]).items() if c == k}
+    assert {r["doc_id"] for r in first.collect()} == want
+
+    clean = stored(secrets(spark, first, DATA), "t")
+    assert {r["doc_id"]: r["text"] for r in clean.collect()} == {k: secret_spans.without_secrets(good[k]) for k in want}
+
+    mixed = stored(mixing(spark, clean, DATA), "t")
+    assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= want
+    assert 0.7 * len(want) <= mixed.count() <= 1.3 * len(want)
+
+    pieces = packing(spark, mixed, DATA).collect()
+    assert collections.Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == collections.Counter(r["doc_id"] for r in mixed.collect())
+
+
+def test_run(spark):
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    room = collections.Counter()
+    for r in rows:
+        room[r["sequence_id"]] += r["length"]
+    assert rows and max(room.values()) <= 2048
