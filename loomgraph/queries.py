@@ -545,6 +545,63 @@ def page_timeline(spark, d):
     return P.timeline(_order_pages(spark, d))
 
 
+def _part_pages(spark, d):
+    """A page for each brand: a list of its parts with linked heads and a table across groups of two header rows."""
+    p = _read(spark, d, "part")
+    name = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))
+    listed = F.concat(F.lit('<tr><th><a href="/parts/'), F.col("p_partkey").cast("string"), F.lit('/">'), name, F.lit("</a></th><td>"), "p_type", F.lit("</td><td> "), F.col("p_size").cast("string"), F.lit("</td></tr>"))
+    crossed = F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>&lt;"), F.col("p_retailprice").cast("string"), F.lit("</td><td>-</td></tr>"))
+    fold = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", c.alias("r")))), lambda x: x["r"]), "")
+    pages = p.groupBy("p_brand").agg(fold(listed).alias("a"), fold(crossed).alias("b"), F.min("p_partkey").alias("page_id"))
+    html = F.concat(F.lit("<table><tbody>"), "a", F.lit("</tbody></table><p>x</p><table><tr><td>All of "), "p_brand", F.lit("</td><td># n</td></tr>"), "b", F.lit("</table><section id=notes><h2>Notes</h2>Plain "), "p_brand", F.lit("</section><section><h3>Mechanism of action</h3>Acts on "), "p_brand", F.lit("</section>"))
+    return pages.select("page_id", F.concat(F.lit("https://example.org/"), "p_brand").alias("url"), html.alias("html"))
+
+
+@_query("SELECT p_partkey AS id, p_name || ' ' || p_partkey AS name, 'https://example.org/parts/' || p_partkey || '/' AS url, p_type AS kind, CAST(p_size AS VARCHAR) AS size FROM part")
+def page_search_rows(spark, d):
+    # The list's links are in its head cells, so they come from the link scan of the same pages.
+    pages = _part_pages(spark, d)
+    urls = P.links(pages, "/parts/", base="https://example.org").select("page_id", F.col("id").alias("slug"), "url")
+    rows = P.search_results(P.table_rows(pages), ["kind", "size"]).withColumn("slug", X.last_segment(F.regexp_replace("name", " ", "/")))
+    return rows.drop("url").join(urls, ["page_id", "slug"]).select(F.col("slug").cast("long").alias("id"), "name", "url", "kind", "size")
+
+
+@_query("SELECT 'All of ' || p_brand AS section, p_name || ' ' || p_partkey AS label, 'cross' AS version, p_size AS n, p_retailprice AS effect, CAST(NULL AS DOUBLE) AS p_value FROM part")
+def page_cross_group(spark, d):
+    return P.cross_group(P.table_rows(_part_pages(spark, d)).filter("table_no = 1")).select("section", "label", "version", "n", "effect", "p_value")
+
+
+@_query("SELECT min(p_partkey) AS page_id, 'Acts on ' || p_brand AS text FROM part GROUP BY p_brand")
+def page_background(spark, d):
+    return P.background(P.sections(_part_pages(spark, d)), ["background", "overview"], "mechanism")
+
+
+_LABELS = {"FDA Status": "fda_status", "Target Type": "target_type", "Therapy Type": "therapy_type", "Approved for": "approved_for"}
+
+
+def _detail_pages(spark, d):
+    p = _read(spark, d, "part")
+    field = lambda label, value: F.concat(F.lit(f"<strong>{label}:</strong> "), value, F.lit("<br>"))
+    html = F.concat(field("FDA Status", F.concat(F.lit("Phase "), (F.col("p_size") % 4).cast("string"))), field("Target Type", F.concat("p_name", F.lit(" (timeline), "), "p_brand")), field("Therapy Type", F.when(F.col("p_size") % 2 == 0, "Small Molecule (timeline)").otherwise("Dietary")), field("Approved for", F.col("p_type")), F.lit('<span class="timeline phase-2"></span>'))
+    return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://example.org/parts/"), F.when(F.col("p_partkey") % 10 == 0, "?").otherwise(""), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+
+
+@_query("""SELECT CAST(p_partkey AS VARCHAR) AS id, 'Phase ' || (p_size % 4) AS fda_status, p_type AS approved_for, 'ongoing' AS status, CAST(greatest(2, p_size % 4) AS INT) AS trial_phase_max FROM part WHERE p_partkey % 10 <> 0""")
+def page_details(spark, d):
+    return P.details(_detail_pages(spark, d), _LABELS)[0].select("id", "fda_status", "approved_for", "status", "trial_phase_max")
+
+
+@_query("""WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 2 = 0 THEN 'small_molecule' ELSE 'supplement' END AS action_type, p_name, p_brand FROM part WHERE p_partkey % 10 <> 0)
+           SELECT id, p_name AS target_name, action_type, true AS is_primary_target FROM t UNION ALL SELECT id, p_brand, action_type, false FROM t""")
+def page_targets(spark, d):
+    return P.details(_detail_pages(spark, d), _LABELS)[1]
+
+
+@_query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_type AS indication, CAST(greatest(2, p_size % 4) AS INT) AS trial_phase_max, p_size % 4 >= 3 AS has_phase3, 'ongoing' AS status, 1 AS trial_count FROM part WHERE p_partkey % 10 <> 0""")
+def page_trials(spark, d):
+    return P.details(_detail_pages(spark, d), _LABELS)[2]
+
+
 # Sources and sinks ------------------------------------------------------------------------------------------------
 
 
