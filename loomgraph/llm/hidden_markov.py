@@ -42,6 +42,21 @@ END = np.uint64(0x0D15EA5E0D15EA5E)
 SLICES = 32
 
 
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Small numbers in two bytes and as many packed bits as the largest needs beyond them."""
+    more = max(0, int(x.max(initial=0)).bit_length() - 16)
+    return bytes([more]) + x.astype(np.uint16).tobytes() + b"".join(np.packbits(x >> (16 + k) & 1).tobytes() for k in range(more))
+
+
+def unpack_numbers(data: bytes, n: int) -> np.ndarray:
+    x, at = np.frombuffer(data, np.uint16, n, 1).astype(np.uint32), 1 + 2 * n
+    for k in range(data[0]):
+        bits = np.frombuffer(data, np.uint8, -(-n // 8), at)
+        x |= np.unpackbits(bits, count=n).astype(np.uint32) << np.uint32(16 + k)
+        at += len(bits)
+    return x
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """What the driver knows of the vocabulary: totals, the frequent words and the classes' counts."""
@@ -82,7 +97,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = np.array(batch.column("train").to_pylist(), bool)
         known, first, local = np.unique(hashes, return_index=True, return_inverse=True)
         count = np.bincount(local[np.repeat(train, lengths)], minlength=len(known))
-        row = [[uuid.uuid4().hex], [batch.column("doc_id").to_pylist()], [train.tobytes()], [lengths.tobytes()], [local.astype(np.uint32).tobytes()], [known.tobytes()], [suffix[first].astype(np.uint16).tobytes()], [count.astype(np.uint32).tobytes()]]
+        row = [[uuid.uuid4().hex], [batch.column("doc_id").to_pylist()], [train.tobytes()], [lengths.tobytes()], [pack_numbers(local)], [known.tobytes()], [suffix[first].astype(np.uint16).tobytes()], [count.astype(np.uint32).tobytes()]]
         yield pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in row[2:])], ["block", "doc_ids", "train", "lengths", "local", "words", "suffix", "counts"])
 
 
@@ -175,7 +190,8 @@ def _encode(lexicon):
                 chance = np.where(total > 0, total - 0.5, 0.5 * np.maximum(kinds, 1)) / np.maximum(size, 1)
                 inner = np.where(alone | (size == 0), 0.0, np.log10(np.maximum(chance, 1e-300)))
                 base = np.log10((total + 0.5) / (known.tokens + 0.5 * (known.distinct + 1)))
-                local, lengths = np.frombuffer(row["local"], np.uint32), np.frombuffer(row["lengths"], np.int64)
+                lengths = np.frombuffer(row["lengths"], np.int64)
+                local = unpack_numbers(row["local"], int(lengths.sum()))
                 starts = np.cumsum(lengths) - lengths
                 sums = [np.add.reduceat(x[local], starts) for x in ((total > 0).astype(np.int64), base, inner)]
                 yield pa.RecordBatch.from_arrays(

@@ -140,6 +140,12 @@ def test_hidden_markov(spark, monkeypatch):
     assert sum(r["score"] for r in rows.values()) > sum(r["base_score"] for r in rows.values())
 
 
+@pytest.mark.parametrize("top", [0, 5, 65535, 65536, 70001, 3_000_000])
+def test_packed_numbers(top):
+    x = np.random.default_rng(top).integers(0, top + 1, 1001)
+    assert hidden_markov.unpack_numbers(hidden_markov.pack_numbers(x), len(x)).tolist() == x.tolist()
+
+
 def test_forward_is_the_sum_over_paths():
     r = np.random.default_rng(1)
     share = lambda *shape: (x := r.random(shape)) / x.sum(-1, keepdims=True)
