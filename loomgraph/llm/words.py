@@ -7,6 +7,7 @@ different words among a billion collide with a probability of about three in a h
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,6 +104,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about `most` bytes of text; a longer text comes alone."""
     for batch in batches:
@@ -115,3 +124,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             total += size
         if at < len(sizes):
             yield batch.slice(at)
+    release()
