@@ -18,17 +18,21 @@ same set form one class; everything below works on classes, so copies are never
    several components, pairs across components are verified as well, but for those that can't have enough in common
    by what each has in common with the entry's centre. No link between different texts is lost.
 
+Batches are named by their partition and their number in it, so a partition that is run again after a lost executor
+deals the same rows under the same names. Should docs give other rows then (an unordered source), the job says so
+and stops instead of losing links.
+
 Nulls and texts without words have empty sets, linked with nothing. Extra columns are ignored.
 Repeated rows are documents with equal sets. A null doc_id is the smallest in its component.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,12 +90,13 @@ def _sets(length: int):
 
 
 def _deal(length: int, ranges: int):
-    """Rows (part, batch, owner, low, high) of the batch's shingles in a range; one of them also holds its classes and their sizes.
+    """Rows (part, batch, content, owner, low, high) of the batch's shingles in a range; one of them also holds its classes and their sizes.
 
     A shingle is its range and 40 bits; owners are numbers of classes within the batch, so a shingle has 7 bytes at any scale.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             tokens, sizes = shingle_sets(batch.column("text"), length)
             ids = _class_ids(tokens, sizes)
@@ -103,25 +108,26 @@ def _deal(length: int, ranges: int):
             if not len(ids):
                 continue
             for at in range(0, len(ids), 1 << 16):
-                yield _dealt(ids[at : at + (1 << 16)], sizes[at : at + (1 << 16)], tokens[sizes[:at].sum() : sizes[: at + (1 << 16)].sum()], ranges)
+                yield _dealt(name, ids[at : at + (1 << 16)], sizes[at : at + (1 << 16)], tokens[sizes[:at].sum() : sizes[: at + (1 << 16)].sum()], ranges)
+                name += 1
 
     return run
 
 
-def _dealt(ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranges: int) -> pa.RecordBatch:
+def _dealt(name: int, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranges: int) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
     part = ((tokens >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.uint16 if ranges < 1 << 16 else np.int32)
     order = np.argsort(part, kind="stable")
     tokens, owner, edges = tokens[order], owner[order], np.searchsorted(part[order], np.arange(ranges + 1)).tolist()
     low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint8)
-    name = uuid.uuid4().int >> 65
-    own = name % ranges
+    own = int(scramble(np.array([name], np.uint64))[0]) % ranges
+    content = int(scramble(ids + scramble(np.arange(len(ids), dtype=np.uint64))).sum(dtype=np.uint64)) >> 1
     full = [k for k in range(ranges) if edges[k] < edges[k + 1] or k == own]
     cut = [slice(edges[k], edges[k + 1]) for k in full]
     whole = [(ids.tobytes() if k == own else None, sizes.astype(np.uint32).tobytes() if k == own else None) for k in full]
     return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.int64()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (owner, low, high)), *(pa.array(x, pa.binary()) for x in zip(*whole, strict=True))],
-        ["part", "batch", "owner", "low", "high", "classes", "sizes"],
+        [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.int64()), pa.array([content] * len(full), pa.int64()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (owner, low, high)), *(pa.array(x, pa.binary()) for x in zip(*whole, strict=True))],
+        ["part", "batch", "content", "owner", "low", "high", "classes", "sizes"],
     )
 
 
@@ -143,7 +149,7 @@ def _shared(group: pa.Table) -> pa.Table:
     edges = np.searchsorted(rows, np.arange(len(group) + 1)).tolist()
     cut = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     packed = {x: pa.array([v[c].tobytes() for c in cut], pa.binary()) for x, v in (("owner", owner), ("tokens", tokens), ("counts", each))}
-    out = pa.table({"batch": group.column("batch"), **packed, "classes": group.column("classes"), "sizes": group.column("sizes")})
+    out = pa.table({"batch": group.column("batch"), "content": group.column("content"), **packed, "classes": group.column("classes"), "sizes": group.column("sizes")})
     return out.filter(pa.array([a < b or c for a, b, c in zip(edges[:-1], edges[1:], group.column("classes").is_valid().to_pylist(), strict=True)]))
 
 
@@ -172,6 +178,8 @@ def _candidates(percent: int):
     """Of one batch: the classes that could have index keys, with their shingles that others hold and the numbers of holders."""
 
     def run(group: pa.Table) -> pa.Table:
+        if len(group.column("content").unique()) > 1 or group.column("classes").null_count != len(group) - 1:
+            raise RuntimeError("a batch of documents was dealt twice with different rows: give jaccard_join a stored table")
         joined = lambda x, kind: np.concatenate([np.frombuffer(v, kind) for v in group.column(x).to_pylist() if v is not None])
         classes, sizes = joined("classes", np.int64), joined("sizes", np.uint32).astype(np.int64)
         owner, tokens, counts = joined("owner", np.uint16), joined("tokens", np.uint64), joined("counts", np.uint32)
@@ -248,8 +256,8 @@ def _possible(n: str, shared: str, m: str, other: str, percent: int):
 def class_components(docs: DataFrame, total: int, length: int = 5, percent: int = 75) -> DataFrame:
     """(class_id, component): the classes that link with others. total: shingles in all sets."""
     ranges = max(1, -(-total // RANGE))
-    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), "part int, batch long, owner binary, low binary, high binary, classes binary, sizes binary")
-    back = dealt.groupBy("part").applyInArrow(_shared, "batch long, owner binary, tokens binary, counts binary, classes binary, sizes binary")
+    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), "part int, batch long, content long, owner binary, low binary, high binary, classes binary, sizes binary")
+    back = dealt.groupBy("part").applyInArrow(_shared, "batch long, content long, owner binary, tokens binary, counts binary, classes binary, sizes binary")
     rows = back.groupBy("batch").applyInArrow(_candidates(percent), "class_id long, n long, tokens binary, counts binary")
     once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "tokens", "counts")), F.count("*").alias("holders"))
     index = stored(once.mapInArrow(_index(percent), "class_id long, n long, s long, central double, tokens binary, keys array<long>"), "jaccard-index")

@@ -112,6 +112,22 @@ def test_jaccard_family_around_a_hub(spark):
     assert found == brute_components(texts)
 
 
+def test_jaccard_batches_keep_their_names_in_a_rerun(spark):
+    """What an executor's loss has computed again must fit what other tasks have already read."""
+    docs = documents(spark, prose(4)).repartition(3).select(F.coalesce("text", F.lit("")).alias("text")).localCheckpoint()
+    deal = lambda: docs.mapInArrow(jaccard_join._deal(5, 7), "part int, batch long, content long, owner binary, low binary, high binary, classes binary, sizes binary").collect()
+    first = deal()
+    assert first == deal()
+    named = [r["batch"] for r in first if r["classes"] is not None]
+    assert len(named) == len(set(named)) == 3 and {r["batch"] for r in first} == set(named)
+
+
+def test_jaccard_stops_when_a_batch_is_split():
+    whole = {"batch": [1, 1], "content": [5, 6], "owner": [b"", b""], "tokens": [b"", b""], "counts": [b"", b""], "classes": [b"", None], "sizes": [b"", None]}
+    with pytest.raises(RuntimeError, match="dealt twice"):
+        jaccard_join._candidates(75)(pa.table(whole))
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_join(documents(spark, []).limit(0)).collect() == []
     assert jaccard_join.jaccard_join(documents(spark, ["", None])).count() == 2
