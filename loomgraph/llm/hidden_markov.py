@@ -1,7 +1,7 @@
 """Scoring by a hidden Markov language model: Baum-Welch counts summed across partitions, exact forward likelihoods.
 
 Tokens are a text's words and one end. The FREQUENT most frequent training words and the end are symbols of their
-own; all other words share CLASSES symbols by the hash of their last three bytes. A state emits a symbol, a symbol a
+own; all other words share CLASSES symbols by the hash of their last three bytes (A-Z lower-cased, as in words). A state emits a symbol, a symbol a
 word: p(word | symbol) = (c - 0.5) / C with c the word's training count and C the symbol's, and what that leaves,
 0.5 V / C for V distinct words, is the probability of the symbol's words that training has not seen. So the model sums
 to one over the known words and one unknown word per class, and no table that grows with the vocabulary is held
@@ -39,6 +39,8 @@ STATES, FREQUENT, CLASSES, ROUNDS, WINDOW = 8, 4096, 1024, 6, 256
 #: Distinct words of blocks in one range of the exchange.
 RANGE = 1_500_000
 END = np.uint64(0x0D15EA5E0D15EA5E)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[ord("A") : ord("Z") + 1] += np.uint64(32)
 SLICES = 32
 
 
@@ -90,7 +92,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.zeros(len(hashes), np.uint64)
         for k in (3, 2, 1):
             at = ends - k
-            tail = tail * np.uint64(257) + np.where(at >= starts, data[np.maximum(at, 0)], 0).astype(np.uint64) if len(data) else tail
+            tail = tail * np.uint64(257) + np.where(at >= starts, _LOWER[data[np.maximum(at, 0)]], np.uint64(0)) if len(data) else tail
         suffix = scramble(tail) % np.uint64(CLASSES)
         hashes, suffix = np.insert(hashes, before[1:], END), np.insert(suffix, before[1:], 0)
         lengths = np.diff(before) + 1

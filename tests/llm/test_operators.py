@@ -156,6 +156,17 @@ def test_hidden_markov(spark, monkeypatch):
     assert sum(r["score"] for r in rows.values()) > sum(r["base_score"] for r in rows.values())
 
 
+def test_markov_spellings_of_a_word_are_one(spark, monkeypatch):
+    """Mixed case scores like lower case, however the texts are dealt out."""
+    monkeypatch.setattr(hidden_markov, "FREQUENT", 3)
+    texts = [*["the cat THE", "The dog tHe", "THE end CAT", "cAt dOG The"] * 3, "Dog the"]
+    found = []
+    for rows, parts in ((texts, 1), (texts, 4), ([t.lower() for t in texts], 1)):
+        docs = documents(spark, rows).repartition(parts, "doc_id")
+        found.append({r["doc_id"]: r["score"] for r in hidden_markov.score_documents(docs, F.lit(True), states=1, rounds=1).collect()})
+    assert found[0] == pytest.approx(found[2], rel=1e-4) and found[1] == pytest.approx(found[2], rel=1e-4)
+
+
 @pytest.mark.parametrize("top", [0, 5, 65535, 65536, 70001, 3_000_000])
 def test_packed_numbers(top):
     x = np.random.default_rng(top).integers(0, top + 1, 1001)
