@@ -8,10 +8,13 @@ pass, RELAXED in the second), than to the vector itself. Edges back are added an
 A search keeps the BEAM nearest vectors met so far and expands the nearest one that isn't expanded yet, for many queries
 at a time; every shard is searched and the results are merged by the products of the original vectors, in double precision.
 
+Vectors of a shard that are equal in single precision are one node: pruning would cut off all but one of them. A found
+node stands for all its vectors, of which the products decide; of equal ones the smallest ids go in, as many as can count.
+
 Vectors that are null, zero or empty, or hold null, NaN or infinite components, and rows without vec_id, take no part.
 Queries meet candidates of their own dimension. Rows with a query's vec_id count as its own; equal rows count once; of
 different vectors with one vec_id each is a candidate and the smallest is the query. Shards of no more than BEAM
-vectors are searched whole. Without candidates a query has no rows. Extra columns are ignored.
+nodes are searched whole. Without candidates a query has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,48 @@ from .common import stored
 from .vectors import best, matrix, packed, usable
 
 SHARD, DEGREE, BUILD_BEAM, BEAM, RELAXED, BATCH, BLOCK = 4096, 28, 40, 96, 1.2, 512, 1024
+#: Products of found vectors and queries that are computed at a time.
+PAIRS = 1 << 16
+
+
+def _apart(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of each line's vectors from its centre, by differences: products would drown those of near copies."""
+    apart = vectors - centres[:, None]
+    return np.einsum("ijk,ijk->ij", apart, apart)
+
+
+class Nodes:
+    """The distinct points of a shard and the vectors that each stands for: one for all that are equal in single precision."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        same = np.unique(vectors, axis=0, return_inverse=True)[1].ravel()
+        order = np.argsort(same, kind="stable")  # by id within equal ones
+        place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
+        kept = np.sort(order[place <= k])  # one of them may be the query's own
+        ids, vectors = ids[kept], vectors[kept]
+        _, first, node = np.unique(vectors.astype(np.float32), axis=0, return_index=True, return_inverse=True)
+        order = np.argsort(node.ravel(), kind="stable")
+        self.ids, self.vectors, self.points = ids[order], vectors[order], vectors[first]
+        self.edges = np.searchsorted(node.ravel()[order], np.arange(len(first) + 1))
+
+    def best(self, found: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the vectors of each query's found nodes (-1: none): query, id and product of the k first, for some queries at a time."""
+        size = np.where(found >= 0, np.diff(self.edges)[found], 0)
+        total = np.cumsum(size.sum(1))
+        at = 0
+        while at < len(found):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            n = size[at:end].ravel()
+            line = np.repeat(np.arange(at, end), size[at:end].sum(1))
+            member = np.repeat(self.edges[found[at:end].ravel()], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keep = self.ids[member] != own[line]
+            line, member = line[keep], member[keep]
+            score = np.einsum("ij,ij->i", self.vectors[member], queries[line])
+            order = np.lexsort((self.ids[member], -score, line))
+            line, member, score = line[order], member[order], score[order]
+            keep = np.arange(len(line)) - np.searchsorted(line, line) < k
+            yield line[keep], self.ids[member[keep]], score[keep]
+            at = end
 
 
 class Graph:
@@ -95,11 +140,10 @@ class Graph:
         proposed = np.sort(np.where(proposed == nodes[:, None], -1, proposed), 1)
         proposed[:, 1:][proposed[:, 1:] == proposed[:, :-1]] = -1
         centre = self.points[nodes]
-        own = self.squares[nodes][:, None]
-        away = np.where(proposed >= 0, np.maximum(own + self.squares[proposed] - 2 * np.einsum("ijk,ik->ij", self.points[proposed], centre), 0), np.inf)
+        away = np.where(proposed >= 0, _apart(self.points[proposed], centre), np.inf)
         order = np.argsort(away, 1, kind="stable")[:, : 3 * self.degree]
         proposed, away = np.take_along_axis(proposed, order, 1), np.take_along_axis(away, order, 1)
-        vectors, squares = self.points[proposed], self.squares[proposed]
+        vectors = self.points[proposed]
         alive = np.isfinite(away)
         kept = np.full((len(nodes), self.degree), -1, np.int64)
         lines = np.arange(len(nodes))
@@ -110,7 +154,7 @@ class Graph:
                 break
             kept[some, k] = proposed[lines[some], first[some]]
             chosen = vectors[lines, first]
-            between = np.maximum(squares + squares[lines, first][:, None] - 2 * np.einsum("ijk,ik->ij", vectors, chosen), 0)
+            between = _apart(vectors, chosen)
             alive &= ~(slack * slack * between <= away)
             alive[lines, first] = False
         self.edges[nodes] = kept
@@ -141,23 +185,19 @@ def _search(k: int):
                 row = {x: batch.column(x)[j] for x in batch.schema.names}
                 dim, shard = row["dim"].as_py(), row["shard"].as_py()
                 if ready is None or ready[0] != (dim, shard):
-                    ids, vectors = matrix(row["ids"].values.to_numpy(), row["values"].values.to_numpy(), dim)
-                    ready = (dim, shard), ids, vectors, Graph(vectors)
-                _, ids, vectors, graph = ready
+                    nodes = Nodes(*matrix(row["ids"].values.to_numpy(), row["values"].values.to_numpy(), dim), k)
+                    ready = (dim, shard), nodes, Graph(nodes.points)
+                _, nodes, graph = ready
                 for block in row["blocks"]:
                     query_ids, queries = matrix(block["query_ids"].values.to_numpy(), block["queries"].values.to_numpy(), dim)
                     for at in range(0, len(query_ids), BATCH):
                         asked, own = queries[at : at + BATCH], query_ids[at : at + BATCH]
-                        if len(ids) <= BEAM:
-                            found = np.tile(np.arange(len(ids)), (len(own), 1))
+                        if len(nodes.points) <= BEAM:
+                            found = np.tile(np.arange(len(nodes.points)), (len(own), 1))
                         else:
                             found = graph.beam_search(np.column_stack((asked, np.zeros(len(asked)))).astype(np.float32), BEAM)
-                        score = np.einsum("ijk,ik->ij", vectors[found], asked)
-                        score[(found < 0) | (ids[found] == own[:, None])] = -np.inf
-                        order = np.lexsort((ids[found], -score))[:, :k]
-                        line, _ = np.nonzero(np.take_along_axis(score, order, 1) > -np.inf)
-                        chosen = order[np.take_along_axis(score, order, 1) > -np.inf]
-                        yield pa.RecordBatch.from_arrays([pa.array(own[line]), pa.array(ids[found[line, chosen]]), pa.array(score[line, chosen])], ["query_id", "vec_id", "score"])
+                        for line, ids, score in nodes.best(found, asked, own, k):
+                            yield pa.RecordBatch.from_arrays([pa.array(own[line]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return run
 

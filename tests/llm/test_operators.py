@@ -345,6 +345,28 @@ def test_pruned_graph_recall(spark, monkeypatch):
     assert np.mean(hits) / 20 >= 0.9
 
 
+@pytest.mark.parametrize("noise", [0.0, 1e-12, 1e-6, 1e-3])
+def test_pruned_graph_finds_copies(noise):
+    """Groups of 60 equal or nearly equal vectors among others, in one shard."""
+    r = np.random.default_rng(6)
+    vectors = np.concatenate((np.repeat(r.normal(size=(15, 16)), 60, axis=0), r.normal(size=(600, 16))))
+    vectors = vectors + noise * r.normal(size=vectors.shape)
+    ids, asked = np.arange(len(vectors)), np.arange(0, len(vectors), 12)
+    values = lambda x: pa.array([x.ravel().tolist()], pa.list_(pa.float64()))
+    blocks = [[{"query_ids": asked.tolist(), "queries": vectors[asked].ravel().tolist()}]]
+    row = pa.RecordBatch.from_arrays([pa.array([16]), pa.array([0]), pa.array([ids.tolist()]), values(vectors), pa.array(blocks)], ["dim", "shard", "ids", "values", "blocks"])
+    found = collections.defaultdict(list)
+    for batch in pruned_graph._search(20)(iter([row])):
+        for x in batch.to_pylist():
+            found[x["query_id"]].append(x)
+    hits = []
+    for q in asked.tolist():
+        assert len(found[q]) == 20 and q not in {x["vec_id"] for x in found[q]}
+        products = np.delete(vectors @ vectors[q], q)
+        hits.append(np.mean([x["score"] >= np.sort(products)[-20] - 1e-9 for x in found[q]]))
+    assert np.mean(hits) >= 0.9
+
+
 def test_graph_search_of_few(spark):
     rows, table = vectors(spark, 12)
     found = pruned_graph.graph_search(spark.createDataFrame(rows[:3] + rows[-8:], table.schema), F.col("vec_id") == 0).collect()
