@@ -4,9 +4,11 @@ Fixed patterns (kinds assign, access and hex) are matched leftmost and non-overl
 that are too short are dropped. Beyond them, runs of 20 or more characters of [A-Za-z0-9+/_=-] are candidates. A
 candidate has the class of all its characters: hex, lower (letters of one case and digits) or mixed; runs of digits
 alone or letters alone of one case are none. A window of WINDOW characters moves over it; one character enters and
-one leaves, so its entropy follows from the two changed counts. The windows at or above the class's threshold make
-up spans of the kind entropy. A span that overlaps one of a fixed pattern is left to it, and the allow-list
-suppresses spans that are addresses, paths, file names or placeholders.
+one leaves, so its entropy follows from the two changed counts. The windows at or above the threshold of the candidate's
+class make up spans; so do, by themselves, the windows of letters and digits alone at or above the threshold of their
+own class, whatever name or path stands before them, unless they are part of an address. The allow-list suppresses
+spans that are addresses, paths, file names or placeholders by what is in the span. Those left, joined, are the
+spans of the kind entropy. Windows that overlap a span of a fixed pattern are left to it.
 
 Offsets count code points, ends are exclusive. A null text is an empty text without spans. Texts are scanned whole,
 whatever their length. Repeated rows get the same spans; an empty table gives an empty result; extra columns stay.
@@ -34,6 +36,8 @@ WINDOW = 20
 #: Bits a character, over a window of 20.
 THRESHOLDS = {"hex": 3.1, "lower": 3.6, "mixed": 3.75}
 ALLOWED = re.compile(r"://|^/|/[a-z_-]+/|^[A-Za-z]+([-_/][A-Za-z]+)+$|(?i:example|placeholder|changeme|x{6}|0{8}|1234567|abcdef)", re.ASCII)
+LEAST = min(THRESHOLDS.values())
+SPACE = re.compile(r"\s")
 _TERM = [0.0] + [k * math.log2(k) for k in range(1, WINDOW + 2)]
 
 
@@ -46,10 +50,10 @@ def character_class(run: str) -> str | None:
     return "mixed" if lower and upper else "lower"
 
 
-def high_windows(run: str, threshold: float) -> list[tuple[int, int]]:
-    """Where windows of at least that entropy are, merged where they touch."""
+def _windows(run: str) -> Iterator[tuple[int, float]]:
+    """The end of each window and its entropy."""
     counts: dict[str, int] = {}
-    total, found = 0.0, []
+    total = 0.0
     for end, entering in enumerate(run, 1):
         n = counts.get(entering, 0)
         counts[entering] = n + 1
@@ -59,12 +63,43 @@ def high_windows(run: str, threshold: float) -> list[tuple[int, int]]:
             n = counts[leaving]
             counts[leaving] = n - 1
             total += _TERM[n - 1] - _TERM[n]
-        if end >= WINDOW and math.log2(WINDOW) - total / WINDOW >= threshold - 1e-9:
-            if found and found[-1][1] >= end - WINDOW:
-                found[-1] = (found[-1][0], end)
-            else:
-                found.append((end - WINDOW, end))
-    return found
+        if end >= WINDOW:
+            yield end, math.log2(WINDOW) - total / WINDOW + 1e-9
+
+
+def _merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and out[-1][1] >= a:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def high_windows(run: str, threshold: float) -> list[tuple[int, int]]:
+    """Where windows of at least that entropy are, merged where they touch."""
+    return _merged([(end - WINDOW, end) for end, entropy in _windows(run) if entropy >= threshold])
+
+
+def _high(run: str, kind: str, start: int, fixed: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans in the run by the threshold of its class, and those of letters and digits by that of each window's."""
+    whole, own = [], []
+    for end, entropy in _windows(run):
+        if entropy < LEAST or any(s < start + end and start + end - WINDOW < e for s, _, e in fixed):
+            continue
+        place = (end - WINDOW, end)
+        if entropy >= THRESHOLDS[kind]:
+            whole.append(place)
+        if (part := run[place[0] : end]).isalnum() and (mine := character_class(part)) and entropy >= THRESHOLDS[mine]:
+            own.append(place)
+    return _merged(whole), _merged(own)
+
+
+def _in_address(text: str, at: int) -> bool:
+    """Whether at is behind :// without a space between."""
+    mark = text.rfind("://", 0, at)
+    return mark >= 0 and not SPACE.search(text, mark, at)
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,10 +114,15 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         if (kind := character_class(run)) is None:
             continue
         around = text[max(0, m.start() - 3) : m.end()]
-        for a, b in high_windows(run, THRESHOLDS[kind]):
-            a, b = a + m.start(), b + m.start()
-            if not any(s < b and a < e for s, _, e in fixed) and not ALLOWED.search(text[m.start() : b]) and "://" not in around:
-                found.append((a, 3, b))
+        if "://" in around:
+            continue
+        near = [x for x in fixed if x[0] < m.end() and m.start() < x[2]]
+        whole, own = _high(run, kind, m.start(), near)
+        good = [x for x in whole if not ALLOWED.search(run[x[0] : x[1]])]
+        rest = [x for x in own if not any(a <= x[0] and x[1] <= b for a, b in good) and not ALLOWED.search(run[x[0] : x[1]])]
+        if rest and not _in_address(text, m.start()):
+            good += rest
+        found += [(a + m.start(), 3, b + m.start()) for a, b in _merged(good)]
     return sorted(found)
 
 

@@ -399,6 +399,27 @@ def test_secrets(spark):
     assert clean[0] is None and clean[1] == "" and "hunter22" not in clean[5] and "[SECRET]" in clean[6]
 
 
+@pytest.mark.parametrize("name", ["session_id=", "Session-Id=", "auth/", "/api/auth/", "/v1/", "a=b/c="])
+@pytest.mark.parametrize("digits", ["0123456789ABCDEF", "0123456789abcdef"])
+def test_a_name_before_a_key_does_not_hide_it(name, digits):
+    """What is found of a key alone is found behind a name or a path as well."""
+    r = random.Random(8)
+    alone = 0
+    for _ in range(300):
+        key = "".join(r.choice(digits) for _ in range(32 if digits.endswith("F") else 22))
+        bare = secret_spans.spans(key)
+        found = [(a - 2 - len(name), b - 2 - len(name)) for a, _, b in secret_spans.spans(f"x {name}{key} y")]
+        alone += len(bare)
+        assert all(any(a <= s and e <= b for a, b in found) for s, _, e in bare)
+    assert alone >= 270
+
+
+def test_a_fixed_pattern_leaves_the_rest_of_a_run():
+    key = "wJalrXUtnFEMI7K7MDENGbPxRfiCYzT9q2Z"
+    found = secret_spans.spans(f"{key}/{'0f1e2d3c4b5a6978' * 2}")
+    assert [k for _, k, _ in found] == [3, 2] and found[0][0] == 0 and found[0][2] >= len(key)
+
+
 def test_window_entropy_by_definition():
     r = random.Random(1)
     run = "".join(r.choice("abcdef0123456789") for _ in range(200)) + "a" * 60
