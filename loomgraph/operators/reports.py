@@ -11,7 +11,7 @@ from ..functions import text as X
 
 
 def fold_lines(df: DataFrame, keys: Sequence[str], line: Column, order: Sequence[Column | str], name: str = "text", delimiter: str = "\n") -> DataFrame:
-    """Per group the lines in order, joined. A group is one report, so keep its rows capped before."""
+    """Per group the lines in order, joined. A group is one report and becomes one row."""
     rows = df.withColumn("_line", line).withColumn("_order", F.struct(*order))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("_order", "_line"))), lambda x: x["_line"])
     return rows.groupBy(*keys).agg(F.array_join(lines, delimiter).alias(name))
@@ -22,12 +22,14 @@ def with_empty(anchors: DataFrame, key: str, report: DataFrame, name: str, sente
     return anchors.select(key).join(report, key, "left").withColumn(name, F.coalesce(name, F.lit(sentence)))
 
 
-def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
-    """The first n rows of each group: the cap that a report's size rests on."""
+def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | None) -> DataFrame:
+    """The first n rows of each group, or all of them (None)."""
+    if n is None:
+        return df
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
 
-def bucketed(df: DataFrame, key: str, bucket: Column, name: Column, details: Sequence[tuple[str, Column]], order: Sequence[str], buckets: Sequence[str], title: str, cap: int = 200) -> DataFrame:
+def bucketed(df: DataFrame, key: str, bucket: Column, name: Column, details: Sequence[tuple[str, Column]], order: Sequence[str], buckets: Sequence[str], title: str, cap: int | None = None) -> DataFrame:
     """key, text: within each bucket, in the given order of buckets, the distinct names with each detail's first filled value."""
     at = F.struct(*order)
     rows = df.select("*", bucket.alias("_bucket"), name.alias("_name")).filter(F.col("_name").isNotNull() & F.col("_bucket").isin(*buckets))
@@ -41,14 +43,14 @@ def bucketed(df: DataFrame, key: str, bucket: Column, name: Column, details: Seq
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
 
-def listed(df: DataFrame, key: str, name: Column, title: str, cap: int = 100) -> DataFrame:
+def listed(df: DataFrame, key: str, name: Column, title: str, cap: int | None = None) -> DataFrame:
     """key, text: the distinct names, sorted."""
     names = capped(df.select(key, name.alias("_name")).filter("_name is not null").distinct(), [key], ["_name"], cap)
     body = fold_lines(names, [key], F.concat(F.lit("- "), F.col("_name")), ["_name"])
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
 
-def listed_pairs(df: DataFrame, key: str, head: Column, item: Column, title: str, cap: int = 300) -> DataFrame:
+def listed_pairs(df: DataFrame, key: str, head: Column, item: Column, title: str, cap: int | None = None) -> DataFrame:
     """key, text: for each head, sorted, the distinct items in one line."""
     pairs = capped(df.select(key, head.alias("_head"), item.alias("_item")).filter("_head is not null and _item is not null").distinct(), [key], ["_head", "_item"], cap)
     lines = fold_lines(pairs, [key, "_head"], F.col("_item"), ["_item"], "_items", ", ")

@@ -374,7 +374,7 @@ def report_list(spark, d):
 @_query("""WITH n AS (SELECT DISTINCT p_brand, p_type, p_name FROM part), l AS (SELECT p_brand, p_type, string_agg(p_name, ', ' ORDER BY p_name) AS i FROM n GROUP BY ALL)
            SELECT p_brand, 'Types' || chr(10) || string_agg('- ' || p_type || ': ' || i, chr(10) ORDER BY p_type) AS text FROM l GROUP BY 1""")
 def report_pairs(spark, d):
-    return R.listed_pairs(_read(spark, d, "part"), "p_brand", F.col("p_type"), F.col("p_name"), "Types", cap=1000)
+    return R.listed_pairs(_read(spark, d, "part"), "p_brand", F.col("p_type"), F.col("p_name"), "Types")
 
 
 @_query("""WITH n AS (SELECT DISTINCT p_type, p_name, NOT (starts_with(p_name, 'red') OR starts_with(p_name, 'old')) AS late FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY late, p_name) AS k FROM n)

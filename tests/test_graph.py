@@ -14,6 +14,7 @@ from loomgraph.operators import graph as G
 from loomgraph.operators import links as L
 from loomgraph.operators import nodes as N
 from loomgraph.operators import pages as P
+from loomgraph.operators import reports
 from loomgraph.operators import routing as Q
 from loomgraph.plans.specs import BIOMEDICAL
 from loomgraph.sources import tables as S
@@ -155,6 +156,16 @@ def test_vocabulary(spark, tmp_path):
     assert [tuple(r) for r in S.read_vocabulary(spark, str(path), "hp").collect()] == [("HP:1", "Ataxia", "http://x/obo/HP_1", "a|b", "hp")]
 
 
+def test_reports_hold_every_name(spark):
+    rows = spark.range(1200).select(F.lit(1).alias("k"), F.format_string("n%04d", "id").alias("name"), F.lit("b").alias("b"))
+    names = [f"n{k:04d}" for k in range(1200)]
+    name = F.col("name")
+    assert reports.listed(rows, "k", name, "T").first()["text"].split("\n") == ["T", *(f"- {x}" for x in names)]
+    assert reports.listed_pairs(rows, "k", F.col("b"), name, "T").first()["text"] == "T\n- b: " + ", ".join(names)
+    assert reports.bucketed(rows, "k", F.col("b"), name, [], ["name"], ["b"], "T").first()["text"].split("\n") == ["T", "b:", *(f"- {x}" for x in names)]
+    assert reports.listed(rows, "k", name, "T", cap=2).first()["text"] == "T\n- n0000\n- n0001"
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_oracle(spark, name):
     import duckdb
