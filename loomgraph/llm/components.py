@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """links (a, b): longs; the result: node and component (the smallest node), for every node of a link.
+    """links (a, b): longs, or structs of one type; the result: node and component (the smallest node), for every node of a link.
 
     Large and small stars alternate until they change nothing: about log of the longest path rounds, each of which
     writes the edges into the shared folder. No edge table grows, and nothing comes to the driver but a checksum.
@@ -31,7 +31,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
     sign = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, stored(_small_star(_large_star(edges)), "edges")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == sign:
             break

@@ -5,44 +5,58 @@ same set form one class; everything below works on classes, so copies are never
 
 1. Token exchange. Each batch of documents deals its shingle hashes out by ranges of the hash, packed as binary
    columns. A range's task counts in how many classes (of all batches) each shingle occurs and returns those in two
-   or more, with that count, to their batches. A shingle of one class only can't take part in a link, but comes first
+   or more, with that count, to their batches. A shingle that more than HEAVY classes of a batch hold goes out once,
+   with its number of holders; who they are stays with the batch. So a range gets at most HEAVY entries of a shingle
+   from a batch, however common it is. A shingle of one class only can't take part in a link, but comes first
    in the global order (count, hash), so its number is all that is needed of it.
 2. Prefixes. Two sets with Jaccard >= t share at least ceil(t * size) shingles for either size; hence the first
    size - ceil(t * size) + q shingles of both sets have q in common (where so many are shared). Shingles of up to
-   RARE classes are indexed alone. The frequent ones are dealt into GROUPS token classes by their hash and indexed
-   as pairs within such a class. With q = 1 + GROUPS, the common ones hold a rare one or two of one token class.
-   Sets of up to SMALL shingles, for which q may be too many, use q = 1 and single shingles; a link between sets
-   of different regimes can't be missed, as sets from OVERLAP on are indexed in both ways.
+   RARE classes are indexed alone. The frequent ones are dealt into token classes by their hash and indexed
+   as pairs within such a class. With q one more than the token classes, the common ones hold a rare one or two of one
+   token class. Token classes grow with the size, in levels of fourfold sizes, so the pairs of a set are about as many
+   as its shingles at any length. Sets of up to SMALL shingles, for which q may be too many, use q = 1 and single
+   shingles. A set that could link with one of the next level is indexed in that one too, so no link is missed.
 3. Verification on the returned shingles (which hold every common one), first of each class against one centre
    of each index entry. Connected components of these links contract the index entries; in entries that still hold
    several components, pairs across components are verified as well, but for those that can't have enough in common
-   by what each has in common with the entry's centre. No link between different texts is lost.
+   by what each has in common with the entry's centre. These pairs are joined by (entry, band of sizes, salt): only
+   sizes that could link by the numbers of shared shingles meet, and an entry of very many members is split over
+   tasks. No link between different texts is lost.
+4. The components' nodes are (null flag, first doc_id, class), so a component's smallest node holds its name.
 
 Batches are named by their partition and their number in it, so a partition that is run again after a lost executor
 deals the same rows under the same names. Should docs give other rows then (an unordered source), the job says so
 and stops instead of losing links.
 
-Nulls and texts without words have empty sets, linked with nothing. Extra columns are ignored.
-Repeated rows are documents with equal sets. A null doc_id is the smallest in its component.
+Nulls and texts without words have empty sets, linked with nothing. Extra columns are ignored, whatever their names.
+Repeated rows are documents with equal sets. doc_id is a number, or text that holds one. A null doc_id is the smallest
+in its component. An empty table gives an empty result. A text is held whole by one task, of any length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import discard, stored, text_or_empty, unused
 from .components import connected_components
 from .words import scramble, slices, text_bytes, words
 
-RARE, GROUPS, SMALL, OVERLAP, BITS = 16, 8, 24, 18, 512
+RARE, SMALL, BITS = 16, 24, 512
+#: Token classes of frequent shingles for sets of up to 4 x SMALL shingles; four times as many for up to 16 x SMALL, and so on.
+GROUPS = 3
+#: A shingle of more classes of a batch than this is dealt once.
+HEAVY = 8
 #: Shingles in one range of the exchange.
-RANGE = 1_500_000
+RANGE = 500_000
+#: Of an index entry's members, those that are paired in one task; and how much sizes in one band differ.
+BLOCK, BAND = 512, 1.05
 _PLACES = np.random.default_rng(777).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -114,63 +128,99 @@ def _deal(length: int, ranges: int):
     return run
 
 
+_DEALT = "part int, batch long, content long, owner binary, low binary, high binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
+_SHARED = "batch long, content long, owner binary, tokens binary, counts binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
+#: A shingle (its range and 40 bits) and how many classes hold it.
+_HEAVY = np.dtype([("token", "<u8"), ("count", "<u4")])
+
+
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal numbers begin, and how long they are."""
+    edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    return edges, np.diff(np.append(edges, len(ordered)))
+
+
 def _dealt(name: int, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranges: int) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
-    part = ((tokens >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)).astype(np.uint16 if ranges < 1 << 16 else np.int32)
-    order = np.argsort(part, kind="stable")
-    tokens, owner, edges = tokens[order], owner[order], np.searchsorted(part[order], np.arange(ranges + 1)).tolist()
-    low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32)).astype(np.uint8)
+    tokens = ((tokens >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)) << np.uint64(40) | tokens & np.uint64((1 << 40) - 1)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    firsts, count = _runs(tokens)
+    common = count > HEAVY
+    heavy = np.zeros(int(common.sum()), _HEAVY)
+    heavy["token"], heavy["count"] = tokens[firsts[common]], count[common]
+    light = ~np.repeat(common, count)
+    held_by = owner[~light]
+    tokens, owner = tokens[light], owner[light]
+    begins = np.arange(ranges + 1, dtype=np.uint64) << np.uint64(40)
+    edges, heavy_edges = np.searchsorted(tokens, begins).tolist(), np.searchsorted(heavy["token"], begins).tolist()
+    low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)
     own = int(scramble(np.array([name], np.uint64))[0]) % ranges
     content = int(scramble(ids + scramble(np.arange(len(ids), dtype=np.uint64))).sum(dtype=np.uint64)) >> 1
-    full = [k for k in range(ranges) if edges[k] < edges[k + 1] or k == own]
-    cut = [slice(edges[k], edges[k + 1]) for k in full]
-    whole = [(ids.tobytes() if k == own else None, sizes.astype(np.uint32).tobytes() if k == own else None) for k in full]
+    full = [k for k in range(ranges) if edges[k] < edges[k + 1] or heavy_edges[k] < heavy_edges[k + 1] or k == own]
+    cut, heavy_cut = [slice(edges[k], edges[k + 1]) for k in full], [slice(heavy_edges[k], heavy_edges[k + 1]) for k in full]
+    whole = [ids.tobytes(), sizes.astype(np.uint32).tobytes(), heavy.tobytes(), held_by.tobytes()]
+    columns = [[x[c].tobytes() for c in cut] for x in (owner, low, high)] + [[heavy[c].tobytes() for c in heavy_cut]] + [[x if k == own else None for k in full] for x in whole]
     return pa.RecordBatch.from_arrays(
-        [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.int64()), pa.array([content] * len(full), pa.int64()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (owner, low, high)), *(pa.array(x, pa.binary()) for x in zip(*whole, strict=True))],
-        ["part", "batch", "content", "owner", "low", "high", "classes", "sizes"],
+        [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.int64()), pa.array([content] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)],
+        ["part", "batch", "content", "owner", "low", "high", "heavy", "classes", "sizes", "held", "held_by"],
     )
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """Of one range: for each batch the shingles that others hold too, with the number of holders."""
     part = group.column("part")[0].as_py()
-    columns = {x: [np.frombuffer(v.as_py(), kind) for v in group.column(x)] for x, kind in (("owner", np.uint16), ("low", np.uint32), ("high", np.uint8))}
-    rows = np.repeat(np.arange(len(group), dtype=np.uint32), [len(x) for x in columns["owner"]])
-    owner = np.concatenate(columns["owner"])
-    tokens = np.concatenate(columns["low"]) | np.concatenate(columns["high"]).astype(np.uint64) << np.uint64(32)
-    order = np.argsort(tokens, kind="stable")
-    ordered = tokens[order]
-    edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
-    count = np.diff(np.append(edges, len(ordered)))
-    each = np.zeros(len(tokens), np.uint32)
-    each[order] = np.repeat(count, count)
+    columns = {x: [np.frombuffer(v.as_py(), kind) for v in group.column(x)] for x, kind in (("owner", np.uint16), ("low", np.uint32), ("high", np.uint8), ("heavy", _HEAVY))}
+    rows, heavy_rows = (np.repeat(np.arange(len(group), dtype=np.uint32), [len(x) for x in columns[c]]) for c in ("owner", "heavy"))
+    owner, heavy = np.concatenate(columns["owner"]), np.concatenate(columns["heavy"])
+    tokens = np.concatenate(columns["low"]) | np.concatenate(columns["high"]).astype(np.uint64) << np.uint64(32) | np.uint64(part) << np.uint64(40)
+    every = np.concatenate((tokens, heavy["token"]))
+    order = np.argsort(every, kind="stable")
+    firsts, number = _runs(every[order])
+    holders = np.concatenate((np.ones(len(tokens), np.int64), heavy["count"]))[order]
+    total = np.add.reduceat(holders, firsts) if len(firsts) else holders
+    each = np.zeros(len(every), np.uint32)
+    each[order] = np.repeat(np.minimum(total, (1 << 32) - 1), number)
+    heavy = heavy.copy()
+    heavy["count"], each = each[len(tokens) :], each[: len(tokens)]
     kept = each > 1
-    tokens, owner, rows, each = tokens[kept] | np.uint64(part) << np.uint64(40), owner[kept], rows[kept], each[kept]
-    edges = np.searchsorted(rows, np.arange(len(group) + 1)).tolist()
-    cut = [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    tokens, owner, rows, each = tokens[kept], owner[kept], rows[kept], each[kept]
+    edges, heavy_edges = (np.searchsorted(x, np.arange(len(group) + 1)).tolist() for x in (rows, heavy_rows))
+    cut, heavy_cut = ([slice(a, b) for a, b in zip(e[:-1], e[1:], strict=True)] for e in (edges, heavy_edges))
     packed = {x: pa.array([v[c].tobytes() for c in cut], pa.binary()) for x, v in (("owner", owner), ("tokens", tokens), ("counts", each))}
-    out = pa.table({"batch": group.column("batch"), "content": group.column("content"), **packed, "classes": group.column("classes"), "sizes": group.column("sizes")})
-    return out.filter(pa.array([a < b or c for a, b, c in zip(edges[:-1], edges[1:], group.column("classes").is_valid().to_pylist(), strict=True)]))
+    packed["heavy"] = pa.array([heavy[c].tobytes() for c in heavy_cut], pa.binary())
+    out = pa.table({"batch": group.column("batch"), "content": group.column("content"), **packed, **{x: group.column(x) for x in ("classes", "sizes", "held", "held_by")}})
+    some = [c.start < c.stop or h.start < h.stop for c, h in zip(cut, heavy_cut, strict=True)]
+    return out.filter(pa.array([x or c for x, c in zip(some, group.column("classes").is_valid().to_pylist(), strict=True)]))
+
+
+def _in_classes(tokens: np.ndarray, groups: int) -> np.ndarray:
+    """Keys of all pairs of these shingles that fall into one of the token classes."""
+    group = (scramble(tokens + np.uint64(99)) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort((tokens, group))
+    tokens, group = tokens[order], group[order]
+    found, apart = [], 1
+    while apart < len(tokens) and (same := group[apart:] == group[:-apart]).any():
+        found.append(scramble(tokens[:-apart][same] * np.uint64(3) + scramble(tokens[apart:][same])))
+        apart += 1
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int) -> np.ndarray:
     """The index keys of a set of n shingles, of which tokens are those that other sets have too."""
     order = np.lexsort((tokens, counts))
     tokens, counts = tokens[order], counts[order]
-    least, alone, found = -(-percent * n // 100), n - len(tokens), []
+    alone = n - len(tokens)
+    prefix, found = n - -(-percent * n // 100) - alone, []
     if n <= SMALL:
-        found.append(scramble(tokens[: max(0, n - least + 1 - alone)] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-    if n > OVERLAP:
-        head = slice(0, max(0, n - least + 1 + GROUPS - alone))
-        tokens, rare = tokens[head], counts[head] <= RARE
-        found.append(tokens[rare])
-        frequent = np.sort(tokens[~rare])
-        group = scramble(frequent + np.uint64(99)) % np.uint64(GROUPS)
-        for g in range(GROUPS):
-            own = frequent[group == g]
-            if len(own) > 1:
-                a, b = np.triu_indices(len(own), 1)
-                found.append(scramble(own[a] * np.uint64(3) + scramble(own[b])))
+        found.append(scramble(tokens[: max(0, prefix + 1)] ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    least, groups = SMALL, GROUPS  # a level: sizes over least, up to four times that, and those that could link with them
+    while 100 * n >= percent * (least + 1):
+        if n <= 4 * least:
+            head = slice(0, max(0, prefix + 1 + groups))
+            rare = counts[head] <= RARE
+            found += [tokens[head][rare], _in_classes(tokens[head][~rare], groups)]
+        least, groups = 4 * least, 4 * groups
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
@@ -183,6 +233,12 @@ def _candidates(percent: int):
         joined = lambda x, kind: np.concatenate([np.frombuffer(v, kind) for v in group.column(x).to_pylist() if v is not None])
         classes, sizes = joined("classes", np.int64), joined("sizes", np.uint32).astype(np.int64)
         owner, tokens, counts = joined("owner", np.uint16), joined("tokens", np.uint64), joined("counts", np.uint32)
+        held, total = joined("held", _HEAVY), joined("heavy", _HEAVY)
+        total = total["count"][np.argsort(total["token"])]  # held is in that order
+        if len(total) != len(held):
+            raise RuntimeError("a batch of documents was dealt twice with different rows: give jaccard_join a stored table")
+        owner = np.concatenate((owner, joined("held_by", np.uint16)))
+        tokens, counts = np.concatenate((tokens, np.repeat(held["token"], held["count"]))), np.concatenate((counts, np.repeat(total, held["count"])))
         order = np.argsort(owner, kind="stable")
         owner, tokens, counts = owner[order], tokens[order], counts[order]
         edges = np.searchsorted(owner, np.arange(len(classes) + 1))
@@ -217,12 +273,16 @@ def _index(percent: int):
     return run
 
 
+_NAME = "struct<named: int, first: bigint, class_id: bigint>"
+
+
 def _verify(percent: int):
     """Also, as BITS bits, which of the first set's shingles the second misses, and how many of those share a bit with another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n, m, s, t = (batch.column(k) for k in ("a", "b", "n_a", "n_b", "tokens_a", "tokens_b"))
+            names = [batch.column(k) for k in ("a", "b", "name_a", "name_b")]
+            n, m, s, t = (batch.column(k) for k in ("n_a", "n_b", "tokens_a", "tokens_b"))
             linked, common, double = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             missing = np.zeros((len(batch), BITS), bool)
             for k, (size, other) in enumerate(zip(n.to_pylist(), m.to_pylist(), strict=True)):
@@ -236,16 +296,16 @@ def _verify(percent: int):
                 double[k] = absent.sum() - missing[k].sum()
             words = np.packbits(missing, axis=1).view(np.int64)
             bits = pa.ListArray.from_arrays(np.arange(0, words.size + 1, BITS // 64, dtype=np.int32), words.ravel())
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked), pa.array(common), bits, pa.array(double)], ["a", "b", "linked", "common", "missing", "double"])
+            yield pa.RecordBatch.from_arrays([*names, pa.array(linked), pa.array(common), bits, pa.array(double)], ["a", "b", "name_a", "name_b", "linked", "common", "missing", "double"])
 
     return run
 
 
 def _verified(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b): distinct; the result also says whether they link, and what a and b have and haven't in common."""
-    side = lambda x: index.select(F.col("class_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    side = lambda x: index.select(F.col("class_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"), F.col("name").alias(f"name_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(_verify(percent), "a long, b long, linked boolean, common long, missing array<bigint>, double long")
+    return both.mapInArrow(_verify(percent), f"a long, b long, name_a {_NAME}, name_b {_NAME}, linked boolean, common long, missing array<bigint>, double long")
 
 
 def _possible(n: str, shared: str, m: str, other: str, percent: int):
@@ -253,55 +313,80 @@ def _possible(n: str, shared: str, m: str, other: str, percent: int):
     return (100 + percent) * F.least(shared, other) >= percent * (F.col(n) + F.col(m))
 
 
-def class_components(docs: DataFrame, total: int, length: int = 5, percent: int = 75) -> DataFrame:
-    """(class_id, component): the classes that link with others. total: shingles in all sets."""
+def _band(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / math.log(BAND)).cast("int")
+
+
+def _across(part: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each entry, pairs of different components that could link. part: an entry's members without its centre.
+
+    The larger of two sets looks for the smaller one in the bands of sizes that could link with it: no smaller than
+    percent of its own, and together with it no larger than its shared shingles allow. What u and v have in common is
+    in the centre h (all of h but what u or v misses; BITS bits bound how much they miss together), or outside of h.
+    """
+    large, blocks = part.withColumn("low", F.ceil(F.col("n") * percent / 100)), F.ceil(F.col("members") / BLOCK).cast("int")
+    large = large.withColumn("high", F.least("n", F.floor((100 + percent) * F.col("s") / percent) - F.col("n"))).filter("low <= high")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
+    small = part.select(
+        "key", F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("salt"), _band(F.col("n")).alias("band"), F.col("class_id").alias("b"),
+        *(F.col(c).alias(f"{c}_b") for c in ("n", "s", "component", "common", "missing", "double")),
+    )
+    together = sum((F.bit_count(F.get("missing", F.lit(k)).bitwiseAND(F.get("missing_b", F.lit(k)))) for k in range(BITS // 64)), F.least("double", "double_b"))
+    within = F.col("common") + F.col("common_b") - F.col("s_a") + F.least(together, F.col("s_a") - F.col("common"), F.col("s_a") - F.col("common_b"))
+    most = within + F.least(F.col("s") - F.col("common"), F.col("s_b") - F.col("common_b"))
+    near = F.coalesce((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")), F.lit(True))
+    ordered = (F.col("n") > F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("class_id") < F.col("b"))
+    met = large.join(small, ["key", "band", "salt"]).filter(ordered & (F.col("component") != F.col("component_b")) & _possible("n", "s", "n_b", "s_b", percent) & near)
+    return met.select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
+
+
+def class_components(docs: DataFrame, classes: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
+    """(node, component): the classes that link with others, as (named, first, class_id). classes: (class_id, n, name)."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // RANGE))
-    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), "part int, batch long, content long, owner binary, low binary, high binary, classes binary, sizes binary")
-    back = dealt.groupBy("part").applyInArrow(_shared, "batch long, content long, owner binary, tokens binary, counts binary, classes binary, sizes binary")
+    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), _DEALT)
+    back = dealt.groupBy("part").applyInArrow(_shared, _SHARED)
     rows = back.groupBy("batch").applyInArrow(_candidates(percent), "class_id long, n long, tokens binary, counts binary")
     once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "tokens", "counts")), F.count("*").alias("holders"))
-    index = stored(once.mapInArrow(_index(percent), "class_id long, n long, s long, central double, tokens binary, keys array<long>"), "jaccard-index")
+    index = once.mapInArrow(_index(percent), "class_id long, n long, s long, central double, tokens binary, keys array<long>").join(classes.select("class_id", "name"), "class_id")
+    index = stored(index, "jaccard-index")
     entries = index.select("class_id", "n", "s", "central", F.explode("keys").alias("key"))
-    centres = entries.groupBy("key").agg(F.max(F.struct("central", "class_id", "n", "s")).alias("centre"), F.count("*").alias("size")).filter("size > 1").select("key", F.col("centre.class_id").alias("a"), F.col("centre.n").alias("n_a"), F.col("centre.s").alias("s_a"))
+    centres = entries.groupBy("key").agg(F.max(F.struct("central", "class_id", "n", "s")).alias("centre"), F.count("*").alias("members")).filter("members > 1")
+    centres = centres.select("key", F.col("centre.class_id").alias("a"), F.col("centre.n").alias("n_a"), F.col("centre.s").alias("s_a"), "members")
     entries = stored(entries.drop("central").join(centres, "key"), "jaccard-entries")
     stars = entries.filter(F.col("class_id") != F.col("a")).filter(_possible("n", "s", "n_a", "s_a", percent)).select("a", F.col("class_id").alias("b")).distinct()
     tested = stored(_verified(stars, index, percent), "jaccard-stars")
-    links = tested.filter("linked").select("a", "b")
-    found = connected_components(links).withColumnRenamed("node", "class_id")
-    # What is still apart within an entry: pairs across its components. Let h be the entry's centre. What u and v have in
-    # common is in h (all of h but what u or v misses; BITS bits bound how much they miss together), or outside of h.
+    links = tested.filter("linked")
+    found = connected_components(links.select("a", "b")).withColumnRenamed("node", "class_id")
+    # What is still apart within an entry: pairs across its components. The centre has met all that could link with it.
     part = entries.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
     held = tested.select("a", F.col("b").alias("class_id"), "common", "missing", "double")
-    part = part.filter(F.col("class_id") != F.col("a")).join(mixed, "key", "left_semi").join(held, ["a", "class_id"], "left")
-    part = stored(part, "jaccard-rest")
-    other = part.select("key", F.col("class_id").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"), F.col("component").alias("other"), F.col("common").alias("common_b"), F.col("missing").alias("missing_b"), F.col("double").alias("double_b"))
-    together = sum((F.bit_count(F.get("missing", F.lit(k)).bitwiseAND(F.get("missing_b", F.lit(k)))) for k in range(BITS // 64)), F.least("double", "double_b"))
-    within = F.col("common") + F.col("common_b") - F.col("s_a") + F.least(together, F.col("s_a") - F.col("common"), F.col("s_a") - F.col("common_b"))
-    most = within + F.least(F.col("s") - F.col("common"), F.col("s_b") - F.col("common_b"))
-    near = F.coalesce((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")), F.lit(True))
-    across = (F.col("component") < F.col("other")) & _possible("n", "s", "n_b", "s_b", percent) & near
-    # The centre itself has been tested against all members that could link with it.
-    rest = part.join(other, "key").filter(across).select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
-    rest = rest.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stored(_verified(rest, index, percent).filter("linked").select("a", "b"), "jaccard-links")
-    return connected_components(links.unionByName(more)).select(F.col("node").alias("class_id"), "component")
+    part = stored(part.filter(F.col("class_id") != F.col("a")).join(mixed, "key", "left_semi").join(held, ["a", "class_id"], "left"), "jaccard-rest")
+    rest = _across(part, percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    more = _verified(rest, index, percent).filter("linked")
+    ends = [F.col(f"name_{x}").alias(x) for x in "ab"]
+    all_links = stored(links.select(*ends).unionByName(more.select(*ends)), "jaccard-links")
+    discard(index, entries, tested, part)
+    return connected_components(all_links)
 
 
 def jaccard_join(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of each document."""
-    sets = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_sets(length), "doc_id long, n_shingles long, class_id long"), "jaccard-sets")
-    classes = stored(sets.filter("n_shingles > 0").groupBy("class_id").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("has_null"), F.max("n_shingles").alias("n")), "jaccard-classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    linked = stored(class_components(docs, total, length, percent), "jaccard-components")
-    placed = classes.join(linked, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    named = placed.groupBy("component").agg(F.when(~F.max("has_null"), F.min("first")).alias("component_id"))
-    names = placed.select("class_id", "component").join(named, "component").select("class_id", "component_id")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    sets = stored(docs.mapInArrow(_sets(length), "doc_id long, n_shingles long, class_id long"), "jaccard-sets")
     filled, empty = sets.filter("n_shingles > 0"), sets.filter("n_shingles = 0")
+    named, first = F.min(F.col("doc_id").isNotNull().cast("int")), F.coalesce(F.min("doc_id"), F.lit(0).cast("long"))
+    name = F.struct(named.alias("named"), first.alias("first"), F.col("class_id").alias("class_id"))
+    classes = stored(filled.groupBy("class_id").agg(F.max("n_shingles").alias("n"), name.alias("name")), "jaccard-classes")
+    linked = class_components(docs, classes, length, percent).select(F.col("node.class_id").alias("class_id"), "component")
+    component = F.coalesce("component", "name")
+    names = classes.join(linked, "class_id", "left").select("class_id", F.when(component["named"] == 1, component["first"]).alias("component_id"))
     return filled.join(names, "class_id").select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
     """The documents that are the first of their component. Rows of one doc_id are one document and stay or go together."""
-    first = jaccard_join(docs, length, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = unused("kept", docs)
+    first = jaccard_join(docs, length, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(F.col(kept)), "left_semi")

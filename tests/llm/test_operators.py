@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import best_fit_packing, components, hidden_markov, jaccard_join, line_crf, linear_grouping, minimax_shards, mtree_search, poisson_mix, pruned_graph, queries, secret_spans, warc_archive
 from loomgraph.llm import words as W
-from loomgraph.llm.common import fold
+from loomgraph.llm.common import fold, stored
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rate double, key string, score double, mix_key string"
@@ -114,8 +114,9 @@ def test_jaccard_family_around_a_hub(spark):
 
 def test_jaccard_batches_keep_their_names_in_a_rerun(spark):
     """What an executor's loss has computed again must fit what other tasks have already read."""
-    docs = documents(spark, prose(4)).repartition(3).select(F.coalesce("text", F.lit("")).alias("text")).localCheckpoint()
-    deal = lambda: docs.mapInArrow(jaccard_join._deal(5, 7), "part int, batch long, content long, owner binary, low binary, high binary, classes binary, sizes binary").collect()
+    docs = documents(spark, prose(4)).repartition(3).select(F.coalesce("text", F.lit("")).alias("text"))
+    docs = stored(docs, "t")
+    deal = lambda: docs.mapInArrow(jaccard_join._deal(5, 7), jaccard_join._DEALT).collect()
     first = deal()
     assert first == deal()
     named = [r["batch"] for r in first if r["classes"] is not None]
@@ -123,11 +124,73 @@ def test_jaccard_batches_keep_their_names_in_a_rerun(spark):
 
 
 def test_jaccard_stops_when_a_batch_is_split():
-    whole = {"batch": [1, 1], "content": [5, 6], "owner": [b"", b""], "tokens": [b"", b""], "counts": [b"", b""], "classes": [b"", None], "sizes": [b"", None]}
+    whole = {"batch": [1, 1], "content": [5, 6], "owner": [b"", b""], "tokens": [b"", b""], "counts": [b"", b""], "classes": [b"", None], "sizes": [b"", None], "heavy": [b"", b""], "held": [b"", None], "held_by": [b"", None]}
     with pytest.raises(RuntimeError, match="dealt twice"):
         jaccard_join._candidates(75)(pa.table(whole))
 
 
+def test_jaccard_ranges_get_few_entries_of_a_common_shingle(spark, monkeypatch):
+    """A passage in every text: a batch sends its shingles once, and links are those of brute force."""
+    monkeypatch.setattr(jaccard_join, "RARE", 2)
+    r = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [f"{passage} " + " ".join(f"x{r.randrange(1 << 30)}" for _ in range(r.choice((3, 9, 40, 90)))) for _ in range(120)]
+    texts += [f"{texts[k]} more" for k in range(0, 120, 7)]
+    docs = documents(spark, texts)
+    dealt = docs.coalesce(1).select("text").mapInArrow(jaccard_join._deal(5, 1), jaccard_join._DEALT).first()
+    assert len(dealt["heavy"]) // 12 >= 26 and len(dealt["owner"]) // 2 < sum(len(set(zip(*(t.split()[k:] for k in range(5))))) for t in texts) - 26 * len(texts) + 200
+    found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_join(docs.repartition(3)).collect()}
+    assert found == brute_components(texts)
+
+
+def test_jaccard_keys_grow_with_the_text_only():
+    """A set of common shingles has about as many keys as shingles, however long; linked sets of any sizes share one."""
+    r = np.random.default_rng(3)
+    for n in (30, 100, 400, 5_000, 60_000, 200_000):
+        tokens = np.unique(r.integers(0, 1 << 62, n).astype(np.uint64))
+        assert len(jaccard_join.signatures(tokens, np.full(len(tokens), 20, np.uint32), len(tokens), 75)) < 3 * n
+    for n in (*range(5, 40), *range(60, 130, 7), 380, 390, 1500, 1600):
+        for more in {0, 1, n // 6, n // 3}:
+            tokens = np.unique(r.integers(0, 1 << 62, n + more).astype(np.uint64))
+            counts = r.integers(2, 40, len(tokens)).astype(np.uint32)
+            some = np.sort(r.permutation(len(tokens))[:n])
+            if 100 * n >= 75 * len(tokens):
+                a, b = (jaccard_join.signatures(x, c, len(x), 75) for x, c in ((tokens, counts), (tokens[some], counts[some])))
+                assert len(np.intersect1d(a, b))
+
+
+def test_jaccard_very_long_texts(spark):
+    """A passage of 200,000 words that 20 documents share, each with its own end."""
+    r = np.random.default_rng(6)
+    passage = " ".join(map(str, r.integers(0, 1 << 40, 200_000)))
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage), F.lit(" end"), F.col("id").cast("string")).alias("text"))
+    assert {(x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_join(docs).collect()} == {(199_997, 0)}
+
+
+def test_jaccard_one_template_with_own_parts(spark, monkeypatch):
+    """Texts that share an index entry but do not link: only sizes that could link meet, over several salts."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "RARE", 2)
+    r = random.Random(9)
+    body = " ".join(f"b{k}" for k in range(84))
+    texts = [f"{body} " + " ".join(f"o{r.randrange(1 << 40)}" for _ in range(k % 34)) for k in range(100)]
+    found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_join(documents(spark, texts)).collect()}
+    assert found == brute_components(texts)
+
+
+def test_jaccard_odd_rows(spark):
+    """Null ids, repeated ids and rows, ids as text, columns with the names that the operator uses itself."""
+    long = " ".join(f"w{k}" for k in range(50))
+    rows = [(7, long), (None, f"{long} x"), (3, None), (3, ""), (5, "a b"), (5, "a b"), (9, "a  B"), (2, "c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.select("*", *(F.lit(k).alias(c) for k, c in enumerate(("kept", "_kept", "class_id", "component", "n_shingles"))))
+    found = sorted(map(tuple, jaccard_join.jaccard_join(docs).collect()), key=str)
+    assert found == sorted([(7, 46, None), (None, 47, None), (3, 0, 3), (3, 0, 3), (5, 1, 5), (5, 1, 5), (9, 1, 5), (2, 2, 2)], key=str)
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"] or "", r["kept"], r["_kept"]) for r in kept.collect()) == sorted([(0, f"{long} x", 0, 1), (3, "", 0, 1), (3, "", 0, 1), (5, "a b", 0, 1), (5, "a b", 0, 1), (2, "c d e f g h", 0, 1)])
+    assert sorted(map(tuple, jaccard_join.jaccard_join(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).collect()), key=str) == found
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_join(documents(spark, []).limit(0)).collect() == []
     assert jaccard_join.jaccard_join(documents(spark, ["", None])).count() == 2
