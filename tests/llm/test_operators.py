@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import best_fit_packing, components, hidden_markov, jaccard_join, line_crf, linear_grouping, minimax_shards, mtree_search, poisson_mix, pruned_graph, queries, secret_spans, warc_archive
 from loomgraph.llm import words as W
 from loomgraph.llm.common import fold, stored
+from loomgraph.llm.vectors import as_binary
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rate double, key string, score double, mix_key string"
@@ -372,7 +373,7 @@ def usable_vectors(rows, zero=True):
 def test_mtree(spark, monkeypatch):
     monkeypatch.setattr(mtree_search, "SHARD", 150)
     monkeypatch.setattr(mtree_search, "PAGE", 9)
-    monkeypatch.setattr(mtree_search, "BLOCK", 4)
+    monkeypatch.setattr(mtree_search, "QUERIES", 4)
     rows, table = vectors(spark)
     whole = {i: np.floor(256 * v) for i, v in usable_vectors(rows).items()}
     found = collections.defaultdict(list)
@@ -387,9 +388,21 @@ def test_mtree(spark, monkeypatch):
 def test_mtree_skips_computations():
     r = np.random.default_rng(3)
     points = np.floor(256 * np.concatenate([c + 0.02 * r.normal(size=(200, 4)) for c in r.normal(size=(20, 4))]))
-    tree = mtree_search.MTree(np.arange(len(points)), points, page=20)
+    tree = mtree_search.MTree.build(np.arange(len(points)), points, page=20)
     _, computed = tree.search(points[5], 5, 5)
     assert computed < len(points) / 2
+    again = mtree_search.MTree.from_table(tree.table(4, 0))
+    assert len(again.pages) > 20 and all(again.search(points[k], k, 5) == tree.search(points[k], k, 5) for k in range(0, len(points), 97))
+
+
+def test_two_vectors_of_one_id(spark):
+    """Each is a candidate, the smaller one is the query; equal rows count once."""
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [3.0, 0.0]), (2, [2.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [7.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = mtree_search.mtree_search(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, 128 * 768), (2, 128 * 512), (2, 128 * 256)]
+    found = pruned_graph.graph_search(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, 1.5), (2, 1.0), (2, 0.5)]
 
 
 def test_pruned_graph_recall(spark, monkeypatch):
@@ -408,6 +421,31 @@ def test_pruned_graph_recall(spark, monkeypatch):
     assert np.mean(hits) / 20 >= 0.9
 
 
+def test_pruned_graph_of_uneven_norms(spark):
+    """Norms over six orders of magnitude, and one vector that is far longer than all: production settings."""
+    r = np.random.default_rng(4)
+    vectors = r.normal(size=(3000, 24)) * 10.0 ** r.uniform(-3, 3, (3000, 1))
+    vectors[17] *= 1e200
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(list)
+    for x in pruned_graph.graph_search(table, F.col("vec_id") % 20 == 0).collect():
+        found[x["query_id"]].append(x["vec_id"])
+    hits = [len(set(found[q]) & set(np.argsort(-np.where(np.arange(3000) == q, -np.inf, vectors @ vectors[q]), kind="stable")[:20].tolist())) for q in range(0, 3000, 20)]
+    assert all(len(x) == 20 for x in found.values()) and np.mean(hits) / 20 >= 0.9
+
+
+def test_pruned_graph_computes_few_distances():
+    r = np.random.default_rng(5)
+    vectors = r.normal(size=(6000, 24))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    graph = pruned_graph.Graph(pruned_graph._scaled(vectors))
+    graph.distances = 0
+    found = graph.beam_search(np.column_stack((vectors[:200], np.zeros(200))).astype(np.float32), pruned_graph.BEAM)
+    exact = np.argsort(-vectors[:200] @ vectors.T, 1)[:, :20]
+    assert graph.distances / 200 < 0.4 * len(vectors)
+    assert np.mean([len(set(a[:20].tolist()) & set(b.tolist())) for a, b in zip(found, exact)]) / 20 >= 0.9
+
+
 @pytest.mark.parametrize("noise", [0.0, 1e-12, 1e-6, 1e-3])
 def test_pruned_graph_finds_copies(noise):
     """Groups of 60 equal or nearly equal vectors among others, in one shard."""
@@ -415,13 +453,11 @@ def test_pruned_graph_finds_copies(noise):
     vectors = np.concatenate((np.repeat(r.normal(size=(15, 16)), 60, axis=0), r.normal(size=(600, 16))))
     vectors = vectors + noise * r.normal(size=vectors.shape)
     ids, asked = np.arange(len(vectors)), np.arange(0, len(vectors), 12)
-    values = lambda x: pa.array([x.ravel().tolist()], pa.list_(pa.float64()))
-    blocks = [[{"query_ids": asked.tolist(), "queries": vectors[asked].ravel().tolist()}]]
-    row = pa.RecordBatch.from_arrays([pa.array([16]), pa.array([0]), pa.array([ids.tolist()]), values(vectors), pa.array(blocks)], ["dim", "shard", "ids", "values", "blocks"])
+    rows = pa.table({"vec_id": ids, "v": pa.array(vectors.tolist()), **{x: pa.array([0] * len(ids), pa.int32()) for x in ("dim", "band", "shard")}})
+    queries = pa.table(as_binary(asked, vectors[asked], "query_ids", "queries"))
     found = collections.defaultdict(list)
-    for batch in pruned_graph._search(20)(iter([row])):
-        for x in batch.to_pylist():
-            found[x["query_id"]].append(x)
+    for x in pruned_graph._search(20)(pruned_graph._build(20)(rows), queries).to_pylist():
+        found[x["query_id"]].append(x)
     hits = []
     for q in asked.tolist():
         assert len(found[q]) == 20 and q not in {x["vec_id"] for x in found[q]}
