@@ -10,19 +10,20 @@ anywhere: counts of all words are gathered over all training documents by an exc
 1. Each slice of documents becomes a block: local word numbers, and the block's distinct words with their counts,
    dealt out by ranges of the hash. A range's task sums the counts and returns each block its words' totals.
 2. Blocks turn into sequences of symbols (two bytes a token), with what doesn't depend on states summed per document.
-3. Every round, all blocks' training sequences give expected counts, in windows of WINDOW tokens (a window inside a
-   text starts from the states' shares); they are summed over the partitions in two levels and make the next model.
+3. Every round, all blocks' training sequences give expected counts by forward-backward over each whole text; they are
+   summed over the partitions in two levels and make the next model. Forward messages of more than ROWS tokens are kept
+   at checkpoints only and computed again from there, so memory is bounded at any length of text.
 4. The scaled forward recursion runs over each whole text.
 
 Words are told apart by 64-bit hashes. A null text is an empty text: the end alone. Without training documents
 nothing is known, and every token has the probability 1 of the single unknown word. Repeated rows count and score
-like any other; a null doc_id is the text "" to the fold. An empty table gives an empty result; extra columns don't matter.
+like any other; a null doc_id is the text "" to the fold. doc_id is a number, or text that holds one. Of equally frequent
+words the smaller hash is a symbol of its own. An empty table gives an empty result; extra columns don't matter.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import stored, text_or_empty
 from .words import scramble, slices, text_bytes, words
 
-STATES, FREQUENT, CLASSES, ROUNDS, WINDOW = 8, 4096, 1024, 6, 256
+STATES, FREQUENT, CLASSES, ROUNDS = 8, 4096, 1024, 6
+#: Tokens whose forward and backward messages are held at a time, and steps between two scalings.
+ROWS, SCALED = 400_000, 8
+#: Tokens of texts that advance together: the steps of a few long ones are then shared by many texts.
+TOGETHER = 4_000_000
 #: Distinct words of blocks in one range of the exchange.
 RANGE = 1_500_000
 END = np.uint64(0x0D15EA5E0D15EA5E)
@@ -80,13 +85,12 @@ class Lexicon:
 @dataclass(frozen=True)
 class Model:
     start: np.ndarray
-    inner: np.ndarray  # where a window inside a text starts
     move: np.ndarray
     emit: np.ndarray  # symbol x state
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for name, batch in enumerate(slices(batches, "text"), TaskContext.get().partitionId() << 32):
         data, offsets = text_bytes(batch.column("text"))
         hashes, starts, ends, before = words(data, offsets)
         tail = np.zeros(len(hashes), np.uint64)
@@ -99,7 +103,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = np.array(batch.column("train").to_pylist(), bool)
         known, first, local = np.unique(hashes, return_index=True, return_inverse=True)
         count = np.bincount(local[np.repeat(train, lengths)], minlength=len(known))
-        row = [[uuid.uuid4().hex], [batch.column("doc_id").to_pylist()], [train.tobytes()], [lengths.tobytes()], [pack_numbers(local)], [known.tobytes()], [suffix[first].astype(np.uint16).tobytes()], [count.astype(np.uint32).tobytes()]]
+        row = [[name], [batch.column("doc_id").to_pylist()], [train.tobytes()], [lengths.tobytes()], [pack_numbers(local)], [known.tobytes()], [suffix[first].astype(np.uint16).tobytes()], [count.astype(np.uint32).tobytes()]]
         yield pa.RecordBatch.from_arrays([pa.array(row[0]), pa.array(row[1], pa.list_(pa.int64())), *(pa.array(x, pa.binary()) for x in row[2:])], ["block", "doc_ids", "train", "lengths", "local", "words", "suffix", "counts"])
 
 
@@ -113,7 +117,7 @@ def _deal(ranges: int):
                 full = [k for k in range(ranges) if edges[k] < edges[k + 1]]
                 cut = [slice(edges[k], edges[k + 1]) for k in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.string()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (known, suffix, count))],
+                    [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (known, suffix, count))],
                     ["part", "block", "words", "suffix", "counts"],
                 )
 
@@ -137,7 +141,7 @@ def _totals(group: pa.Table) -> pa.Table:
     return pa.table(
         {
             "part": pa.array([part] * (n + 1), pa.int32()),
-            "block": pa.array([*group.column("block").to_pylist(), None], pa.string()),
+            "block": pa.array([*group.column("block").to_pylist(), None], pa.int64()),
             "totals": pa.array([*own, total[top].tobytes()], pa.binary()),
             "words": pa.array([*[None] * n, known[top].tobytes()], pa.binary()),
             "suffix": pa.array([*[None] * n, suffix[top].tobytes()], pa.binary()),
@@ -204,64 +208,97 @@ def _encode(lexicon):
     return run
 
 
-def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Expected starts (of texts, of inner windows), moves and emissions of these sequences, by scaled forward-backward."""
+def expected_counts(model: Model, symbols: np.ndarray, lengths: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, ...]:
+    """Expected starts, moves and emissions of these sequences, by scaled forward-backward over each whole sequence.
+
+    All sequences advance together, the longest first, so those that are not over yet are the first ones. Messages are
+    known up to a factor each (emissions are divided by their symbol's mean), which goes where shares are made. Only
+    `rows` tokens' messages are held at a time; forward messages before them are made again from the last checkpoint.
+    """
     states, kinds = len(model.start), len(model.emit)
-    number = -(-lengths // window)
-    owner = np.repeat(np.arange(len(lengths)), number)
-    k = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-    starts = (np.cumsum(lengths) - lengths)[owner] + k * window
-    size = np.minimum(lengths[owner] - k * window, window)
-    order = np.argsort(-size, kind="stable")
-    starts, size, head = starts[order], size[order], k[order] == 0
-    move, emit = model.move.astype(np.float32), model.emit.astype(np.float32)
-    longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(longest + 1), "left")
-    seen, alphas = [], []
-    alpha = np.where(head[:, None], model.start, model.inner).astype(np.float32)
-    for t in range(longest):
-        n = active[t]
-        e = emit[symbols[starts[:n] + t]]
-        alpha = (alpha if t == 0 else alpha[:n] @ move) * e
-        alpha /= alpha.sum(1, keepdims=True)
-        seen.append(e)
-        alphas.append(alpha)
-    moves, uses = np.zeros((states, states)), np.zeros((kinds, states))
-    beta = np.ones((0, states), np.float32)
-    places, shares = [], []
-    for t in range(longest - 1, -1, -1):
-        n, more = active[t], active[t + 1]
-        full = np.ones((n, states), np.float32)
-        if more:
-            ahead = seen[t + 1] * beta
-            got = ahead @ move.T
-            scale = (alphas[t][:more] * got).sum(1, keepdims=True)
-            moves += (alphas[t][:more] / scale).T @ ahead
-            full[:more] = got / scale
-        beta = full
-        share = alphas[t] * beta
-        share /= share.sum(1, keepdims=True)
-        places.append(symbols[starts[:n] + t])
-        shares.append(share)
-        if t == 0:
-            first, inner = share[head].sum(0), share[~head].sum(0)
-    if not longest:
-        return np.zeros(states), np.zeros(states), moves, uses
-    at, got = np.concatenate(places), np.concatenate(shares)
-    for s in range(states):
-        uses[:, s] = np.bincount(at, got[:, s], kinds)
-    return first, inner, moves * model.move, uses
+    emit = model.emit / model.emit.mean(1, keepdims=True)
+    order = np.argsort(-lengths, kind="stable")
+    starts, longest = (np.cumsum(lengths) - lengths)[order], int(lengths.max(initial=0))
+    active = np.searchsorted(-lengths[order], -np.arange(longest + 1), "left")
+    before = np.concatenate(([0], np.cumsum(active)))
+    cuts = [0]
+    while cuts[-1] < longest:
+        cuts.append(min(longest, max(cuts[-1] + 1, int(np.searchsorted(before, before[cuts[-1]] + rows, "right")) - 1)))
+
+    def forward(a: int, b: int, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, emissions and forward messages from step a to b, one step after the other."""
+        at = np.arange(before[b] - before[a]) - np.repeat(before[a:b] - before[a], active[a:b])
+        found = symbols[starts[at] + np.repeat(np.arange(a, b), active[a:b])]
+        seen = emit[found]
+        alphas = np.empty_like(seen)
+        for t in range(a, b):
+            low, n = before[t] - before[a], active[t]
+            now = alphas[low : low + n]
+            if t:
+                np.matmul(last[:n], model.move, out=now)
+            else:
+                now[:] = model.start
+            now *= seen[low : low + n]
+            if t % SCALED == 0:
+                now /= now.sum(1, keepdims=True)
+            last = now
+        return found, seen, alphas
+
+    checkpoints: list[np.ndarray | None] = [None]
+    for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+        alphas = forward(a, b, checkpoints[-1])[2]
+        checkpoints.append(alphas[before[b - 1] - before[a] :].copy())
+    first, moves, uses = np.zeros(states), np.zeros((states, states)), np.zeros((kinds, states))
+    ahead = np.empty((0, states))  # what the emission and the backward message of the next step are together
+    back = np.ascontiguousarray(model.move.T)
+    for a, b in zip(cuts[-2::-1], cuts[:0:-1], strict=True):
+        found, seen, alphas = forward(a, b, checkpoints.pop())
+        betas = np.ones_like(seen)
+        later = ahead
+        for t in range(b - 1, a - 1, -1):
+            low, n, more = before[t] - before[a], active[t], active[t + 1]
+            now = betas[low : low + n]
+            if more:
+                np.matmul(later, back, out=now[:more])
+                if t % SCALED == 0:
+                    now[:more] /= now[:more].sum(1, keepdims=True)
+            seen[low : low + n] *= now
+            later = seen[low : low + n]
+        shares = alphas * betas
+        shares /= shares.sum(1, keepdims=True)
+        for s in range(states):
+            uses[:, s] += np.bincount(found, shares[:, s], kinds)
+        if a == 0:
+            first = shares[: active[0]].sum(0)
+        # A step and the one behind it: rows of a text that goes on, in the same order as the rows of the steps behind.
+        goes_on = np.arange(len(seen)) - np.repeat(before[a:b] - before[a], active[a:b]) < np.repeat(active[a + 1 : b + 1], active[a:b])
+        behind = np.concatenate((seen[active[a] :], ahead))
+        here = alphas[goes_on]
+        here /= (here * (behind @ back)).sum(1, keepdims=True)
+        moves += here.T @ behind
+        ahead = later.copy()
+    return first, moves * model.move, uses
 
 
 def _count(model, states: int, kinds: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * states + states * states + kinds * states)
+        total = np.zeros(states + states * states + kinds * states)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def count() -> None:
+            own, lengths = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            total[:] += np.concatenate([x.ravel() for x in expected_counts(model.value, own, lengths)])
+            waiting.clear()
+
         for batch in batches:
             for symbols, lengths, train in zip(*(batch.column(x).to_pylist() for x in ("symbols", "lengths", "train")), strict=True):
-                symbols, lengths, train = np.frombuffer(symbols, np.uint16), np.frombuffer(lengths, np.int64), np.frombuffer(train, bool)
+                lengths, train = np.frombuffer(lengths, np.int64), np.frombuffer(train, bool)
                 if train.any():
-                    own = symbols[np.repeat(train, lengths)]
-                    total += np.concatenate([x.ravel() for x in expected_counts(model.value, own, lengths[train])])
+                    waiting.append((np.frombuffer(symbols, np.uint16)[np.repeat(train, lengths)], lengths[train]))
+                    if sum(len(x) for x, _ in waiting) >= TOGETHER:
+                        count()
+        if waiting:
+            count()
         if total.any():
             parts = np.array_split(total, SLICES)
             group = TaskContext.get().partitionId() % groups
@@ -282,17 +319,16 @@ def first_model(lexicon: Lexicon, states: int, seed: int = 5) -> Model:
     move = np.full((states, states), 0.1 / max(1, states - 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
     even = np.full(states, 1 / states)
-    return Model(even, even, move, emit / emit.sum(0))
+    return Model(even, move, emit / emit.sum(0))
 
 
 def next_model(total: np.ndarray, lexicon: Lexicon, states: int) -> Model:
     kinds = len(lexicon.counts)
-    first, inner, move, emit = np.split(total, np.cumsum([states, states, states * states]))
+    first, move, emit = np.split(total, np.cumsum([states, states * states]))
     share = (lexicon.counts + 0.5) / (lexicon.counts + 0.5).sum()
     emit = emit.reshape(kinds, states) + 10 * share[:, None]
     move = move.reshape(states, states) + 0.1
-    used = emit.sum(0)
-    return Model((first + 0.1) / (first + 0.1).sum(), used / used.sum(), move / move.sum(1, keepdims=True), emit / used)
+    return Model((first + 0.1) / (first + 0.1).sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def train(encoded: DataFrame, lexicon: Lexicon, states: int = STATES, rounds: int = ROUNDS) -> Model:
@@ -360,11 +396,11 @@ def score_documents(docs: DataFrame, training: Column, states: int = STATES, rou
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document; training: which ones to learn from."""
     spark = docs.sparkSession
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    blocks = stored(columns.mapInArrow(_blocks, "block string, doc_ids array<bigint>, train binary, lengths binary, local binary, words binary, suffix binary, counts binary"), "hmm-blocks")
+    blocks = stored(columns.mapInArrow(_blocks, "block long, doc_ids array<bigint>, train binary, lengths binary, local binary, words binary, suffix binary, counts binary"), "hmm-blocks")
     distinct = blocks.agg(F.sum(F.octet_length("counts"))).first()[0] or 0
     ranges = max(1, -(-distinct // (4 * RANGE)))
-    dealt = blocks.select("block", "words", "suffix", "counts").mapInArrow(_deal(ranges), "part int, block string, words binary, suffix binary, counts binary")
-    totals = stored(dealt.groupBy("part").applyInArrow(_totals, "part int, block string, totals binary, words binary, suffix binary, classes binary"), "hmm-totals")
+    dealt = blocks.select("block", "words", "suffix", "counts").mapInArrow(_deal(ranges), "part int, block long, words binary, suffix binary, counts binary")
+    totals = stored(dealt.groupBy("part").applyInArrow(_totals, "part int, block long, totals binary, words binary, suffix binary, classes binary"), "hmm-totals")
     lexicon = _lexicon(totals)
     sent = spark.sparkContext.broadcast(lexicon)  # of a fixed size
     parts = totals.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "totals")).alias("parts"))

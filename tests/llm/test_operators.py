@@ -240,7 +240,7 @@ def test_packed_numbers(top):
 def test_forward_is_the_sum_over_paths():
     r = np.random.default_rng(1)
     share = lambda *shape: (x := r.random(shape)) / x.sum(-1, keepdims=True)
-    model = hidden_markov.Model(share(3), share(3), share(3, 3), share(3, 5).T)
+    model = hidden_markov.Model(share(3), share(3, 3), share(3, 5).T)
     symbols, lengths = r.integers(0, 5, 11), np.array([4, 1, 6])
     found = hidden_markov.likelihoods(model, symbols, lengths)
     at = 0
@@ -259,14 +259,90 @@ def test_baum_welch_never_lowers_the_likelihood():
     lexicon = hidden_markov.Lexicon(int(counts.sum()), 6, np.zeros(0, np.uint64), np.zeros(0, int), counts, np.ones(6, int))
     model, last = hidden_markov.first_model(lexicon, 3), -np.inf
     for _ in range(6):
-        first, _, move, emit = hidden_markov.expected_counts(model, symbols, lengths, window=100)
+        first, move, emit = hidden_markov.expected_counts(model, symbols, lengths)
         assert emit.sum() == pytest.approx(lengths.sum(), rel=1e-5)
-        model = hidden_markov.Model(first / first.sum(), model.inner, move / move.sum(1, keepdims=True), emit / emit.sum(0))
+        model = hidden_markov.Model(first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
         now = hidden_markov.likelihoods(model, symbols, lengths).sum()
         assert now >= last - 1e-4
         last = now
 
 
+def plain_counts(model, sequences):
+    """Expected starts, moves and emissions of whole sequences, by forward and backward probabilities without any scaling."""
+    states = len(model.start)
+    first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
+    for s in sequences:
+        alpha, beta = [model.start * model.emit[s[0]]], [np.ones(states)]
+        for x in s[1:]:
+            alpha.append(np.array([sum(alpha[-1][i] * model.move[i, j] for i in range(states)) * model.emit[x, j] for j in range(states)]))
+        for x in s[:0:-1]:
+            beta.insert(0, np.array([sum(model.move[i, j] * model.emit[x, j] * beta[0][j] for j in range(states)) for i in range(states)]))
+        whole = alpha[-1].sum()
+        first += alpha[0] * beta[0] / whole
+        for t, x in enumerate(s):
+            emit[x] += alpha[t] * beta[t] / whole
+            if t:
+                for i, j in itertools.product(range(states), repeat=2):
+                    move[i, j] += alpha[t - 1][i] * model.move[i, j] * model.emit[x, j] * beta[t][j] / whole
+    return first, move, emit
+
+
+@pytest.mark.parametrize("rows", [1, 7, 50, 10_000])
+def test_expected_counts_of_whole_texts(rows):
+    """With any number of checkpoints."""
+    r = np.random.default_rng(rows)
+    share = lambda *shape: (x := r.random(shape)) / x.sum(-1, keepdims=True)
+    model = hidden_markov.Model(share(3), share(3, 3), share(3, 5).T)
+    lengths = np.array([4, 1, 40, 23, 1])
+    symbols = r.integers(0, 5, lengths.sum())
+    ends = np.cumsum(lengths)
+    want = plain_counts(model, [symbols[a:b] for a, b in zip(ends - lengths, ends)])
+    for got, expected in zip(hidden_markov.expected_counts(model, symbols, lengths, rows), want, strict=True):
+        assert np.allclose(got, expected, rtol=1e-9)
+    assert all(not x.any() for x in hidden_markov.expected_counts(model, symbols[:0], lengths[:0], rows))
+
+
+@pytest.mark.parametrize("frequent", [0, 2])
+def test_markov_scores_from_texts_to_result(spark, monkeypatch, frequent):
+    """Encoding, shares within classes, training and likelihood, all over again in plain Python."""
+    monkeypatch.setattr(hidden_markov, "FREQUENT", frequent)
+    classes = hidden_markov.CLASSES
+    texts = ["the cat sat", "THE dog ran the", "a\tcat   the mat", None, "", "the the rat sat on a dog", "no no", "unknown the"]
+    train = [k != 7 for k in range(len(texts))]
+    rows = {r["doc_id"]: r for r in hidden_markov.score_documents(documents(spark, texts).repartition(3), F.col("doc_id") != 7, states=2, rounds=2).collect()}
+
+    def suffix(word):
+        if word is None:
+            return 0
+        tail, raw = 0, word.encode()
+        for k in (3, 2, 1):
+            tail = tail * 257 + (raw[-k] if k <= len(raw) else 0)
+        return int(W.scramble(np.array([tail], np.uint64))[0]) % classes
+
+    own = [[*tokens(t or ""), None] for t in texts]
+    count = collections.Counter(w for ws, known in zip(own, train) for w in ws if known)
+    top = [w for w, _ in count.most_common(frequent)]  # "the" and the end differ in number from all others
+    symbol = lambda w: classes + top.index(w) if w in top else suffix(w)
+    size, kinds = np.zeros(classes + len(top), np.int64), np.zeros(classes + len(top), np.int64)
+    for w, n in count.items():
+        size[symbol(w)] += n
+        kinds[symbol(w)] += 1
+    lexicon = hidden_markov.Lexicon(int(size.sum()), len(count), np.zeros(0, np.uint64), np.zeros(0, int), size, kinds)
+    model = hidden_markov.first_model(lexicon, 2)
+    for _ in range(2):
+        total = plain_counts(model, [[symbol(w) for w in ws] for ws, known in zip(own, train) if known])
+        model = hidden_markov.next_model(np.concatenate([x.ravel() for x in total]), lexicon, 2)
+    for k, ws in enumerate(own):
+        chance = 1.0
+        alpha = model.start
+        for t, w in enumerate(ws):
+            s = symbol(w)
+            alpha = (alpha if t == 0 else alpha @ model.move) * model.emit[s]
+            if w not in top and size[s]:
+                chance *= (count[w] - 0.5 if w in count else 0.5 * max(kinds[s], 1)) / size[s]
+        assert rows[k]["score"] == pytest.approx(math.log10(alpha.sum() * chance), rel=1e-6), texts[k]
+
+
 def test_markov_without_training(spark):
     rows = hidden_markov.score_documents(documents(spark, ["a b", None]), F.lit(False)).collect()
     assert [(r["train_tokens"], r["n_known"], r["score"]) for r in rows] == [(0, 0, 0.0)] * 2
