@@ -314,7 +314,7 @@ def test_markov_scores_from_texts_to_result(spark, monkeypatch, frequent):
     def suffix(word):
         if word is None:
             return 0
-        tail, raw = 0, word.encode()
+        tail, raw = 0, word
         for k in (3, 2, 1):
             tail = tail * 257 + (raw[-k] if k <= len(raw) else 0)
         return int(W.scramble(np.array([tail], np.uint64))[0]) % classes
