@@ -55,6 +55,8 @@ GROUPS = 3
 HEAVY = 8
 #: Shingles in one range of the exchange.
 RANGE = 500_000
+#: As many classes of exact copies, at most, are handed to every task.
+FEW = 2000
 #: Of an index entry's members, those that are paired in one task; and how much sizes in one band differ.
 BLOCK, BAND = 512, 1.05
 _PLACES = np.random.default_rng(777).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -378,11 +380,15 @@ def jaccard_join(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFra
     filled, empty = sets.filter("n_shingles > 0"), sets.filter("n_shingles = 0")
     named, first = F.min(F.col("doc_id").isNotNull().cast("int")), F.coalesce(F.min("doc_id"), F.lit(0).cast("long"))
     name = F.struct(named.alias("named"), first.alias("first"), F.col("class_id").alias("class_id"))
-    classes = stored(filled.groupBy("class_id").agg(F.max("n_shingles").alias("n"), name.alias("name")), "jaccard-classes")
+    classes = stored(filled.groupBy("class_id").agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies"), name.alias("name")), "jaccard-classes")
     linked = class_components(docs, classes, length, percent).select(F.col("node.class_id").alias("class_id"), "component")
     component = F.coalesce("component", "name")
-    names = classes.join(linked, "class_id", "left").select("class_id", F.when(component["named"] == 1, component["first"]).alias("component_id"))
-    return filled.join(names, "class_id").select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    names = stored(classes.join(linked, "class_id", "left").select("class_id", "copies", F.when(component["named"] == 1, component["first"]).alias("component_id")), "jaccard-names")
+    # A class of more than a FEW-th of all documents would be one key in one task; there are fewer than FEW such classes.
+    most = max(1000, (classes.agg(F.sum("copies")).first()[0] or 0) // FEW)
+    hot, rest = (names.filter(x).drop("copies") for x in (F.col("copies") > most, F.col("copies") <= most))
+    rows = filled.join(F.broadcast(hot), "class_id").unionByName(filled.join(F.broadcast(hot), "class_id", "left_anti").join(rest, "class_id"))
+    return rows.select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
