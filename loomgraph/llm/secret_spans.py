@@ -11,11 +11,13 @@ spans that are addresses, paths, file names or placeholders by what is in the sp
 spans of the kind entropy. Windows that overlap a span of a fixed pattern are left to it.
 
 Offsets count code points, ends are exclusive. A null text is an empty text without spans. Texts are scanned whole,
-whatever their length. Repeated rows get the same spans; an empty table gives an empty result; extra columns stay.
+whatever their length, in time that grows with it. Repeated rows get the same spans; an empty table gives an empty result;
+extra columns stay in redact_secrets and are left out by find_secrets.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -82,11 +84,16 @@ def high_windows(run: str, threshold: float) -> list[tuple[int, int]]:
     return _merged([(end - WINDOW, end) for end, entropy in _windows(run) if entropy >= threshold])
 
 
-def _high(run: str, kind: str, start: int, fixed: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Spans in the run by the threshold of its class, and those of letters and digits by that of each window's."""
+def _high(run: str, kind: str, start: int, fixed: list[tuple[int, int]], k: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans in the run by the threshold of its class, and those of letters and digits by that of each window's.
+
+    fixed: spans of the fixed patterns, in order and apart from one another; the first that may reach into the run is k.
+    """
     whole, own = [], []
     for end, entropy in _windows(run):
-        if entropy < LEAST or any(s < start + end and start + end - WINDOW < e for s, _, e in fixed):
+        while k < len(fixed) and fixed[k][1] <= start + end - WINDOW:
+            k += 1
+        if entropy < LEAST or k < len(fixed) and fixed[k][0] < start + end:
             continue
         place = (end - WINDOW, end)
         if entropy >= THRESHOLDS[kind]:
@@ -96,10 +103,10 @@ def _high(run: str, kind: str, start: int, fixed: list[tuple[int, int, int]]) ->
     return _merged(whole), _merged(own)
 
 
-def _in_address(text: str, at: int) -> bool:
-    """Whether at is behind :// without a space between."""
-    mark = text.rfind("://", 0, at)
-    return mark >= 0 and not SPACE.search(text, mark, at)
+def _in_address(text: str, marks: list[int], at: int) -> bool:
+    """Whether at is behind :// (at one of the marks) without a space between."""
+    k = bisect.bisect_right(marks, at - len("://"))
+    return k > 0 and not SPACE.search(text, marks[k - 1], at)
 
 
 def spans(text: str) -> list[tuple[int, int, int]]:
@@ -108,7 +115,9 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    fixed = list(found)
+    fixed = _merged([(a, b) for a, _, b in found])
+    ends = [b for _, b in fixed]
+    marks = [m.start() for m in re.finditer("://", text)]
     for m in CANDIDATE.finditer(text):
         run = m.group()
         if (kind := character_class(run)) is None:
@@ -116,11 +125,11 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         around = text[max(0, m.start() - 3) : m.end()]
         if "://" in around:
             continue
-        near = [x for x in fixed if x[0] < m.end() and m.start() < x[2]]
-        whole, own = _high(run, kind, m.start(), near)
+        whole, own = _high(run, kind, m.start(), fixed, bisect.bisect_right(ends, m.start()))
         good = [x for x in whole if not ALLOWED.search(run[x[0] : x[1]])]
-        rest = [x for x in own if not any(a <= x[0] and x[1] <= b for a, b in good) and not ALLOWED.search(run[x[0] : x[1]])]
-        if rest and not _in_address(text, m.start()):
+        within = lambda x: (k := bisect.bisect_right(good, (x[0], len(run)))) > 0 and x[1] <= good[k - 1][1]
+        rest = [x for x in own if not within(x) and not ALLOWED.search(run[x[0] : x[1]])]
+        if rest and not _in_address(text, marks, m.start()):
             good += rest
         found += [(a + m.start(), 3, b + m.start()) for a, b in _merged(good)]
     return sorted(found)
