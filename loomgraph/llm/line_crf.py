@@ -5,13 +5,13 @@ Every line is good or bad. A line's features are shares of its bytes and words (
 weights are fitted by maximum likelihood to documents whose label stands for each of their lines. A document's score
 is the mean, weighted by the lines' lengths, of the lines' marginals from a forward-backward pass.
 
-The fit uses a bounded sample of the labelled rows: those with the SAMPLE smallest hashes of their doc_id, of texts of
-up to SAMPLE_BYTES bytes, at most SAMPLE_LINES lines of each. Scores use every line of every text. Labels, lang,
-source and doc_id are no inputs of a score.
+The fit uses a bounded sample of the labelled rows, whole texts of up to SAMPLE_BYTES bytes and SAMPLE_LINES lines: the SAMPLE
+doc_ids with the smallest hashes, one text each (of several texts of a doc_id the smallest). Scores use every line of
+every text. Labels, lang, source and doc_id are no inputs of a score.
 
 Null and empty texts have one empty line. With no label, or labels of one kind, scores are 0.5 or that label.
 Labels other than 0 and 1 are ignored; of several labels of a doc_id the smallest counts. Repeated rows get equal
-scores. An empty table gives an empty result. Extra columns stay.
+scores. An empty table gives an empty result. Extra columns stay; one with the name of the score gives way.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from .words import slices, text_bytes, words
 
-SAMPLE, SAMPLE_BYTES, SAMPLE_LINES, STEPS = 3000, 32768, 128, 120
+SAMPLE, SAMPLE_BYTES, SAMPLE_LINES, STEPS = 3000, 32768, 256, 120
 LEVELS = (0.02, 0.08, 0.2, 0.4)
 _KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "loud": b"!?", "bar": b"|", "stop": b".,;:", "symbol": b"#$%&*+=<>@^_~{}[]\\/"}
 #: The shares, then the logarithms of the bytes in a line and in a word.
@@ -182,9 +182,8 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, _, before = line_features(batch.column("text"))
         blobs, counts = [], []
         for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-            take = features[a : min(b, a + SAMPLE_LINES)]
-            blobs.append(take.astype(np.float16).tobytes())
-            counts.append(len(take))
+            blobs.append(features[a:b].astype(np.float16).tobytes())
+            counts.append(b - a)
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())], ["quality", "lines", "features"])
 
 
@@ -193,8 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | f
     known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
     picked = picked.select(F.col("doc_id").alias("_labelled"), "quality")
-    texts = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled"))
-    rows = texts.select("quality", "text").mapInArrow(_sample, "quality int, lines int, features binary").collect()  # of `sample` rows at most, but for repeated ones
+    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    fitting = docs.select("doc_id", "text").filter((F.octet_length("text") <= SAMPLE_BYTES) & (lines <= SAMPLE_LINES))
+    texts = fitting.join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled")).groupBy("_labelled").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    rows = texts.select("quality", "text").mapInArrow(_sample, "quality int, lines int, features binary").collect()  # of `sample` rows at most
     if not rows:
         return 0.5
     y = np.array([r["quality"] for r in rows])
@@ -205,14 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | f
     return fit(with_neighbours(features, before), before, y)
 
 
-def score_documents(docs: DataFrame, model: Chain | float) -> DataFrame:
-    """The columns of docs with score (0 to 1) in place of a column of that name."""
-    docs = docs.drop("score")
+def score_documents(docs: DataFrame, model: Chain | float, score: str = "score") -> DataFrame:
+    """The columns of docs with a score (0 to 1) in place of a column of that name."""
+    docs = docs.drop(score)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            score = np.full(len(batch), model) if isinstance(model, float) else document_scores(model, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, "score"])
+            found = np.full(len(batch), model) if isinstance(model, float) else document_scores(model, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*names, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
