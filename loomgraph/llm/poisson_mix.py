@@ -3,15 +3,16 @@
 A source's rate is the number of times that each of its documents is to occur on average: target weight x epochs x
 bytes of all / bytes of the source. A document's count inverts the Poisson distribution with that mean at a uniform
 number that its doc_id and the seed fix, so a rerun, or a run over other partitions, makes the same choice. Each
-document is exploded by its count and all copies are sorted by a hash of (seed, doc_id, copy): a global shuffle.
+document is exploded by its count. Every copy has a random key, the hash of (seed, doc_id, copy); copies are dealt to
+partitions by it and sorted by it there: a global shuffle that nothing has to be sampled for.
 
 Weights are a mapping of source to share; by default the shares are the sources' bytes to the power TEMPER, so that a
 source with a third of all bytes is held back. A source without a weight gets none and its documents go.
 Rates over LIMIT are sums of independent Poisson numbers of equal rates below it, which is the same distribution.
 
 Null sources are a source of their own. Null texts have one byte, as every text has one more byte than its length.
-Repeated rows (equal doc_id) get equal counts. An empty table gives an empty result. Extra columns are kept, but for
-those named mix_source, mix_copy, mix_count or mix_key, which give way.
+Repeated rows (equal doc_id) get equal counts. An empty table gives an empty result. Extra columns are kept, whatever
+their names, but for those named mix_copy, mix_count or mix_key (or with another prefix than mix), which give way.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import stored, text_or_empty, unused
 
 TEMPER, LIMIT, SEED = 0.7, 32.0, 17
 #: Up to so many sources (about 40 numbers each) their rates are broadcast; beyond, documents are dealt by source and salt.
@@ -29,7 +30,7 @@ FEW_SOURCES, SALTS = 5_000, 64
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """(mix_source, _mix_rate, _mix_parts, _mix_cdf) for each source: its rate is that of `parts` Poisson numbers with that distribution."""
+    """(mix_source, rate, parts, cdf) for each source: its rate is that of `parts` Poisson numbers with that distribution."""
     sizes = stored(docs.groupBy(F.col("source").alias("mix_source")).agg(F.sum(F.octet_length(text_or_empty()) + 1).cast("double").alias("bytes")), "mix-sizes")
     if weights is None:
         share = F.pow("bytes", F.lit(TEMPER))
@@ -47,7 +48,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float] | None = N
         "aggregate(sequence(1, cast(mean + 12 * sqrt(mean) + 30 as int)), named_struct('p', exp(-mean), 'c', array(exp(-mean))),"
         " (s, k) -> named_struct('p', s.p * mean / k, 'c', concat(s.c, array(element_at(s.c, -1) + s.p * mean / k))), s -> s.c)"
     )
-    return rates.select("mix_source", F.col("rate").alias("_mix_rate"), F.col("parts").alias("_mix_parts"), cdf.alias("_mix_cdf"))
+    return rates.select("mix_source", "rate", "parts", cdf.alias("cdf"))
 
 
 def _draw(seed: int) -> str:
@@ -55,20 +56,22 @@ def _draw(seed: int) -> str:
     return f"cast(conv(substring(md5(concat_ws(':', '{seed}', cast(i as string), coalesce(cast(doc_id as string), ''))), 1, 13), 16, 10) as long) / {float(1 << 52)!r}D"
 
 
-def poisson_mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
-    """The columns of docs with mix_copy (from 1), mix_count and mix_key, a row for each copy, sorted by mix_key."""
-    docs = docs.drop("mix_source", "mix_copy", "mix_count", "mix_key")
-    rates = stored(source_rates(docs, weights, epochs), "mix-rates")
+def poisson_mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, epochs: float = 1.0, seed: int = SEED, prefix: str = "mix") -> DataFrame:
+    """The columns of docs with mix_copy (from 1), mix_count and mix_key, a row for each copy, in the order of a global shuffle."""
+    copy, count, key = (f"{prefix}_{x}" for x in ("copy", "count", "key"))
+    docs = docs.drop(copy, count, key)
+    source, parts, cdf, salt, row = (unused(f"_{prefix}_{x}", docs) for x in ("source", "parts", "cdf", "salt", "row"))
+    rates = stored(source_rates(docs, weights, epochs).select(F.col("mix_source").alias(source), F.col("parts").alias(parts), F.col("cdf").alias(cdf)), "mix-rates")
     if rates.count() <= FEW_SOURCES:
-        joined = docs.join(F.broadcast(rates), docs["source"].eqNullSafe(rates["mix_source"]))
+        joined = docs.join(F.broadcast(rates), docs["source"].eqNullSafe(rates[source]))
     else:
-        salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("_mix_row", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, dealt["source"].eqNullSafe(salted["mix_source"]) & (F.col("_mix_row") == F.col("_mix_salt")))
-    counted = joined.withColumn("mix_count", F.expr(f"aggregate(sequence(1, _mix_parts), 0, (n, i) -> n + size(filter(_mix_cdf, c -> c <= {_draw(seed)})))"))
-    copies = counted.filter("mix_count > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
-    key = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
-    return copies.withColumn("mix_key", key).select(*docs.columns, "mix_copy", "mix_count", "mix_key").orderBy("mix_key")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = docs.withColumn(row, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, dealt["source"].eqNullSafe(salted[source]) & (F.col(row) == F.col(salt)))
+    counted = joined.withColumn(count, F.expr(f"aggregate(sequence(1, `{parts}`), 0, (n, i) -> n + size(filter(`{cdf}`, c -> c <= {_draw(seed)})))"))
+    copies = counted.filter(F.col(count) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count))))
+    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(copy).cast("string")))
+    return copies.withColumn(key, order).select(*(f"`{c}`" for c in docs.columns), copy, count, key).repartition(key).sortWithinPartitions(key)
 
 
 ORACLE_SQL = f"""
