@@ -10,8 +10,9 @@ each piece's rank among those of its length tells its sequence and offset. Ranks
 where a cell is a range of hashes, so a length that very many documents have is spread. Pieces that fill a sequence
 take one each and need no rank.
 
-Null texts are empty: the end id alone. Repeated rows are packed each for itself. An empty table gives an empty result.
-Extra columns are ignored.
+Null texts are empty: the end id alone. Repeated rows are packed each for itself. Pieces of one length are ranked by
+doc_id, piece and ids; rows that tie in all of these are alike, so any of their orders gives the same result. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

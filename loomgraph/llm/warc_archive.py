@@ -1,8 +1,9 @@
 """Dictionary-compressed WARC archives of pages, and their reader.
 
 A writer takes records until an archive has ARCHIVE_BYTES of payload. From the archive's own records it trains a
-Zstandard dictionary, which it puts, compressed, into a skippable frame at the head of the file; each record then is a
-frame of its own, compressed with the dictionary. Archives go to the shared folder under a new name each, by a hidden
+Zstandard dictionary, which it puts, compressed, into a skippable frame at the head of the file; a warcinfo record and
+each page's record then are frames of their own, compressed with the dictionary. A revisit names the response's record,
+whose number follows from its page_id and digest. Archives go to the shared folder under a new name each, by a hidden
 name first; the table of names that the writers return is written once, so that what a lost task left is never read.
 
 Of pages with equal payloads of at least DUPLICATE_BYTES bytes, those with the largest page_id are responses, the others
@@ -17,6 +18,7 @@ are all responses. An empty table gives no archive and an empty result. Extra co
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import io
 import struct
@@ -42,15 +44,30 @@ def _digest32(digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def _record_id(page_id: int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id} {digest}')}>"
+
+
+def _record(fields: list[tuple[str, str]], block: bytes) -> bytes:
+    head = "".join(f"{k}: {v}\r\n" for k, v in (*fields, ("Content-Length", str(len(block)))))
+    return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def info_bytes(name: str, date: str) -> bytes:
+    """The warcinfo record of an archive."""
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _record(fields, b"software: loomgraph\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
     """A WARC/1.1 record; the page's number and the payload's size travel in fields of our own."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if revisit else head + payload
     name = "" if page_id is None else str(page_id)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {url} {digest}')}>"),
-        ("WARC-Date", "1970-01-01T00:00:00Z"),
+        ("WARC-Record-ID", _record_id(page_id, digest)),
+        ("WARC-Date", date),
         ("Content-Type", "application/http; msgtype=response"),
         ("WARC-Payload-Digest", _digest32(digest)),
         ("X-Payload-Length", str(len(payload))),
@@ -59,9 +76,8 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     if url is not None:
         fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page-ID", "" if refers_to is None else str(refers_to))]
-    fields.append(("Content-Length", str(len(block))))
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers_to, digest)), ("X-Refers-To-Page-ID", "" if refers_to is None else str(refers_to))]
+    return _record(fields, block)
 
 
 def archive_bytes(records: list[bytes]) -> bytes:
@@ -96,7 +112,7 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             yield fields, block
 
 
-def _write(folder: str):
+def _write(folder: str, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         waiting: list[bytes] = []
@@ -105,7 +121,7 @@ def _write(folder: str):
         def flush() -> pa.RecordBatch:
             name = f"{uuid.uuid4().hex}.warc.zst"
             with store.open_output_stream(f"{path}/.{name}", compression=None) as out:
-                out.write(archive_bytes(waiting))
+                out.write(archive_bytes([info_bytes(name, date), *waiting]))
             store.move(f"{path}/.{name}", f"{path}/{name}")
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(waiting)], pa.int64())], ["name", "records"])
 
@@ -113,7 +129,7 @@ def _write(folder: str):
         for batch in batches:
             for page_id, url, html, digest, refers_to, revisit in zip(*(batch.column(x) for x in ("page_id", "url", "html", "digest", "refers_to", "revisit")), strict=True):
                 payload = (html.as_py() or "").encode()
-                record = record_bytes(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py(), revisit.as_py())
+                record = record_bytes(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py(), revisit.as_py(), date)
                 waiting.append(record)
                 size += len(record)
                 if size >= ARCHIVE_BYTES:
@@ -132,6 +148,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch.column("content"):
             rows = []
             for fields, block in records(content.as_py()):
+                if fields["warc-type"] == "warcinfo":
+                    continue
                 payload, said = block.partition(b"\r\n\r\n")[2], base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex()
                 if fields["warc-type"] == "response":
                     size, digest = len(payload), hashlib.sha1(payload).hexdigest()
@@ -151,7 +169,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     joined = pages.join(repeated, F.col("digest") == F.col("_digest"), "left")
     revisit = F.col("_digest").isNotNull() & F.col("largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("largest"))
     rows = joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("largest")).alias("refers_to"), revisit.alias("revisit"))
-    return stored(rows.mapInArrow(_write(folder), "name string, records long"), "warc-names")
+    date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return stored(rows.mapInArrow(_write(folder, date), "name string, records long"), "warc-names")
 
 
 def read_archives(names: DataFrame, folder: str) -> DataFrame:
