@@ -122,9 +122,9 @@ def analyte_class(c: Column) -> Column:
 
 
 def effect_direction(effect: Column) -> Column:
-    """Above, below or at 1; null and NaN: unknown."""
+    """Above, below or at 1; null and NaN are neither above nor below."""
     fine = effect.isNotNull() & ~F.isnan(effect)
-    return by_rules([(~fine, "unknown"), (effect > 1, "increased"), (effect < 1, "decreased")], "no_change")
+    return by_rules([(fine & (effect > 1), "increased"), (fine & (effect < 1), "decreased")], "no_change")
 
 
 def direction(c: Column) -> Column:
@@ -198,7 +198,7 @@ def action_type(therapy: Column) -> Column:
 
 
 def without_timeline(c: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(c, r"\s*\(timeline\)\s*", "")), F.lit(""))
+    return F.nullif(F.trim(F.regexp_replace(c, r"\s*\(timeline\)\s*$", "")), F.lit(""))
 
 
 def summary(c: Column, sentences: int = 2, leading: str | None = None) -> Column:

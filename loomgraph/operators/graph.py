@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,25 +35,29 @@ def search(nodes: DataFrame, text: str, columns: Sequence[str] = ("label", "syno
     return ranked.orderBy("_rank", *([preferred.desc()] if preferred is not None else []), "id").limit(1).drop("_rank")
 
 
-def _limited(df: DataFrame, order: Sequence[str], limit: int | None) -> DataFrame:
+def _limited(df: DataFrame, order: Sequence[str], limit: int | None, keys: Sequence[str] = ()) -> DataFrame:
+    """The first `limit` rows of each group of the keys, or of all."""
     if limit is None:
         return df
-    return df.orderBy(*(F.col(c).asc_nulls_last() for c in order)).limit(limit)
+    columns = [F.col(c).asc_nulls_last() for c in order]
+    if not keys:
+        return df.orderBy(*columns).limit(limit)
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*columns))).filter(F.col("_n") <= limit).drop("_n")
 
 
 def hop(graph: Graph, type_: str, ids: DataFrame, outward: bool = True, limit: int | None = 200, order: Sequence[str] = ("label", "id")) -> DataFrame:
-    """The neighbours over one edge type of the nodes in ids (column id): anchor_id, the neighbour's columns, the edge's as edge_*."""
+    """The neighbours over one edge type of the nodes in ids (column id): anchor_id, the neighbour's columns, the edge's as edge_*; `limit` rows of each anchor."""
     source, target = ("source_id", "target_id") if outward else ("target_id", "source_id")
     label = graph.ends[type_][1 if outward else 0]
     edges = graph.edges[type_]
     more = [F.col(c).alias(f"edge_{c}") for c in edges.columns if c not in ("source_id", "target_id")]
     near = edges.select(F.col(source).alias("anchor_id"), F.col(target).alias("_other"), *more).join(ids.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi")
     found = near.join(graph.nodes[label], F.col("_other") == F.col("id")).drop("_other")
-    return _limited(found, order, limit)
+    return _limited(found, order, limit, ["anchor_id"])
 
 
 def two_patterns(graph: Graph, first: str, second: str, anchor_ids: DataFrame, limit: int | None = 300) -> DataFrame:
-    """Middle nodes with an edge `first` to an anchor and an edge `second` to another node: a row for each pair of edges."""
+    """Middle nodes with an edge `first` to an anchor and an edge `second` to another node: a row for each pair of edges, `limit` of each anchor."""
     one = graph.edges[first].select(F.col("source_id").alias("_middle"), F.col("target_id").alias("anchor_id"))
     one = one.join(anchor_ids.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi")
     two = graph.edges[second].select(F.col("source_id").alias("_middle"), F.col("target_id").alias("_far"))
@@ -61,7 +65,7 @@ def two_patterns(graph: Graph, first: str, second: str, anchor_ids: DataFrame, l
     far = graph.nodes[graph.ends[second][1]].select(F.col("id").alias("_far"), F.col("label").alias("far_label"))
     rows = one.join(two, "_middle").join(middle, "_middle").join(far, "_far")
     named = rows.select("anchor_id", F.col("_middle").alias("middle_id"), "middle_label", F.col("_far").alias("far_id"), "far_label")
-    return _limited(named, ("middle_label", "far_label", "middle_id", "far_id"), limit)
+    return _limited(named, ("middle_label", "far_label", "middle_id", "far_id"), limit, ["anchor_id"])
 
 
 def edge_scan(graph: Graph, type_: str, limit: int | None = 200) -> DataFrame:
@@ -74,24 +78,27 @@ def edge_scan(graph: Graph, type_: str, limit: int | None = 200) -> DataFrame:
 
 
 def neighbours(graph: Graph, ids: DataFrame, types: Sequence[str] | None = None, direction: str = "both", limit: int | None = 200) -> DataFrame:
-    """anchor_id, type, direction, neighbour_label, neighbour_id, properties (JSON) of all edges at the nodes in ids.
+    """anchor_id, type, direction, neighbour_label, neighbour_id, properties and edge_properties (JSON) of the edges at the nodes in ids, `limit` of each.
 
-    A self-loop is one row for 'both'. An unknown direction or type is an error.
+    A self-loop is one row for 'both'. An unknown direction or type is an error. Joins are on the keys as they are; ids become text behind them.
     """
     if direction not in ("out", "in", "both"):
         raise ValueError(f"direction must be 'out', 'in' or 'both', not {direction!r}")
-    wanted = ids.select(F.col("id").cast("string").alias("anchor_id")).distinct()
+    wanted = ids.select(F.col("id").alias("_near")).distinct()
     parts: list[DataFrame] = []
     for type_ in types or list(graph.edges):
+        more = [c for c in graph.edges[type_].columns if c not in ("source_id", "target_id")]
+        own = F.to_json(F.struct(*more)) if more else F.lit("{}")
         for way, (near, far), label in (("out", ("source_id", "target_id"), graph.ends[type_][1]), ("in", ("target_id", "source_id"), graph.ends[type_][0])):
             if direction in (way, "both"):
-                edges = graph.edges[type_].select(F.col(near).cast("string").alias("anchor_id"), F.col(far).cast("string").alias("neighbour_id")).join(wanted, "anchor_id", "left_semi")
+                edges = graph.edges[type_].select(F.col(near).alias("_near"), F.col(far).alias("_far"), own.alias("edge_properties")).join(wanted, "_near", "left_semi")
                 if way == "in" and direction == "both":
-                    edges = edges.filter("anchor_id != neighbour_id")
+                    edges = edges.filter("_near != _far")
                 nodes = graph.nodes[label]
-                props = nodes.select(F.col("id").cast("string").alias("neighbour_id"), F.col("label").alias("neighbour_label"), F.to_json(F.struct(*nodes.columns)).alias("properties"))
-                parts.append(edges.join(props, "neighbour_id").select("anchor_id", F.lit(type_).alias("type"), F.lit(way).alias("direction"), "neighbour_label", "neighbour_id", "properties"))
+                props = nodes.select(F.col("id").alias("_far"), F.col("label").alias("neighbour_label"), F.to_json(F.struct(*nodes.columns)).alias("properties"))
+                text = [F.col(c).cast("string").alias(name) for c, name in (("_near", "anchor_id"), ("_far", "neighbour_id"))]
+                parts.append(edges.join(props, "_far").select(text[0], F.lit(type_).alias("type"), F.lit(way).alias("direction"), "neighbour_label", text[1], "properties", "edge_properties"))
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    return _limited(rows, ("anchor_id", "type", "direction", "neighbour_label", "neighbour_id"), limit)
+    return _limited(rows, ("type", "direction", "neighbour_label", "neighbour_id", "edge_properties"), limit, ["anchor_id"])

@@ -46,6 +46,35 @@ def category_nodes(df: DataFrame, packed: Column, category: Column, order: Colum
     return labels.join(distinct_join(rows, ["id"], F.lower("_category"), F.col("_at"), "category"), "id", "left")
 
 
+def list_nodes(tables: Sequence[tuple[DataFrame, Column, Column, str]], prefix: str, delimiters: str = "|,") -> DataFrame:
+    """id, label, category, description, source, raw_source_ids: a node for each distinct entry of packed lists in several columns or tables.
+
+    tables: (rows, packed list, order, source), orders of one type. The label is an entry's first spelling, the category the same in lower case,
+    sources are those of all columns that have the entry, in the order of the tables.
+    """
+    rows = union_nodes(*(df.select(order.alias("_first"), F.lit(source).alias("_source"), F.lit(k).alias("_table"), F.posexplode(X.packed_list(packed, delimiters)).alias("_pos", "_label")) for k, (df, packed, order, source) in enumerate(tables)))
+    rows = rows.withColumn("id", F.concat(F.lit(prefix), X.slug(F.col("_label")))).withColumn("_at", F.struct("_table", "_first", "_pos"))
+    labels = rows.groupBy("id").agg(F.min_by("_label", "_at").alias("label"))
+    sources = distinct_join(rows, ["id"], F.col("_source"), F.col("_table"), "source", "|")
+    return labels.join(sources, "id").select("id", "label", F.lower("label").alias("category"), F.lit(None).cast("string").alias("description"), "source", F.col("label").alias("raw_source_ids"))
+
+
+def entity_groups(df: DataFrame, key: str, firsts: Mapping[str, Column], joined: Mapping[str, Column], order: Sequence[Column | str], delimiter: str = " | ") -> DataFrame:
+    """A row for each key: each of `firsts` has its first filled value, each of `joined` its distinct filled values in order of appearance.
+
+    All columns go through one exchange: values are reduced to their first places in it before they are gathered.
+    """
+    columns = {**firsts, **joined}
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), X.filled(c.cast("string")).alias("v")) for k, c in enumerate(columns.values())))
+    rows = df.select(key, F.struct(*order).alias("_at"), F.explode(cells).alias("_c")).select(key, "_at", "_c.k", "_c.v")
+    places = rows.groupBy(key, "k", "v").agg(F.min("_at").alias("_at"))
+    gathered = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("_at", "k", "v"))))
+    of = lambda k: F.transform(F.filter("_all", lambda x: x["k"] == k), lambda x: x["v"])
+    groups = places.groupBy(key).agg(gathered.alias("_all"))
+    named = [F.get(of(k), F.lit(0)).alias(n) if n in firsts else F.array_join(of(k), delimiter).alias(n) for k, n in enumerate(columns)]
+    return groups.select(key, *named)
+
+
 def contributor_nodes(df: DataFrame, packed: Column, contributor: Column, order: Column, prefix: str, delimiters: str = ",") -> DataFrame:
     """id, label, raw_source_ids: a node for each distinct entry, with the ids of the rows that name it."""
     rows = df.select(contributor.cast("string").alias("_from"), order.alias("_first"), F.posexplode(X.packed_list(packed, delimiters)).alias("_pos", "_label"))
@@ -90,18 +119,21 @@ def allow_fragment(df: DataFrame, label: Column, fragments: Sequence[str]) -> Da
     return df.filter(X.mentions(F.lower(label), [f.lower() for f in fragments]))
 
 
-def term_index(df: DataFrame, id_column: str, terms: Sequence[Column], lists: Sequence[Column] = ()) -> DataFrame:
-    """term, ids: the distinct ids of each normalised term, in the order of the ids."""
+def term_index(df: DataFrame, id_column: str, terms: Sequence[Column], lists: Sequence[Column] = (), parts: int = 1) -> DataFrame:
+    """term, part, ids: the distinct ids of each normalised term, in the order of the ids.
+
+    The ids of a term come in up to `parts` lists, dealt by hash, so that a term of very many ids is no single row.
+    """
     every = F.array_union(F.array(*terms), F.flatten(F.array(*lists))) if lists else F.array(*terms)
     rows = df.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.explode(every).alias("_term"))
-    rows = rows.select("_id", X.term_key(F.col("_term")).alias("term")).filter("term != ''").distinct()
-    return rows.groupBy("term").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
+    rows = rows.select(X.term_key(F.col("_term")).alias("term"), F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int").alias("part"), "_id").filter("term != ''").distinct()
+    return rows.groupBy("term", "part").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
 
 
 def term_lookup(df: DataFrame, term: Column, index: DataFrame) -> DataFrame:
-    """df with the ids of its term, an empty list where there is none."""
+    """df with the ids of its term, a row for each of the term's lists, and one with an empty list where there is none."""
     keyed = df.withColumn("_term", X.term_key(term))
-    found = keyed.join(index.withColumnRenamed("term", "_term"), "_term", "left")
+    found = keyed.join(index.select(F.col("term").alias("_term"), "ids"), "_term", "left")
     return found.withColumn("ids", F.coalesce("ids", F.array().cast(index.schema["ids"].dataType))).drop("_term")
 
 

@@ -1,31 +1,42 @@
 """Extraction from raw pages (page_id, url, html): links, metadata, table rows, sections, labelled values.
 
-Flat patterns are native regular expressions. Nested tables and sections come from one mapInArrow stage per kind that
-parses each page once with the standard library's HTML parser; everything behind it is native columns.
+Flat patterns are native regular expressions. Nested structure comes from one mapInArrow stage (parsed) that reads each page
+once, tag by tag, and gives a row for each page: its table rows, sections, blocks with an id, and
+headings with what follows them. Everything behind it is native columns on that row, so one parse serves all.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping, Sequence
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .nodes import first_per_key
+from .nodes import first_per_key, union_nodes
 
 _VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
-_SILENT = {"script", "style"}
-_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Comments, scripts and styles, declarations, and tags: whether it closes, its name, its attributes.
+_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.IGNORECASE | re.DOTALL)
+_ATTRIBUTE = re.compile(r"""([a-z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_WANTED = {"id", "class", "href", "scope"}
+_HEADINGS = {"h1", "h2", "h3"}
+_BLOCKS = {"p", "ul", "ol", "div"}
+#: What an opening tag closes if it is still open, and within what.
+_CLOSES = {"p": ({"p"}, {"div", "section", "article", "td", "th", "li"}), "li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tr": ({"tr"}, {"table"})}
+_CLOSES |= {tag: _CLOSES["p"] for tag in ("ul", "ol", "div", "table", "section", "article", "h1", "h2", "h3")}
 
 
 def links(pages: DataFrame, prefix: str, excluded: str | None = None, depth: int = 1, base: str = "") -> DataFrame:
-    """page_id, id (last path segment), url, title: hrefs under a path prefix, the first for each page and slug."""
-    found = F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>'), 1)
-    titles = F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="[^"]*"[^>]*>(.*?)</a>'), 1)
-    both = F.arrays_zip(found.alias("href"), titles.alias("title"))
+    """page_id, id (last path segment), url, title: hrefs under a path prefix, the first for each page and slug.
+
+    A title ends with its link or where the next one begins. Both come from one pattern, so they stay together.
+    """
+    pattern = F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>((?:(?!<a\s|</a\s*>).)*)')
+    both = F.arrays_zip(F.regexp_extract_all("html", pattern, 1).alias("href"), F.regexp_extract_all("html", pattern, 2).alias("title"))
     rows = pages.select("page_id", F.posexplode(both).alias("pos", "link")).select("page_id", "pos", F.col("link.href").alias("href"), F.col("link.title").alias("title"))
     rows = rows.filter(F.startswith("href", F.lit(prefix)))
     if excluded:
@@ -58,148 +69,225 @@ def _without_noise(html: Column) -> Column:
     return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
 
 
+def last_updated(paragraphs: Column) -> Column:
+    """What follows the label in the first paragraph that begins with it."""
+    first = F.get(F.filter(paragraphs, lambda p: F.startswith(F.lower(p), F.lit("last updated:"))), F.lit(0))
+    return F.nullif(F.trim(F.regexp_extract(first, r"^[^:]*:(.*)$", 1)), F.lit(""))
+
+
 def metadata(pages: DataFrame) -> DataFrame:
-    """page_id, title, heading, intro (paragraphs before the first table, joined by blank lines), last_updated."""
+    """page_id, title, heading, subtitle, intro (paragraphs before the first table, joined by blank lines), last_updated."""
     body = _without_noise(F.col("html"))
+    texts = lambda html: F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)(?:</p>|(?=<p\b)|(?=</(?:div|article|body)>))"), 1), lambda p: X.clean(plain(p))), lambda p: p != "")
     before = F.get(F.split(body, r"(?i)<table\b", 2), F.lit(0))
-    paragraphs = F.filter(F.transform(F.regexp_extract_all(before, F.lit(r"(?is)<p\b[^>]*>(.*?)(?:</p>|(?=<p\b)|(?=</(?:div|article|body)>))"), 1), lambda p: X.clean(plain(p))), lambda p: p != "")
     pick = lambda tag: F.nullif(X.clean(plain(F.regexp_extract(body, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))), F.lit(""))
-    updated = F.nullif(F.trim(F.regexp_extract(F.get(F.filter(paragraphs, lambda p: F.contains(p, F.lit("Last updated:"))), F.lit(0)), r"Last updated:\s*(.*)$", 1)), F.lit(""))
-    return pages.select("page_id", pick("title").alias("title"), pick("h1").alias("heading"), F.array_join(paragraphs, "\n\n").alias("intro"), updated.alias("last_updated"))
+    return pages.select("page_id", pick("title").alias("title"), pick("h1").alias("heading"), pick("h2").alias("subtitle"), F.array_join(texts(before), "\n\n").alias("intro"), last_updated(texts(body)).alias("last_updated"))
+
+
+class _Element:
+    """An open element: where its text begins, and what it has gathered."""
 
+    __slots__ = ("tag", "id", "classes", "scope", "href", "piece", "link", "heading", "section")
 
-class _Parser(HTMLParser):
-    """Rows of outer tables and sections, in one walk."""
+    def __init__(self, tag: str, given: dict[str, str], piece: int, link: int):
+        self.tag, self.id, self.classes = tag, given.get("id", "").strip(), given.get("class", "").split()
+        self.scope, self.href, self.piece, self.link = given.get("scope"), given.get("href"), piece, link
+        self.heading: list | None = None  # the last heading among the children, [title, texts of the siblings behind it]
+        self.section: dict | None = None
+
+
+class _Parser:
+    """Rows of outer tables, sections, blocks with an id, and headings, in one walk. Text is kept once, as a list of pieces."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[int, int, list[str], list[str], bool]] = []
-        self.sections: list[list] = []
-        self.tables = self.silent = self.depth = 0
-        self.table_no, self.row_no = -1, 0
-        self.cells: list[str] | None = None
-        self.cell: list[str] | None = None
+        self.open = [_Element("", {}, 0, 0)]  # the page itself
+        self.pieces: list[str] = []
+        self.in_heading: list[bool] = []
         self.hrefs: list[str] = []
-        self.head = False
-        self.open: list[tuple[int, list]] = []
-        self.heading = False
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _SILENT:
-            self.silent += 1
-        given = dict(attrs)
+        self.rows: list[dict] = []
+        self.sections: list[dict] = []
+        self.named: list[dict] = []
+        self.headings: list[list] = []
+        self.tables = self.titles = 0
+        self.table_no = -1
+        self.row: dict | None = None
+        self.row_no = 0
+
+    def _text(self, start: int, headings: bool = True) -> str:
+        pieces = self.pieces[start:]
+        if not headings:
+            pieces = [p for p, h in zip(pieces, self.in_heading[start:], strict=True) if not h]
+        return " ".join(" ".join(pieces).split())
+
+    def read(self, html: str) -> None:
+        at = 0
+        for m in _TAG.finditer(html):
+            if m.start() > at:
+                self._data(html[at : m.start()])
+            at = m.end()
+            if m[3]:
+                if m[2]:
+                    self._end(m[3].lower())
+                else:
+                    self._start(m[3].lower(), m[4])
+        if at < len(html) and "<" not in html[at:]:  # a tag that is never closed is no text
+            self._data(html[at:])
+        self._close(1)
+
+    def _start(self, tag: str, attributes: str) -> None:
+        closes, within = _CLOSES.get(tag, ((), ()))
+        for k in range(len(self.open) - 1, -1, -1) if closes else ():
+            if self.open[k].tag in closes:
+                self._close(k)
+                break
+            if self.open[k].tag in within:
+                break
+        if tag in _VOID:
+            return
+        given: dict[str, str] = {}
+        if "=" in attributes:
+            for a in _ATTRIBUTE.finditer(attributes):
+                if (name := a[1].lower()) in _WANTED:
+                    given.setdefault(name, unescape(a[2] or a[3] or a[4] or ""))
+        own = _Element(tag, given, len(self.pieces), len(self.hrefs))
+        parent = self.open[-1]
         if tag == "table":
             self.tables += 1
             if self.tables == 1:
                 self.table_no, self.row_no = self.table_no + 1, 0
-        elif self.tables and tag == "tr":
-            self._end_row()
-            self.cells, self.hrefs, self.head = [], [], False
-        elif self.tables and tag in ("td", "th") and self.cells is not None:
-            self._end_cell()
-            self.cell, self.hrefs = [], []
-            self.head |= tag == "th" and not self.cells
-        elif tag == "a" and self.cell is not None and given.get("href"):
-            self.hrefs.append(given["href"])
-        if tag == "section":
-            self.sections.append([len(self.sections), given.get("id"), None, [], []])
-            self.open.append((self.depth, self.sections[-1]))
-        if tag in _HEADINGS and self.open:
-            self.heading = True
-        if tag == "br":
-            self.handle_data("\n")
-        if tag not in _VOID:
-            self.depth += 1
-
-    def handle_endtag(self, tag):
-        if tag in _VOID:
-            return
-        self.depth = max(0, self.depth - 1)
-        if tag in _SILENT:
-            self.silent = max(0, self.silent - 1)
-        if tag in ("td", "th"):
-            self._end_cell()
-        elif tag == "tr":
-            self._end_row()
-        elif tag == "table" and self.tables:
-            self._end_row()
-            self.tables -= 1
-        elif tag == "section" and self.open:
-            self.open.pop()
-        elif tag in _HEADINGS and self.open and self.heading:
-            section = self.open[-1][1]
-            if section[2] is None:
-                section[2] = " ".join("".join(section[4]).split())
-            section[4].clear()
-            self.heading = False
-
-    def handle_data(self, data):
-        if self.silent:
-            return
-        if self.cell is not None:
-            self.cell.append(data)
-        if self.open:
-            self.open[-1][1][4 if self.heading else 3].append(data)
-
-    def _end_cell(self):
-        if self.cell is not None and self.cells is not None:
-            self.cells.append(" ".join("".join(self.cell).split()))
-        self.cell = None
-
-    def _end_row(self):
-        self._end_cell()
-        if self.cells:
-            self.rows.append((self.table_no, self.row_no, self.cells, self.hrefs, self.head))
-            self.row_no += 1
-        self.cells = None
-
-
-def _parsed(html: str | None) -> tuple[_Parser, str | None]:
-    parser, error = _Parser(), None
-    try:
-        parser.feed(html or "")
-        parser.close()
-        parser._end_row()
-    except Exception as e:  # a page that can't be parsed is reported in its error column; the others go on
-        error = f"{type(e).__name__}: {e}"
-    return parser, error
-
-
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        elif tag == "tr" and self.tables == 1:
+            self.row = {"table_no": self.table_no, "row_no": self.row_no, "in_body": any(e.tag == "tbody" for e in self.open), "ids": [e.id for e in self.open if e.id], "cells": [], "urls": [], "head": None, "href": None, "marks": []}
+        elif tag == "a" and own.href:
+            self.hrefs.append(own.href)
+        elif tag == "div" and self.row is not None and own.classes:
+            self.row["marks"].append(" ".join(own.classes))
+        elif tag == "section":
+            primary = [k for k, e in enumerate(self.open) if e.tag == "div" and "primary" in e.classes]
+            own.section = {"section_no": len(self.sections), "section_id": own.id or None, "heading": None, "pane": False, "text": "", "inside": bool(primary), "top": bool(primary) and primary[0] == len(self.open) - 1}
+            self.sections.append(own.section)
+        if tag in _HEADINGS:
+            self.titles += 1
+            parent.heading = None
+        self.open.append(own)
+
+    def _end(self, tag: str) -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k].tag == tag:
+                self._close(k)
+                return
+            if self.open[k].tag == "table" and tag != "table":
+                return
+
+    def _data(self, data: str) -> None:
+        if data.strip():
+            self.pieces.append(unescape(data) if "&" in data else data)
+            self.in_heading.append(self.titles > 0)
+
+    def _close(self, k: int) -> None:
+        """Closes the k-th open element, and those within it first."""
+        while len(self.open) > k:
+            e = self.open.pop()
+            parent = self.open[-1]
+            outer = self.tables == 1 and self.row is not None
+            if e.tag == "table":
+                self.tables -= 1
+            elif e.tag == "td" and outer:
+                self.row["cells"].append(self._text(e.piece))
+                self.row["urls"].append(self.hrefs[e.link :])
+            elif e.tag == "a" and e.href and outer and self.row["href"] is None and any(x.tag == "th" and x.scope == "row" for x in self.open):
+                self.row["head"], self.row["href"] = self._text(e.piece), e.href
+            elif e.tag == "tr" and outer:
+                if self.row["cells"] or self.row["href"] or self.row["marks"]:
+                    self.rows.append(self.row)
+                    self.row_no += 1
+                self.row = None
+            elif e.tag == "section":
+                e.section["text"] = self._text(e.piece, headings=False)
+            elif e.tag in _HEADINGS:
+                self.titles -= 1
+                title = self._text(e.piece)
+                heading = [title, []]
+                self.headings.append(heading)
+                parent.heading = heading
+                for x in self.open:  # the first heading of a section, or the first that is marked as its title
+                    if x.section is not None and (x.section["heading"] is None or "pane-title" in e.classes and not x.section["pane"]):
+                        x.section["heading"], x.section["pane"] = title, "pane-title" in e.classes
+            if e.tag in _BLOCKS and parent.heading is not None and (text := self._text(e.piece)):
+                parent.heading[1].append(text)
+            if e.id and e.tag in ("section", "div", "article"):
+                self.named.append({"id": e.id, "text": self._text(e.piece)})
+
+    def result(self, html: str | None) -> dict:
+        error = None
+        try:
+            self.read(html or "")
+        except Exception as e:  # a page that can't be parsed is reported in its error column; the others go on
+            error = f"{type(e).__name__}: {e}"
+        headings = [{"title": title, "body": "\n\n".join(texts)} for title, texts in self.headings]
+        return {"error": error, "tables": self.rows, "sections": self.sections, "named": self.named, "headings": headings}
+
+
+_PARSED = (
+    "page_id long, error string,"
+    " tables array<struct<table_no:int,row_no:int,in_body:boolean,ids:array<string>,cells:array<string>,urls:array<array<string>>,head:string,href:string,marks:array<string>>>,"
+    " sections array<struct<section_no:int,section_id:string,heading:string,text:string,inside:boolean,top:boolean>>,"
+    " named array<struct<id:string,text:string>>, headings array<struct<title:string,body:string>>"
+)
+_TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
+_KINDS = pa.schema(
+    {
+        "page_id": pa.int64(),
+        "error": _TEXT,
+        "tables": pa.list_(pa.struct({"table_no": pa.int32(), "row_no": pa.int32(), "in_body": pa.bool_(), "ids": _TEXTS, "cells": _TEXTS, "urls": pa.list_(_TEXTS), "head": _TEXT, "href": _TEXT, "marks": _TEXTS})),
+        "sections": pa.list_(pa.struct({"section_no": pa.int32(), "section_id": _TEXT, "heading": _TEXT, "text": _TEXT, "inside": pa.bool_(), "top": pa.bool_()})),
+        "named": pa.list_(pa.struct({"id": _TEXT, "text": _TEXT})),
+        "headings": pa.list_(pa.struct({"title": _TEXT, "body": _TEXT})),
+    }
+)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            parser, error = _parsed(html.as_py())
-            rows += [(page, *row, None) for row in parser.rows]
-            if error:
-                rows.append((page, None, None, [], [], None, error))
-        columns = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "table_no", "row_no", "cells", "hrefs", "row_head", "error"])
+        for at in range(0, len(batch), 256):
+            rows = [{"page_id": page, **_Parser().result(html.as_py())} for page, html in zip(batch.column(0)[at : at + 256].to_pylist(), batch.column(1)[at : at + 256], strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, _KINDS)
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """page_id, table_no, row_no, cells (cleaned), hrefs (of the last cell), row_head (first cell is a th), error."""
-    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_tables, "page_id long, table_no int, row_no int, cells array<string>, hrefs array<string>, row_head boolean, error string")
+def parsed(pages: DataFrame) -> DataFrame:
+    """A row for each page: page_id, error, tables (their rows), sections, named (blocks with an id), headings.
 
+    Parsing is Python, so pages are dealt to all tasks first: however few partitions they come in, each gets a share.
+    """
+    spark = pages.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return pages.select(F.col("page_id").cast("long"), "html").repartition(tasks, "page_id").mapInArrow(_parse, _PARSED)
 
-def _sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for page, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows += [(page, n, id_, heading, " ".join("".join(text).split())) for n, id_, heading, text, _ in _parsed(html.as_py())[0].sections]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "section_no", "section_id", "heading", "text"])
+
+def failures(pages: DataFrame) -> DataFrame:
+    """page_id, error of the parsed pages that could not be read to their end."""
+    return pages.filter("error is not null").select("page_id", "error")
+
+
+def table_rows(pages: DataFrame, body_only: bool = True) -> DataFrame:
+    """Of parsed pages: page_id, table_no, row_no, cells (cleaned), urls (a list for each cell), head and href (of a linked row header)."""
+    rows = pages.filter("error is null").select("page_id", F.explode("tables").alias("t"))
+    if body_only:
+        rows = rows.filter("t.in_body")
+    return rows.select("page_id", *(f"t.{c}" for c in ("table_no", "row_no", "cells", "urls", "head", "href")))
 
 
 def sections(pages: DataFrame) -> DataFrame:
-    """page_id, section_name, section_title, section_order (from 1), text: a title falls back from heading to id to 'Section n'."""
-    rows = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(_sections, "page_id long, section_no int, section_id string, heading string, text string")
-    order = F.col("section_no") + 1
-    named = X.filled(F.col("section_id"))
-    title = F.coalesce(X.filled(F.col("heading")), F.initcap(F.regexp_replace(named, "[-_]+", " ")), F.concat(F.lit("Section "), order.cast("string")))
-    name = F.coalesce(F.lower(named), F.lower(F.regexp_replace(title, r"[^A-Za-z0-9]+", "_")))
+    """Of parsed pages: page_id, section_name, section_title, section_order (from 1), text.
+
+    Sections are the children of the primary block, or all within it if it has none of its own. A title falls back from the
+    heading to the id to 'Section n'; headings are not in the text.
+    """
+    top = F.filter("sections", lambda s: s["top"])
+    chosen = F.when(F.size(top) > 0, top).otherwise(F.filter("sections", lambda s: s["inside"]))
+    rows = pages.filter("error is null").select("page_id", F.posexplode(chosen).alias("pos", "s")).select("page_id", "pos", "s.*")
+    order, named = F.col("pos") + 1, X.filled(F.col("section_id"))
+    title = F.coalesce(X.filled(F.col("heading")), F.initcap(F.replace(named, F.lit("-"), F.lit(" "))), F.concat(F.lit("Section "), order.cast("string")))
+    name = F.coalesce(F.lower(named), F.replace(F.lower(title), F.lit(" "), F.lit("_")))
     return rows.select("page_id", name.alias("section_name"), title.alias("section_title"), order.alias("section_order"), "text")
 
 
@@ -207,34 +295,54 @@ def carried_headers(rows: DataFrame, marker: str = "#") -> DataFrame:
     """Body rows with `header`: the last row above them, in their table, whose second cell starts with the marker."""
     is_header = F.startswith(F.get("cells", F.lit(1)), F.lit(marker))
     above = Window.partitionBy("page_id", "table_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.filter("error is null").withColumn("_head", F.coalesce(is_header, F.lit(False)))
+    marked = rows.withColumn("_head", F.coalesce(is_header, F.lit(False)))
     carried = marked.withColumn("header", F.last(F.when(F.col("_head"), F.get("cells", F.lit(0))), ignorenulls=True).over(above))
     return carried.filter(~F.col("_head")).drop("_head")
 
 
-def measurements(rows: DataFrame, versions: Sequence[str] = ("1.x", "2.x", "3.0"), first: int = 1) -> DataFrame:
-    """A row for each version of a measurement row of 2 + 3 * versions cells or so: n, effect and p triples to rows; blank triples go."""
-    body = carried_headers(rows).filter(F.size("cells") >= first + 3 * len(versions))
-    cell = lambda k: F.get("cells", F.lit(k))
-    triples = F.array(*(F.struct(F.lit(v).alias("version"), *(cell(first + 3 * k + j).alias(n) for j, n in enumerate(("n_raw", "effect_raw", "p_raw")))) for k, v in enumerate(versions)))
-    long = body.select("page_id", "table_no", "row_no", F.col("header").alias("section"), cell(0).alias("label"), F.explode(triples).alias("t"), "hrefs").select("page_id", "table_no", "row_no", "section", "label", "t.*", "hrefs")
+def _cell(k: int) -> Column:
+    return F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
+
+
+def _measured(rows: DataFrame, section: str, triples: Column, base: str) -> DataFrame:
+    """A row for each triple (version, n_raw, effect_raw, p_raw) of a body row; triples of blanks and dashes go."""
+    urls = F.array_join(F.transform(F.element_at("urls", -1), lambda u: X.absolute_url(base, u)), ";")
+    label = _cell(0)
+    long = rows.select(
+        "page_id", F.lit(section).alias("section"), F.col("header").alias("comparison"), X.measure_key(label).alias("measure_key"), label.alias("label"), X.core_part(label).alias("core"),
+        X.qualifier(label).alias("fluid"), X.analyte_class(X.core_part(label)).alias("analyte_class"), F.explode(triples).alias("t"), F.element_at("cells", -1).alias("meta_text"), urls.alias("meta_urls"),
+    )
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")).isin("", "-")
-    kept = long.filter(~(blank(F.col("n_raw")) & blank(F.col("effect_raw")) & blank(F.col("p_raw"))))
-    return kept.withColumns({"n": X.tolerant_int(F.col("n_raw")), "effect": X.tolerant_double(F.col("effect_raw")), "p_value": X.tolerant_double(F.col("p_raw"))})
+    kept = long.filter(~(blank(F.col("t.n_raw")) & blank(F.col("t.effect_raw")) & blank(F.col("t.p_raw"))))
+    numbers = [X.tolerant_int(F.col("t.n_raw")).alias("n"), X.tolerant_double(F.col("t.effect_raw")).alias("effect"), X.tolerant_double(F.col("t.p_raw")).alias("p_value")]
+    return kept.select("page_id", "section", "comparison", "measure_key", "label", "core", "fluid", "analyte_class", "t.version", "t.n_raw", "t.effect_raw", "t.p_raw", *numbers, "meta_text", "meta_urls")
 
 
-def cross_group(rows: DataFrame, version: str = "cross") -> DataFrame:
+def _triple(version: str, at: int) -> Column:
+    return F.struct(F.lit(version).alias("version"), *(_cell(at + j).alias(n) for j, n in enumerate(("n_raw", "effect_raw", "p_raw"))))
+
+
+def measurements(rows: DataFrame, versions: Sequence[str] = ("1.x", "2.x", "3.0"), base: str = "") -> DataFrame:
+    """A row for each version of a measurement: a label, a triple for each version, and a last cell of remarks and links."""
+    body = carried_headers(rows).filter(F.size("cells") >= 2 + 3 * len(versions))
+    return _measured(body, "version_summary", F.array(*(_triple(v, 1 + 3 * k) for k, v in enumerate(versions))), base)
+
+
+def cross_group(rows: DataFrame, version: str = "cross", base: str = "") -> DataFrame:
     """Rows of four cells: label, n, effect and p, under the header above them."""
-    body = carried_headers(rows).filter(F.size("cells") == 4)
-    cell = lambda k: F.get("cells", F.lit(k))
-    return body.select("page_id", "table_no", "row_no", F.col("header").alias("section"), cell(0).alias("label"), F.lit(version).alias("version"), X.tolerant_int(cell(1)).alias("n"), X.tolerant_double(cell(2)).alias("effect"), X.tolerant_double(cell(3)).alias("p_value"))
+    return _measured(carried_headers(rows).filter(F.size("cells") == 4), "cross_group", F.array(_triple(version, 1)), base).withColumns({"meta_text": F.lit(None).cast("string"), "meta_urls": F.lit(None).cast("string")})
+
+
+def page_measurements(rows: DataFrame, base: str = "") -> DataFrame:
+    """The first table of a page as measurements, the second as comparisons across groups, in one table."""
+    return union_nodes(measurements(rows.filter("table_no = 0"), base=base), cross_group(rows.filter("table_no = 1"), base=base))
 
 
 def search_results(rows: DataFrame, names: Sequence[str], base: str = "") -> DataFrame:
-    """Rows with a head cell that links somewhere: name, slug and address, then the named cells."""
-    href = F.get("hrefs", F.lit(0))
-    body = rows.filter(F.coalesce("row_head", F.lit(False)) & (F.size("cells") >= 1 + len(names)))
-    return body.select("page_id", "row_no", F.get("cells", F.lit(0)).alias("name"), X.last_segment(F.regexp_replace(href, "/+$", "")).alias("slug"), X.absolute_url(base, href).alias("url"), *(F.get("cells", F.lit(k + 1)).alias(n) for k, n in enumerate(names)))
+    """Rows with a linked row header: its name, slug and address, then the named cells."""
+    body = rows.filter(F.col("href").isNotNull() & (F.size("cells") >= len(names)))
+    slug = X.last_segment(F.regexp_replace("href", "/+$", ""))
+    return body.select("page_id", "row_no", X.clean(F.col("head")).alias("name"), slug.alias("slug"), X.absolute_url(base, F.col("href")).alias("url"), *(_cell(k).alias(n) for k, n in enumerate(names)))
 
 
 def synonym_line(text: Column) -> Column:
@@ -250,43 +358,88 @@ def entities(index: DataFrame, parts: DataFrame, flags: Mapping[str, str], categ
     return joined.select("page_id", "title", "overview", X.summary(F.col("overview"), 1).alias("short_summary"), F.lit(category).alias("category"), *(F.coalesce(n, F.lit(False)).alias(n) for n in flags))
 
 
-def labelled_values(pages: DataFrame, names: Mapping[str, str]) -> DataFrame:
-    """page_id, values (a map): <strong>Label:</strong> value up to a line break or the next tag block; known labels renamed, the last of equal ones counts."""
+def values_in_text(text: Column, labels: Sequence[str]) -> Column:
+    """A map of lower-cased label to value, for labels that stand in running text: a value ends where a label begins."""
+    either = "|".join(f"\\Q{label}\\E:" for label in labels)
+    clean = X.clean(text)
+    pairs = F.array(*(F.struct(F.lit(label.lower()).alias("key"), F.trim(F.regexp_extract(clean, rf"(?<![\w.])\Q{label}\E:\s*(.+?)\s*(?={either}|$)", 1)).alias("value")) for label in labels))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"] != ""))
+
+
+def labelled_values(pages: DataFrame, names: Mapping[str, str], text: Column | None = None) -> DataFrame:
+    """page_id, values (a map): <strong>Label:</strong> value up to a line break or the end of the block; known labels renamed, the last of equal ones counts.
+
+    A page without such a label has what values_in_text finds in the text of its block, if that is given.
+    """
+    pattern = F.lit(r"(?is)<(?:strong|b)>\s*([^<:]+):\s*</(?:strong|b)>(.*?)(?=<br|</p|</li|</div|<strong|<b>|$)")
     body = _without_noise(F.col("html"))
-    found = F.regexp_extract_all(body, F.lit(r"(?is)<(?:strong|b)>\s*([^<:]+):\s*</(?:strong|b)>"), 1)
-    values = F.regexp_extract_all(body, F.lit(r"(?is)<(?:strong|b)>\s*[^<:]+:\s*</(?:strong|b)>(.*?)(?=<br|</p|</li|</div|<strong|<b>|$)"), 1)
+    both = F.arrays_zip(F.regexp_extract_all(body, pattern, 1).alias("label"), F.regexp_extract_all(body, pattern, 2).alias("value"))
     key = F.lower(X.clean(F.col("pair.label")))
-    renamed = F.regexp_replace(key, r"[^a-z0-9]+", "_")
+    renamed = F.replace(key, F.lit(" "), F.lit("_"))
     for label, name in names.items():
         renamed = F.when(key == label.lower(), F.lit(name)).otherwise(renamed)
-    rows = pages.select("page_id", F.posexplode(F.arrays_zip(found.alias("label"), values.alias("value"))).alias("pos", "pair")).select("page_id", "pos", renamed.alias("key"), X.clean(plain(F.col("pair.value"))).alias("value"))
+    rows = pages.select("page_id", F.posexplode(both).alias("pos", "pair")).select("page_id", "pos", renamed.alias("key"), X.clean(plain(F.col("pair.value"))).alias("value")).filter("value != ''")
     last = rows.groupBy("page_id", "key").agg(F.max_by("value", "pos").alias("value"))
-    return last.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values"))
+    found = last.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("values"))
+    if text is None:
+        return found
+    running = F.map_from_entries(F.transform(F.map_entries(values_in_text(text, list(names))), lambda e: F.struct(_renamed(e["key"], names), e["value"])))
+    either = pages.select("page_id", running.alias("_running")).join(found, "page_id", "left")
+    return either.select("page_id", F.coalesce("values", "_running").alias("values")).filter(F.size("values") > 0)
 
 
-def background(parts: DataFrame, ids: Sequence[str], keyword: str) -> DataFrame:
-    """page_id, text: of the section whose name comes first in ids, else of the first whose title has the keyword."""
-    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ids)), F.col("section_name")), F.lit(0)), F.when(F.contains(F.lower("section_title"), F.lit(keyword)), F.lit(len(ids) + 1)))
-    return parts.filter(place.isNotNull()).groupBy("page_id").agg(F.min_by("text", F.struct(place, "section_order")).alias("text"))
+def _renamed(key: Column, names: Mapping[str, str]) -> Column:
+    renamed = key
+    for label, name in names.items():
+        renamed = F.when(key == label.lower(), F.lit(name)).otherwise(renamed)
+    return renamed
 
 
-def timeline(pages: DataFrame, block: str = "timeline") -> DataFrame:
-    """page_id, blocks (null for none), phase_max: spans of the timeline and the largest phase-N class."""
-    body = _without_noise(F.col("html"))
-    blocks = F.size(F.regexp_extract_all(body, F.lit(rf'(?is)(<span\b[^>]*class="[^"]*\b{block}\b[^"]*")'), 1))
-    phases = F.transform(F.regexp_extract_all(body, F.lit(r'(?is)class="[^"]*\bphase-(\d)\b[^"]*"'), 1), lambda x: x.cast("int"))
-    return pages.select("page_id", F.nullif(blocks, F.lit(0)).alias("blocks"), F.array_max(phases).alias("phase_max"))
+def _named(id_: str) -> Column:
+    """Of a parsed page: the text of the first block with this id."""
+    return F.get(F.transform(F.filter("named", lambda b: b["id"] == F.lit(id_)), lambda b: b["text"]), F.lit(0))
+
+
+def background(ids: Sequence[str], words: Sequence[str]) -> Column:
+    """Of a parsed page: the text of the first block there is of these ids, else what follows the first heading with one of the words."""
+    blocks = [_named(i) for i in ids]
+    heading = F.get(F.filter("headings", lambda h: X.mentions(F.lower(h["title"]), words)), F.lit(0))
+    return F.coalesce(*(X.filled(b) for b in blocks), X.filled(heading["body"]))
+
+
+def timeline(pages: DataFrame, block: str = "timeline", mark: str = "timeline-span") -> DataFrame:
+    """Of parsed pages: page_id, blocks (null for none), phase_max: rows with a marked div in the block's first table, and the largest phase-N of these."""
+    inside = F.filter("tables", lambda t: F.array_contains(t["ids"], F.lit(block)))
+    first = F.filter(inside, lambda t: t["table_no"] == F.array_min(F.transform(inside, lambda x: x["table_no"])))
+    marks = F.transform(first, lambda t: F.get(F.filter(t["marks"], lambda m: F.array_contains(F.split(m, " "), F.lit(mark))), F.lit(0)))
+    spans = F.filter(marks, lambda m: m.isNotNull())
+    phases = F.transform(spans, lambda m: F.regexp_extract(m, r"(?:^| )phase-(\d+)", 1).try_cast("int"))
+    return pages.select("page_id", F.nullif(F.size(spans), F.lit(0)).alias("blocks"), F.array_max(phases).alias("phase_max"))
+
 
+def details(pages: DataFrame, names: Mapping[str, str], ids: Sequence[str] = ("mechanism-of-action", "mechanism", "background"), words: Sequence[str] = ("mechanism", "background")) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """From pages of entities: an extra row for each, its target rows, its trial row, and the pages that could not be parsed.
 
-def details(pages: DataFrame, names: Mapping[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """From labelled values and timelines: an extra row for each entity, its target rows, its trial row. Blank ids and those from '?' are skipped."""
-    ids = pages.withColumn("slug", X.last_segment(F.regexp_replace("url", r"/+$", ""))).filter((F.trim("slug") != "") & ~F.startswith("slug", F.lit("?")))
-    facts = ids.select("page_id", "slug").join(labelled_values(ids, names), "page_id", "left").join(timeline(ids), "page_id", "left")
+    Blank ids and those from '?' are skipped.
+    """
+    slug = X.last_segment(F.regexp_replace("url", r"/+$", ""))
+    wanted = pages.withColumn("slug", slug).filter((F.trim("slug") != "") & ~F.startswith("slug", F.lit("?")))
+    walked = parsed(wanted)
+    fine = walked.filter("error is null")
+    blocks = fine.select("page_id", _named("overview").alias("overview"), background(ids, words).alias("mechanism")).join(timeline(fine).withColumnRenamed("page_id", "_page"), F.col("page_id") == F.col("_page")).drop("_page")
+    texts = wanted.select("page_id", "slug", "url", "html").join(blocks, "page_id")
+    facts = texts.drop("html").join(labelled_values(texts, names, F.col("overview")), "page_id", "left").join(metadata(wanted).select("page_id", "heading", "last_updated"), "page_id", "left")
     value = lambda n: X.filled(F.col("values").getItem(n))
     status = value("fda_status")
     phase = F.greatest(X.phase_max(status), F.col("phase_max"))
-    extra = facts.select(F.col("slug").alias("id"), *(value(n).alias(n) for n in dict.fromkeys(names.values())), X.phase_status(status).alias("status"), phase.alias("trial_phase_max"))
-    exploded = facts.select(F.col("slug").alias("id"), value("therapy_type").alias("_therapy"), F.posexplode(X.packed_list(value("target_type"), ",")).alias("_pos", "_target"))
-    targets = exploded.select("id", X.without_timeline(F.col("_target")).alias("target_name"), X.action_type(F.col("_therapy")).alias("action_type"), (F.col("_pos") == 0).alias("is_primary_target")).filter("target_name is not null")
-    trials = facts.select(F.col("slug").alias("id"), value("approved_for").alias("indication"), phase.alias("trial_phase_max"), (X.phase_max(status) >= 3).alias("has_phase3"), X.phase_status(status).alias("status"), F.col("blocks").alias("trial_count"))
-    return extra, targets, trials
+    has_phase3 = F.coalesce(F.when(status.isNotNull(), X.phase_max(status)).otherwise(phase) >= 3, F.lit(False))
+    targets = F.filter(F.transform(X.packed_list(value("target_type"), ","), X.without_timeline), lambda t: t.isNotNull())
+    own = {"therapy_type": X.without_timeline(value("therapy_type")), "target_type": F.nullif(F.array_join(targets, ", "), F.lit(""))}
+    extra = facts.select(
+        F.col("slug").alias("id"), F.col("heading").alias("page_title"), *(own.get(n, value(n)).alias(n) for n in dict.fromkeys(names.values())), X.summary(F.col("mechanism"), 2, "background").alias("mechanism_summary"),
+        F.col("mechanism").alias("mechanism_raw"), F.col("overview").alias("overview_raw"), X.phase_status(status).alias("status"), phase.alias("trial_phase_max"), has_phase3.alias("has_phase3"), F.col("blocks").alias("trial_count"), "last_updated", "url",
+    )
+    listed = facts.select(F.col("slug").alias("id"), F.posexplode(targets).alias("_pos", "target_name"), X.action_type(value("therapy_type")).alias("action_type"), X.summary(F.col("mechanism"), 1, "background").alias("target_notes"))
+    target_rows = listed.select("id", "target_name", F.lit("pathway_or_process").alias("target_kind"), "action_type", (F.col("_pos") == 0).alias("is_primary_target"), "target_notes")
+    trials = facts.select(F.col("slug").alias("id"), value("conditions").alias("indication"), phase.alias("trial_phase_max"), has_phase3.alias("has_phase3"), X.phase_status(status).alias("status"), F.col("blocks").alias("trial_count"), status.alias("notes"))
+    return extra, target_rows, trials, failures(walked)

@@ -29,31 +29,56 @@ def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= n).drop("_n")
 
 
-def bucketed(df: DataFrame, key: str, bucket: Column, name: Column, details: Sequence[tuple[str, Column]], order: Sequence[str], buckets: Sequence[str], title: str, cap: int | None = None) -> DataFrame:
-    """key, text: within each bucket, in the given order of buckets, the distinct names with each detail's first filled value."""
+def remarks(values: Sequence[tuple[str, Column]]) -> Column:
+    """' (a; label: b)' of the values that are filled, or nothing."""
+    parts = F.array_compact(F.array(*(F.concat(F.lit(f"{label}: " if label else ""), X.filled(c.cast("string"))) for label, c in values), F.lit(None).cast("string")))
+    return F.when(F.size(parts) > 0, F.concat(F.lit(" ("), F.array_join(parts, "; "), F.lit(")"))).otherwise("")
+
+
+def _first_filled(details: Sequence[tuple[str, Column]], at: Column) -> list[Column]:
+    return [F.min_by(X.filled(c.cast("string")), F.when(X.filled(c.cast("string")).isNotNull(), at)).alias(f"_d{k}") for k, (_, c) in enumerate(details)]
+
+
+def bucketed(df: DataFrame, key: str, bucket: Column, name: Column, details: Sequence[tuple[str, Column]], order: Sequence[str], buckets: Sequence[str], title: str) -> DataFrame:
+    """key, text: within each bucket, in the given order of buckets, the distinct names. A name's details are those of its last row, in all buckets."""
     at = F.struct(*order)
-    rows = df.select("*", bucket.alias("_bucket"), name.alias("_name")).filter(F.col("_name").isNotNull() & F.col("_bucket").isin(*buckets))
-    merged = rows.groupBy(key, "_bucket", "_name").agg(F.lit(1).alias("_one"), *(F.min_by(X.filled(c.cast("string")), F.when(X.filled(c.cast("string")).isNotNull(), at)).alias(f"_d{k}") for k, (_, c) in enumerate(details)))
-    merged = capped(merged, [key], ["_bucket", "_name"], cap)
-    extras = F.array_compact(F.array(*(F.when(F.col(f"_d{k}").isNotNull(), F.concat(F.lit(f"{label}: "), F.col(f"_d{k}"))) for k, (label, _) in enumerate(details)), F.lit(None).cast("string")))
-    line = F.concat(F.lit("- "), F.col("_name"), F.when(F.size(extras) > 0, F.concat(F.lit(" ("), F.array_join(extras, "; "), F.lit(")"))).otherwise(""))
+    rows = df.select(key, bucket.alias("_bucket"), name.alias("_name"), at.alias("_at"), F.struct(F.lit(0).alias("_"), *(X.filled(c.cast("string")).alias(f"_d{k}") for k, (_, c) in enumerate(details))).alias("_row")).filter("_name is not null")
+    last = rows.groupBy(key, "_name").agg(F.max_by("_row", "_at").alias("_row"), F.collect_set("_bucket").alias("_buckets"))
+    lines = last.select(key, "_name", F.col("_row.*"), F.explode("_buckets").alias("_bucket"))
     place = F.array_position(F.array(*map(F.lit, buckets)), F.col("_bucket"))
-    sections = fold_lines(merged.withColumn("_place", place), [key, "_place", "_bucket"], line, ["_name"], "_lines")
+    line = F.concat(F.lit("- "), F.col("_name"), remarks([(label, F.col(f"_d{k}")) for k, (label, _) in enumerate(details)]))
+    sections = fold_lines(lines.withColumn("_place", place).filter("_place > 0"), [key, "_place", "_bucket"], line, ["_name"], "_lines")
     body = fold_lines(sections, [key], F.concat(F.col("_bucket"), F.lit(":\n"), F.col("_lines")), ["_place"], "text")
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
 
-def listed(df: DataFrame, key: str, name: Column, title: str, cap: int | None = None) -> DataFrame:
-    """key, text: the distinct names, sorted."""
-    names = capped(df.select(key, name.alias("_name")).filter("_name is not null").distinct(), [key], ["_name"], cap)
-    body = fold_lines(names, [key], F.concat(F.lit("- "), F.col("_name")), ["_name"])
+def two_level(df: DataFrame, key: str, first: Column, second: Column, name: Column, details: Sequence[tuple[str, Column]], order: Sequence[str], firsts: Sequence[str], seconds: dict[str, str], title: str) -> DataFrame:
+    """key, text: in the given orders, the first level's headings, the second level's (by their shown names), and under each the
+    distinct names with each detail's first filled value. Rows of other values of either level are left out."""
+    rows = df.select("*", first.alias("_first"), second.alias("_second"), name.alias("_name")).filter(F.col("_name").isNotNull() & F.col("_first").isin(*firsts) & F.col("_second").isin(*seconds))
+    merged = rows.groupBy(key, "_first", "_second", "_name").agg(F.lit(1).alias("_one"), *_first_filled(details, F.struct(*order)))
+    line = F.concat(F.lit("  - "), F.col("_name"), remarks([(label, F.col(f"_d{k}")) for k, (label, _) in enumerate(details)]))
+    inner = fold_lines(merged.withColumn("_place", F.array_position(F.array(*map(F.lit, seconds)), F.col("_second"))), [key, "_first", "_place"], line, ["_name"], "_lines")
+    shown = F.concat(F.lit("- "), F.get(F.array(*map(F.lit, seconds.values())), (F.col("_place") - 1).cast("int")), F.lit(":\n"), F.col("_lines"))
+    outer = fold_lines(inner, [key, "_first"], shown, ["_place"], "_lines")
+    body = fold_lines(outer.withColumn("_at", F.array_position(F.array(*map(F.lit, firsts)), F.col("_first"))), [key], F.concat(F.col("_first"), F.lit("\n"), F.col("_lines")), ["_at"], "text", "\n\n")
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
 
-def listed_pairs(df: DataFrame, key: str, head: Column, item: Column, title: str, cap: int | None = None) -> DataFrame:
-    """key, text: for each head, sorted, the distinct items in one line."""
-    pairs = capped(df.select(key, head.alias("_head"), item.alias("_item")).filter("_head is not null and _item is not null").distinct(), [key], ["_head", "_item"], cap)
-    lines = fold_lines(pairs, [key, "_head"], F.col("_item"), ["_item"], "_items", ", ")
+def listed(df: DataFrame, key: str, name: Column, title: str, details: Sequence[tuple[str, Column]] = ()) -> DataFrame:
+    """key, text: the distinct names with their details (the smallest of several), sorted."""
+    names = df.select(key, name.alias("_name"), *(X.filled(c.cast("string")).alias(f"_d{k}") for k, (_, c) in enumerate(details))).filter("_name is not null")
+    names = names.groupBy(key, "_name").agg(F.lit(1).alias("_one"), *(F.min(f"_d{k}").alias(f"_d{k}") for k in range(len(details))))
+    body = fold_lines(names, [key], F.concat(F.lit("- "), F.col("_name"), remarks([(label, F.col(f"_d{k}")) for k, (label, _) in enumerate(details)])), ["_name"])
+    return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
+
+
+def listed_pairs(df: DataFrame, key: str, head: Column, item: Column, title: str, details: Sequence[tuple[str, Column]] = (), order: Sequence[str] = ()) -> DataFrame:
+    """key, text: for each head, sorted, its distinct items in the given order (by name if there is none), each with the details of its first row."""
+    rows = df.select(key, head.alias("_head"), item.alias("_item"), F.struct(*order, item.alias("_item")).alias("_at"), F.struct(F.lit(0).alias("_"), *(X.filled(c.cast("string")).alias(f"_d{k}") for k, (_, c) in enumerate(details))).alias("_row"))
+    pairs = rows.filter("_head is not null and _item is not null").groupBy(key, "_head", "_item").agg(F.min("_at").alias("_at"), F.min_by("_row", "_at").alias("_row")).select(key, "_head", "_item", "_at", "_row.*")
+    line = F.concat(F.col("_item"), remarks([(label, F.col(f"_d{k}")) for k, (label, _) in enumerate(details)]))
+    lines = fold_lines(pairs, [key, "_head"], line, ["_at"], "_items", ", ")
     body = fold_lines(lines, [key], F.concat(F.lit("- "), F.col("_head"), F.lit(": "), F.col("_items")), ["_head"])
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
@@ -66,6 +91,13 @@ def top_preferred(df: DataFrame, key: str, name: Column, preferred: Sequence[str
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
 
+def framed(anchors: DataFrame, key: str, found: Column, heading: str, parts: Sequence[tuple[DataFrame, str]], closing: str, missing: str) -> DataFrame:
+    """key, text, anchor_found: a heading with the anchor's id, the parts and a closing rule; or the sentence for an anchor that isn't there."""
+    body = combined(anchors, key, parts).withColumnRenamed("text", "_body")
+    text = F.concat(F.lit(f"{heading} "), F.col(key).cast("string"), F.lit("\n\n"), F.col("_body"), F.lit(f"\n\n{closing}"))
+    return anchors.select(key, found.alias("anchor_found")).join(body, key).select(key, F.when(F.col("anchor_found"), text).otherwise(F.lit(missing)).alias("text"), "anchor_found")
+
+
 def combined(anchors: DataFrame, key: str, parts: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """key, text: the parts' texts below one another; each part has a sentence for anchors without rows."""
     result = anchors.select(key)

@@ -58,8 +58,9 @@ def route(classified: DataFrame, reports: DataFrame | None = None, spec: Routing
     )
     lines = [F.concat(F.lit("Intent: "), "intent"), F.concat(F.lit("Notes: "), "notes"), F.concat(F.lit("Strategy: "), "strategy"), F.when(some, F.concat(F.lit("Focus entities: "), focus))]
     routed = routed.withColumns({"debug": debug, "description": F.concat_ws("\n", *lines)})
-    if reports is not None:  # a row for each strategy
-        routed = routed.join(F.broadcast(reports.select("strategy", "context", "anchor_found")), "strategy", "left")
+    if reports is not None:  # no more rows than strategies, each a report of capped length
+        known = reports.filter(F.col("strategy").isin(*set(spec.strategies.values()))).groupBy("strategy").agg(F.min(F.struct("context", "anchor_found")).alias("_r"))
+        routed = routed.join(F.broadcast(known.select("strategy", "_r.context", "_r.anchor_found")), "strategy", "left")
     return routed
 
 

@@ -137,11 +137,11 @@ QUESTIONS = Routing(
         "PATHWAY": ("pathway", "pathways", "go:", "signaling", "signalling", "microglial", "synaptic", "amyloid cascade"),
         "GENE_PROTEIN": ("gene", "genes", "protein", "proteins", "encode", "encodes", "mutation", "variant", "variants", "hgnc", "uniprot"),
     },
-    general=("GENERAL_AD", ("alzheimer",), "No strong domain keywords; treated as general Alzheimer's question."),
-    other=("OTHER", "No strong domain keywords; classified as OTHER."),
+    general=("GENERAL_AD", ("alzheimer",), "No intent's words were found; the subject is, so the question is taken as a general one."),
+    other=("OTHER", "Neither an intent's words nor the subject were found."),
     overrides=(
-        (("biomarker",), "BIOMARKER", False, " Overridden to BIOMARKER due to explicit 'biomarker(s)' mention."),
-        (("trial", "phase"), "DRUG_TRIAL", True, " Overridden to DRUG_TRIAL due to trial/phase mention."),
+        (("biomarker",), "BIOMARKER", False, " The word biomarker decides: BIOMARKER."),
+        (("trial", "phase"), "DRUG_TRIAL", True, " A trial or a phase is named: DRUG_TRIAL."),
     ),
     patterns=(r"MONDO:\d+", r"CHEBI:\d+", r"HP:\d+", r"GO:\d+", r"HGNC:\d+", r"PR:\d+"),
     strategies={

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +16,7 @@ from .operators import nodes as N
 from .operators import pages as P
 from .operators import reports as R
 from .operators import routing as Q
-from .plans.specs import QUESTIONS, NodeSpec
+from .plans.specs import QUESTIONS, Catalog, NodeSpec
 from .sources import tables as S
 from .streaming import questions as streaming
 
@@ -67,6 +66,27 @@ def node_category_from_list(spark, d):
     return N.category_nodes(_read(spark, d, "part"), F.col("p_name"), F.col("p_type"), F.col("p_partkey"), "MECH_", " ")
 
 
+@_query("""WITH t AS (SELECT p_partkey, 0 AS tab, unnest(string_split(p_name, ' ')) AS label, unnest(range(0, len(string_split(p_name, ' ')))) AS pos FROM part
+                UNION ALL SELECT p_partkey, 1, p_type, 0 FROM part UNION ALL SELECT c_custkey, 2, c_mktsegment, 0 FROM customer),
+                k AS (SELECT *, 'MECH_' || upper(regexp_replace(label, '\\W+', '_', 'g')) AS id FROM t WHERE label <> ''),
+                f AS (SELECT id, arg_min(label, (tab, p_partkey, pos)) AS label FROM k GROUP BY id), o AS (SELECT DISTINCT id, tab FROM k)
+           SELECT f.id, f.label, lower(f.label) AS category, CAST(NULL AS VARCHAR) AS description, (SELECT string_agg(['names','types','segments'][1 + tab], '|' ORDER BY tab) FROM o WHERE o.id = f.id) AS source, f.label AS raw_source_ids FROM f""")
+def node_list_sources(spark, d):
+    p, c = _read(spark, d, "part"), _read(spark, d, "customer")
+    tables = [(p, F.col("p_name"), F.col("p_partkey"), "names"), (p, F.col("p_type"), F.col("p_partkey"), "types"), (c, F.col("c_mktsegment"), F.col("c_custkey"), "segments")]
+    return N.list_nodes(tables, "MECH_", " ")
+
+
+@_query("""WITH r AS (SELECT c_nationkey, o_orderkey, CASE WHEN o_totalprice > 300000 THEN c_name END AS big, o_orderpriority, o_orderstatus, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey),
+                p AS (SELECT c_nationkey, o_orderpriority AS v, min(o_orderkey) AS o FROM r GROUP BY ALL), q AS (SELECT c_nationkey, o_orderstatus AS v, min(o_orderkey) AS o FROM r GROUP BY ALL), m AS (SELECT c_nationkey, c_mktsegment AS v, min(o_orderkey) AS o FROM r GROUP BY ALL)
+           SELECT r.c_nationkey, arg_min(big, o_orderkey) FILTER (big IS NOT NULL) AS big, (SELECT string_agg(v, ' | ' ORDER BY o) FROM p WHERE p.c_nationkey = r.c_nationkey) AS priorities,
+             (SELECT string_agg(v, ' | ' ORDER BY o) FROM q WHERE q.c_nationkey = r.c_nationkey) AS statuses, (SELECT string_agg(v, ' | ' ORDER BY o) FROM m WHERE m.c_nationkey = r.c_nationkey) AS segments FROM r GROUP BY r.c_nationkey""")
+def node_entity_groups(spark, d):
+    rows = _read(spark, d, "orders").join(_read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = {"priorities": F.col("o_orderpriority"), "statuses": F.col("o_orderstatus"), "segments": F.col("c_mktsegment")}
+    return N.entity_groups(rows, "c_nationkey", {"big": F.when(F.col("o_totalprice") > 300000, F.col("c_name"))}, joined, ["o_orderkey"])
+
+
 @_query("""SELECT 'COMP_' || upper(regexp_replace(p_brand, '\\W+', '_', 'g')) AS id, arg_min(p_brand, p_partkey) AS label, string_agg(CAST(p_partkey AS VARCHAR), '|' ORDER BY p_partkey) AS raw_source_ids FROM part GROUP BY 1""")
 def node_contributor_ids(spark, d):
     return N.contributor_nodes(_read(spark, d, "part"), F.col("p_brand"), F.col("p_partkey"), F.col("p_partkey"), "COMP_")
@@ -114,29 +134,34 @@ def allow_list_fragment(spark, d):
     return N.allow_fragment(_read(spark, d, "part"), F.col("p_name"), ["Ring", "old b"]).select("p_partkey", "p_name")
 
 
-_INDEX = """i AS (SELECT DISTINCT term, p_partkey FROM (SELECT p_partkey, unnest([lower(p_name), lower(p_type || ' ' || p_brand)] || string_split(lower(p_name), ' ')) AS term FROM part WHERE p_size <= 5))"""
+_INDEX = """i AS (SELECT DISTINCT term, p_partkey FROM (SELECT p_partkey, unnest([lower(p_name), lower(p_type || ' ' || p_brand)] || string_split(lower(p_name), ' ')) AS term FROM part)),
+   g AS (SELECT term, count(*) AS n, min(p_partkey) AS first_id, CAST(sum(p_partkey) AS BIGINT) AS id_sum FROM i GROUP BY term)"""
 
 
 def _terms(spark, d):
-    p = _read(spark, d, "part").filter("p_size <= 5")
-    return N.term_index(p, "p_partkey", [F.col("p_name"), F.concat_ws("  ", "p_type", "p_brand")], [F.split("p_name", " ")])
+    return N.term_index(_read(spark, d, "part"), "p_partkey", [F.col("p_name"), F.concat_ws("  ", "p_type", "p_brand")], [F.split("p_name", " ")], parts=4)
+
+
+def _of_lists():
+    return [F.sum(F.size("ids")).alias("n"), F.min(F.get("ids", F.lit(0))).alias("first_id"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum")]
 
 
-@_query(f"WITH {_INDEX} SELECT term, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS ids FROM i GROUP BY term")
+@_query(f"WITH {_INDEX} SELECT term, n, first_id, id_sum FROM g")
 def term_index(spark, d):
-    return _terms(spark, d).select("term", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return _terms(spark, d).groupBy("term").agg(*_of_lists())
 
 
-@_query(f"""WITH {_INDEX}, g AS (SELECT term, count(*) AS n, min(p_partkey) AS first_id FROM i GROUP BY term)
-           SELECT p_partkey, coalesce(n, 0) AS n, first_id FROM part LEFT JOIN g ON term = lower(p_name)""")
+@_query(f"WITH {_INDEX} SELECT p_partkey, coalesce(n, 0) AS n, first_id FROM part LEFT JOIN g ON term = CASE WHEN p_size % 5 = 0 THEN 'no ' ELSE '' END || lower(p_name)")
 def term_lookup(spark, d):
-    found = N.term_lookup(_read(spark, d, "part").select("p_partkey", "p_name"), F.concat(F.lit(" "), F.upper("p_name")), _terms(spark, d))
-    return found.select("p_partkey", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"))
+    asked = F.concat(F.when(F.col("p_size") % 5 == 0, " No ").otherwise(" "), F.upper("p_name"))
+    found = N.term_lookup(_read(spark, d, "part").select("p_partkey", "p_name", "p_size"), asked, _terms(spark, d))
+    return found.groupBy("p_partkey").agg(*_of_lists()[:2])
 
 
-@_query(f"WITH {_INDEX} SELECT p_partkey FROM part WHERE lower(p_name) IN (SELECT term FROM i)")
+@_query(f"WITH {_INDEX} SELECT p_partkey FROM part WHERE CASE WHEN p_size % 5 = 0 THEN 'no ' ELSE '' END || lower(p_name) IN (SELECT term FROM i)")
 def term_known(spark, d):
-    return N.known_terms(_read(spark, d, "part").select("p_partkey", "p_name"), F.col("p_name"), _terms(spark, d)).select("p_partkey")
+    asked = F.concat(F.when(F.col("p_size") % 5 == 0, "no ").otherwise(""), "p_name")
+    return N.known_terms(_read(spark, d, "part").select("p_partkey", "p_name", "p_size"), asked, _terms(spark, d)).select("p_partkey")
 
 
 @_query("""WITH m AS (SELECT p_type || '' AS term, min(p_brand) AS code FROM part WHERE p_size = 7 GROUP BY 1 UNION ALL SELECT p_name, min(p_brand) FROM part WHERE p_size = 9 GROUP BY 1),
@@ -166,30 +191,30 @@ def edge_one_to_many(spark, d):
     return L.one_to_many(n, F.col("symbol"), s, F.col("symbol"))
 
 
-@_query("""WITH t AS (SELECT p_partkey AS target_row, lower(CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN p_name ELSE p_type END) AS k FROM part),
-                n AS (SELECT * FROM part WHERE p_size = 1),
-                keys AS (SELECT lower(p_brand) AS k, p_partkey AS id FROM n UNION SELECT lower(p_name), max(p_partkey) FROM n GROUP BY 1 UNION SELECT lower(p_type), min(p_partkey) FROM n GROUP BY 1)
+@_query("""WITH t AS (SELECT p_partkey AS target_row, lower(CASE p_partkey % 3 WHEN 0 THEN p_brand || ' ' || p_size || ' ' || p_type WHEN 1 THEN p_name ELSE p_type END) AS k FROM part),
+                keys AS (SELECT lower(p_brand || ' ' || p_size || ' ' || p_type) AS k, p_partkey AS id FROM part UNION SELECT lower(p_name), max(p_partkey) FROM part GROUP BY 1 UNION SELECT lower(p_type), min(p_partkey) FROM part GROUP BY 1)
            SELECT DISTINCT target_row, id FROM t JOIN keys USING (k)""")
 def edge_multi_key(spark, d):
     p = _read(spark, d, "part")
-    name = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.col("p_type"))
-    nodes = p.filter("p_size = 1").withColumn("id", F.col("p_partkey"))
-    return L.multi_key(p.withColumn("target_row", F.col("p_partkey")), "target_row", name, nodes, F.col("p_brand"), F.col("p_name"), F.array("p_type"), F.col("p_partkey"))
+    symbol = F.concat_ws(" ", "p_brand", "p_size", "p_type")
+    name = F.when(F.col("p_partkey") % 3 == 0, symbol).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.col("p_type"))
+    nodes = p.withColumn("id", F.col("p_partkey"))
+    return L.multi_key(p.withColumn("target_row", F.col("p_partkey")), "target_row", name, nodes, symbol, F.col("p_name"), F.array("p_type"), F.col("p_partkey"))
 
 
-@_query("""WITH a AS (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[\\s-]+')) AS t FROM part), l AS (SELECT DISTINCT p_name FROM part WHERE p_size = 3),
+@_query("""WITH a AS (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(lower(p_name), '[\\s-]+')) AS t FROM part), l AS (SELECT DISTINCT p_name FROM part),
                 b AS (SELECT DISTINCT p_name AS label, unnest(regexp_split_to_array(lower(p_name), '[\\s-]+')) AS t FROM l)
            SELECT DISTINCT p_partkey, label FROM a JOIN b USING (t)""")
 def edge_token_overlap(spark, d):
     p = _read(spark, d, "part")
-    labels = p.filter("p_size = 3").select(F.col("p_name").alias("label")).distinct()
+    labels = p.select(F.col("p_name").alias("label")).distinct()
     return L.token_overlap(p, "p_partkey", F.col("p_name"), labels, "label", F.col("label"))
 
 
-@_query("SELECT 2 AS source_id, n_nationkey AS target_id, n_name FROM nation WHERE (SELECT count(*) FROM region WHERE lower(r_name) = 'asia') > 0")
+@_query("SELECT 2 AS source_id, c_custkey AS target_id, c_name FROM customer WHERE (SELECT count(*) FROM region WHERE lower(r_name) = 'asia') > 0")
 def edge_anchor_cross(spark, d):
     r = _read(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("label"), F.lit("list").alias("source"))
-    return L.to_anchor(_read(spark, d, "nation").select("n_nationkey", "n_name"), "n_nationkey", L.anchor(r, "Asia", "list"))
+    return L.to_anchor(_read(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", L.anchor(r, "Asia", "list"))
 
 
 @_query("""SELECT p_partkey AS source_id, (SELECT r_regionkey FROM region WHERE r_name = 'EUROPE') AS target_id, p_name FROM part
@@ -208,7 +233,7 @@ def enrich_left(spark, d):
 # Rules and text ---------------------------------------------------------------------------------------------------
 
 
-@_query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN e IS NULL OR isnan(e) THEN 'unknown' WHEN e > 1 THEN 'increased' WHEN e < 1 THEN 'decreased' ELSE 'no_change' END AS direction
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN e IS NULL OR isnan(e) THEN 'no_change' WHEN e > 1 THEN 'increased' WHEN e < 1 THEN 'decreased' ELSE 'no_change' END AS direction
            FROM (SELECT *, CASE WHEN l_quantity = 7 THEN NULL WHEN l_quantity = 8 THEN CAST('nan' AS DOUBLE) ELSE (1 + l_tax) * (1 + l_discount) / 1.05 END AS e FROM lineitem)""")
 def direction_rule(spark, d):
     effect = F.when(F.col("l_quantity") == 8, F.lit(float("nan"))).when(F.col("l_quantity") != 7, (1 + F.col("l_tax")) * (1 + F.col("l_discount")) / 1.05)
@@ -259,6 +284,17 @@ def text_keys(spark, d):
     return _read(spark, d, "part").select("p_partkey", X.measure_key(label).alias("measure"), X.core_part(label).alias("core"), X.qualifier(label).alias("qualifier"), X.curie(iri).alias("curie"), X.pack(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("packed"), F.size(X.packed_list(F.col("p_name"), " ")).cast("long").alias("n"))
 
 
+@_query("""WITH t AS (SELECT p_partkey, lower(p_name) AS n, CASE p_size % 4 WHEN 0 THEN 'CSF ' WHEN 1 THEN 'Serum' WHEN 2 THEN NULL ELSE p_type END AS f, ['Aβ', 'p-Tau ', 'NfL', 'YKL-', ''][1 + p_size % 5] AS a FROM part)
+           SELECT p_partkey, CASE p_partkey % 1 WHEN 0 THEN CASE WHEN lower(a) = 'aβ' THEN 'amyloid' WHEN contains(n, 'tau') OR lower(a) = 'p-tau ' THEN 'tau' WHEN contains(n, 'nfl') OR lower(a) = 'nfl' THEN 'neurodegeneration'
+             WHEN contains(n, 'trem') OR lower(a) = 'ykl-' THEN 'inflammation' ELSE 'other' END END AS analyte_class, CASE WHEN contains(lower(f), 'csf') THEN 'CSF' WHEN contains(lower(f), 'serum') OR contains(lower(f), 'plasma') THEN 'Plasma/Serum' ELSE 'Other/unspecified' END AS fluid FROM t""")
+def text_rules(spark, d):
+    p = _read(spark, d, "part")
+    size = lambda n: (F.col("p_size") % n).cast("int")
+    name = F.concat(F.get(F.array(*map(F.lit, ("Aβ", "p-Tau ", "NfL", "YKL-", ""))), size(5)), F.col("p_name"))
+    fluid = F.when(size(4) == 0, F.lit("CSF ")).when(size(4) == 1, F.lit("Serum")).when(size(4) == 3, F.col("p_type"))
+    return p.select("p_partkey", X.analyte_class(name).alias("analyte_class"), X.fluid_bucket(fluid).alias("fluid"))
+
+
 # Graph ------------------------------------------------------------------------------------------------------------
 
 
@@ -282,51 +318,55 @@ def trade_graph(spark: SparkSession, d: str) -> G.Graph:
     )
 
 
-@_query("""SELECT o_custkey AS anchor_id, o_totalprice AS edge_total, o_orderkey AS id, 'Order ' || o_orderkey AS label, o_orderstatus AS status
-           FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY label, id LIMIT 200""")
+@_query("""SELECT anchor_id, edge_total, id, label, status FROM (SELECT o_custkey AS anchor_id, o_totalprice AS edge_total, o_orderkey AS id, 'Order ' || o_orderkey AS label, o_orderstatus AS status,
+             row_number() OVER (PARTITION BY o_custkey ORDER BY 'Order ' || o_orderkey, o_orderkey) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) WHERE n <= 200""")
 def hop_out(spark, d):
     g = trade_graph(spark, d)
     return G.hop(g, "PLACED", g.nodes["Customer"].filter("segment = 'BUILDING'"))
 
 
 @_query("""SELECT DISTINCT p_partkey AS anchor_id, l_orderkey AS id, 'Order ' || l_orderkey AS label, o_orderstatus AS status, count(*) OVER (PARTITION BY p_partkey, l_orderkey) AS n
-           FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey WHERE p_size = 4""")
+           FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey""")
 def hop_in(spark, d):
     g = trade_graph(spark, d)
-    parts = _read(spark, d, "part").filter("p_size = 4").select(F.col("p_partkey").alias("id"))
-    return G.hop(g, "CONTAINS", parts, outward=False, limit=None).groupBy("anchor_id", "id", "label", "status").agg(F.count("*").alias("n"))
+    return G.hop(g, "CONTAINS", g.nodes["Part"], outward=False, limit=None).groupBy("anchor_id", "id", "label", "status").agg(F.count("*").alias("n"))
 
 
-@_query("""SELECT n_regionkey AS anchor_id, o.o_orderkey AS middle_id, 'Order ' || o.o_orderkey AS middle_label, p_partkey AS far_id, p_name AS far_label FROM (SELECT CAST(o_orderkey % 5 AS BIGINT) AS n_regionkey, o_orderkey FROM orders) o
-           JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE n_regionkey = 2 ORDER BY middle_label, far_label, middle_id, far_id LIMIT 300""")
+@_query("""SELECT anchor_id, middle_id, middle_label, far_id, far_label FROM (SELECT n_regionkey AS anchor_id, o.o_orderkey AS middle_id, 'Order ' || o.o_orderkey AS middle_label, p_partkey AS far_id, p_name AS far_label,
+             row_number() OVER (PARTITION BY n_regionkey ORDER BY 'Order ' || o.o_orderkey, p_name, o.o_orderkey, p_partkey) AS n FROM (SELECT CAST(o_orderkey % 5 AS BIGINT) AS n_regionkey, o_orderkey FROM orders) o
+           JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey ) WHERE n <= 300""")
 def hop_two(spark, d):
     g = trade_graph(spark, d)
     g.edges["BOUND_FOR"] = g.nodes["Order"].select(F.col("id").alias("source_id"), (F.col("id") % 5).alias("target_id"))
     g.ends["BOUND_FOR"] = ("Order", "Region")
-    return G.two_patterns(g, "BOUND_FOR", "CONTAINS", g.nodes["Region"].filter("id = 2"))
+    return G.two_patterns(g, "BOUND_FOR", "CONTAINS", g.nodes["Region"])
 
 
-@_query("SELECT n_nationkey AS source_id, n_name AS source_label, n_regionkey AS target_id, r_name AS target_label FROM nation JOIN region ON r_regionkey = n_regionkey")
+@_query("SELECT o_custkey AS source_id, c_name AS source_label, o_orderkey AS target_id, 'Order ' || o_orderkey AS target_label FROM orders JOIN customer ON c_custkey = o_custkey")
 def edge_scan(spark, d):
-    return G.edge_scan(trade_graph(spark, d), "IN_REGION")
+    return G.edge_scan(trade_graph(spark, d), "PLACED", limit=None)
 
 
-@_query("""WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 3)
-           SELECT CAST(o_orderkey AS VARCHAR) AS anchor_id, 'PLACED' AS type, 'in' AS direction, c_name AS neighbour_label, CAST(c_custkey AS VARCHAR) AS neighbour_id FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey IN (FROM a)
-           UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'CONTAINS', 'out', p_name, CAST(p_partkey AS VARCHAR) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey IN (FROM a)""")
+@_query("""SELECT CAST(o_orderkey AS VARCHAR) AS anchor_id, 'PLACED' AS type, 'in' AS direction, c_name AS neighbour_label, CAST(c_custkey AS VARCHAR) AS neighbour_id,
+             '{"id":' || c_custkey || ',"label":"' || c_name || '","segment":"' || c_mktsegment || '"}' AS properties, '{"status":"' || o_orderstatus || '"}' AS edge_properties FROM orders JOIN customer ON c_custkey = o_custkey
+           UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'CONTAINS', 'out', p_name, CAST(p_partkey AS VARCHAR), '{"id":' || p_partkey || ',"label":"' || p_name || '","brand":"' || p_brand || '"}', '{"line":' || l_linenumber || '}'
+             FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey""")
 def neighbors(spark, d):
+    """Both ways: what each order contains and who placed it, with the properties of the node and of the edge."""
     g = trade_graph(spark, d)
-    ids = g.nodes["Order"].filter("id % 97 = 3")
-    out = G.neighbours(g, ids, ["CONTAINS"], "out", limit=None).unionByName(G.neighbours(g, ids, ["PLACED"], "in", limit=None))
-    return out.drop("properties")
+    edges = {"PLACED": _read(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), F.col("o_orderstatus").alias("status"))}
+    edges["CONTAINS"] = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.col("l_linenumber").alias("line"))
+    own = G.Graph(g.nodes, edges, g.ends)
+    orders = g.nodes["Order"]
+    return G.neighbours(own, orders, ["CONTAINS"], "out", limit=None).unionByName(G.neighbours(own, orders, ["PLACED"], "in", limit=None))
 
 
-@_query("""SELECT * FROM (SELECT n_nationkey AS id, n_name AS label, 'search' AS how FROM nation WHERE contains(lower(n_name), 'nation_1') ORDER BY n_nationkey LIMIT 1)
-           UNION ALL SELECT n_nationkey, n_name, 'fallback' FROM nation WHERE n_nationkey = 7 UNION ALL SELECT n_nationkey, n_name, 'lookup' FROM nation WHERE n_nationkey = 3""")
+@_query("""SELECT * FROM (SELECT p_partkey AS id, p_name AS label, p_brand AS brand, 'search' AS how FROM part WHERE contains(lower(p_name), 'ring') ORDER BY p_partkey LIMIT 1)
+           UNION ALL SELECT p_partkey, p_name, p_brand, 'fallback' FROM part WHERE p_partkey = 7 UNION ALL SELECT p_partkey, p_name, p_brand, 'lookup' FROM part WHERE p_partkey = 3""")
 def node_search(spark, d):
     g = trade_graph(spark, d)
-    nations = g.nodes["Nation"]
-    return G.search(nations, "Nation_1").withColumn("how", F.lit("search")).unionByName(G.search(nations, "atlantis", fallback=7).withColumn("how", F.lit("fallback"))).unionByName(G.lookup(g, "Nation", 3).withColumn("how", F.lit("lookup")))
+    parts = g.nodes["Part"]
+    return G.search(parts, "Ring").withColumn("how", F.lit("search")).unionByName(G.search(parts, "atlantis", fallback=7).withColumn("how", F.lit("fallback"))).unionByName(G.lookup(g, "Part", 3).withColumn("how", F.lit("lookup")))
 
 
 # Reports ----------------------------------------------------------------------------------------------------------
@@ -335,18 +375,19 @@ _BUCKETS = ["Approved or marketed", "Phase 3 trials", "Ongoing Phase 1–2 trial
 
 
 def _orders_by_nation(spark, d):
-    return _status(spark, d).join(_read(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return _status(spark, d).join(_read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
 
 
 def _report_status(spark, d):
     bucket = X.development_bucket(F.col("status"), F.col("status"), F.substring("o_orderpriority", 1, 1), F.lit(False))
-    return R.bucketed(_orders_by_nation(spark, d), "c_nationkey", bucket, F.col("o_orderpriority"), [("first status", F.col("status"))], ["o_orderkey"], _BUCKETS, "Orders by stage")
+    name = F.concat("o_orderpriority", F.lit(" of "), "c_mktsegment")
+    return R.bucketed(_orders_by_nation(spark, d), "c_nationkey", bucket, name, [("", F.col("o_orderstatus")), ("last status", F.col("status"))], ["o_orderkey"], _BUCKETS, "Orders by stage")
 
 
-_REPORT_STATUS = f"""s AS (SELECT c_nationkey, o_orderkey, o_orderpriority, {_STATUS} AS status FROM orders JOIN customer ON c_custkey = o_custkey),
-   b AS (SELECT *, CASE WHEN contains(status, 'Approved') THEN 1 WHEN CAST(substr(o_orderpriority, 1, 1) AS INT) >= 3 THEN 2 WHEN contains(status, 'Ongoing') OR contains(status, 'Recruiting') THEN 3 WHEN contains(status, 'Discontinue') THEN 5 ELSE 6 END AS place FROM s),
-   m AS (SELECT c_nationkey, place, o_orderpriority, arg_min(status, o_orderkey) AS status FROM b GROUP BY ALL),
-   l AS (SELECT c_nationkey, place, string_agg('- ' || o_orderpriority || ' (first status: ' || status || ')', chr(10) ORDER BY o_orderpriority) AS lines FROM m GROUP BY ALL),
+_REPORT_STATUS = f"""rs AS (SELECT c_nationkey, o_orderkey, o_orderstatus, o_orderpriority, o_orderpriority || ' of ' || c_mktsegment AS name, {_STATUS} AS status FROM orders JOIN customer ON c_custkey = o_custkey),
+   b AS (SELECT *, CASE WHEN contains(status, 'Approved') THEN 1 WHEN CAST(substr(o_orderpriority, 1, 1) AS INT) >= 3 THEN 2 WHEN contains(status, 'Ongoing') OR contains(status, 'Recruiting') THEN 3 WHEN contains(status, 'Discontinue') THEN 5 ELSE 6 END AS place FROM rs),
+   last AS (SELECT c_nationkey, name, arg_max(o_orderstatus || '; last status: ' || status, o_orderkey) AS meta FROM b GROUP BY ALL),
+   l AS (SELECT c_nationkey, place, string_agg('- ' || name || ' (' || meta || ')', chr(10) ORDER BY name) AS lines FROM (SELECT DISTINCT c_nationkey, place, name FROM b) JOIN last USING (c_nationkey, name) GROUP BY ALL),
    r1 AS (SELECT c_nationkey, 'Orders by stage' || chr(10) || string_agg(['Approved or marketed','Phase 3 trials','Ongoing Phase 1–2 trials','Ongoing (phase unknown)','Discontinued or terminated','Status unclear / other'][place] || ':' || chr(10) || lines, chr(10) ORDER BY place) AS text FROM l GROUP BY 1)"""
 
 
@@ -355,26 +396,46 @@ def report_bucketed(spark, d):
     return _report_status(spark, d)
 
 
-@_query("""WITH m AS (SELECT l_shipmode AS k, r, dir, p_type, min(l_orderkey) AS f FROM (SELECT l_linestatus AS l_shipmode, l_returnflag AS r, CASE WHEN l_discount > l_tax THEN 'increased' WHEN l_discount < l_tax THEN 'decreased' ELSE 'no_change' END AS dir, p_type, l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY ALL),
-                l AS (SELECT k, r || ' / ' || dir AS b, list_position(['A / increased','A / decreased','A / no_change','R / increased','R / decreased','R / no_change'], r || ' / ' || dir) AS place, string_agg('- ' || p_type || ' (first order: ' || f || ')', chr(10) ORDER BY p_type) AS lines FROM m WHERE r IN ('A', 'R') GROUP BY ALL)
-           SELECT k AS l_linestatus, 'Lines by flag and direction' || chr(10) || string_agg(b || ':' || chr(10) || lines, chr(10) ORDER BY place) AS text FROM l GROUP BY k""")
-def report_grouped(spark, d):
-    rows = _read(spark, d, "lineitem").join(_read(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+_SECONDS = {"decreased": "Lower", "increased": "Higher", "no_change": "No clear change"}
+
+
+def _report_two_level(spark, d):
+    """Per supplier's nation: line flags, then directions, then part types with their first brand and order."""
+    rows = _read(spark, d, "lineitem").join(_read(spark, d, "part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.join(_read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
     raw = F.when(F.col("l_discount") > F.col("l_tax"), "Higher").when(F.col("l_discount") < F.col("l_tax"), "lowered, decrease").otherwise("no real change")
-    bucket = F.concat("l_returnflag", F.lit(" / "), X.direction(raw))
-    wanted = [f"{r} / {x}" for r in "AR" for x in ("increased", "decreased", "no_change")]
-    return R.bucketed(rows, "l_linestatus", bucket, F.col("p_type"), [("first order", F.col("l_orderkey"))], ["l_orderkey"], wanted, "Lines by flag and direction")
+    details = [("", F.when(F.col("l_linenumber") > 1, F.col("p_brand"))), ("first order", F.col("l_orderkey"))]
+    return R.two_level(rows, "c_nationkey", F.col("l_returnflag"), X.direction(raw), F.col("p_type"), details, ["l_orderkey", "l_linenumber", "p_brand", "l_partkey"], ["A", "R"], _SECONDS, "Lines by flag and direction")
 
 
-@_query("WITH n AS (SELECT DISTINCT p_brand, p_name FROM part) SELECT p_brand, 'Parts' || chr(10) || string_agg('- ' || p_name, chr(10) ORDER BY p_name) AS text FROM n GROUP BY 1")
+_REPORT_TWO_LEVEL = """t AS (SELECT s_nationkey AS c_nationkey, l_returnflag AS r, CASE WHEN l_discount > l_tax THEN 2 WHEN l_discount < l_tax THEN 1 ELSE 3 END AS dir, p_type, l_orderkey, CASE WHEN l_linenumber > 1 THEN p_brand END AS brand, (l_orderkey, l_linenumber, p_brand, l_partkey) AS o
+     FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag IN ('A', 'R')),
+   t1 AS (SELECT c_nationkey, r, dir, p_type, min(l_orderkey) AS f, arg_min(brand, o) FILTER (brand IS NOT NULL) AS fb FROM t GROUP BY ALL),
+   t2 AS (SELECT c_nationkey, r, dir, '- ' || ['Lower','Higher','No clear change'][dir] || ':' || chr(10) || string_agg('  - ' || p_type || ' (' || coalesce(fb || '; ', '') || 'first order: ' || f || ')', chr(10) ORDER BY p_type) AS lines FROM t1 GROUP BY c_nationkey, r, dir),
+   t3 AS (SELECT c_nationkey, r, r || chr(10) || string_agg(lines, chr(10) ORDER BY dir) AS lines FROM t2 GROUP BY c_nationkey, r),
+   r0 AS (SELECT c_nationkey, 'Lines by flag and direction' || chr(10) || string_agg(lines, chr(10) || chr(10) ORDER BY r) AS text FROM t3 GROUP BY 1)"""
+
+
+@_query(f"WITH {_REPORT_TWO_LEVEL} SELECT c_nationkey, text FROM r0")
+def report_grouped(spark, d):
+    return _report_two_level(spark, d)
+
+
+@_query("""WITH n AS (SELECT p_brand, p_name, min(CASE WHEN p_size > 40 THEN p_type END) AS onset, CAST(min(p_size) AS VARCHAR) AS frequency FROM part GROUP BY ALL)
+           SELECT p_brand, 'Parts' || chr(10) || string_agg('- ' || p_name || ' (' || coalesce('onset: ' || onset || '; ', '') || 'frequency: ' || frequency || ')', chr(10) ORDER BY p_name) AS text FROM n GROUP BY 1""")
 def report_list(spark, d):
-    return R.listed(_read(spark, d, "part"), "p_brand", F.col("p_name"), "Parts")
+    frequency = F.min("p_size").over(Window.partitionBy("p_brand", "p_name"))
+    rows = _read(spark, d, "part").withColumn("frequency", frequency)
+    return R.listed(rows, "p_brand", F.col("p_name"), "Parts", [("onset", F.when(F.col("p_size") > 40, F.col("p_type"))), ("frequency", F.col("frequency"))])
 
 
-@_query("""WITH n AS (SELECT DISTINCT p_brand, p_type, p_name FROM part), l AS (SELECT p_brand, p_type, string_agg(p_name, ', ' ORDER BY p_name) AS i FROM n GROUP BY ALL)
+@_query("""WITH n AS (SELECT p_brand, p_type, p_name, min(p_partkey) AS o FROM part GROUP BY ALL),
+                x AS (SELECT *, CASE WHEN p_size_first % 2 = 0 THEN 'even; ' ELSE '' END AS act FROM (SELECT n.*, (SELECT p_size FROM part WHERE p_partkey = n.o) AS p_size_first FROM n)),
+                l AS (SELECT p_brand, p_type, string_agg(p_name || ' (' || act || 'primary: ' || CAST(p_size_first > 25 AS VARCHAR) || ')', ', ' ORDER BY o) AS i FROM x GROUP BY ALL)
            SELECT p_brand, 'Types' || chr(10) || string_agg('- ' || p_type || ': ' || i, chr(10) ORDER BY p_type) AS text FROM l GROUP BY 1""")
 def report_pairs(spark, d):
-    return R.listed_pairs(_read(spark, d, "part"), "p_brand", F.col("p_type"), F.col("p_name"), "Types")
+    details = [("", F.when(F.col("p_size") % 2 == 0, "even")), ("primary", F.col("p_size") > 25)]
+    return R.listed_pairs(_read(spark, d, "part"), "p_brand", F.col("p_type"), F.col("p_name"), "Types", details, ["p_partkey"])
 
 
 @_query("""WITH n AS (SELECT DISTINCT p_type, p_name, NOT (starts_with(p_name, 'red') OR starts_with(p_name, 'old')) AS late FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY late, p_name) AS k FROM n)
@@ -383,12 +444,76 @@ def report_topk(spark, d):
     return R.top_preferred(_read(spark, d, "part"), "p_type", F.col("p_name"), ["red", "old"], "Top")
 
 
-@_query(f"""WITH {_REPORT_STATUS}, n AS (SELECT DISTINCT s_nationkey, s_name FROM supplier WHERE s_acctbal > 9000), r2 AS (SELECT s_nationkey, 'Suppliers' || chr(10) || string_agg('- ' || s_name, chr(10) ORDER BY s_name) AS text FROM n GROUP BY 1)
-           SELECT n_nationkey AS c_nationkey, coalesce(r1.text, 'No orders.') || chr(10) || chr(10) || coalesce(r2.text, 'No suppliers.') AS text FROM nation LEFT JOIN r1 ON c_nationkey = n_nationkey LEFT JOIN r2 ON s_nationkey = n_nationkey""")
+def _nation_suppliers(spark, d, cap):
+    """Each nation's suppliers, the first `cap` by name."""
+    g = trade_graph(spark, d)
+    g.nodes["Supplier"] = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
+    g.edges["SUPPLIED_BY"] = _read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("source_id"), F.col("s_suppkey").alias("target_id"))
+    g.ends["SUPPLIED_BY"] = ("Nation", "Supplier")
+    return G.hop(g, "SUPPLIED_BY", g.nodes["Nation"], limit=cap).select(F.col("anchor_id").cast("int").alias("c_nationkey"), "label")
+
+
+def _nation_brands(spark, d):
+    """Brands that each nation's suppliers have lines of."""
+    rows = _read(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(_read(spark, d, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.join(_read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).select("c_nationkey", "p_brand", "p_type")
+
+
+_NATION_PARTS = """v AS (SELECT s_nationkey, s_name FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) AS n FROM supplier) WHERE n <= 100),
+   r2 AS (SELECT s_nationkey AS c_nationkey, 'Suppliers' || chr(10) || string_agg('- ' || s_name, chr(10) ORDER BY s_name) AS text FROM v GROUP BY 1),
+   nb AS (SELECT DISTINCT s_nationkey AS c_nationkey, p_brand, p_type FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey),
+   nl AS (SELECT c_nationkey, p_type, string_agg(p_brand, ', ' ORDER BY p_brand) AS i FROM nb GROUP BY ALL),
+   r3 AS (SELECT c_nationkey, 'Brands by type' || chr(10) || string_agg('- ' || p_type || ': ' || i, chr(10) ORDER BY p_type) AS text FROM nl GROUP BY 1),
+   nt AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY late, p_brand) AS n FROM (SELECT DISTINCT c_nationkey, p_brand, NOT starts_with(p_brand, 'Brand#2') AS late FROM nb)),
+   r4 AS (SELECT c_nationkey, 'First brands' || chr(10) || string_agg('- ' || p_brand, chr(10) ORDER BY late, p_brand) AS text FROM nt WHERE n <= 15 GROUP BY 1)"""
+
+
+def _nation_reports(spark, d):
+    """The five sections of a nation, each with the sentence for none."""
+    brands = _nation_brands(spark, d)
+    return {
+        "lines": (_report_two_level(spark, d), "No lines."),
+        "stages": (_report_status(spark, d), "No orders."),
+        "suppliers": (R.listed(_nation_suppliers(spark, d, 100), "c_nationkey", F.col("label"), "Suppliers"), "No suppliers."),
+        "types": (R.listed_pairs(brands, "c_nationkey", F.col("p_type"), F.col("p_brand"), "Brands by type"), "No brands."),
+        "top": (R.top_preferred(brands, "c_nationkey", F.col("p_brand"), ["Brand#2"], "First brands"), "No first brands."),
+    }
+
+
+_SECTION = {"lines": "coalesce(r0.text, 'No lines.')", "stages": "coalesce(r1.text, 'No orders.')", "suppliers": "coalesce(r2.text, 'No suppliers.')", "types": "coalesce(r3.text, 'No brands.')", "top": "coalesce(r4.text, 'No first brands.')"}
+_BLANK = " || chr(10) || chr(10) || "
+_ALL_PARTS = f"{_REPORT_STATUS}, {_REPORT_TWO_LEVEL}, {_NATION_PARTS}"
+_JOINED = " ".join(f"LEFT JOIN r{k} ON r{k}.c_nationkey = a.c_nationkey" for k in range(5))
+
+
+@_query(f"WITH {_ALL_PARTS}, a AS (SELECT n_nationkey AS c_nationkey FROM nation) SELECT a.c_nationkey, {_BLANK.join(_SECTION.values())} AS text FROM a {_JOINED}")
 def report_combined(spark, d):
     nations = _read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
-    suppliers = R.listed(_read(spark, d, "supplier").filter("s_acctbal > 9000").withColumnRenamed("s_nationkey", "c_nationkey"), "c_nationkey", F.col("s_name"), "Suppliers")
-    return R.combined(nations, "c_nationkey", [(_report_status(spark, d), "No orders."), (suppliers, "No suppliers.")])
+    return R.combined(nations, "c_nationkey", list(_nation_reports(spark, d).values()))
+
+
+_CLOSING = "Name only what is listed above."
+_KINDS = {"lines": ("Lines of nation", ("lines",)), "suppliers": ("Suppliers of nation", ("suppliers",)), "trade": ("Orders and brands of nation", ("stages", "types")), "general": ("Nation", tuple(_SECTION))}
+
+
+def _intent_reports(spark, d, anchors):
+    """A row for each anchor and kind of question: kind, c_nationkey, text, anchor_found. Nations that aren't there are told apart by a left join."""
+    parts, nations = _nation_reports(spark, d), _read(spark, d, "nation").select(F.col("n_nationkey").alias("_there"))
+    asked = anchors.join(nations, F.col("c_nationkey") == F.col("_there"), "left")
+    reports = [R.framed(asked, "c_nationkey", F.col("_there").isNotNull(), heading, [parts[p] for p in names], _CLOSING, "There is no such nation.").withColumn("kind", F.lit(kind)) for kind, (heading, names) in _KINDS.items()]
+    return N.union_nodes(*reports)
+
+
+def _intent_sql(anchors: str) -> str:
+    one = lambda kind, heading, names: f"SELECT '{kind}' AS kind, a.c_nationkey, EXISTS (SELECT 1 FROM nation WHERE n_nationkey = a.c_nationkey) AS anchor_found, '{heading} ' || a.c_nationkey{_BLANK}{_BLANK.join(_SECTION[n] for n in names)}{_BLANK}'{_CLOSING}' AS body FROM a {_JOINED}"
+    every = " UNION ALL ".join(one(kind, heading, names) for kind, (heading, names) in _KINDS.items())
+    return f"{_ALL_PARTS}, a AS ({anchors}), fr AS ({every}), fx AS (SELECT kind, c_nationkey, anchor_found, CASE WHEN anchor_found THEN body ELSE 'There is no such nation.' END AS text FROM fr)"
+
+
+@_query(f"WITH {_intent_sql('SELECT DISTINCT c_nationkey FROM (SELECT c_nationkey FROM customer UNION ALL SELECT CAST(o_orderkey % 30 AS INT) FROM orders)')} SELECT kind, c_nationkey, anchor_found, text FROM fx")
+def report_intents(spark, d):
+    more = _read(spark, d, "orders").select((F.col("o_orderkey") % 30).cast("int").alias("c_nationkey"))
+    return _intent_reports(spark, d, _read(spark, d, "customer").select("c_nationkey").union(more).distinct())
 
 
 # Questions --------------------------------------------------------------------------------------------------------
@@ -415,9 +540,10 @@ _SCORES = f"""{_QUESTIONS}, x AS (SELECT *, lower(question) AS x FROM q), s AS (
    i0 AS (SELECT *, CASE WHEN top = 0 THEN CASE WHEN contains(x, 'alzheimer') THEN 'GENERAL_AD' ELSE 'OTHER' END {' '.join(f"WHEN score_{k} = top THEN '{k}'" for k in _INTENTS)} END AS first FROM m),
    i1 AS (SELECT *, CASE WHEN contains(x, 'biomarker') THEN 'BIOMARKER' ELSE first END AS second FROM i0),
    i AS (SELECT *, CASE WHEN (contains(x, 'trial') OR contains(x, 'phase')) AND score_DRUG_TRIAL > 0 THEN 'DRUG_TRIAL' ELSE second END AS intent FROM i1)"""
-_NOTES = f"""CASE WHEN top = 0 THEN CASE WHEN contains(x, 'alzheimer') THEN 'No strong domain keywords; treated as general Alzheimer''s question.' ELSE 'No strong domain keywords; classified as OTHER.' END
-   ELSE 'Selected ' || first || ' based on keyword hits: ' || {" || ', ' || ".join(f"'{k}: ' || score_{k}" for k in _INTENTS)} END || CASE WHEN second <> first THEN ' Overridden to BIOMARKER due to explicit ''biomarker(s)'' mention.' ELSE '' END
-   || CASE WHEN intent <> second THEN ' Overridden to DRUG_TRIAL due to trial/phase mention.' ELSE '' END"""
+_SQL_TEXT = [x.replace("'", "''") for x in (QUESTIONS.general[2], QUESTIONS.other[1], QUESTIONS.overrides[0][3], QUESTIONS.overrides[1][3])]
+_NOTES = f"""CASE WHEN top = 0 THEN CASE WHEN contains(x, 'alzheimer') THEN '{_SQL_TEXT[0]}' ELSE '{_SQL_TEXT[1]}' END
+   ELSE 'Selected ' || first || ' based on keyword hits: ' || {" || ', ' || ".join(f"'{k}: ' || score_{k}" for k in _INTENTS)} END || CASE WHEN second <> first THEN '{_SQL_TEXT[2]}' ELSE '' END
+   || CASE WHEN intent <> second THEN '{_SQL_TEXT[3]}' ELSE '' END"""
 _FOCUS = "coalesce(focus, '')"
 _FOUND = "f0 AS (" + " UNION ALL ".join(f"SELECT conv_id, turn, {k} AS pattern, unnest(range(0, len(regexp_extract_all(question, '{p}')))) AS pos, unnest(regexp_extract_all(question, '{p}')) AS v FROM q" for k, p in enumerate(QUESTIONS.patterns)) + """),
    f1 AS (SELECT conv_id, turn, v, min((pattern, pos)) AS o FROM f0 GROUP BY ALL), focus AS (SELECT conv_id, turn, string_agg(v, ', ' ORDER BY o) AS focus FROM f1 GROUP BY ALL)"""
@@ -439,10 +565,16 @@ def question_ids(spark, d):
     return _questions(spark, d).select("conv_id", "turn", F.array_join(Q.question_ids(F.col("question")), ", ").alias("ids"))
 
 
+_STRATEGY_KINDS = {"AD_BIOMARKERS_V1": "lines", "AD_PHENOTYPES_V1": "suppliers", "AD_DRUGS_PATHWAYS_V1": "trade", "AD_GENERAL_V1": "general"}
+
+
 def _strategy_reports(spark, d):
-    """A report for each strategy that part of the tables can give: the parts' brands by type."""
-    rows = _read(spark, d, "part").select(F.get(F.array(*map(F.lit, ("AD_BIOMARKERS_V1", "AD_PHENOTYPES_V1", "AD_DRUGS_PATHWAYS_V1", "AD_GENES_GENERAL_V1"))), (F.col("p_size") % 4).cast("int")).alias("strategy"), "p_type")
-    return R.listed(rows, "strategy", F.col("p_type"), "Types").select("strategy", F.col("text").alias("context"), F.lit(True).alias("anchor_found"))
+    """Each strategy's report on the nation of the first customer; strategies without a kind of report have none."""
+    first = _read(spark, d, "customer").orderBy("c_custkey").limit(1).select("c_nationkey")
+    strategy = F.lit(None).cast("string")
+    for name, kind in _STRATEGY_KINDS.items():
+        strategy = F.when(F.col("kind") == kind, F.lit(name)).otherwise(strategy)
+    return _intent_reports(spark, d, first).select(strategy.alias("strategy"), F.col("text").alias("context"), "anchor_found")
 
 
 @_query(f"""WITH {_SCORES}, {_FOUND} SELECT conv_id, turn, intent, {_STRATEGY} AS strategy, 'Intent: ' || intent || chr(10) || 'Notes: ' || {_NOTES} || chr(10) || 'Strategy: ' || {_STRATEGY} || CASE WHEN {_FOCUS} <> '' THEN chr(10) || 'Focus entities: ' || {_FOCUS} ELSE '' END AS description,
@@ -452,10 +584,10 @@ def question_route(spark, d):
     return routed.select("conv_id", "turn", "intent", "strategy", "description", F.size("debug").alias("n_debug"))
 
 
-@_query(f"""WITH {_SCORES}, c AS (SELECT k AS strategy, 'Types' || chr(10) || string_agg('- ' || p_type, chr(10) ORDER BY p_type) AS context FROM (SELECT DISTINCT ['AD_BIOMARKERS_V1','AD_PHENOTYPES_V1','AD_DRUGS_PATHWAYS_V1','AD_GENES_GENERAL_V1'][1 + p_size % 4] AS k, p_type FROM part) GROUP BY 1),
-                r AS (SELECT *, {_STRATEGY} AS strategy FROM i)
+@_query(f"""WITH {_SCORES}, {_intent_sql('SELECT c_nationkey FROM customer ORDER BY c_custkey LIMIT 1')},
+                c AS (SELECT CASE kind {' '.join(f"WHEN '{k}' THEN '{name}'" for name, k in _STRATEGY_KINDS.items())} END AS strategy, text AS context FROM fx), rt AS (SELECT *, {_STRATEGY} AS strategy FROM i)
            SELECT conv_id, turn, CASE WHEN context IS NOT NULL THEN '{Q.RULES}' || chr(10) || chr(10) || 'Intent: ' || intent || chr(10) || chr(10) || 'Question: ' || question || chr(10) || chr(10) || 'Context:' || chr(10) || context END AS prompt,
-           CASE WHEN context IS NULL THEN '{Q.MISSING.replace("'", "''")}' END AS answer FROM r LEFT JOIN c USING (strategy)""")
+           CASE WHEN context IS NULL THEN '{Q.MISSING.replace("'", "''")}' END AS answer FROM rt LEFT JOIN c USING (strategy)""")
 def question_prompt(spark, d):
     return Q.prompts(Q.route(Q.classify(_questions(spark, d)), _strategy_reports(spark, d))).select("conv_id", "turn", "prompt", "answer")
 
@@ -463,8 +595,7 @@ def question_prompt(spark, d):
 @_query(f"WITH {_SCORES.replace('q AS (SELECT conv_id, turn, text || CASE', 'q AS (SELECT conv_id, turn, text AS question FROM conversations WHERE role = ' + chr(39) + 'user' + chr(39) + '), unused AS (SELECT conv_id, turn, text || CASE')} SELECT conv_id, turn, intent, {_STRATEGY} AS strategy FROM i")
 def question_stream(spark, d):
     """The user turns as a file stream, routed and written to a folder that all executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-")
-    path, checkpoint = (f"{folder.rstrip('/')}/questions-{x}-{uuid.uuid4().hex}" for x in ("out", "log"))
+    path, checkpoint = (S.shared_folder(spark, f"questions-{x}") for x in ("out", "log"))
     table = _read(spark, d, "conversations")
     stream = streaming.read_questions(spark, d, table.schema, "conversations.parquet*").filter("role = 'user'").withColumnRenamed("text", "question")
     routed = streaming.routed(stream, _strategy_reports(spark, d)).select("conv_id", "turn", "intent", "strategy")
@@ -475,18 +606,28 @@ def question_stream(spark, d):
 # Pages ------------------------------------------------------------------------------------------------------------
 
 
-@_query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>', 1) AS h FROM pages), u AS (SELECT page_id, unnest(h) AS href, unnest(range(0, len(h))) AS pos FROM l),
-                f AS (SELECT page_id, pos, regexp_replace(href, '[?#].*$|/+$', '') AS path, href FROM u WHERE starts_with(href, '/') AND NOT contains(href, 'privacy')),
-                s AS (SELECT page_id, pos, regexp_extract(path, '([^/]*)$', 1) AS id, 'https://example.org' || href AS url FROM f)
-           SELECT page_id, id, arg_min(url, pos) AS url FROM s WHERE id <> '' GROUP BY page_id, id""")
+@_query("""WITH l AS (SELECT page_id, regexp_split_to_array(html, '(?is)<a\\s') AS parts FROM pages), u AS (SELECT page_id, unnest(parts[2:]) AS part, unnest(range(0, len(parts) - 1)) AS pos FROM l),
+                h AS (SELECT page_id, pos, regexp_extract(part, '(?is)^[^>]*?href="([^"]*)"[^>]*>', 1) AS href, regexp_replace(part, '(?is)^[^>]*?href="[^"]*"[^>]*>', '') AS rest FROM u WHERE regexp_matches(part, '(?is)^[^>]*?href="[^"]*"[^>]*>')),
+                f AS (SELECT page_id, pos, href, regexp_replace(href, '[?#].*$|/+$', '') AS path, regexp_replace(rest, '(?is)</a\\s*>.*$', '') AS title FROM h WHERE starts_with(href, '/') AND NOT contains(href, 'privacy')),
+                c AS (SELECT page_id, pos, regexp_extract(path, '([^/]*)$', 1) AS id, 'https://example.org' || href AS url, regexp_replace(title, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<[^>]*>', ' ', 'g') AS t FROM f),
+                s AS (SELECT page_id, pos, id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\\s\\x{00A0}]+', ' ', 'g')) AS title FROM c WHERE id <> '')
+           SELECT page_id, id, arg_min(url, pos) AS url, arg_min(title, pos) AS title FROM s GROUP BY page_id, id""")
 def page_links(spark, d):
-    return P.links(_read(spark, d, "pages"), "/", "privacy", 1, "https://example.org").select("page_id", "id", "url")
+    return P.links(_read(spark, d, "pages"), "/", "privacy", 1, "https://example.org")
 
 
-@_query("SELECT page_id, url FROM pages WHERE page_id % 3 <> 0 AND page_id NOT IN (SELECT page_id FROM pages WHERE contains(html, '<h2') AND page_id % 3 <> 1)")
+@_query("SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE contains(html, '<h2'))")
 def page_pending(spark, d):
     pages = _read(spark, d, "pages")
-    return P.pending(pages.filter("page_id % 3 != 0").select("page_id", "url"), pages.filter("contains(html, '<h2') AND page_id % 3 != 1"))
+    return P.pending(pages.select("page_id", "url"), pages.filter("contains(html, '<h2')"))
+
+
+@_query("SELECT o_orderkey, o_orderkey IN (SELECT page_id FROM pages) AS found FROM orders")
+def page_scan(spark, d):
+    """Orders as an index of pages: those whose page is stored, and the report of those without."""
+    index = _read(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"))
+    found, missing = P.scan(index, _read(spark, d, "pages").select("page_id", "html"))
+    return found.select("page_id", F.lit(True).alias("found")).union(missing.select("page_id", F.lit(False))).withColumnRenamed("page_id", "o_orderkey")
 
 
 @_query("""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', '', 'g') AS h FROM pages),
@@ -498,40 +639,60 @@ def page_meta(spark, d):
     return P.metadata(_read(spark, d, "pages")).select("page_id", "title", "heading")
 
 
+def _cells(*texts):
+    return F.concat(*(F.concat(F.lit("<td> "), t if not isinstance(t, str) else F.lit(t), F.lit("</td>")) for t in texts))
+
+
+def _fold(row, *order):
+    """All rows of a group, in order, as one text."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), row.alias("r")))), lambda x: x["r"]), "")
+
+
 def _order_pages(spark, d):
-    """A page for each order: its lines as a versioned table under header rows, sections, labelled values and a timeline."""
-    li = _read(spark, d, "lineitem").withColumn("k", F.struct("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    cell = lambda c: F.concat(F.lit("<td> "), c, F.lit("</td>"))
-    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("part "), F.col("l_partkey").cast("string"))), cell(F.col("l_linenumber").cast("string")), cell(F.concat(F.lit("&lt;"), F.col("l_discount").cast("string"))), cell(F.lit("-")), *[cell(F.lit("-"))] * 3, cell(F.col("l_quantity").cast("int").cast("string")), cell(F.lit("")), cell(F.lit("0.5")), F.lit("</tr>"))
+    """A page for each order: sections, labelled values, its lines as a versioned table under header rows, lines across groups, a timeline."""
+    li = _read(spark, d, "lineitem")
+    part = lambda name: F.concat(F.lit(f"{name} "), F.col("l_partkey").cast("string"), F.lit(" (CSF)"))
+    link = F.concat(F.lit('see <a href="/notes/'), F.col("l_partkey").cast("string"), F.lit('">a<b>b</b></a> <a href="http://x.org/">y</a>'))
+    row = F.concat(F.lit("<tr>"), _cells(part("tau"), F.col("l_linenumber").cast("string"), F.concat(F.lit("&lt;"), F.col("l_discount").cast("string")), "-", "-", "-", "-", F.col("l_quantity").cast("int").cast("string"), "", "0.5", link), F.lit("</tr>"))
+    crossed = F.concat(F.lit("<tr>"), _cells(part("nfl"), F.col("l_linenumber").cast("string"), F.col("l_tax").cast("string"), "-"), F.lit("</tr>"))
     head = lambda flag: F.concat(F.lit("<tr><td>Flag "), flag, F.lit("</td><td># n</td></tr>"))
-    lines = li.groupBy("l_orderkey", "l_returnflag").agg(F.concat(head(F.col("l_returnflag")), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", row.alias("r")))), lambda x: x["r"]), "")).alias("rows"))
-    tables = lines.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_returnflag", "rows"))), lambda x: x["rows"]), "").alias("rows"))
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = li.groupBy("l_orderkey", "l_returnflag").agg(F.concat(head(F.col("l_returnflag")), _fold(row, *order)).alias("rows"), F.concat(head(F.col("l_returnflag")), _fold(crossed, *order)).alias("crossed"))
+    tables = lines.groupBy("l_orderkey").agg(_fold(F.col("rows"), "l_returnflag").alias("rows"), _fold(F.col("crossed"), "l_returnflag").alias("crossed"))
     o = _read(spark, d, "orders").join(tables, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    key = F.col("o_orderkey").cast("string")
+    table = lambda rows: F.concat(F.lit("<table><thead><tr><th>x</th></tr></thead><tbody>"), F.coalesce(rows, F.lit("")), F.lit("</tbody></table>"))
+    span = lambda classes: F.concat(F.lit('<tr><td>trial</td><td><div class="'), classes, F.lit('"></div></td></tr>'))
+    timeline = F.concat(F.lit('<div id="timeline"><table><tbody>'), span(F.concat(F.lit("timeline-span phase-"), (F.col("o_orderkey") % 13).cast("string"))), span(F.lit("timeline-span")), F.lit("<tr><td>other</td><td></td></tr></tbody></table></div>"))
     html = F.concat(
-        F.lit("<html><body><script>var x='<table><tr><td>no</td></tr></table>';</script><section id=overview><h2>Over<b>view</b></h2>Order "), F.col("o_orderkey").cast("string"), F.lit(". It is "), "o_orderstatus", F.lit(".</section><section><h3>The "), "o_orderpriority",
-        F.lit("</h3>Text<br>more</section><p><strong>Priority:</strong> "), "o_orderpriority", F.lit("<br><strong>State:</strong> old</p><p><strong>State:</strong> "), "o_orderstatus", F.lit("</p>"),
-        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit('<span class="timeline phase-'), (F.col("o_orderkey") % 4).cast("string"), F.lit('"></span><span class="timeline"></span>'))).otherwise(""), F.lit("<table><tbody>"), F.coalesce("rows", F.lit("")), F.lit("</tbody></table></body></html>"),
+        F.lit("<html><body><script>var x='<table><tr><td>no</td></tr></table>';</script><article id=article><h1 class=page-title>Order "), key, F.lit('</h1><p>Synonyms (other): <i>no</i> '), key,
+        F.lit('</p><div class="a primary"><section id="over-view"><h2 class="pane-title">Over<b>view</b></h2>Order '), key, F.lit(". It is "), "o_orderstatus", F.lit(".</section><section><h3>The "), "o_orderpriority",
+        F.lit("</h3>Text<br>more<section id=inner>Deep</section></section><section>Third</section></div><p><strong>Priority:</strong> "), "o_orderpriority", F.lit("<br><strong>State:</strong> old</p><p><strong>State:</strong> "), "o_orderstatus",
+        F.lit("</p><p>Last updated: day "), key, F.lit("</p>"), table(F.col("rows")), table(F.col("crossed")), F.when(F.col("o_orderkey") % 2 == 0, timeline).otherwise(F.lit('<div id="timeline"></div>')), F.lit("</article></body></html>"),
     )
-    return o.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://example.org/orders/"), F.col("o_orderkey").cast("string")).alias("url"), html.alias("html"))
+    return o.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://example.org/orders/"), key).alias("url"), html.alias("html"))
 
 
-@_query("""SELECT l_orderkey AS page_id, 'Flag ' || l_returnflag AS section, 'part ' || l_partkey AS label, v.version, CASE v.version WHEN '1.x' THEN l_linenumber ELSE CAST(l_quantity AS INT) END AS n, CASE v.version WHEN '1.x' THEN l_discount END AS effect, CASE v.version WHEN '3.0' THEN 0.5 END AS p_value
-           FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES ('1.x'), ('3.0')) v(version)""")
+@_query("""SELECT l_orderkey AS page_id, 'version_summary' AS section, 'Flag ' || l_returnflag AS comparison, 'tau_' || l_partkey || '_csf' AS measure_key, 'tau ' || l_partkey || ' (CSF)' AS label, 'tau ' || l_partkey AS core, 'CSF' AS fluid, 'tau' AS analyte_class, v.version,
+             CASE v.version WHEN '1.x' THEN l_linenumber ELSE CAST(l_quantity AS INT) END AS n, CASE v.version WHEN '1.x' THEN l_discount END AS effect, CASE v.version WHEN '3.0' THEN 0.5 END AS p_value,
+             'see a b y' AS meta_text, 'https://example.org/notes/' || l_partkey || ';http://x.org/' AS meta_urls FROM lineitem JOIN orders ON o_orderkey = l_orderkey, (VALUES ('1.x'), ('3.0')) v(version)
+           UNION ALL SELECT l_orderkey, 'cross_group', 'Flag ' || l_returnflag, 'nfl_' || l_partkey || '_csf', 'nfl ' || l_partkey || ' (CSF)', 'nfl ' || l_partkey, 'CSF', 'neurodegeneration', 'cross', l_linenumber, l_tax, NULL, NULL, NULL FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def page_table_long(spark, d):
-    return P.measurements(P.table_rows(_order_pages(spark, d))).select("page_id", "section", "label", "version", "n", "effect", "p_value")
+    """Both tables of a page in one: versions from the first, comparisons across groups from the second."""
+    return P.page_measurements(P.table_rows(P.parsed(_order_pages(spark, d))), "https://example.org").drop("n_raw", "effect_raw", "p_raw")
 
 
-@_query("""SELECT o_orderkey AS page_id, 'overview' AS section_name, 'Overview' AS section_title, 1 AS section_order, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS text FROM orders
-           UNION ALL SELECT o_orderkey, lower(regexp_replace('The ' || o_orderpriority, '[^A-Za-z0-9]+', '_', 'g')), 'The ' || o_orderpriority, 2, 'Text more' FROM orders""")
+@_query("""SELECT o_orderkey AS page_id, 'over-view' AS section_name, 'Over view' AS section_title, 1 AS section_order, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS text FROM orders
+           UNION ALL SELECT o_orderkey, lower(replace('The ' || o_orderpriority, ' ', '_')), 'The ' || o_orderpriority, 2, 'Text more Deep' FROM orders UNION ALL SELECT o_orderkey, 'section_3', 'Section 3', 3, 'Third' FROM orders""")
 def page_sections(spark, d):
-    return P.sections(_order_pages(spark, d))
+    return P.sections(P.parsed(_order_pages(spark, d)))
 
 
 @_query("SELECT o_orderkey AS page_id, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS overview, 'Order ' || o_orderkey || '.' AS short_summary, 'order' AS category, true AS has_overview, contains(lower(o_orderpriority), 'urgent') AS has_urgent FROM orders")
 def page_entities(spark, d):
     pages = _order_pages(spark, d)
     index = pages.select("page_id", F.col("url").alias("title"))
-    return P.entities(index, P.sections(pages), {"has_overview": "overview", "has_urgent": "urgent"}, "order").drop("title")
+    return P.entities(index, P.sections(P.parsed(pages)), {"has_overview": "over-view", "has_urgent": "urgent"}, "order", "over-view").drop("title")
 
 
 @_query("SELECT o_orderkey AS page_id, o_orderpriority AS priority, o_orderstatus AS state FROM orders")
@@ -540,64 +701,80 @@ def page_kv(spark, d):
     return values.select("page_id", F.col("values").getItem("priority_level").alias("priority"), F.col("values").getItem("state").alias("state"))
 
 
-@_query("SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS blocks, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 4 AS INT) END AS phase_max FROM orders")
+@_query("SELECT o_orderkey AS page_id, 'Order ' || o_orderkey AS heading, 'Over view' AS subtitle, 'no ' || o_orderkey AS synonyms, 'day ' || o_orderkey AS last_updated FROM orders")
+def page_lines(spark, d):
+    """Labelled lines of a page: synonyms and the day of the last change."""
+    first = F.get(F.split("intro", "\n\n"), F.lit(0))
+    return P.metadata(_order_pages(spark, d)).select("page_id", "heading", "subtitle", P.synonym_line(first).alias("synonyms"), "last_updated")
+
+
+@_query("SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS blocks, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 13 AS INT) END AS phase_max FROM orders")
 def page_timeline(spark, d):
-    return P.timeline(_order_pages(spark, d))
+    return P.timeline(P.parsed(_order_pages(spark, d)))
 
 
 def _part_pages(spark, d):
-    """A page for each brand: a list of its parts with linked heads and a table across groups of two header rows."""
+    """A page for each brand and size: a list of its parts with linked row headers, and a heading with paragraphs behind it."""
     p = _read(spark, d, "part")
     name = F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))
-    listed = F.concat(F.lit('<tr><th><a href="/parts/'), F.col("p_partkey").cast("string"), F.lit('/">'), name, F.lit("</a></th><td>"), "p_type", F.lit("</td><td> "), F.col("p_size").cast("string"), F.lit("</td></tr>"))
-    crossed = F.concat(F.lit("<tr><td>"), name, F.lit("</td><td>"), F.col("p_size").cast("string"), F.lit("</td><td>&lt;"), F.col("p_retailprice").cast("string"), F.lit("</td><td>-</td></tr>"))
-    fold = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", c.alias("r")))), lambda x: x["r"]), "")
-    pages = p.groupBy("p_brand").agg(fold(listed).alias("a"), fold(crossed).alias("b"), F.min("p_partkey").alias("page_id"))
-    html = F.concat(F.lit("<table><tbody>"), "a", F.lit("</tbody></table><p>x</p><table><tr><td>All of "), "p_brand", F.lit("</td><td># n</td></tr>"), "b", F.lit("</table><section id=notes><h2>Notes</h2>Plain "), "p_brand", F.lit("</section><section><h3>Mechanism of action</h3>Acts on "), "p_brand", F.lit("</section>"))
+    listed = F.concat(F.lit('<tr><th scope="row"><a href="/parts/'), F.col("p_partkey").cast("string"), F.lit('/">'), name, F.lit("</a> <a href=/no>no</a></th>"), _cells(F.col("p_type"), F.concat(F.lit('<a href="/sizes">'), F.col("p_size").cast("string"), F.lit("</a>"))), F.lit("</tr>"))
+    pages = p.groupBy("p_brand", "p_size").agg(_fold(listed, "p_partkey").alias("rows"), F.min("p_partkey").alias("page_id"))
+    html = F.concat(F.lit("<table><thead><tr><th scope=row><a href=/head>Name</a></th><td>a</td><td>b</td></tr></thead><tbody>"), "rows", F.lit("<tr><th>plain</th><td>c</td><td>d</td></tr></tbody></table><div><h2>Notes</h2><p>Plain "), "p_brand", F.lit("</p><h3>Mechanism of <i>action</i></h3><p>Acts on "), "p_brand", F.lit("<ul><li>one<li>two</ul><span>not</span><h3>End</h3><p>no</p></div>"))
     return pages.select("page_id", F.concat(F.lit("https://example.org/"), "p_brand").alias("url"), html.alias("html"))
 
 
-@_query("SELECT p_partkey AS id, p_name || ' ' || p_partkey AS name, 'https://example.org/parts/' || p_partkey || '/' AS url, p_type AS kind, CAST(p_size AS VARCHAR) AS size FROM part")
+@_query("SELECT 'https://example.org/parts/' || p_partkey || '/' AS url, CAST(p_partkey AS VARCHAR) AS slug, p_name || ' ' || p_partkey AS name, p_type AS kind, CAST(p_size AS VARCHAR) AS size FROM part")
 def page_search_rows(spark, d):
-    # The list's links are in its head cells, so they come from the link scan of the same pages.
-    pages = _part_pages(spark, d)
-    urls = P.links(pages, "/parts/", base="https://example.org").select("page_id", F.col("id").alias("slug"), "url")
-    rows = P.search_results(P.table_rows(pages), ["kind", "size"]).withColumn("slug", X.last_segment(F.regexp_replace("name", " ", "/")))
-    return rows.drop("url").join(urls, ["page_id", "slug"]).select(F.col("slug").cast("long").alias("id"), "name", "url", "kind", "size")
+    return P.search_results(P.table_rows(P.parsed(_part_pages(spark, d))), ["kind", "size"], "https://example.org").drop("page_id", "row_no")
 
 
-@_query("SELECT 'All of ' || p_brand AS section, p_name || ' ' || p_partkey AS label, 'cross' AS version, p_size AS n, p_retailprice AS effect, CAST(NULL AS DOUBLE) AS p_value FROM part")
+@_query("SELECT l_orderkey AS page_id, 'Flag ' || l_returnflag AS comparison, 'nfl ' || l_partkey || ' (CSF)' AS label, 'cross' AS version, l_linenumber AS n, l_tax AS effect, CAST(NULL AS DOUBLE) AS p_value FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def page_cross_group(spark, d):
-    return P.cross_group(P.table_rows(_part_pages(spark, d)).filter("table_no = 1")).select("section", "label", "version", "n", "effect", "p_value")
+    rows = P.table_rows(P.parsed(_order_pages(spark, d))).filter("table_no = 1")
+    return P.cross_group(rows).select("page_id", "comparison", "label", "version", "n", "effect", "p_value")
 
 
-@_query("SELECT min(p_partkey) AS page_id, 'Acts on ' || p_brand AS text FROM part GROUP BY p_brand")
+@_query("SELECT min(p_partkey) AS page_id, 'Acts on ' || p_brand || chr(10) || chr(10) || 'one two' AS text FROM part GROUP BY p_brand, p_size")
 def page_background(spark, d):
-    return P.background(P.sections(_part_pages(spark, d)), ["background", "overview"], "mechanism")
+    return P.parsed(_part_pages(spark, d)).select("page_id", P.background(["mechanism", "background"], ["mechanism"]).alias("text"))
 
 
-_LABELS = {"FDA Status": "fda_status", "Target Type": "target_type", "Therapy Type": "therapy_type", "Approved for": "approved_for"}
+_LABELS = {"Name": "name", "U.S. FDA Status": "fda_status", "Target Type": "target_type", "Therapy Type": "therapy_type", "Condition(s)": "conditions"}
 
 
 def _detail_pages(spark, d):
+    """A page for each part: labelled values (every third in running text), a mechanism with or without an id, a timeline."""
     p = _read(spark, d, "part")
-    field = lambda label, value: F.concat(F.lit(f"<strong>{label}:</strong> "), value, F.lit("<br>"))
-    html = F.concat(field("FDA Status", F.concat(F.lit("Phase "), (F.col("p_size") % 4).cast("string"))), field("Target Type", F.concat("p_name", F.lit(" (timeline), "), "p_brand")), field("Therapy Type", F.when(F.col("p_size") % 2 == 0, "Small Molecule (timeline)").otherwise("Dietary")), field("Approved for", F.col("p_type")), F.lit('<span class="timeline phase-2"></span>'))
+    labels = F.when(F.col("p_partkey") % 3 == 0, F.lit("%s: ")).otherwise(F.lit("<strong>%s:</strong> "))
+    end = F.when(F.col("p_partkey") % 3 == 0, F.lit(" ")).otherwise(F.lit("<br/>"))
+    field = lambda label, value: F.concat(F.replace(labels, F.lit("%s"), F.lit(label)), value, end)
+    size = F.col("p_size")
+    status = F.when(size % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("Phase "), (size % 4).cast("string")))
+    values = F.concat(field("Name", F.col("p_name")), F.when(size % 6 == 0, F.lit("")).otherwise(field("U.S. FDA Status", status)), field("Target Type", F.concat(F.lit("(timeline), "), "p_name", F.lit(" (timeline), "), "p_brand")), field("Therapy Type", F.when(size % 2 == 0, "Small Molecule (timeline)").otherwise("Dietary")), field("Condition(s)", F.col("p_type")))
+    named, behind = F.lit('<section id="background">Background It has '), F.lit("<h3>The Mechanism</h3><p>It has ")
+    mechanism = F.concat(F.when(size % 2 == 0, named).otherwise(behind), "p_brand", F.lit(". Then more. Then end"), F.when(size % 2 == 0, F.lit("</section>")).otherwise(F.lit("</p><h2>x</h2><p>no</p>")))
+    html = F.concat(F.lit('<article id="article"><h1>'), "p_name", F.lit('</h1><section id="overview"><p>'), values, F.lit("</p></section>"), mechanism, F.lit('<section id="timeline"><table><tr><td><div class="timeline-span phase-'), (size % 3 + 1).cast("string"), F.lit('"></div></td></tr></table></section><p>Last updated: today</p></article>'))
     return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://example.org/parts/"), F.when(F.col("p_partkey") % 10 == 0, "?").otherwise(""), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
 
 
-@_query("""SELECT CAST(p_partkey AS VARCHAR) AS id, 'Phase ' || (p_size % 4) AS fda_status, p_type AS approved_for, 'ongoing' AS status, CAST(greatest(2, p_size % 4) AS INT) AS trial_phase_max FROM part WHERE p_partkey % 10 <> 0""")
+_DETAILS = """x AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, p_brand, p_type, CASE WHEN p_size % 6 <> 0 THEN 'Phase ' || (p_size % 4) END AS status, CASE WHEN p_size % 6 <> 0 THEN p_size % 4 END AS ph, p_size % 3 + 1 AS tl, p_size, p_partkey FROM part WHERE p_partkey % 10 <> 0),
+   y AS (SELECT *, CAST(greatest(coalesce(ph, 0), tl) AS INT) AS phase, CASE WHEN status IS NULL THEN greatest(coalesce(ph, 0), tl) >= 3 ELSE ph >= 3 END AS has3 FROM x)"""
+
+
+@_query(f"""WITH {_DETAILS} SELECT id, p_name AS page_title, p_name AS name, status AS fda_status, p_name || ', ' || p_brand AS target_type, CASE WHEN p_size % 2 = 0 THEN 'Small Molecule' ELSE 'Dietary' END AS therapy_type, p_type AS conditions,
+             'It has ' || p_brand || '. Then more.' AS mechanism_summary, CASE WHEN p_size % 2 = 0 THEN 'Background ' ELSE '' END || 'It has ' || p_brand || '. Then more. Then end' AS mechanism_raw, CASE WHEN status IS NOT NULL THEN 'ongoing' END AS status,
+             phase AS trial_phase_max, has3 AS has_phase3, 1 AS trial_count, 'today' AS last_updated, 'https://example.org/parts/' || id AS url FROM y""")
 def page_details(spark, d):
-    return P.details(_detail_pages(spark, d), _LABELS)[0].select("id", "fda_status", "approved_for", "status", "trial_phase_max")
+    return P.details(_detail_pages(spark, d), _LABELS)[0].drop("overview_raw")
 
 
-@_query("""WITH t AS (SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 2 = 0 THEN 'small_molecule' ELSE 'supplement' END AS action_type, p_name, p_brand FROM part WHERE p_partkey % 10 <> 0)
-           SELECT id, p_name AS target_name, action_type, true AS is_primary_target FROM t UNION ALL SELECT id, p_brand, action_type, false FROM t""")
+@_query(f"""WITH {_DETAILS}, t AS (SELECT id, 'pathway_or_process' AS target_kind, CASE WHEN p_size % 2 = 0 THEN 'small_molecule' ELSE 'supplement' END AS action_type, p_name, p_brand, 'It has ' || p_brand || '.' AS target_notes FROM y)
+           SELECT id, p_name AS target_name, target_kind, action_type, true AS is_primary_target, target_notes FROM t UNION ALL SELECT id, p_brand, target_kind, action_type, false, target_notes FROM t""")
 def page_targets(spark, d):
     return P.details(_detail_pages(spark, d), _LABELS)[1]
 
 
-@_query("""SELECT CAST(p_partkey AS VARCHAR) AS id, p_type AS indication, CAST(greatest(2, p_size % 4) AS INT) AS trial_phase_max, p_size % 4 >= 3 AS has_phase3, 'ongoing' AS status, 1 AS trial_count FROM part WHERE p_partkey % 10 <> 0""")
+@_query(f"WITH {_DETAILS} SELECT id, p_type AS indication, phase AS trial_phase_max, has3 AS has_phase3, CASE WHEN status IS NOT NULL THEN 'ongoing' END AS status, 1 AS trial_count, status AS notes FROM y")
 def page_trials(spark, d):
     return P.details(_detail_pages(spark, d), _LABELS)[2]
 
@@ -610,9 +787,73 @@ def import_nodes(spark, d):
     return S.import_nodes(trade_graph(spark, d).nodes["Customer"], "Customer")
 
 
-@_query("SELECT CAST(o_custkey AS VARCHAR) AS \":START_ID(Customer)\", CAST(o_orderkey AS VARCHAR) AS \":END_ID(Order)\" FROM orders")
+@_query("SELECT CAST(o_custkey AS VARCHAR) AS \":START_ID(Customer)\", CAST(o_orderkey AS VARCHAR) AS \":END_ID(Order)\", o_orderstatus AS status FROM orders")
 def import_edges(spark, d):
-    return S.import_edges(trade_graph(spark, d).edges["PLACED"].drop("total"), "Customer", "Order")
+    edges = _read(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), F.col("o_orderstatus").alias("status"))
+    return S.import_edges(edges, "Customer", "Order")
+
+
+@_query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || chr(10) || '"' || c_mktsegment || '", x' AS label, CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation, CAST(NULL AS VARCHAR) AS absent FROM customer""")
+def source_text_table(spark, d):
+    """Customers written as CSV, with quotes, line breaks and blanks, and read again as text."""
+    path = S.shared_folder(spark, "customers-csv")
+    label = F.concat("c_name", F.lit('\n"'), "c_mktsegment", F.lit('", x'))
+    S.write_table(_read(spark, d, "customer").select(F.col("c_custkey").alias("id"), label.alias("label"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")).alias("nation")), path, "csv")
+    return S.read_text_table(spark, path, ["id", "label", "nation", "absent"], required=["id"])
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS number, CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_orderkey AS DOUBLE) / 4 END AS share, o_orderstatus = 'F' AS flag FROM orders""")
+def source_typed_table(spark, d):
+    """Orders written as CSV and read with declared types: what isn't a value of its type is null."""
+    path = S.shared_folder(spark, "orders-csv")
+    key = F.col("o_orderkey")
+    share = F.when(key % 3 == 1, (key / 4).cast("string")).when(key % 3 == 2, "-").otherwise("<1")
+    rows = _read(spark, d, "orders").select("o_orderkey", F.when(key % 3 != 0, F.col("o_custkey").cast("string")).otherwise("none").alias("number"), share.alias("share"), (F.col("o_orderstatus") == "F").alias("flag"))
+    S.write_table(rows, path, "csv")
+    return S.read_typed_table(spark, path, T.StructType.fromDDL("o_orderkey long, number long, share double, flag boolean"))
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS symbol, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS name, '' AS absent FROM part")
+def source_tabbed(spark, d):
+    path = S.shared_folder(spark, "parts-tabbed")
+    _read(spark, d, "part").select(F.col("p_partkey").alias("symbol"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("name"), "p_type").write.option("header", True).option("sep", "\t").csv(path)
+    return S.read_tabbed(spark, path, ["symbol", "name", "absent"])
+
+
+@_query("""SELECT 'PART:' || p_partkey AS id, p_name AS label, 'http://example.org/obo/PART_' || p_partkey AS iri, CASE WHEN p_brand < p_type THEN p_brand || '|' || p_type ELSE p_type || '|' || p_brand END AS synonyms, 'parts' AS source FROM part WHERE p_size % 7 <> 0""")
+def source_vocabulary(spark, d):
+    """Parts written as classes of OWL files, a thousand in each, and read again; those without a label are left out."""
+    path = S.shared_folder(spark, "parts-owl")
+    key, label = F.col("p_partkey").cast("string"), F.when(F.col("p_size") % 7 != 0, F.concat(F.lit("<rdfs:label>"), "p_name", F.lit("</rdfs:label>"))).otherwise("")
+    of = lambda tag, c: F.concat(F.lit(f"<oboInOwl:{tag}>"), c, F.lit(f"</oboInOwl:{tag}>"))
+    text = F.concat(F.lit('<owl:Class rdf:about="http://example.org/obo/PART_'), key, F.lit('">'), label, of("hasExactSynonym", F.col("p_type")), of("hasRelatedSynonym", F.col("p_brand")), of("hasExactSynonym", F.col("p_type")), F.lit("</owl:Class>"))
+    space = " ".join(f'xmlns:{n}="http://example.org/{n}"' for n in ("rdf", "owl", "rdfs", "oboInOwl"))
+    whole = F.concat(F.lit(f"<rdf:RDF {space}>"), _fold(text, "p_partkey"), F.lit("</rdf:RDF>"))
+    _read(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 1000).alias("file")).agg(whole.alias("value")).write.partitionBy("file").text(path)
+    return S.read_vocabulary(spark, path, "parts")
+
+
+@_query("SELECT s_suppkey, s_name FROM supplier")
+def source_preferred(spark, d):
+    """The enriched table isn't there, so the base table is read."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return S.preferred_source(spark, [f"{d}/supplier_enriched.parquet", f"{d}/supplier.parquet"], spark.read.parquet).select("s_suppkey", "s_name")
+
+
+@_query("""SELECT 'Customer' AS label, (SELECT count(*) FROM customer) AS rows, (SELECT count(*) FROM customer) AS kept, '' AS empty_header UNION ALL SELECT 'Order', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders), ''
+           UNION ALL SELECT 'Nothing', 0, 0, 'id,label,kind'""")
+def build_counts(spark, d):
+    """Each label's table built and written, with the rows counted on the way, and read again; a label without a source is skipped."""
+    folder, g = S.shared_folder(spark, "graph"), trade_graph(spark, d)
+    nothing = NodeSpec("Nothing", ("kind",))
+    catalog = Catalog({n: NodeSpec(n, ()) for n in ("Customer", "Order", "Absent")} | {"Nothing": nothing}, {})
+    builders = {"Customer": lambda: g.nodes["Customer"], "Order": lambda: g.nodes["Order"], "Absent": lambda: None, "Nothing": lambda: S.empty(spark, nothing.schema)}
+    counts = S.build_all(builders, catalog, "node", folder)
+    S.write_table(S.empty(spark, nothing.schema), f"{folder}/empty-csv", "csv")
+    header = spark.read.text(f"{folder}/empty-csv").agg(F.array_join(F.collect_list("value"), "").alias("empty_header"))
+    parts = [spark.read.parquet(f"{folder}/{n}").agg(F.lit(n).alias("label"), F.lit(rows).cast("long").alias("rows"), F.count("*").alias("kept")) for n, rows in counts.items()]
+    return N.union_nodes(*parts).crossJoin(F.broadcast(header)).withColumn("empty_header", F.when(F.col("label") == "Nothing", F.col("empty_header")).otherwise(""))
 
 
 @_query("""SELECT 'region' AS table_name, (SELECT count(*) FROM region) AS row_count, 'r_regionkey,r_name' AS column_names, (SELECT string_agg('{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}', chr(10) ORDER BY r_regionkey) FROM (FROM region ORDER BY r_regionkey LIMIT 3)) AS first_rows

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,14 +109,25 @@ def profile(tables: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]],
     return result
 
 
-def build_all(builders: Mapping[str, Callable[[], DataFrame | None]], catalog: Catalog, kind: str, folder: str) -> list[str]:
-    """Builds and writes each label or type, one Spark job each; those without a source are skipped. Names what was written."""
-    written = []
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name under spark.checkpoint.dir, which driver and executors share; without one, a temporary one if all is one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="loomgraph-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def build_all(builders: Mapping[str, Callable[[], DataFrame | None]], catalog: Catalog, kind: str, folder: str) -> dict[str, int]:
+    """Builds and writes each label or type, one Spark job each; those without a source are skipped. The number of rows written of each, counted as they are written."""
+    written = {}
     for name, build in builders.items():
         df = build()
         if df is None:
             continue
-        spec = catalog.node(name) if kind == "node" else catalog.edge(name)
-        write_table(conform(df, spec.schema), f"{folder}/{name}")
-        written.append(name)
+        spec, seen = catalog.node(name) if kind == "node" else catalog.edge(name), Observation()
+        write_table(conform(df, spec.schema).observe(seen, F.count("*").alias("rows")), f"{folder}/{name}")
+        written[name] = seen.get["rows"]
     return written
