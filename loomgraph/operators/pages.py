@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .nodes import first_per_key, union_nodes
+from .nodes import first_per_key
 
 _VOID = {"br", "hr", "img", "input", "link", "meta", "area", "base", "col", "embed", "source", "track", "wbr"}
 #: Comments, scripts and styles, declarations, and tags: whether it closes, its name, its attributes.
@@ -253,14 +253,18 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(rows, _KINDS)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key to all tasks, however small they are: for work that is heavy beside its bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def parsed(pages: DataFrame) -> DataFrame:
     """A row for each page: page_id, error, tables (their rows), sections, named (blocks with an id), headings.
 
-    Parsing is Python, so pages are dealt to all tasks first: however few partitions they come in, each gets a share.
+    Parsing is Python, so pages are spread first: however few partitions they come in, each task gets a share.
     """
-    spark = pages.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return pages.select(F.col("page_id").cast("long"), "html").repartition(tasks, "page_id").mapInArrow(_parse, _PARSED)
+    return spread(pages.select(F.col("page_id").cast("long"), "html"), "page_id").mapInArrow(_parse, _PARSED)
 
 
 def failures(pages: DataFrame) -> DataFrame:
@@ -304,13 +308,19 @@ def _cell(k: int) -> Column:
     return F.coalesce(F.get("cells", F.lit(k)), F.lit(""))
 
 
-def _measured(rows: DataFrame, section: str, triples: Column, base: str) -> DataFrame:
-    """A row for each triple (version, n_raw, effect_raw, p_raw) of a body row; triples of blanks and dashes go."""
+def _triples(*at: tuple[str, int]) -> Column:
+    """(version, n_raw, effect_raw, p_raw) from the cells at these places."""
+    return F.array(*(F.struct(F.lit(v).alias("version"), *(_cell(k + j).alias(n) for j, n in enumerate(("n_raw", "effect_raw", "p_raw")))) for v, k in at))
+
+
+def _measured(rows: DataFrame, main: Column, versions: Sequence[str], cross: str, base: str) -> DataFrame:
+    """A row for each triple of a body row, of all versions (main) or of the one across groups; triples of blanks and dashes go."""
+    triples = F.when(main, _triples(*((v, 1 + 3 * k) for k, v in enumerate(versions)))).otherwise(_triples((cross, 1)))
     urls = F.array_join(F.transform(F.element_at("urls", -1), lambda u: X.absolute_url(base, u)), ";")
     label = _cell(0)
     long = rows.select(
-        "page_id", F.lit(section).alias("section"), F.col("header").alias("comparison"), X.measure_key(label).alias("measure_key"), label.alias("label"), X.core_part(label).alias("core"),
-        X.qualifier(label).alias("fluid"), X.analyte_class(X.core_part(label)).alias("analyte_class"), F.explode(triples).alias("t"), F.element_at("cells", -1).alias("meta_text"), urls.alias("meta_urls"),
+        "page_id", F.when(main, F.lit("version_summary")).otherwise("cross_group").alias("section"), F.col("header").alias("comparison"), X.measure_key(label).alias("measure_key"), label.alias("label"), X.core_part(label).alias("core"),
+        X.qualifier(label).alias("fluid"), X.analyte_class(X.core_part(label)).alias("analyte_class"), F.explode(triples).alias("t"), F.when(main, F.element_at("cells", -1)).alias("meta_text"), F.when(main, urls).alias("meta_urls"),
     )
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")).isin("", "-")
     kept = long.filter(~(blank(F.col("t.n_raw")) & blank(F.col("t.effect_raw")) & blank(F.col("t.p_raw"))))
@@ -318,24 +328,23 @@ def _measured(rows: DataFrame, section: str, triples: Column, base: str) -> Data
     return kept.select("page_id", "section", "comparison", "measure_key", "label", "core", "fluid", "analyte_class", "t.version", "t.n_raw", "t.effect_raw", "t.p_raw", *numbers, "meta_text", "meta_urls")
 
 
-def _triple(version: str, at: int) -> Column:
-    return F.struct(F.lit(version).alias("version"), *(_cell(at + j).alias(n) for j, n in enumerate(("n_raw", "effect_raw", "p_raw"))))
+VERSIONS = ("1.x", "2.x", "3.0")
 
 
-def measurements(rows: DataFrame, versions: Sequence[str] = ("1.x", "2.x", "3.0"), base: str = "") -> DataFrame:
+def measurements(rows: DataFrame, versions: Sequence[str] = VERSIONS, base: str = "") -> DataFrame:
     """A row for each version of a measurement: a label, a triple for each version, and a last cell of remarks and links."""
-    body = carried_headers(rows).filter(F.size("cells") >= 2 + 3 * len(versions))
-    return _measured(body, "version_summary", F.array(*(_triple(v, 1 + 3 * k) for k, v in enumerate(versions))), base)
+    return _measured(carried_headers(rows).filter(F.size("cells") >= 2 + 3 * len(versions)), F.lit(True), versions, "", base)
 
 
-def cross_group(rows: DataFrame, version: str = "cross", base: str = "") -> DataFrame:
+def cross_group(rows: DataFrame, version: str = "cross") -> DataFrame:
     """Rows of four cells: label, n, effect and p, under the header above them."""
-    return _measured(carried_headers(rows).filter(F.size("cells") == 4), "cross_group", F.array(_triple(version, 1)), base).withColumns({"meta_text": F.lit(None).cast("string"), "meta_urls": F.lit(None).cast("string")})
+    return _measured(carried_headers(rows).filter(F.size("cells") == 4), F.lit(False), VERSIONS, version, "")
 
 
-def page_measurements(rows: DataFrame, base: str = "") -> DataFrame:
-    """The first table of a page as measurements, the second as comparisons across groups, in one table."""
-    return union_nodes(measurements(rows.filter("table_no = 0"), base=base), cross_group(rows.filter("table_no = 1"), base=base))
+def page_measurements(rows: DataFrame, versions: Sequence[str] = VERSIONS, cross: str = "cross", base: str = "") -> DataFrame:
+    """The first table of a page as measurements and the second as comparisons across groups, in one table and one pass."""
+    main, second = (F.col("table_no") == 0) & (F.size("cells") >= 2 + 3 * len(versions)), (F.col("table_no") == 1) & (F.size("cells") == 4)
+    return _measured(carried_headers(rows.filter("table_no < 2")).filter(main | second), main, versions, cross, base)
 
 
 def search_results(rows: DataFrame, names: Sequence[str], base: str = "") -> DataFrame:

@@ -650,7 +650,7 @@ def _fold(row, *order):
 
 def _order_pages(spark, d):
     """A page for each order: sections, labelled values, its lines as a versioned table under header rows, lines across groups, a timeline."""
-    li = _read(spark, d, "lineitem")
+    li = P.spread(_read(spark, d, "lineitem"), "l_orderkey")  # one deal for both groupings and the join
     part = lambda name: F.concat(F.lit(f"{name} "), F.col("l_partkey").cast("string"), F.lit(" (CSF)"))
     link = F.concat(F.lit('see <a href="/notes/'), F.col("l_partkey").cast("string"), F.lit('">a<b>b</b></a> <a href="http://x.org/">y</a>'))
     row = F.concat(F.lit("<tr>"), _cells(part("tau"), F.col("l_linenumber").cast("string"), F.concat(F.lit("&lt;"), F.col("l_discount").cast("string")), "-", "-", "-", "-", F.col("l_quantity").cast("int").cast("string"), "", "0.5", link), F.lit("</tr>"))
@@ -679,7 +679,7 @@ def _order_pages(spark, d):
            UNION ALL SELECT l_orderkey, 'cross_group', 'Flag ' || l_returnflag, 'nfl_' || l_partkey || '_csf', 'nfl ' || l_partkey || ' (CSF)', 'nfl ' || l_partkey, 'CSF', 'neurodegeneration', 'cross', l_linenumber, l_tax, NULL, NULL, NULL FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def page_table_long(spark, d):
     """Both tables of a page in one: versions from the first, comparisons across groups from the second."""
-    return P.page_measurements(P.table_rows(P.parsed(_order_pages(spark, d))), "https://example.org").drop("n_raw", "effect_raw", "p_raw")
+    return P.page_measurements(P.table_rows(P.parsed(_order_pages(spark, d))), base="https://example.org").drop("n_raw", "effect_raw", "p_raw")
 
 
 @_query("""SELECT o_orderkey AS page_id, 'over-view' AS section_name, 'Over view' AS section_title, 1 AS section_order, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS text FROM orders
