@@ -204,6 +204,13 @@ def test_components_of_a_long_path(spark):
     assert found == {k: 0 for k in range(301)} | dict.fromkeys((900, 901, 905), 900)
 
 
+def test_components_with_a_hot_node(spark):
+    """Most edges at one node, which is neither the smallest nor the largest."""
+    links = spark.range(3000).select(F.lit(1500).cast("long").alias("a"), F.col("id").alias("b")).union(spark.createDataFrame([(4000, 4001), (4002, 4001), (2999, 5000)], "a long, b long"))
+    found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    assert found == dict.fromkeys((*range(3000), 5000), 0) | dict.fromkeys((4000, 4001, 4002), 4000)
+
+
 def test_hidden_markov(spark, monkeypatch):
     monkeypatch.setattr(hidden_markov, "RANGE", 300)
     texts = prose(3)
