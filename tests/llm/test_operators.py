@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
 import itertools
@@ -807,7 +808,9 @@ def test_line_crf_held_out(spark):
 
 
 def test_shards_are_minimax(spark, monkeypatch):
-    monkeypatch.setattr(minimax_shards, "WAYS", 3)
+    monkeypatch.setattr(minimax_shards, "FIRST", 1)
+    monkeypatch.setattr(minimax_shards, "DEEPER", 1)
+    monkeypatch.setattr(minimax_shards, "AT_ONCE", 2)
     texts = prose(11, 40) + ["same"] * 50
     rows = minimax_shards.shard_documents(documents(spark, texts).repartition(3)).collect()
     groups = collections.Counter()
@@ -835,6 +838,49 @@ def test_shards_are_minimax(spark, monkeypatch):
     assert minimax_shards.shard_documents(documents(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_minimax_cuts_open_few_parts(seed, monkeypatch):
+    """Cuts of opened parts are those of a greedy filling by whole groups at the smallest capacity, with a hot group or without."""
+    monkeypatch.setattr(minimax_shards, "AT_ONCE", (1, 4, 256)[seed % 3])
+    r = random.Random(seed)
+    groups = {hashlib.sha1(str((seed, k)).encode()).hexdigest(): r.choice((1, 1, r.randrange(1, 500))) for k in range((0, 1, 5, 700, 3000, 3000)[seed])}
+    if seed > 3:
+        groups[r.choice(sorted(groups))] = sum(groups.values()) // 2
+    asked = []
+
+    def parts(length, within=None):
+        found = {}
+        for digest, weight in groups.items():
+            if within is None or digest[: length - 1] in within:
+                old = found.get(digest[:length], (0, 0))
+                found[digest[:length]] = (old[0] + weight, old[1] + 1)
+        return [(p, w, n) for p, (w, n) in found.items()]
+
+    def opened(prefixes):
+        asked.append(prefixes)
+        return [row for n in {len(p) for p in prefixes} for row in parts(n + 1, {p for p in prefixes if len(p) == n})]
+
+    def fill(capacity):
+        cuts, room = [], capacity
+        for digest in sorted(groups):
+            if groups[digest] > room:
+                cuts.append(digest)
+                room = capacity
+            room -= groups[digest]
+        return cuts
+
+    last = minimax_shards.minimax_cuts(parts(2), max(groups.values(), default=0), 8, opened)
+    total = sum(groups.values())
+    low, high = max([-(-total // 8), *groups.values()]), max(total, 1)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if len(fill(middle)) < 8 else (middle + 1, high)
+    shard = {d: sum(d[: len(p)] > p for p in last) for d in groups}
+    cuts = fill(high)
+    assert all(shard[d] == bisect.bisect_right(cuts, d) for d in groups)
+    assert all(len(x) <= minimax_shards.AT_ONCE for x in asked)
+
+
 def test_poisson_mix(spark, monkeypatch):
     texts = ["word " * 20] * 3000
     sources = {k: ("a", "b", None)[k % 3] for k in range(3000)}
