@@ -25,6 +25,9 @@ _ATTRIBUTE = re.compile(r"""([a-z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WANTED = {"id", "class", "href", "scope"}
 _HEADINGS = {"h1", "h2", "h3"}
 _BLOCKS = {"p", "ul", "ol", "div"}
+_SPECIAL = {"table", "tr", "a", "div", "section", *_HEADINGS}
+#: Elements whose end brings something.
+_ENDED = _SPECIAL | _BLOCKS | {"td", "article"}
 #: What an opening tag closes if it is still open, and within what.
 _CLOSES = {"p": ({"p"}, {"div", "section", "article", "td", "th", "li"}), "li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "tr": ({"tr"}, {"table"})}
 _CLOSES |= {tag: _CLOSES["p"] for tag in ("ul", "ol", "div", "table", "section", "article", "h1", "h2", "h3")}
@@ -85,22 +88,29 @@ def metadata(pages: DataFrame) -> DataFrame:
 
 
 class _Element:
-    """An open element: where its text begins, and what it has gathered."""
+    """An open element: where its text begins, and what it has gathered. What few elements have stands in the class."""
 
-    __slots__ = ("tag", "id", "classes", "scope", "href", "piece", "link", "heading", "section")
+    id, classes, scope, href = "", (), None, None
+    heading: list | None = None  # the last heading among the children, [title, texts of the siblings behind it]
+    section: dict | None = None
 
-    def __init__(self, tag: str, given: dict[str, str], piece: int, link: int):
-        self.tag, self.id, self.classes = tag, given.get("id", "").strip(), given.get("class", "").split()
-        self.scope, self.href, self.piece, self.link = given.get("scope"), given.get("href"), piece, link
-        self.heading: list | None = None  # the last heading among the children, [title, texts of the siblings behind it]
-        self.section: dict | None = None
+    def __init__(self, tag: str, piece: int, link: int):
+        self.tag, self.piece, self.link = tag, piece, link
+
+    def take(self, attributes: str) -> None:
+        given: dict[str, str] = {}
+        for a in _ATTRIBUTE.finditer(attributes):
+            if (name := a[1].lower()) in _WANTED:
+                given.setdefault(name, unescape(a[2] or a[3] or a[4] or ""))
+        self.id, self.classes = given.get("id", "").strip(), given.get("class", "").split()
+        self.scope, self.href = given.get("scope"), given.get("href")
 
 
 class _Parser:
     """Rows of outer tables, sections, blocks with an id, and headings, in one walk. Text is kept once, as a list of pieces."""
 
     def __init__(self):
-        self.open = [_Element("", {}, 0, 0)]  # the page itself
+        self.open = [_Element("", 0, 0)]  # the page itself
         self.pieces: list[str] = []
         self.in_heading: list[bool] = []
         self.hrefs: list[str] = []
@@ -115,6 +125,8 @@ class _Parser:
 
     def _text(self, start: int, headings: bool = True) -> str:
         pieces = self.pieces[start:]
+        if headings and len(pieces) < 2:
+            return " ".join(pieces[0].split()) if pieces else ""
         if not headings:
             pieces = [p for p, h in zip(pieces, self.in_heading[start:], strict=True) if not h]
         return " ".join(" ".join(pieces).split())
@@ -122,35 +134,41 @@ class _Parser:
     def read(self, html: str) -> None:
         at = 0
         for m in _TAG.finditer(html):
-            if m.start() > at:
-                self._data(html[at : m.start()])
-            at = m.end()
-            if m[3]:
-                if m[2]:
-                    self._end(m[3].lower())
+            start, end = m.span()
+            if start > at:
+                self._data(html[at:start])
+            at = end
+            closing, tag, attributes = m.group(2, 3, 4)
+            if tag:
+                if closing:
+                    self._end(tag.lower())
                 else:
-                    self._start(m[3].lower(), m[4])
+                    self._start(tag.lower(), attributes)
         if at < len(html) and "<" not in html[at:]:  # a tag that is never closed is no text
             self._data(html[at:])
         self._close(1)
 
     def _start(self, tag: str, attributes: str) -> None:
-        closes, within = _CLOSES.get(tag, ((), ()))
-        for k in range(len(self.open) - 1, -1, -1) if closes else ():
-            if self.open[k].tag in closes:
-                self._close(k)
-                break
-            if self.open[k].tag in within:
-                break
-        if tag in _VOID:
+        if tag in _CLOSES:
+            closes, within = _CLOSES[tag]
+            for k in range(len(self.open) - 1, -1, -1):
+                other = self.open[k].tag
+                if other in closes:
+                    self._close(k)
+                    break
+                if other in within:
+                    break
+        elif tag in _VOID:
             return
-        given: dict[str, str] = {}
+        own = _Element(tag, len(self.pieces), len(self.hrefs))
         if "=" in attributes:
-            for a in _ATTRIBUTE.finditer(attributes):
-                if (name := a[1].lower()) in _WANTED:
-                    given.setdefault(name, unescape(a[2] or a[3] or a[4] or ""))
-        own = _Element(tag, given, len(self.pieces), len(self.hrefs))
-        parent = self.open[-1]
+            own.take(attributes)
+        if tag in _SPECIAL:
+            self._special(tag, own)
+        self.open.append(own)
+
+    def _special(self, tag: str, own: _Element) -> None:
+        """What the opening of a table, a row, a link, a marked div, a section or a heading brings."""
         if tag == "table":
             self.tables += 1
             if self.tables == 1:
@@ -165,10 +183,9 @@ class _Parser:
             primary = [k for k, e in enumerate(self.open) if e.tag == "div" and "primary" in e.classes]
             own.section = {"section_no": len(self.sections), "section_id": own.id or None, "heading": None, "pane": False, "text": "", "inside": bool(primary), "top": bool(primary) and primary[0] == len(self.open) - 1}
             self.sections.append(own.section)
-        if tag in _HEADINGS:
+        elif tag in _HEADINGS:
             self.titles += 1
-            parent.heading = None
-        self.open.append(own)
+            self.open[-1].heading = None
 
     def _end(self, tag: str) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -179,7 +196,7 @@ class _Parser:
                 return
 
     def _data(self, data: str) -> None:
-        if data.strip():
+        if not data.isspace():
             self.pieces.append(unescape(data) if "&" in data else data)
             self.in_heading.append(self.titles > 0)
 
@@ -187,6 +204,8 @@ class _Parser:
         """Closes the k-th open element, and those within it first."""
         while len(self.open) > k:
             e = self.open.pop()
+            if e.tag not in _ENDED:
+                continue
             parent = self.open[-1]
             outer = self.tables == 1 and self.row is not None
             if e.tag == "table":

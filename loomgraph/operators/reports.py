@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,11 +17,6 @@ def fold_lines(df: DataFrame, keys: Sequence[str], line: Column, order: Sequence
     return rows.groupBy(*keys).agg(F.array_join(lines, delimiter).alias(name))
 
 
-def with_empty(anchors: DataFrame, key: str, report: DataFrame, name: str, sentence: str) -> DataFrame:
-    """A report for every anchor: the sentence where there are no rows."""
-    return anchors.select(key).join(report, key, "left").withColumn(name, F.coalesce(name, F.lit(sentence)))
-
-
 def capped(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int | None) -> DataFrame:
     """The first n rows of each group, or all of them (None)."""
     if n is None:
@@ -91,16 +86,24 @@ def top_preferred(df: DataFrame, key: str, name: Column, preferred: Sequence[str
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
 
-def framed(anchors: DataFrame, key: str, found: Column, heading: str, parts: Sequence[tuple[DataFrame, str]], closing: str, missing: str) -> DataFrame:
-    """key, text, anchor_found: a heading with the anchor's id, the parts and a closing rule; or the sentence for an anchor that isn't there."""
-    body = combined(anchors, key, parts).withColumnRenamed("text", "_body")
-    text = F.concat(F.lit(f"{heading} "), F.col(key).cast("string"), F.lit("\n\n"), F.col("_body"), F.lit(f"\n\n{closing}"))
-    return anchors.select(key, found.alias("anchor_found")).join(body, key).select(key, F.when(F.col("anchor_found"), text).otherwise(F.lit(missing)).alias("text"), "anchor_found")
+def _with_parts(anchors: DataFrame, key: str, parts: Sequence[tuple[DataFrame, str]]) -> tuple[DataFrame, list[Column]]:
+    """anchors with the text of every part, each joined once; and the columns to show, with the sentence for anchors without rows."""
+    for k, (part, _) in enumerate(parts):
+        anchors = anchors.join(part.select(key, F.col("text").alias(f"_text{k}")), key, "left")
+    return anchors, [F.coalesce(f"_text{k}", F.lit(sentence)) for k, (_, sentence) in enumerate(parts)]
+
+
+def framed(anchors: DataFrame, key: str, found: Column, kinds: Mapping[str, tuple[str, Sequence[str]]], parts: Mapping[str, tuple[DataFrame, str]], closing: str, missing: str) -> DataFrame:
+    """key, kind, text, anchor_found, a row for each kind of report: its heading with the anchor's id, its parts and a closing rule;
+    or the sentence for an anchor that isn't there. kinds: heading and names of parts. A part is built once for all kinds."""
+    rows, texts = _with_parts(anchors.select(key, found.alias("anchor_found")), key, list(parts.values()))
+    shown = dict(zip(parts, texts, strict=True))
+    made = [F.struct(F.lit(kind).alias("kind"), F.concat_ws("\n\n", F.concat(F.lit(f"{heading} "), F.col(key).cast("string")), *(shown[n] for n in names), F.lit(closing)).alias("text")) for kind, (heading, names) in kinds.items()]
+    rows = rows.select(key, "anchor_found", F.explode(F.array(*made)).alias("_made"))
+    return rows.select(key, "_made.kind", F.when(F.col("anchor_found"), F.col("_made.text")).otherwise(F.lit(missing)).alias("text"), "anchor_found")
 
 
 def combined(anchors: DataFrame, key: str, parts: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     """key, text: the parts' texts below one another; each part has a sentence for anchors without rows."""
-    result = anchors.select(key)
-    for k, (part, sentence) in enumerate(parts):
-        result = with_empty(result, key, part.withColumnRenamed("text", f"_text{k}"), f"_text{k}", sentence).join(result, key) if k else with_empty(result, key, part.withColumnRenamed("text", "_text0"), "_text0", sentence)
-    return result.select(key, F.concat_ws("\n\n", *(f"_text{k}" for k in range(len(parts)))).alias("text"))
+    rows, texts = _with_parts(anchors.select(key), key, parts)
+    return rows.select(key, F.concat_ws("\n\n", *texts).alias("text"))

@@ -500,8 +500,7 @@ def _intent_reports(spark, d, anchors):
     """A row for each anchor and kind of question: kind, c_nationkey, text, anchor_found. Nations that aren't there are told apart by a left join."""
     parts, nations = _nation_reports(spark, d), _read(spark, d, "nation").select(F.col("n_nationkey").alias("_there"))
     asked = anchors.join(nations, F.col("c_nationkey") == F.col("_there"), "left")
-    reports = [R.framed(asked, "c_nationkey", F.col("_there").isNotNull(), heading, [parts[p] for p in names], _CLOSING, "There is no such nation.").withColumn("kind", F.lit(kind)) for kind, (heading, names) in _KINDS.items()]
-    return N.union_nodes(*reports)
+    return R.framed(asked, "c_nationkey", F.col("_there").isNotNull(), _KINDS, parts, _CLOSING, "There is no such nation.")
 
 
 def _intent_sql(anchors: str) -> str:
