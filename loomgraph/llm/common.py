@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Keys that may be handed to every task in a join.
+FEW_HOT = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,3 +68,15 @@ def unused(name: str, *tables: DataFrame) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with table, which has each key once and in `count` how many rows have it.
+
+    A key of more than a FEW_HOT-th of all counted rows is hot. There are at most FEW_HOT of them, so they are handed to every
+    task and their rows stay where they are; the others are joined by a shuffle.
+    """
+    most = max(1000, (table.agg(F.sum(count)).first()[0] or 0) // FEW_HOT)
+    hot = F.broadcast(table.filter(F.col(count) > most))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col(count) <= most), keys)
+    return rows.join(hot, keys).unionByName(rest)

@@ -21,7 +21,7 @@ same set form one class; everything below works on classes, so copies are never
    several components, pairs across components are verified as well, but for those that can't have enough in common
    by what each has in common with the entry's centre. These pairs are joined by (entry, band of sizes, salt): only
    sizes that could link by the numbers of shared shingles meet, and an entry of very many members is split over
-   tasks. No link between different texts is lost.
+   tasks, as are the pairs of a centre of very many. No link between different texts is lost.
 4. The components' nodes are (null flag, first doc_id, class), so a component's smallest node holds its name.
 
 Batches are named by their partition and their number in it, so a partition that is run again after a lost executor
@@ -36,7 +36,7 @@ in its component. An empty table gives an empty result. A text is held whole by
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored, text_or_empty, unused
+from .common import discard, join_hot, stored, text_or_empty, unused
 from .components import connected_components
 from .words import scramble, slices, text_bytes, words
 
@@ -55,8 +55,6 @@ GROUPS = 3
 HEAVY = 8
 #: Shingles in one range of the exchange.
 RANGE = 500_000
-#: As many classes of exact copies, at most, are handed to every task.
-FEW = 2000
 #: Of an index entry's members, those that are paired in one task; and how much sizes in one band differ.
 BLOCK, BAND = 512, 1.05
 _PLACES = np.random.default_rng(777).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,7 +85,7 @@ def shingle_sets(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(out) if out else np.zeros(0, np.uint64), sizes
 
 
-def _class_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def class_ids(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each set that isn't empty (0 for those)."""
     sums = np.zeros(len(tokens) + 1, np.uint64)
     np.cumsum(scramble(tokens + np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
@@ -100,7 +98,7 @@ def _sets(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             tokens, sizes = shingle_sets(batch.column("text"), length)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(_class_ids(tokens, sizes).view(np.int64))], ["doc_id", "n_shingles", "class_id"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(class_ids(tokens, sizes).view(np.int64))], ["doc_id", "n_shingles", "class_id"])
 
     return run
 
@@ -115,7 +113,7 @@ def _deal(length: int, ranges: int):
         name = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text"):
             tokens, sizes = shingle_sets(batch.column("text"), length)
-            ids = _class_ids(tokens, sizes)
+            ids = class_ids(tokens, sizes)
             _, firsts = np.unique(ids, return_index=True)  # copies within a batch go once
             keep = np.zeros(len(ids), bool)
             keep[firsts] = True
@@ -304,9 +302,15 @@ def _verify(percent: int):
 
 
 def _verified(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b): distinct; the result also says whether they link, and what a and b have and haven't in common."""
+    """pairs (a, b): distinct and stored; the result also says whether they link, and what a and b have and haven't in common.
+
+    A class that is `a` of very many pairs stands in the join once for each BLOCK of them, so its pairs are spread over tasks.
+    """
     side = lambda x: index.select(F.col("class_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"), F.col("name").alias(f"name_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    counts, salts = pairs.groupBy("a").agg(F.count("*").alias("near")), F.ceil(F.col("near") / BLOCK).cast("int")
+    salted = join_hot(pairs, counts, ["a"], "near").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    left = side("a").join(counts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("near")
+    both = salted.join(left, ["a", "salt"]).drop("salt").join(side("b"), "b")
     return both.mapInArrow(_verify(percent), f"a long, b long, name_a {_NAME}, name_b {_NAME}, linked boolean, common long, missing array<bigint>, double long")
 
 
@@ -342,53 +346,75 @@ def _across(part: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("class_id", "b").alias("a"), F.greatest("class_id", "b").alias("b")).distinct()
 
 
-def class_components(docs: DataFrame, classes: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
-    """(node, component): the classes that link with others, as (named, first, class_id). classes: (class_id, n, name)."""
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, -(-total // RANGE))
-    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), _DEALT)
-    back = dealt.groupBy("part").applyInArrow(_shared, _SHARED)
-    rows = back.groupBy("batch").applyInArrow(_candidates(percent), "class_id long, n long, tokens binary, counts binary")
-    once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "tokens", "counts")), F.count("*").alias("holders"))
-    index = once.mapInArrow(_index(percent), "class_id long, n long, s long, central double, tokens binary, keys array<long>").join(classes.select("class_id", "name"), "class_id")
-    index = stored(index, "jaccard-index")
-    entries = index.select("class_id", "n", "s", "central", F.explode("keys").alias("key"))
+def verified_links(entries: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the names of classes that share an index entry and link: enough of them to connect all that are connected.
+
+    entries (class_id, n, s, central, key): stored. index (class_id, n, tokens, name), of the same classes: stored.
+    """
     centres = entries.groupBy("key").agg(F.max(F.struct("central", "class_id", "n", "s")).alias("centre"), F.count("*").alias("members")).filter("members > 1")
     centres = centres.select("key", F.col("centre.class_id").alias("a"), F.col("centre.n").alias("n_a"), F.col("centre.s").alias("s_a"), "members")
-    entries = stored(entries.drop("central").join(centres, "key"), "jaccard-entries")
-    stars = entries.filter(F.col("class_id") != F.col("a")).filter(_possible("n", "s", "n_a", "s_a", percent)).select("a", F.col("class_id").alias("b")).distinct()
+    before, entries = entries, stored(join_hot(entries.drop("central"), centres, ["key"], "members"), "jaccard-entries")
+    discard(before)
+    stars = entries.filter(F.col("class_id") != F.col("a")).filter(_possible("n", "s", "n_a", "s_a", percent))
+    stars = stored(stars.select("a", F.col("class_id").alias("b")).distinct(), "jaccard-pairs")
     tested = stored(_verified(stars, index, percent), "jaccard-stars")
     links = tested.filter("linked")
     found = connected_components(links.select("a", "b")).withColumnRenamed("node", "class_id")
     # What is still apart within an entry: pairs across its components. The centre has met all that could link with it.
     part = entries.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_key")).filter("low < high").select("key", "n_key")
     held = tested.select("a", F.col("b").alias("class_id"), "common", "missing", "double")
-    part = stored(part.filter(F.col("class_id") != F.col("a")).join(mixed, "key", "left_semi").join(held, ["a", "class_id"], "left"), "jaccard-rest")
+    part = join_hot(part.filter(F.col("class_id") != F.col("a")), mixed, ["key"], "n_key").drop("n_key")
+    part = stored(part.join(held, ["a", "class_id"], "left"), "jaccard-rest")
     rest = _across(part, percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    rest = stored(rest, "jaccard-pairs")
     more = _verified(rest, index, percent).filter("linked")
     ends = [F.col(f"name_{x}").alias(x) for x in "ab"]
     all_links = stored(links.select(*ends).unionByName(more.select(*ends)), "jaccard-links")
-    discard(index, entries, tested, part)
-    return connected_components(all_links)
+    discard(entries, stars, tested, part, rest)
+    return all_links
+
+
+def class_components(docs: DataFrame, classes: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
+    """(node, component): the classes that link with others, as (named, first, class_id). classes: (class_id, n, name)."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    ranges = max(1, -(-total // RANGE))
+    dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), _DEALT)
+    back = dealt.groupBy("part").applyInArrow(_shared, _SHARED)
+    rows = back.groupBy("batch").applyInArrow(_candidates(percent), "class_id long, n long, tokens binary, counts binary")
+    once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "tokens", "counts")), F.count("*").alias("holders"))
+    index = once.mapInArrow(_index(percent), "class_id long, n long, s long, central double, tokens binary, keys array<long>").join(classes.select("class_id", "name"), "class_id")
+    index = stored(index, "jaccard-index")
+    entries = stored(index.select("class_id", "n", "s", "central", F.explode("keys").alias("key")), "jaccard-keys")
+    links = verified_links(entries, index, percent)
+    discard(index)
+    return connected_components(links)
+
+
+def with_components(sets: DataFrame, *more: Column) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The classes (class_id, n, copies, name, more aggregates) of sets (doc_id, n_shingles, class_id; stored), and a function
+    that makes (doc_id, n_shingles, component_id) of each document from connected components of the classes' names."""
+    filled, empty = sets.filter("n_shingles > 0"), sets.filter("n_shingles = 0")
+    named, first = F.min(F.col("doc_id").isNotNull().cast("int")), F.coalesce(F.min("doc_id"), F.lit(0).cast("long"))
+    name = F.struct(named.alias("named"), first.alias("first"), F.col("class_id").alias("class_id"))
+    classes = filled.groupBy("class_id").agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies"), name.alias("name"), *more)
+    classes = stored(classes, "jaccard-classes")
+
+    def finish(components: DataFrame) -> DataFrame:
+        linked, component = components.select(F.col("node.class_id").alias("class_id"), "component"), F.coalesce("component", "name")
+        names = classes.join(linked, "class_id", "left").select("class_id", "copies", F.when(component["named"] == 1, component["first"]).alias("component_id"))
+        rows = join_hot(filled, stored(names, "jaccard-names"), ["class_id"], "copies")
+        return rows.select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+    return classes, finish
 
 
 def jaccard_join(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     sets = stored(docs.mapInArrow(_sets(length), "doc_id long, n_shingles long, class_id long"), "jaccard-sets")
-    filled, empty = sets.filter("n_shingles > 0"), sets.filter("n_shingles = 0")
-    named, first = F.min(F.col("doc_id").isNotNull().cast("int")), F.coalesce(F.min("doc_id"), F.lit(0).cast("long"))
-    name = F.struct(named.alias("named"), first.alias("first"), F.col("class_id").alias("class_id"))
-    classes = stored(filled.groupBy("class_id").agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies"), name.alias("name")), "jaccard-classes")
-    linked = class_components(docs, classes, length, percent).select(F.col("node.class_id").alias("class_id"), "component")
-    component = F.coalesce("component", "name")
-    names = stored(classes.join(linked, "class_id", "left").select("class_id", "copies", F.when(component["named"] == 1, component["first"]).alias("component_id")), "jaccard-names")
-    # A class of more than a FEW-th of all documents would be one key in one task; there are fewer than FEW such classes.
-    most = max(1000, (classes.agg(F.sum("copies")).first()[0] or 0) // FEW)
-    hot, rest = (names.filter(x).drop("copies") for x in (F.col("copies") > most, F.col("copies") <= most))
-    rows = filled.join(F.broadcast(hot), "class_id").unionByName(filled.join(F.broadcast(hot), "class_id", "left_anti").join(rest, "class_id"))
-    return rows.select("doc_id", "n_shingles", "component_id").unionByName(empty.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    classes, named = with_components(sets)
+    return named(class_components(docs, classes, length, percent))
 
 
 def one_of_each(docs: DataFrame, length: int = 5, percent: int = 75) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, hidden_markov, jaccard_join, line_crf, minimax_shards, mtree_search, poisson_mix, pruned_graph, secret_spans, warc_archive
+from . import best_fit_packing, circulant_minhash, collocations, hidden_markov, jaccard_join, line_crf, minimax_shards, mtree_search, poisson_mix, pruned_graph, secret_spans, va_clusters, warc_archive
 from .common import fold, table
 
 
@@ -55,6 +55,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_clusters.va_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.circulant_minhash(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hidden_markov": op1_hidden_markov,
@@ -67,8 +79,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pruned_graph": op8_pruned_graph,
         "op9_poisson_mix": op9_poisson_mix,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_collocations": op11_collocations,
+        "op12_va_clusters": op12_va_clusters,
+        "op13_circulant_minhash": op13_circulant_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": warc_archive.ORACLE_SQL, "op4_mtree_search": mtree_search.ORACLE_SQL, "op9_poisson_mix": poisson_mix.ORACLE_SQL}
+    return {
+        "op3_warc_archive": warc_archive.ORACLE_SQL,
+        "op4_mtree_search": mtree_search.ORACLE_SQL,
+        "op9_poisson_mix": poisson_mix.ORACLE_SQL,
+        "op11_collocations": collocations.ORACLE_SQL,
+        "op12_va_clusters": va_clusters.oracle_sql(),
+    }
