@@ -38,7 +38,7 @@ from .words import scramble, slices, text_bytes, words
 
 END = 0
 #: Edges in one range of the exchange.
-RANGE = 3 << 20
+RANGE = 3 << 19
 #: A pair of words with more than a HOT-th of all edges is hot. A batch names those with more than a NOTED-th of its own, so none is missed.
 HOT, NOTED = 1000, 2048
 #: Bits of the bitmap of words that are spelled out.

@@ -276,31 +276,44 @@ def _index(percent: int):
 _NAME = "struct<named: int, first: bigint, class_id: bigint>"
 
 
+def _bits(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+    """These shingles as BITS bits, and how many of them share a bit with another."""
+    bits = np.zeros(BITS, bool)
+    bits[(scramble(tokens) % np.uint64(BITS)).astype(np.int64)] = True
+    return bits, len(tokens) - int(bits.sum())
+
+
 def _verify(percent: int):
-    """Also, as BITS bits, which of the first set's shingles the second misses, and how many of those share a bit with another."""
+    """Also which of the first set's shingles the second misses and which it has besides, as bits (see _bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = [batch.column(k) for k in ("a", "b", "name_a", "name_b")]
             n, m, s, t = (batch.column(k) for k in ("n_a", "n_b", "tokens_a", "tokens_b"))
-            linked, common, double = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            missing = np.zeros((len(batch), BITS), bool)
+            linked, common, double = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64), np.zeros((2, len(batch)), np.int64)
+            bits = np.zeros((2, len(batch), BITS), bool)
             for k, (size, other) in enumerate(zip(n.to_pylist(), m.to_pylist(), strict=True)):
                 x, y = np.frombuffer(s[k].as_py(), np.uint64), np.frombuffer(t[k].as_py(), np.uint64)
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
-                absent = y[at] != x
+                absent, besides = y[at] != x, np.ones(len(y), bool)
+                besides[at[~absent]] = False
                 common[k] = len(x) - absent.sum()
                 linked[k] = 100 * common[k] >= percent * (size + other - common[k])
-                missing[k, (scramble(x[absent]) % np.uint64(BITS)).astype(np.int64)] = True
-                double[k] = absent.sum() - missing[k].sum()
-            words = np.packbits(missing, axis=1).view(np.int64)
-            bits = pa.ListArray.from_arrays(np.arange(0, words.size + 1, BITS // 64, dtype=np.int32), words.ravel())
-            yield pa.RecordBatch.from_arrays([*names, pa.array(linked), pa.array(common), bits, pa.array(double)], ["a", "b", "name_a", "name_b", "linked", "common", "missing", "double"])
+                for side, tokens in enumerate((x[absent], y[besides])):
+                    bits[side, k], double[side, k] = _bits(tokens)
+            words = np.packbits(bits, axis=2).view(np.int64)
+            lists = [pa.ListArray.from_arrays(np.arange(0, w.size + 1, BITS // 64, dtype=np.int32), w.ravel()) for w in words]
+            columns = [*names, pa.array(linked), pa.array(common), lists[0], pa.array(double[0]), lists[1], pa.array(double[1])]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "name_a", "name_b", "linked", "common", *_HELD])
 
     return run
 
 
+#: What the first set has and the second misses, and the reverse; see _bits.
+_HELD = ["missing", "double", "besides", "besides_double"]
+
+
 def _verified(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b): distinct and stored; the result also says whether they link, and what a and b have and haven't in common.
 
@@ -311,7 +324,7 @@ def _verified(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     salted = join_hot(pairs, counts, ["a"], "near").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
     left = side("a").join(counts, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("near")
     both = salted.join(left, ["a", "salt"]).drop("salt").join(side("b"), "b")
-    return both.mapInArrow(_verify(percent), f"a long, b long, name_a {_NAME}, name_b {_NAME}, linked boolean, common long, missing array<bigint>, double long")
+    return both.mapInArrow(_verify(percent), f"a long, b long, name_a {_NAME}, name_b {_NAME}, linked boolean, common long, missing array<bigint>, double long, besides array<bigint>, besides_double long")
 
 
 def _possible(n: str, shared: str, m: str, other: str, percent: int):
@@ -328,18 +341,18 @@ def _across(part: DataFrame, percent: int) -> DataFrame:
 
     The larger of two sets looks for the smaller one in the bands of sizes that could link with it: no smaller than
     percent of its own, and together with it no larger than its shared shingles allow. What u and v have in common is
-    in the centre h (all of h but what u or v misses; BITS bits bound how much they miss together), or outside of h.
+    in the centre h (all of h but what u or v misses), or outside of h; BITS bits bound how much they miss and have together.
     """
     large, blocks = part.withColumn("low", F.ceil(F.col("n") * percent / 100)), F.ceil(F.col("members") / BLOCK).cast("int")
     large = large.withColumn("high", F.least("n", F.floor((100 + percent) * F.col("s") / percent) - F.col("n"))).filter("low <= high")
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("band", F.explode(F.sequence(_band(F.col("low")), _band(F.col("high")))))
     small = part.select(
         "key", F.pmod(F.xxhash64("class_id"), blocks).cast("int").alias("salt"), _band(F.col("n")).alias("band"), F.col("class_id").alias("b"),
-        *(F.col(c).alias(f"{c}_b") for c in ("n", "s", "component", "common", "missing", "double")),
+        *(F.col(c).alias(f"{c}_b") for c in ("n", "s", "component", "common", *_HELD)),
     )
-    together = sum((F.bit_count(F.get("missing", F.lit(k)).bitwiseAND(F.get("missing_b", F.lit(k)))) for k in range(BITS // 64)), F.least("double", "double_b"))
-    within = F.col("common") + F.col("common_b") - F.col("s_a") + F.least(together, F.col("s_a") - F.col("common"), F.col("s_a") - F.col("common_b"))
-    most = within + F.least(F.col("s") - F.col("common"), F.col("s_b") - F.col("common_b"))
+    shared = lambda x, double: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.get(f"{x}_b", F.lit(k)))) for k in range(BITS // 64)), F.least(double, f"{double}_b"))
+    within = F.col("common") + F.col("common_b") - F.col("s_a") + F.least(shared("missing", "double"), F.col("s_a") - F.col("common"), F.col("s_a") - F.col("common_b"))
+    most = within + F.least(shared("besides", "besides_double"), F.col("s") - F.col("common"), F.col("s_b") - F.col("common_b"))
     near = F.coalesce((100 + percent) * most >= percent * (F.col("n") + F.col("n_b")), F.lit(True))
     ordered = (F.col("n") > F.col("n_b")) | (F.col("n") == F.col("n_b")) & (F.col("class_id") < F.col("b"))
     met = large.join(small, ["key", "band", "salt"]).filter(ordered & (F.col("component") != F.col("component_b")) & _possible("n", "s", "n_b", "s_b", percent) & near)
@@ -363,7 +376,7 @@ def verified_links(entries: DataFrame, index: DataFrame, percent: int) -> DataFr
     # What is still apart within an entry: pairs across its components. The centre has met all that could link with it.
     part = entries.join(found, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     mixed = part.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_key")).filter("low < high").select("key", "n_key")
-    held = tested.select("a", F.col("b").alias("class_id"), "common", "missing", "double")
+    held = tested.select("a", F.col("b").alias("class_id"), "common", *_HELD)
     part = join_hot(part.filter(F.col("class_id") != F.col("a")), mixed, ["key"], "n_key").drop("n_key")
     part = stored(part.join(held, ["a", "class_id"], "left"), "jaccard-rest")
     rest = _across(part, percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")

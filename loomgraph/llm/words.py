@@ -55,9 +55,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _segment(data: np.ndarray, firsts: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segment(data: np.ndarray, firsts: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """firsts: places in data at which a text begins."""
-    inside = ~space[data]
+    inside = ~apart[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     before[firsts] = False
@@ -71,10 +71,10 @@ def _segment(data: np.ndarray, firsts: np.ndarray, space: np.ndarray) -> tuple[n
     return scramble((sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data))[starts]), starts, ends
 
 
-def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word, and the number of words before each text (one more entry for all).
 
-    space: for each byte, whether it stands between words.
+    apart: for each byte, whether it stands between words.
     """
     found, at = [], 0
     while at < len(data):
@@ -82,14 +82,14 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
         if end < len(data):  # cut behind a space or between two texts; a longer word makes a longer segment
             text_end = offsets[np.searchsorted(offsets, end, "right") - 1]
             while True:
-                spaces = np.flatnonzero(space[data[max(at, end - 65536) : end]])
+                spaces = np.flatnonzero(apart[data[max(at, end - 65536) : end]])
                 cut = max(int(text_end) if at < text_end <= end else 0, max(at, end - 65536) + int(spaces[-1]) + 1 if len(spaces) else 0)
                 if cut > at:
                     end = cut
                     break
                 if end == len(data):
                     break
-                nearer = np.flatnonzero(space[data[end : end + SEGMENT]])
+                nearer = np.flatnonzero(apart[data[end : end + SEGMENT]])
                 following = int(offsets[np.searchsorted(offsets, end, "right")])
                 space = end + int(nearer[0]) + 1 if len(nearer) else min(len(data), end + SEGMENT)
                 if len(nearer) or following <= space:
@@ -97,7 +97,7 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
                     break
                 end = space
         low, high = np.searchsorted(offsets[:-1], (at, end))
-        hashes, starts, ends = _segment(data[at:end], offsets[low:high] - at, space)
+        hashes, starts, ends = _segment(data[at:end], offsets[low:high] - at, apart)
         found.append((hashes, starts + at, ends + at))
         at = end
     if not found:
