@@ -202,9 +202,9 @@ def without_timeline(c: Column) -> Column:
 
 
 def summary(c: Column, sentences: int = 2, leading: str | None = None) -> Column:
-    """The first sentences of the cleaned text, without a leading word, with a full stop; nothing: null."""
+    """The first sentences of the cleaned text, without a leading word, whatever follows it, with a full stop; nothing: null."""
     text = clean(c)
     if leading:
-        text = F.regexp_replace(text, f"^(?i:{leading})\\s+", "")
+        text = F.regexp_replace(text, f"^(?i:{leading})\\s*", "")
     parts = F.filter(F.transform(F.split(text, r"\.(\s+|$)"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, F.concat(F.array_join(F.slice(parts, 1, sentences), ". "), F.lit(".")))

@@ -57,14 +57,21 @@ def hop(graph: Graph, type_: str, ids: DataFrame, outward: bool = True, limit: i
 
 
 def two_patterns(graph: Graph, first: str, second: str, anchor_ids: DataFrame, limit: int | None = 300) -> DataFrame:
-    """Middle nodes with an edge `first` to an anchor and an edge `second` to another node: a row for each pair of edges, `limit` of each anchor."""
+    """Middle nodes with an edge `first` to an anchor and an edge `second` to another node: a row for each pair of edges, `limit` of each anchor.
+
+    A middle with a second edge brings a row at least, and rows go by its label first: so only the middles of the first `limit`
+    labels of each anchor (and those of equal label) are expanded, however many edges there are.
+    """
     one = graph.edges[first].select(F.col("source_id").alias("_middle"), F.col("target_id").alias("anchor_id"))
     one = one.join(anchor_ids.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi")
-    two = graph.edges[second].select(F.col("source_id").alias("_middle"), F.col("target_id").alias("_far"))
-    middle = graph.nodes[graph.ends[first][0]].select(F.col("id").alias("_middle"), F.col("label").alias("middle_label"))
     far = graph.nodes[graph.ends[second][1]].select(F.col("id").alias("_far"), F.col("label").alias("far_label"))
-    rows = one.join(two, "_middle").join(middle, "_middle").join(far, "_far")
-    named = rows.select("anchor_id", F.col("_middle").alias("middle_id"), "middle_label", F.col("_far").alias("far_id"), "far_label")
+    two = graph.edges[second].select(F.col("source_id").alias("_middle"), F.col("target_id").alias("_far")).join(far, "_far")
+    middle = graph.nodes[graph.ends[first][0]].select(F.col("id").alias("_middle"), F.col("label").alias("middle_label"))
+    near = one.join(middle, "_middle")
+    if limit is not None:
+        place = F.rank().over(Window.partitionBy("anchor_id").orderBy(F.col("middle_label").asc_nulls_last()))
+        near = near.join(two.select("_middle"), "_middle", "left_semi").withColumn("_n", place).filter(F.col("_n") <= limit).drop("_n")
+    named = near.join(two, "_middle").select("anchor_id", F.col("_middle").alias("middle_id"), "middle_label", F.col("_far").alias("far_id"), "far_label")
     return _limited(named, ("middle_label", "far_label", "middle_id", "far_id"), limit, ["anchor_id"])
 
 

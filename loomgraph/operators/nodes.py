@@ -62,17 +62,19 @@ def list_nodes(tables: Sequence[tuple[DataFrame, Column, Column, str]], prefix:
 def entity_groups(df: DataFrame, key: str, firsts: Mapping[str, Column], joined: Mapping[str, Column], order: Sequence[Column | str], delimiter: str = " | ") -> DataFrame:
     """A row for each key: each of `firsts` has its first filled value, each of `joined` its distinct filled values in order of appearance.
 
-    All columns go through one exchange: values are reduced to their first places in it before they are gathered.
+    All columns go through one exchange. Of `firsts` one value is kept from the start, of `joined` each value's first place, so only
+    distinct joined values are ever gathered. The key may have any name, and may be null.
     """
     columns = {**firsts, **joined}
     cells = F.array(*(F.struct(F.lit(k).alias("k"), X.filled(c.cast("string")).alias("v")) for k, c in enumerate(columns.values())))
-    rows = df.select(key, F.struct(*order).alias("_at"), F.explode(cells).alias("_c")).select(key, "_at", "_c.k", "_c.v")
-    places = rows.groupBy(key, "k", "v").agg(F.min("_at").alias("_at"))
-    gathered = F.array_sort(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("_at", "k", "v"))))
+    rows = df.select(F.col(key).alias("_key"), F.struct(*order).alias("_at"), F.explode(cells).alias("_c"))
+    value = F.col("_c.v")
+    told_apart = F.when(F.col("_c.k") >= len(firsts), value)
+    places = rows.groupBy("_key", F.col("_c.k").alias("_k"), told_apart.alias("_v")).agg(F.min(F.when(value.isNotNull(), F.struct(F.col("_at").alias("at"), F.col("_c.k").alias("k"), value.alias("v")))).alias("_place"))
+    groups = places.groupBy("_key").agg(F.array_sort(F.collect_list("_place")).alias("_all"))
     of = lambda k: F.transform(F.filter("_all", lambda x: x["k"] == k), lambda x: x["v"])
-    groups = places.groupBy(key).agg(gathered.alias("_all"))
     named = [F.get(of(k), F.lit(0)).alias(n) if n in firsts else F.array_join(of(k), delimiter).alias(n) for k, n in enumerate(columns)]
-    return groups.select(key, *named)
+    return groups.select(F.col("_key").alias(key), *named)
 
 
 def contributor_nodes(df: DataFrame, packed: Column, contributor: Column, order: Column, prefix: str, delimiters: str = ",") -> DataFrame:

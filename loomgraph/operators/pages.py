@@ -379,9 +379,11 @@ def synonym_line(text: Column) -> Column:
 
 
 def entities(index: DataFrame, parts: DataFrame, flags: Mapping[str, str], category: str, overview: str = "overview") -> DataFrame:
-    """Index rows (page_id, title) with the first overview, its first sentence and a flag for each section that is there."""
-    present = [F.bool_or(F.contains("section_name", F.lit(word))).alias(name) for name, word in flags.items()]
-    found = parts.groupBy("page_id").agg(F.min_by("text", F.when(F.contains("section_name", F.lit(overview)), F.col("section_order"))).alias("overview"), *present)
+    """Index rows (page_id, title) with the text of the first section of exactly the overview's name, its first sentence, and a
+    flag for each word that occurs in the name or the title of a section."""
+    named = F.concat_ws(" ", "section_name", F.lower("section_title"))
+    present = [F.bool_or(F.contains(named, F.lit(word))).alias(name) for name, word in flags.items()]
+    found = parts.groupBy("page_id").agg(F.min_by("text", F.when(F.col("section_name") == F.lit(overview), F.col("section_order"))).alias("overview"), *present)
     joined = index.join(found, "page_id", "left")
     return joined.select("page_id", "title", "overview", X.summary(F.col("overview"), 1).alias("short_summary"), F.lit(category).alias("category"), *(F.coalesce(n, F.lit(False)).alias(n) for n in flags))
 

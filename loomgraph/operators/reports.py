@@ -60,11 +60,12 @@ def two_level(df: DataFrame, key: str, first: Column, second: Column, name: Colu
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
 
-def listed(df: DataFrame, key: str, name: Column, title: str, details: Sequence[tuple[str, Column]] = ()) -> DataFrame:
-    """key, text: the distinct names with their details (the smallest of several), sorted."""
-    names = df.select(key, name.alias("_name"), *(X.filled(c.cast("string")).alias(f"_d{k}") for k, (_, c) in enumerate(details))).filter("_name is not null")
-    names = names.groupBy(key, "_name").agg(F.lit(1).alias("_one"), *(F.min(f"_d{k}").alias(f"_d{k}") for k in range(len(details))))
-    body = fold_lines(names, [key], F.concat(F.lit("- "), F.col("_name"), remarks([(label, F.col(f"_d{k}")) for k, (label, _) in enumerate(details)])), ["_name"])
+def listed(df: DataFrame, key: str, name: Column, title: str, details: Sequence[tuple[str, Column]] = (), unnamed: Column | None = None) -> DataFrame:
+    """key, text: a line for each row with its own details, sorted by name and details; equal lines once. A blank name is replaced by `unnamed`."""
+    shown = name if unnamed is None else X.first_filled(name, unnamed.cast("string"))
+    lines = df.select(key, shown.alias("_name"), F.struct(F.lit(0).alias("_"), *(X.filled(c.cast("string")).alias(f"_d{k}") for k, (_, c) in enumerate(details))).alias("_row"))
+    lines = lines.filter("_name is not null").distinct()
+    body = fold_lines(lines, [key], F.concat(F.lit("- "), F.col("_name"), remarks([(label, F.col(f"_row._d{k}")) for k, (label, _) in enumerate(details)])), ["_name", "_row"])
     return body.select(key, F.concat(F.lit(f"{title}\n"), F.col("text")).alias("text"))
 
 

@@ -421,12 +421,13 @@ def report_grouped(spark, d):
     return _report_two_level(spark, d)
 
 
-@_query("""WITH n AS (SELECT p_brand, p_name, min(CASE WHEN p_size > 40 THEN p_type END) AS onset, CAST(min(p_size) AS VARCHAR) AS frequency FROM part GROUP BY ALL)
-           SELECT p_brand, 'Parts' || chr(10) || string_agg('- ' || p_name || ' (' || coalesce('onset: ' || onset || '; ', '') || 'frequency: ' || frequency || ')', chr(10) ORDER BY p_name) AS text FROM n GROUP BY 1""")
+@_query("""WITH n AS (SELECT DISTINCT p_brand, CASE WHEN p_size % 7 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_name END AS name, CASE WHEN p_size > 40 THEN p_type END AS onset, CAST(p_size AS VARCHAR) AS frequency FROM part)
+           SELECT p_brand, 'Parts' || chr(10) || string_agg('- ' || name || ' (' || coalesce('onset: ' || onset || '; ', '') || 'frequency: ' || frequency || ')', chr(10) ORDER BY name, onset NULLS FIRST, frequency) AS text FROM n GROUP BY 1""")
 def report_list(spark, d):
-    frequency = F.min("p_size").over(Window.partitionBy("p_brand", "p_name"))
-    rows = _read(spark, d, "part").withColumn("frequency", frequency)
-    return R.listed(rows, "p_brand", F.col("p_name"), "Parts", [("onset", F.when(F.col("p_size") > 40, F.col("p_type"))), ("frequency", F.col("frequency"))])
+    """A line for each row with its own details; every seventh size has a blank name and shows its id."""
+    name = F.when(F.col("p_size") % 7 == 0, " ").otherwise(F.col("p_name"))
+    details = [("onset", F.when(F.col("p_size") > 40, F.col("p_type"))), ("frequency", F.col("p_size"))]
+    return R.listed(_read(spark, d, "part"), "p_brand", name, "Parts", details, F.col("p_partkey"))
 
 
 @_query("""WITH n AS (SELECT p_brand, p_type, p_name, min(p_partkey) AS o FROM part GROUP BY ALL),
@@ -665,7 +666,7 @@ def _order_pages(spark, d):
     timeline = F.concat(F.lit('<div id="timeline"><table><tbody>'), span(F.concat(F.lit("timeline-span phase-"), (F.col("o_orderkey") % 13).cast("string"))), span(F.lit("timeline-span")), F.lit("<tr><td>other</td><td></td></tr></tbody></table></div>"))
     html = F.concat(
         F.lit("<html><body><script>var x='<table><tr><td>no</td></tr></table>';</script><article id=article><h1 class=page-title>Order "), key, F.lit('</h1><p>Synonyms (other): <i>no</i> '), key,
-        F.lit('</p><div class="a primary"><section id="over-view"><h2 class="pane-title">Over<b>view</b></h2>Order '), key, F.lit(". It is "), "o_orderstatus", F.lit(".</section><section><h3>The "), "o_orderpriority",
+        F.lit('</p><div class="a primary"><section id="about-over-view"><h3>Before</h3>Wrong. x</section><section id="over-view"><h2 class="pane-title">Over<b>view</b></h2>Order '), key, F.lit(". It is "), "o_orderstatus", F.lit(".</section><section id=s2><h3>The "), "o_orderpriority",
         F.lit("</h3>Text<br>more<section id=inner>Deep</section></section><section>Third</section></div><p><strong>Priority:</strong> "), "o_orderpriority", F.lit("<br><strong>State:</strong> old</p><p><strong>State:</strong> "), "o_orderstatus",
         F.lit("</p><p>Last updated: day "), key, F.lit("</p>"), table(F.col("rows")), table(F.col("crossed")), F.when(F.col("o_orderkey") % 2 == 0, timeline).otherwise(F.lit('<div id="timeline"></div>')), F.lit("</article></body></html>"),
     )
@@ -681,8 +682,8 @@ def page_table_long(spark, d):
     return P.page_measurements(P.table_rows(P.parsed(_order_pages(spark, d))), base="https://example.org").drop("n_raw", "effect_raw", "p_raw")
 
 
-@_query("""SELECT o_orderkey AS page_id, 'over-view' AS section_name, 'Over view' AS section_title, 1 AS section_order, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS text FROM orders
-           UNION ALL SELECT o_orderkey, lower(replace('The ' || o_orderpriority, ' ', '_')), 'The ' || o_orderpriority, 2, 'Text more Deep' FROM orders UNION ALL SELECT o_orderkey, 'section_3', 'Section 3', 3, 'Third' FROM orders""")
+@_query("""SELECT o_orderkey AS page_id, 'about-over-view' AS section_name, 'Before' AS section_title, 1 AS section_order, 'Wrong. x' AS text FROM orders UNION ALL SELECT o_orderkey AS page_id, 'over-view' AS section_name, 'Over view' AS section_title, 2 AS section_order, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS text FROM orders
+           UNION ALL SELECT o_orderkey, 's2', 'The ' || o_orderpriority, 3, 'Text more Deep' FROM orders UNION ALL SELECT o_orderkey, 'section_4', 'Section 4', 4, 'Third' FROM orders""")
 def page_sections(spark, d):
     return P.sections(P.parsed(_order_pages(spark, d)))
 
@@ -750,7 +751,8 @@ def _detail_pages(spark, d):
     size = F.col("p_size")
     status = F.when(size % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("Phase "), (size % 4).cast("string")))
     values = F.concat(field("Name", F.col("p_name")), F.when(size % 6 == 0, F.lit("")).otherwise(field("U.S. FDA Status", status)), field("Target Type", F.concat(F.lit("(timeline), "), "p_name", F.lit(" (timeline), "), "p_brand")), field("Therapy Type", F.when(size % 2 == 0, "Small Molecule (timeline)").otherwise("Dietary")), field("Condition(s)", F.col("p_type")))
-    named, behind = F.lit('<section id="background">Background It has '), F.lit("<h3>The Mechanism</h3><p>It has ")
+    word = F.when(size % 4 == 0, "Background").otherwise("Background ")
+    named, behind = F.concat(F.lit('<section id="background">'), word, F.lit("It has ")), F.lit("<h3>The Mechanism</h3><p>It has ")
     mechanism = F.concat(F.when(size % 2 == 0, named).otherwise(behind), "p_brand", F.lit(". Then more. Then end"), F.when(size % 2 == 0, F.lit("</section>")).otherwise(F.lit("</p><h2>x</h2><p>no</p>")))
     html = F.concat(F.lit('<article id="article"><h1>'), "p_name", F.lit('</h1><section id="overview"><p>'), values, F.lit("</p></section>"), mechanism, F.lit('<section id="timeline"><table><tr><td><div class="timeline-span phase-'), (size % 3 + 1).cast("string"), F.lit('"></div></td></tr></table></section><p>Last updated: today</p></article>'))
     return p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://example.org/parts/"), F.when(F.col("p_partkey") % 10 == 0, "?").otherwise(""), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
@@ -761,7 +763,7 @@ _DETAILS = """x AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name, p_brand, p_
 
 
 @_query(f"""WITH {_DETAILS} SELECT id, p_name AS page_title, p_name AS name, status AS fda_status, p_name || ', ' || p_brand AS target_type, CASE WHEN p_size % 2 = 0 THEN 'Small Molecule' ELSE 'Dietary' END AS therapy_type, p_type AS conditions,
-             'It has ' || p_brand || '. Then more.' AS mechanism_summary, CASE WHEN p_size % 2 = 0 THEN 'Background ' ELSE '' END || 'It has ' || p_brand || '. Then more. Then end' AS mechanism_raw, CASE WHEN status IS NOT NULL THEN 'ongoing' END AS status,
+             'It has ' || p_brand || '. Then more.' AS mechanism_summary, CASE WHEN p_size % 4 = 0 THEN 'Background' WHEN p_size % 2 = 0 THEN 'Background ' ELSE '' END || 'It has ' || p_brand || '. Then more. Then end' AS mechanism_raw, CASE WHEN status IS NOT NULL THEN 'ongoing' END AS status,
              phase AS trial_phase_max, has3 AS has_phase3, 1 AS trial_count, 'today' AS last_updated, 'https://example.org/parts/' || id AS url FROM y""")
 def page_details(spark, d):
     return P.details(_detail_pages(spark, d), _LABELS)[0].drop("overview_raw")

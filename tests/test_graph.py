@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from pathlib import Path
 
 import pytest
@@ -247,3 +248,50 @@ def test_stream_equals_batch(spark):
     batch = Q.route(Q.classify(spark.read.parquet(f"{DATA}/conversations.parquet").filter("role = 'user'").withColumnRenamed("text", "question"))).select("conv_id", "turn", "intent", "strategy")
     stream = queries.queries()["question_stream"](spark, DATA)
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_overview_by_its_name_and_flags_by_id_or_title(spark):
+    parts = spark.createDataFrame(
+        [(1, "overview-of-trials", "Overview", 1, "Wrong. x"), (1, "overview", "About", 2, "Right. y"), (1, "s2", "Functions", 3, "z"), (2, "overview-of-trials", "T", 1, "no")],
+        "page_id long, section_name string, section_title string, section_order int, text string",
+    )
+    index = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "page_id long, title string")
+    rows = {r["page_id"]: r for r in P.entities(index, parts, {"functions": "functions"}, "c").collect()}
+    assert [(rows[k]["overview"], rows[k]["functions"]) for k in (1, 2, 3)] == [("Right. y", True), (None, False), (None, False)]
+
+
+def test_leading_word_goes_whatever_follows(spark):
+    texts = ["Background It works. So", "BackgroundIt works.", "Background: It works.", "background", "It works"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", X.summary(F.col("t"), 1, "background").alias("s")).orderBy("k").collect()
+    assert [r["s"] for r in rows] == ["It works.", "It works.", ": It works.", None, "It works."]
+
+
+def test_listed_lines_are_rows(spark):
+    """Details of different rows aren't mixed; a blank name is replaced by the id."""
+    rows = spark.createDataFrame([(1, 7, "a", "z", None), (1, 8, "a", None, "b"), (1, 8, "a", None, "b"), (1, 9, " ", "q", None)], "k int, id int, n string, x string, y string")
+    text = reports.listed(rows, "k", F.col("n"), "T", [("x", F.col("x")), ("y", F.col("y"))], F.col("id")).first()["text"]
+    assert text.split("\n") == ["T", "- 9 (x: q)", "- a (y: b)", "- a (x: z)"]
+
+
+def test_entity_groups_with_any_key_name(spark):
+    rows = [(None, 1, "p", "x"), (None, 2, "q", "y"), ("n", 2, " ", None), ("n", 1, "r", "x"), ("n", 0, None, "x"), ("e", 1, None, " ")]
+    for key in ("k", "v", "_at", "_c", "g"):
+        df = spark.createDataFrame(rows, f"{key} string, o int, a string, b string")
+        got = {r[0]: tuple(r[1:]) for r in N.entity_groups(df, key, {"first": F.col("a")}, {"all": F.col("b")}, ["o"]).collect()}
+        assert got == {None: ("p", "x | y"), "n": ("r", "x"), "e": (None, "")}
+
+
+def test_two_patterns_expands_few_middles(spark):
+    """The same rows as a full expansion, with equal labels at the limit; only middles of the first labels are expanded."""
+    r = random.Random(4)
+    nodes = lambda ids, label: spark.createDataFrame([(k, label(k)) for k in ids], "id long, label string")
+    near, far = [(k, k % 2) for k in range(60)], [(r.randrange(60), 1000 + r.randrange(9)) for _ in range(150)]
+    graph = G.Graph({"M": nodes(range(60), lambda k: f"m{k // 7}"), "A": nodes(range(2), str), "F": nodes(range(1000, 1008), lambda k: f"f{k % 3}")})
+    graph.edges = {"NEAR": spark.createDataFrame(near, "source_id long, target_id long"), "FAR": spark.createDataFrame(far, "source_id long, target_id long")}
+    graph.ends = {"NEAR": ("M", "A"), "FAR": ("M", "F")}
+    order = lambda x: (x["middle_label"], x["far_label"], x["middle_id"], x["far_id"])
+    for limit in (1, 10, 40):
+        every = [x.asDict() for x in G.two_patterns(graph, "NEAR", "FAR", graph.nodes["A"], None).collect()]
+        want = sorted((*order(x), a) for a in (0, 1) for x in sorted((x for x in every if x["anchor_id"] == a), key=order)[:limit])
+        got = sorted((*order(x), x["anchor_id"]) for x in G.two_patterns(graph, "NEAR", "FAR", graph.nodes["A"], limit).collect())
+        assert got == want
