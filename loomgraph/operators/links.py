@@ -34,14 +34,37 @@ def multi_key(targets: DataFrame, row: str, name: Column, nodes: DataFrame, symb
     return wanted.join(keys, "_key").select(row, "id").distinct()
 
 
-def token_overlap(left: DataFrame, left_id: str, left_text: Column, right: DataFrame, right_id: str, right_text: Column, separators: str = r"[\s-]+", stop: Sequence[str] = ()) -> DataFrame:
-    """left_id, right_id: pairs that share a token. Tokens are joined by equality, so no pair is compared that shares none."""
+def token_overlap(
+    left: DataFrame, left_id: str, left_text: Column, right: DataFrame, right_id: str, right_text: Column,
+    separators: str = r"[\s-]+", stop: Sequence[str] = (), block: int = 4096,
+) -> DataFrame:
+    """left_id, right_id: pairs that share a token, once each. Tokens are joined by equality, so no pair is compared that shares none.
 
-    def tokens(df: DataFrame, key: str, text: Column) -> DataFrame:
-        rows = df.select(key, F.explode(F.array_distinct(F.split(F.lower(F.trim(text)), separators))).alias("_token")).filter("_token != ''")
-        return rows.filter(~F.col("_token").isin(*stop)) if stop else rows
+    A pair is made at its rarest common token only, so common tokens bring no pairs that others have brought already. A token
+    of more than `block` ids on a side is split there, and the other side's ids go to each of its parts: no task meets more
+    than `block` of both.
+    """
 
-    return tokens(left, left_id, left_text).join(tokens(right, right_id, right_text), "_token").select(left_id, right_id).distinct()
+    def tokens(df: DataFrame, key: str, text: Column) -> DataFrame:
+        rows = df.select(F.col(key).alias("id"), F.explode(F.array_distinct(F.split(F.lower(F.trim(text)), separators))).alias("token")).filter("token != ''")
+        return (rows.filter(~F.col("token").isin(*stop)) if stop else rows).distinct()
+
+    sides = [tokens(left, left_id, left_text), tokens(right, right_id, right_text)]
+    counts = [side.groupBy("token").agg(F.count("*").alias(name)) for side, name in zip(sides, ("n0", "n1"), strict=True)]
+    parts = [F.ceil(F.col(n) / block).cast("int").alias(name) for n, name in (("n0", "parts0"), ("n1", "parts1"))]
+    shared = counts[0].join(counts[1], "token").select("token", (F.col("n0") * F.col("n1")).alias("pairs"), *parts)
+
+    def dealt(side: DataFrame, own: int, tokens_name: str, id_name: str) -> DataFrame:
+        """A row for each token and part of the other side, with all tokens of the id, rarest first."""
+        rows = side.join(shared, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pairs", "token", "parts0", "parts1"))).alias("every"))
+        rows = rows.select(F.col("id").alias(id_name), F.col("every.token").alias(tokens_name), F.explode("every").alias("one"))
+        mine = F.pmod(F.xxhash64(id_name), F.col(f"one.parts{own}")).cast("int").alias(f"part{own}")
+        others = F.explode(F.sequence(F.lit(0), F.col(f"one.parts{1 - own}") - 1)).alias(f"part{1 - own}")
+        return rows.select(id_name, tokens_name, F.col("one.token").alias("token"), mine, others)
+
+    met = dealt(sides[0], 0, "tokens0", "id0").join(dealt(sides[1], 1, "tokens1", "id1"), ["token", "part0", "part1"])
+    rarest = F.get(F.array_intersect("tokens0", "tokens1"), F.lit(0))
+    return met.filter(rarest == F.col("token")).select(F.col("id0").alias(left_id), F.col("id1").alias(right_id))
 
 
 def anchor(nodes: DataFrame, label: str, preferred: str | None = None, source: str = "source") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.shared import shared_folder
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -121,21 +122,33 @@ def allow_fragment(df: DataFrame, label: Column, fragments: Sequence[str]) -> Da
     return df.filter(X.mentions(F.lower(label), [f.lower() for f in fragments]))
 
 
-def term_index(df: DataFrame, id_column: str, terms: Sequence[Column], lists: Sequence[Column] = (), parts: int = 1) -> DataFrame:
-    """term, part, ids: the distinct ids of each normalised term, in the order of the ids.
+def term_index(df: DataFrame, id_column: str, terms: Sequence[Column], lists: Sequence[Column] = (), order: Column | None = None, size: int = 4096) -> DataFrame:
+    """term, part, ids: the distinct ids of each normalised term as first seen (by the order, then the id), in lists of `size` ids, numbered from 0.
 
-    The ids of a term come in up to `parts` lists, dealt by hash, so that a term of very many ids is no single row.
+    A term's ids are numbered in two levels, by ranges of (term, order, id) and within each range, so a term of very many ids is
+    the work of many tasks and no list passes the size. The ranges are written to the shared folder, as both levels read them.
     """
     every = F.array_union(F.array(*terms), F.flatten(F.array(*lists))) if lists else F.array(*terms)
-    rows = df.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.explode(every).alias("_term"))
-    rows = rows.select(X.term_key(F.col("_term")).alias("term"), F.pmod(F.xxhash64("_id"), F.lit(parts)).cast("int").alias("part"), "_id").filter("term != ''").distinct()
-    return rows.groupBy("term", "part").agg(F.array_sort(F.collect_list("_id")).alias("ids"))
+    at = F.col(id_column) if order is None else order
+    rows = df.filter(F.col(id_column).isNotNull()).select(F.col(id_column).alias("id"), at.alias("at"), F.explode(every).alias("raw"))
+    firsts = rows.select(X.term_key(F.col("raw")).alias("term"), "id", "at").filter("term != ''").groupBy("term", "id").agg(F.min("at").alias("at"))
+    folder = shared_folder(df.sparkSession, "terms")
+    firsts.repartitionByRange("term", F.col("at").asc_nulls_last(), "id").withColumn("chunk", F.spark_partition_id()).write.parquet(folder)
+    ranged = df.sparkSession.read.parquet(folder)
+    earlier = Window.partitionBy("term").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("term", "chunk").agg(F.count("*").alias("n"))
+    before = counts.select("term", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("term", "chunk").orderBy(F.col("at").asc_nulls_last(), "id")) - 1
+    numbered_ = ranged.withColumn("place", place).join(before, ["term", "chunk"]).withColumn("place", F.col("before") + F.col("place"))
+    part = F.floor(F.col("place") / size).cast("int").alias("part")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"])
+    return numbered_.groupBy("term", part).agg(ids.alias("ids"))
 
 
 def term_lookup(df: DataFrame, term: Column, index: DataFrame) -> DataFrame:
-    """df with the ids of its term, a row for each of the term's lists, and one with an empty list where there is none."""
+    """df with part and ids of its term, a row for each of the term's lists, and one with an empty list (and no part) where there is none."""
     keyed = df.withColumn("_term", X.term_key(term))
-    found = keyed.join(index.select(F.col("term").alias("_term"), "ids"), "_term", "left")
+    found = keyed.join(index.select(F.col("term").alias("_term"), "part", "ids"), "_term", "left")
     return found.withColumn("ids", F.coalesce("ids", F.array().cast(index.schema["ids"].dataType))).drop("_term")
 
 

@@ -16,6 +16,7 @@ from .operators import nodes as N
 from .operators import pages as P
 from .operators import reports as R
 from .operators import routing as Q
+from .operators import search as C
 from .plans.specs import QUESTIONS, Catalog, NodeSpec
 from .sources import tables as S
 from .streaming import questions as streaming
@@ -134,28 +135,34 @@ def allow_list_fragment(spark, d):
     return N.allow_fragment(_read(spark, d, "part"), F.col("p_name"), ["Ring", "old b"]).select("p_partkey", "p_name")
 
 
-_INDEX = """i AS (SELECT DISTINCT term, p_partkey FROM (SELECT p_partkey, unnest([lower(p_name), lower(p_type || ' ' || p_brand)] || string_split(lower(p_name), ' ')) AS term FROM part)),
-   g AS (SELECT term, count(*) AS n, min(p_partkey) AS first_id, CAST(sum(p_partkey) AS BIGINT) AS id_sum FROM i GROUP BY term)"""
+@_query("""SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 30 = 7 AND contains(c_name, right(CAST(o_orderkey AS VARCHAR), 3)))""")
+def allow_fragment_table(spark, d):
+    """Customers whose name contains the last three digits of an order's key."""
+    fragments = _read(spark, d, "orders").filter("o_orderkey % 30 = 7").select(F.expr("right(cast(o_orderkey as string), 3)").alias("fragment"))
+    return C.allow_fragments(_read(spark, d, "customer"), F.col("c_name"), fragments, "fragment").select("c_custkey", "c_name")
 
 
-def _terms(spark, d):
-    return N.term_index(_read(spark, d, "part"), "p_partkey", [F.col("p_name"), F.concat_ws("  ", "p_type", "p_brand")], [F.split("p_name", " ")], parts=4)
+_INDEX = """i AS (SELECT DISTINCT term, p_partkey, p_size FROM (SELECT p_partkey, p_size, unnest([lower(p_name), lower(p_type || ' ' || p_brand)] || string_split(lower(p_name), ' ')) AS term FROM part)),
+   o AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY p_size, p_partkey) - 1 AS place FROM i),
+   g AS (SELECT term, count(*) AS n, arg_min(p_partkey, place) AS first_id FROM o GROUP BY term)"""
 
 
-def _of_lists():
-    return [F.sum(F.size("ids")).alias("n"), F.min(F.get("ids", F.lit(0))).alias("first_id"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("id_sum")]
+def _terms(spark, d):
+    """Ids in the order of p_size and the id, in lists of 64."""
+    terms = [F.col("p_name"), F.concat_ws("  ", "p_type", "p_brand")]
+    return N.term_index(_read(spark, d, "part"), "p_partkey", terms, [F.split("p_name", " ")], order=F.col("p_size"), size=64)
 
 
-@_query(f"WITH {_INDEX} SELECT term, n, first_id, id_sum FROM g")
+@_query(f"WITH {_INDEX} SELECT term, CAST(place // 64 AS INT) AS part, count(*) AS n, string_agg(p_partkey, ',' ORDER BY place) AS ids FROM o GROUP BY ALL")
 def term_index(spark, d):
-    return _terms(spark, d).groupBy("term").agg(*_of_lists())
+    return _terms(spark, d).select("term", "part", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("ids"))
 
 
 @_query(f"WITH {_INDEX} SELECT p_partkey, coalesce(n, 0) AS n, first_id FROM part LEFT JOIN g ON term = CASE WHEN p_size % 5 = 0 THEN 'no ' ELSE '' END || lower(p_name)")
 def term_lookup(spark, d):
     asked = F.concat(F.when(F.col("p_size") % 5 == 0, " No ").otherwise(" "), F.upper("p_name"))
     found = N.term_lookup(_read(spark, d, "part").select("p_partkey", "p_name", "p_size"), asked, _terms(spark, d))
-    return found.groupBy("p_partkey").agg(*_of_lists()[:2])
+    return found.groupBy("p_partkey").agg(F.sum(F.size("ids")).alias("n"), F.min_by(F.get("ids", F.lit(0)), "part").alias("first_id"))
 
 
 @_query(f"WITH {_INDEX} SELECT p_partkey FROM part WHERE CASE WHEN p_size % 5 = 0 THEN 'no ' ELSE '' END || lower(p_name) IN (SELECT term FROM i)")
@@ -369,6 +376,19 @@ def node_search(spark, d):
     return G.search(parts, "Ring").withColumn("how", F.lit("search")).unionByName(G.search(parts, "atlantis", fallback=7).withColumn("how", F.lit("fallback"))).unionByName(G.lookup(g, "Part", 3).withColumn("how", F.lit("lookup")))
 
 
+_ASKED = "CASE WHEN p_partkey % 7 = 0 THEN 'zq' || p_name WHEN p_partkey % 11 = 0 THEN substr(p_name, 2, 2) ELSE upper(substr(p_name, CAST(1 + p_partkey % 4 AS INT), CAST(4 + p_partkey % 9 AS INT))) END"
+
+
+@_query(f"""WITH q AS (SELECT p_partkey, {_ASKED} AS question FROM part), u AS (SELECT DISTINCT lower(question) AS t FROM q),
+                m AS (SELECT t, arg_min(p_partkey, (p_size <= 25, p_partkey)) AS id FROM u JOIN part ON contains(lower(p_name), t) OR contains(lower(p_type), t) GROUP BY t)
+           SELECT p_partkey, question, coalesce(id, 7) AS node_id, CASE WHEN id IS NULL THEN 'fallback' ELSE 'search' END AS match FROM q LEFT JOIN m ON t = lower(question)""")
+def node_search_table(spark, d):
+    """A node for each of a table of texts: pieces of names of different lengths, and some that no name has."""
+    p = _read(spark, d, "part")
+    nodes = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("synonyms"), "p_size")
+    return C.search_texts(nodes, p.select("p_partkey", F.expr(_ASKED).alias("question")), "question", fallback=7, preferred=F.col("p_size") > 25)
+
+
 # Reports ----------------------------------------------------------------------------------------------------------
 
 _BUCKETS = ["Approved or marketed", "Phase 3 trials", "Ongoing Phase 1–2 trials", "Ongoing (phase unknown)", "Discontinued or terminated", "Status unclear / other"]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 
@@ -16,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators.nodes import conform
 from ..plans.specs import Catalog
+from .shared import shared_folder  # noqa: F401  (part of this module's interface)
 
 
 def strings(names: Sequence[str]) -> T.StructType:
@@ -109,17 +107,6 @@ def profile(tables: Mapping[str, DataFrame], order: Mapping[str, Sequence[str]],
     return result
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's name under spark.checkpoint.dir, which driver and executors share; without one, a temporary one if all is one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def build_all(builders: Mapping[str, Callable[[], DataFrame | None]], catalog: Catalog, kind: str, folder: str) -> dict[str, int]:
     """Builds and writes each label or type, one Spark job each; those without a source are skipped. The number of rows written of each, counted as they are written."""
     written = {}
