@@ -112,10 +112,9 @@ def _deal(ranges: int):
         for batch in batches:
             for block, known, suffix, count in zip(*(batch.column(x).to_pylist() for x in ("block", "words", "suffix", "counts")), strict=True):
                 known, suffix, count = np.frombuffer(known, np.uint64), np.frombuffer(suffix, np.uint16), np.frombuffer(count, np.uint32)
-                part = (known >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)
-                edges = np.searchsorted(part, np.arange(ranges + 1)).tolist()
-                full = [k for k in range(ranges) if edges[k] < edges[k + 1]]
-                cut = [slice(edges[k], edges[k + 1]) for k in full]
+                part = (known >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)  # any number of ranges
+                full, edges = np.unique(part, return_index=True)
+                full, cut = full.tolist(), [slice(*x) for x in zip(edges.tolist(), [*edges[1:].tolist(), len(part)], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *(pa.array([x[c].tobytes() for c in cut], pa.binary()) for x in (known, suffix, count))],
                     ["part", "block", "words", "suffix", "counts"],

@@ -106,7 +106,8 @@ def _sets(length: int):
 def _deal(length: int, ranges: int):
     """Rows (part, batch, content, owner, low, high) of the batch's shingles in a range; one of them also holds its classes and their sizes.
 
-    A shingle is its range and 40 bits; owners are numbers of classes within the batch, so a shingle has 7 bytes at any scale.
+    Within its range a shingle is 48 bits; owners are numbers of classes within the batch, so a shingle has 8 bytes at any scale.
+    Ranges go by the first 32 bits of the hash, so there may be as many as the number of shingles asks for.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +130,8 @@ def _deal(length: int, ranges: int):
 
 
 _DEALT = "part int, batch long, content long, owner binary, low binary, high binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
-_SHARED = "batch long, content long, owner binary, tokens binary, counts binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
-#: A shingle (its range and 40 bits) and how many classes hold it.
+_SHARED = "part int, batch long, content long, owner binary, tokens binary, counts binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
+#: A shingle (64 bits of its range and its 48 bits, see `_named`) and how many classes hold it.
 _HEAVY = np.dtype([("token", "<u8"), ("count", "<u4")])
 
 
@@ -140,25 +141,29 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges, np.diff(np.append(edges, len(ordered)))
 
 
+def _named(part: np.ndarray | int, low: np.ndarray) -> np.ndarray:
+    """A shingle behind the exchange: the last 48 bits of its hash, below 16 bits of its range."""
+    return low & np.uint64((1 << 48) - 1) | (np.asarray(part, np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
+
+
 def _dealt(name: int, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranges: int) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
-    tokens = ((tokens >> np.uint64(48)) * np.uint64(ranges) >> np.uint64(16)) << np.uint64(40) | tokens & np.uint64((1 << 40) - 1)
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens, kind="stable")  # by range as well, as ranges are intervals
     tokens, owner = tokens[order], owner[order]
+    part = (tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
     firsts, count = _runs(tokens)
     common = count > HEAVY
-    heavy = np.zeros(int(common.sum()), _HEAVY)
-    heavy["token"], heavy["count"] = tokens[firsts[common]], count[common]
+    heavy, heavy_part = np.zeros(int(common.sum()), _HEAVY), part[firsts[common]]
+    heavy["token"], heavy["count"] = _named(heavy_part, tokens[firsts[common]]), count[common]
     light = ~np.repeat(common, count)
     held_by = owner[~light]
-    tokens, owner = tokens[light], owner[light]
-    begins = np.arange(ranges + 1, dtype=np.uint64) << np.uint64(40)
-    edges, heavy_edges = np.searchsorted(tokens, begins).tolist(), np.searchsorted(heavy["token"], begins).tolist()
-    low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)
+    tokens, owner, part = tokens[light], owner[light], part[light]
+    low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16)
     own = int(scramble(np.array([name], np.uint64))[0]) % ranges
     content = int(scramble(ids + scramble(np.arange(len(ids), dtype=np.uint64))).sum(dtype=np.uint64)) >> 1
-    full = [k for k in range(ranges) if edges[k] < edges[k + 1] or heavy_edges[k] < heavy_edges[k + 1] or k == own]
-    cut, heavy_cut = [slice(edges[k], edges[k + 1]) for k in full], [slice(heavy_edges[k], heavy_edges[k + 1]) for k in full]
+    full = np.unique(np.concatenate((part, heavy_part, np.array([own], np.uint64))))
+    cut, heavy_cut = ([slice(*x) for x in zip(np.searchsorted(p, full).tolist(), np.searchsorted(p, full, "right").tolist(), strict=True)] for p in (part, heavy_part))
+    full = full.tolist()
     whole = [ids.tobytes(), sizes.astype(np.uint32).tobytes(), heavy.tobytes(), held_by.tobytes()]
     columns = [[x[c].tobytes() for c in cut] for x in (owner, low, high)] + [[heavy[c].tobytes() for c in heavy_cut]] + [[x if k == own else None for k in full] for x in whole]
     return pa.RecordBatch.from_arrays(
@@ -170,10 +175,10 @@ def _dealt(name: int, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ra
 def _shared(group: pa.Table) -> pa.Table:
     """Of one range: for each batch the shingles that others hold too, with the number of holders."""
     part = group.column("part")[0].as_py()
-    columns = {x: [np.frombuffer(v.as_py(), kind) for v in group.column(x)] for x, kind in (("owner", np.uint16), ("low", np.uint32), ("high", np.uint8), ("heavy", _HEAVY))}
+    columns = {x: [np.frombuffer(v.as_py(), kind) for v in group.column(x)] for x, kind in (("owner", np.uint16), ("low", np.uint32), ("high", np.uint16), ("heavy", _HEAVY))}
     rows, heavy_rows = (np.repeat(np.arange(len(group), dtype=np.uint32), [len(x) for x in columns[c]]) for c in ("owner", "heavy"))
     owner, heavy = np.concatenate(columns["owner"]), np.concatenate(columns["heavy"])
-    tokens = np.concatenate(columns["low"]) | np.concatenate(columns["high"]).astype(np.uint64) << np.uint64(32) | np.uint64(part) << np.uint64(40)
+    tokens = _named(part, np.concatenate(columns["low"]) | np.concatenate(columns["high"]).astype(np.uint64) << np.uint64(32))
     every = np.concatenate((tokens, heavy["token"]))
     order = np.argsort(every, kind="stable")
     firsts, number = _runs(every[order])
@@ -189,7 +194,7 @@ def _shared(group: pa.Table) -> pa.Table:
     cut, heavy_cut = ([slice(a, b) for a, b in zip(e[:-1], e[1:], strict=True)] for e in (edges, heavy_edges))
     packed = {x: pa.array([v[c].tobytes() for c in cut], pa.binary()) for x, v in (("owner", owner), ("tokens", tokens), ("counts", each))}
     packed["heavy"] = pa.array([heavy[c].tobytes() for c in heavy_cut], pa.binary())
-    out = pa.table({"batch": group.column("batch"), "content": group.column("content"), **packed, **{x: group.column(x) for x in ("classes", "sizes", "held", "held_by")}})
+    out = pa.table({"part": group.column("part"), "batch": group.column("batch"), "content": group.column("content"), **packed, **{x: group.column(x) for x in ("classes", "sizes", "held", "held_by")}})
     some = [c.start < c.stop or h.start < h.stop for c, h in zip(cut, heavy_cut, strict=True)]
     return out.filter(pa.array([x or c for x, c in zip(some, group.column("classes").is_valid().to_pylist(), strict=True)]))
 
@@ -230,15 +235,15 @@ def _candidates(percent: int):
     def run(group: pa.Table) -> pa.Table:
         if len(group.column("content").unique()) > 1 or group.column("classes").null_count != len(group) - 1:
             raise RuntimeError("a batch of documents was dealt twice with different rows: give jaccard_join a stored table")
+        group = group.sort_by("part")  # in the order in which the batch was dealt
         joined = lambda x, kind: np.concatenate([np.frombuffer(v, kind) for v in group.column(x).to_pylist() if v is not None])
         classes, sizes = joined("classes", np.int64), joined("sizes", np.uint32).astype(np.int64)
         owner, tokens, counts = joined("owner", np.uint16), joined("tokens", np.uint64), joined("counts", np.uint32)
         held, total = joined("held", _HEAVY), joined("heavy", _HEAVY)
-        total = total["count"][np.argsort(total["token"])]  # held is in that order
-        if len(total) != len(held):
+        if not np.array_equal(total["token"], held["token"]):
             raise RuntimeError("a batch of documents was dealt twice with different rows: give jaccard_join a stored table")
         owner = np.concatenate((owner, joined("held_by", np.uint16)))
-        tokens, counts = np.concatenate((tokens, np.repeat(held["token"], held["count"]))), np.concatenate((counts, np.repeat(total, held["count"])))
+        tokens, counts = np.concatenate((tokens, np.repeat(held["token"], held["count"]))), np.concatenate((counts, np.repeat(total["count"], held["count"])))
         order = np.argsort(owner, kind="stable")
         owner, tokens, counts = owner[order], tokens[order], counts[order]
         edges = np.searchsorted(owner, np.arange(len(classes) + 1))

@@ -5,8 +5,8 @@ Every line is good or bad. A line's features are shares of its bytes and words (
 weights are fitted by maximum likelihood to documents whose label stands for each of their lines. A document's score
 is the mean, weighted by the lines' lengths, of the lines' marginals from a forward-backward pass.
 
-The fit uses a bounded sample of the labelled rows, whole texts of up to SAMPLE_BYTES bytes and SAMPLE_LINES lines: the SAMPLE
-doc_ids with the smallest hashes, one text each (of several texts of a doc_id the smallest). Scores use every line of
+The fit uses a bounded sample of the labelled rows, whole texts of any size: of the `sample` doc_ids with the smallest hashes among
+those that have a text, as many of each label as `lines` allows, one text each (of several texts of a doc_id the smallest). Scores use every line of
 every text. Labels, lang, source and doc_id are no inputs of a score.
 
 Null and empty texts have one empty line. With no label, or labels of one kind, scores are 0.5 or that label.
@@ -21,13 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .words import slices, text_bytes, words
 
-SAMPLE, SAMPLE_BYTES, SAMPLE_LINES, STEPS = 3000, 32768, 256, 120
+SAMPLE, SAMPLE_LINES, STEPS = 3000, 400_000, 120
 LEVELS = (0.02, 0.08, 0.2, 0.4)
 _KINDS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "loud": b"!?", "bar": b"|", "stop": b".,;:", "symbol": b"#$%&*+=<>@^_~{}[]\\/"}
 #: The shares, then the logarithms of the bytes in a line and in a word.
@@ -187,14 +187,22 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(counts, pa.int32()), pa.array(blobs, pa.binary())], ["quality", "lines", "features"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | float:
-    """The chain, or the only score that there is to give."""
-    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, so it may be broadcast
-    picked = picked.select(F.col("doc_id").alias("_labelled"), "quality")
-    lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    fitting = docs.select("doc_id", "text").filter((F.octet_length("text") <= SAMPLE_BYTES) & (lines <= SAMPLE_LINES))
-    texts = fitting.join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled")).groupBy("_labelled").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Chain | float:
+    """The chain, or the only score that there is to give.
+
+    Fitted to whole texts of at most `sample` labelled rows, in an order of hashes of their doc_ids: of each label as many rows as
+    bring its lines to half of `lines`, and the first in any case. So rows are left out by their place in that order, never by
+    their size, and what the driver holds is bounded by `lines` and one text of each label.
+    """
+    known = labels.filter("quality in (0, 1)").groupBy(F.col("doc_id").alias("_labelled")).agg(F.min("quality").cast("int").alias("quality"))
+    count = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = docs.select("doc_id", F.coalesce(count, F.lit(1)).alias("_lines")).groupBy("doc_id").agg(F.max("_lines").alias("_lines"))
+    there = known.join(sizes, F.col("_labelled") == F.col("doc_id")).select("_labelled", "quality", "_lines", F.xxhash64("_labelled").alias("_at"))
+    picked = there.orderBy("_at", "_labelled").limit(sample)  # bounded, as are the windows on it
+    before = F.sum("_lines").over(Window.partitionBy("quality").orderBy("_at", "_labelled").rowsBetween(Window.unboundedPreceding, -1))
+    picked = picked.withColumn("_before", F.coalesce(before, F.lit(0))).filter(F.col("_before") < lines // 2).select("_labelled", "quality")
+    fitting = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled"))
+    texts = fitting.groupBy("_labelled").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
     rows = texts.select("quality", "text").mapInArrow(_sample, "quality int, lines int, features binary").collect()  # of `sample` rows at most
     if not rows:
         return 0.5

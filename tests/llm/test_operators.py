@@ -126,6 +126,33 @@ def test_jaccard_batches_keep_their_names_in_a_rerun(spark):
     assert len(named) == len(set(named)) == 3 and {r["batch"] for r in first} == set(named)
 
 
+def test_jaccard_ranges_are_as_many_as_asked():
+    """Beyond 65,536 ranges too; every shingle goes out once, by the same name in every batch and order."""
+    r = np.random.default_rng(5)
+    tokens = np.sort(r.integers(0, 1 << 64, 3000, dtype=np.uint64))
+    ranges = 1 << 22
+    row = lambda name: jaccard_join._dealt(name, np.arange(2, dtype=np.uint64) + np.uint64(1), np.array([1500, 1500]), np.concatenate((tokens[::2], tokens[1::2])), ranges)
+    parts = row(1).column("part").to_pylist()
+    assert 2990 <= len(set(parts)) == len(parts) and max(parts) > 65536 and parts == sorted(parts)
+    assert sum(len(x) // 2 for x in row(1).column("owner").to_pylist()) == 3000
+    wanted = {int(t >> np.uint64(32)) * ranges >> 32 for t in tokens}
+    assert wanted <= set(parts) and len(set(parts) - wanted) <= 1
+
+
+def test_jaccard_shingles_of_equal_last_bits_are_apart():
+    """Hashes of one range that agree in their last 40 bits are different shingles; equal ones are shared, also if common in one batch only."""
+    low = (1 << 40) - 5
+    ids, one = np.array([1], np.uint64), lambda *t: np.sort(np.array(t, np.uint64))
+    near = [low + (k << 40) for k in range(3)]
+    rows = [jaccard_join._dealt(1, ids, np.array([2]), one(near[0], 7), 1), jaccard_join._dealt(2, ids + np.uint64(1), np.array([2]), one(near[1], 7), 1)]
+    many = np.arange(20, dtype=np.uint64) + np.uint64(5)
+    rows.append(jaccard_join._dealt(3, many, np.ones(20, np.int64), np.full(20, near[1], np.uint64), 1))
+    shared = jaccard_join._shared(pa.Table.from_batches(rows)).to_pylist()
+    tokens = {r["batch"]: list(zip(np.frombuffer(r["tokens"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist())) for r in shared}
+    assert tokens == {1: [(7, 2)], 2: [(7, 2), (near[1], 21)], 3: []}
+    assert [int(h["count"]) for r in shared for h in np.frombuffer(r["heavy"], jaccard_join._HEAVY)] == [21]
+
+
 def test_jaccard_stops_when_a_batch_is_split():
     whole = {"batch": [1, 1], "content": [5, 6], "owner": [b"", b""], "tokens": [b"", b""], "counts": [b"", b""], "classes": [b"", None], "sizes": [b"", None], "heavy": [b"", b""], "held": [b"", None], "held_by": [b"", None]}
     with pytest.raises(RuntimeError, match="dealt twice"):
@@ -775,23 +802,48 @@ def test_document_scores_by_definition():
         assert got == pytest.approx((chances / total) @ sizes / sizes.sum(), abs=1e-5), text
 
 
-def test_line_crf_takes_one_text_of_an_id(spark):
-    """Repeated rows of a labelled id come to the driver once; texts over the bounds are left out whole."""
-    texts = [(1, "good words here")] * 50 + [(1, "a text")] * 50 + [(2, "| | | !!!"), (3, "\n" * 300), (4, "y" * 40000)]
-    docs = spark.createDataFrame([(i, t, 0.25) for i, t in texts], "doc_id long, text string, score double")
-    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, quality int")
+def _fitted(docs, labels, **bounds):
+    """The model, and for each fit the numbers of lines and the labels."""
     seen = []
     fit = line_crf.fit
-    line_crf.fit = lambda rows, before, y, *more: seen.append((np.diff(before).tolist(), sorted(y.tolist()))) or fit(rows, before, y, *more)
+    line_crf.fit = lambda rows, before, y, *more: seen.append(sorted(zip(np.diff(before).tolist(), y.tolist()))) or fit(rows, before, y, *more)
     try:
-        model = line_crf.train(docs, labels)
+        return line_crf.train(docs, labels, **bounds), seen
     finally:
         line_crf.fit = fit
-    assert seen == [([1, 1], [0, 1])]
+
+
+def test_line_crf_takes_one_text_of_an_id(spark):
+    """Repeated rows of a labelled id come to the driver once; labelled ids without a row take no place in the sample."""
+    texts = [(1, "good words here")] * 50 + [(1, "a text")] * 50 + [(2, "| | | !!!"), (3, None)]
+    docs = spark.createDataFrame([(i, t, 0.25) for i, t in texts], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)] + [(k, 1) for k in range(10, 60)], "doc_id long, quality int")
+    model, seen = _fitted(docs, labels, sample=3)
+    assert seen == [[(1, 0), (1, 0), (1, 1)]]
     kept = line_crf.score_documents(docs, model, "chance")
     assert kept.columns == [*docs.columns, "chance"] and {r["score"] for r in kept.collect()} == {0.25}
 
 
+def test_line_crf_learns_a_class_of_long_texts_only(spark):
+    """Texts of one label are all of many lines or of very long ones: none is left out for its size."""
+    bad = ["\n".join("| # $ | !! ==" for _ in range(300)) for _ in range(20)] + ["| # $ = " * 5000 for _ in range(20)]
+    texts = [f"some plain words of a calm text number {k}" for k in range(40)] + bad
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, quality int")
+    model, seen = _fitted(docs, labels)
+    assert seen == [sorted([(1, 1)] * 40 + [(300, 0)] * 20 + [(1, 0)] * 20)]
+    scores = {r["doc_id"]: r["score"] for r in line_crf.score_documents(docs, model).collect()}
+    assert all((scores[k] >= 0.5) == (k < 40) for k in scores)
+
+
+def test_line_crf_bounds_lines_by_rows(spark):
+    texts = ["\n".join(["a calm line"] * 30) for _ in range(20)] + ["\n".join(["| # $"] * 500) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 20)) for k in range(40)], "doc_id long, quality int")
+    _, seen = _fitted(docs, labels, lines=200)
+    assert seen == [[(30, 1)] * 4 + [(500, 0)]]
+
+
 def test_line_crf_held_out(spark):
     r = random.Random(1)
     line = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(12))
