@@ -394,14 +394,20 @@ def node_search_table(spark, d):
 _BUCKETS = ["Approved or marketed", "Phase 3 trials", "Ongoing Phase 1–2 trials", "Ongoing (phase unknown)", "Discontinued or terminated", "Status unclear / other"]
 
 
-def _orders_by_nation(spark, d):
-    return _status(spark, d).join(_read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+def _of_asked(rows, key, anchors):
+    """The rows of the nations that are asked for (all without anchors), so that joins and aggregates behind see no others."""
+    return rows if anchors is None else L.known_only(rows, key, anchors, "c_nationkey")
 
 
-def _report_status(spark, d):
+def _orders_by_nation(spark, d, anchors=None):
+    customers = _of_asked(_read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_nationkey", anchors)
+    return _status(spark, d).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def _report_status(spark, d, anchors=None):
     bucket = X.development_bucket(F.col("status"), F.col("status"), F.substring("o_orderpriority", 1, 1), F.lit(False))
     name = F.concat("o_orderpriority", F.lit(" of "), "c_mktsegment")
-    return R.bucketed(_orders_by_nation(spark, d), "c_nationkey", bucket, name, [("", F.col("o_orderstatus")), ("last status", F.col("status"))], ["o_orderkey"], _BUCKETS, "Orders by stage")
+    return R.bucketed(_orders_by_nation(spark, d, anchors), "c_nationkey", bucket, name, [("", F.col("o_orderstatus")), ("last status", F.col("status"))], ["o_orderkey"], _BUCKETS, "Orders by stage")
 
 
 _REPORT_STATUS = f"""rs AS (SELECT c_nationkey, o_orderkey, o_orderstatus, o_orderpriority, o_orderpriority || ' of ' || c_mktsegment AS name, {_STATUS} AS status FROM orders JOIN customer ON c_custkey = o_custkey),
@@ -419,10 +425,16 @@ def report_bucketed(spark, d):
 _SECONDS = {"decreased": "Lower", "increased": "Higher", "no_change": "No clear change"}
 
 
-def _report_two_level(spark, d):
+def _lines_by_nation(spark, d, anchors=None):
+    """Lines with their part and the supplier's nation; the suppliers come first, as they leave the fewest lines."""
+    suppliers = _of_asked(_read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey")), "c_nationkey", anchors)
+    rows = _read(spark, d, "lineitem").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.join(_read(spark, d, "part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+
+
+def _report_two_level(spark, d, anchors=None):
     """Per supplier's nation: line flags, then directions, then part types with their first brand and order."""
-    rows = _read(spark, d, "lineitem").join(_read(spark, d, "part").select("p_partkey", "p_type", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.join(_read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = _lines_by_nation(spark, d, anchors)
     raw = F.when(F.col("l_discount") > F.col("l_tax"), "Higher").when(F.col("l_discount") < F.col("l_tax"), "lowered, decrease").otherwise("no real change")
     details = [("", F.when(F.col("l_linenumber") > 1, F.col("p_brand"))), ("first order", F.col("l_orderkey"))]
     return R.two_level(rows, "c_nationkey", F.col("l_returnflag"), X.direction(raw), F.col("p_type"), details, ["l_orderkey", "l_linenumber", "p_brand", "l_partkey"], ["A", "R"], _SECONDS, "Lines by flag and direction")
@@ -465,19 +477,18 @@ def report_topk(spark, d):
     return R.top_preferred(_read(spark, d, "part"), "p_type", F.col("p_name"), ["red", "old"], "Top")
 
 
-def _nation_suppliers(spark, d, cap):
+def _nation_suppliers(spark, d, cap, anchors=None):
     """Each nation's suppliers, the first `cap` by name."""
     g = trade_graph(spark, d)
     g.nodes["Supplier"] = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"))
     g.edges["SUPPLIED_BY"] = _read(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("source_id"), F.col("s_suppkey").alias("target_id"))
     g.ends["SUPPLIED_BY"] = ("Nation", "Supplier")
-    return G.hop(g, "SUPPLIED_BY", g.nodes["Nation"], limit=cap).select(F.col("anchor_id").cast("int").alias("c_nationkey"), "label")
+    return G.hop(g, "SUPPLIED_BY", _of_asked(g.nodes["Nation"], "id", anchors), limit=cap).select(F.col("anchor_id").cast("int").alias("c_nationkey"), "label")
 
 
-def _nation_brands(spark, d):
-    """Brands that each nation's suppliers have lines of."""
-    rows = _read(spark, d, "lineitem").select("l_partkey", "l_suppkey").join(_read(spark, d, "part").select("p_partkey", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.join(_read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey")), F.col("l_suppkey") == F.col("s_suppkey")).select("c_nationkey", "p_brand", "p_type")
+def _nation_brands(spark, d, anchors=None):
+    """Brands and types that each nation's suppliers have lines of, once each: two sections share this exchange."""
+    return _lines_by_nation(spark, d, anchors).select("c_nationkey", "p_brand", "p_type").distinct()
 
 
 _NATION_PARTS = """v AS (SELECT s_nationkey, s_name FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name, s_suppkey) AS n FROM supplier) WHERE n <= 100),
@@ -489,13 +500,13 @@ _NATION_PARTS = """v AS (SELECT s_nationkey, s_name FROM (SELECT *, row_number()
    r4 AS (SELECT c_nationkey, 'First brands' || chr(10) || string_agg('- ' || p_brand, chr(10) ORDER BY late, p_brand) AS text FROM nt WHERE n <= 15 GROUP BY 1)"""
 
 
-def _nation_reports(spark, d):
-    """The five sections of a nation, each with the sentence for none."""
-    brands = _nation_brands(spark, d)
+def _nation_reports(spark, d, anchors):
+    """The five sections of the nations asked for, each with the sentence for none."""
+    brands = _nation_brands(spark, d, anchors)
     return {
-        "lines": (_report_two_level(spark, d), "No lines."),
-        "stages": (_report_status(spark, d), "No orders."),
-        "suppliers": (R.listed(_nation_suppliers(spark, d, 100), "c_nationkey", F.col("label"), "Suppliers"), "No suppliers."),
+        "lines": (_report_two_level(spark, d, anchors), "No lines."),
+        "stages": (_report_status(spark, d, anchors), "No orders."),
+        "suppliers": (R.listed(_nation_suppliers(spark, d, 100, anchors), "c_nationkey", F.col("label"), "Suppliers"), "No suppliers."),
         "types": (R.listed_pairs(brands, "c_nationkey", F.col("p_type"), F.col("p_brand"), "Brands by type"), "No brands."),
         "top": (R.top_preferred(brands, "c_nationkey", F.col("p_brand"), ["Brand#2"], "First brands"), "No first brands."),
     }
@@ -510,7 +521,7 @@ _JOINED = " ".join(f"LEFT JOIN r{k} ON r{k}.c_nationkey = a.c_nationkey" for k i
 @_query(f"WITH {_ALL_PARTS}, a AS (SELECT n_nationkey AS c_nationkey FROM nation) SELECT a.c_nationkey, {_BLANK.join(_SECTION.values())} AS text FROM a {_JOINED}")
 def report_combined(spark, d):
     nations = _read(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"))
-    return R.combined(nations, "c_nationkey", list(_nation_reports(spark, d).values()))
+    return R.combined(nations, "c_nationkey", list(_nation_reports(spark, d, nations).values()))
 
 
 _CLOSING = "Name only what is listed above."
@@ -519,7 +530,7 @@ _KINDS = {"lines": ("Lines of nation", ("lines",)), "suppliers": ("Suppliers of
 
 def _intent_reports(spark, d, anchors):
     """A row for each anchor and kind of question: kind, c_nationkey, text, anchor_found. Nations that aren't there are told apart by a left join."""
-    parts, nations = _nation_reports(spark, d), _read(spark, d, "nation").select(F.col("n_nationkey").alias("_there"))
+    parts, nations = _nation_reports(spark, d, anchors), _read(spark, d, "nation").select(F.col("n_nationkey").alias("_there"))
     asked = anchors.join(nations, F.col("c_nationkey") == F.col("_there"), "left")
     return R.framed(asked, "c_nationkey", F.col("_there").isNotNull(), _KINDS, parts, _CLOSING, "There is no such nation.")
 
@@ -618,7 +629,7 @@ def question_stream(spark, d):
     path, checkpoint = (S.shared_folder(spark, f"questions-{x}") for x in ("out", "log"))
     table = _read(spark, d, "conversations")
     stream = streaming.read_questions(spark, d, table.schema, "conversations.parquet*").filter("role = 'user'").withColumnRenamed("text", "question")
-    routed = streaming.routed(stream, _strategy_reports(spark, d)).select("conv_id", "turn", "intent", "strategy")
+    routed = streaming.routed(stream, streaming.stored_reports(_strategy_reports(spark, d))).select("conv_id", "turn", "intent", "strategy")
     streaming.write(routed, path, checkpoint).awaitTermination()
     return spark.read.schema(routed.schema).parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators import routing
+from ..sources.shared import shared_folder
 
 
 def read_questions(spark: SparkSession, folder: str, schema: T.StructType, pattern: str = "*.parquet", files_per_trigger: int = 16) -> DataFrame:
@@ -13,6 +14,13 @@ def read_questions(spark: SparkSession, folder: str, schema: T.StructType, patte
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{pattern}")
 
 
+def stored_reports(reports: DataFrame) -> DataFrame:
+    """The reports as a table in the shared folder: made once, however many micro-batches are joined to them."""
+    folder = shared_folder(reports.sparkSession, "reports")
+    reports.write.parquet(folder)
+    return reports.sparkSession.read.schema(reports.schema).parquet(folder)
+
+
 def routed(questions: DataFrame, reports: DataFrame | None = None, question: str = "question") -> DataFrame:
     return routing.route(routing.classify(questions, question), reports)
 

@@ -7,11 +7,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import queries
 from loomgraph.operators import graph as G
 from loomgraph.operators import links as L
 from loomgraph.operators import nodes as N
 from loomgraph.operators import search as C
+from loomgraph.streaming import questions as streaming
 
+DATA = "/root/testdata/sf0.001"
 WORDS = ["tau", "beta", "Amyloid", "b", "p-tau", "é", "x y", "%_", "NfL", "aa", "aaa"]
 
 
@@ -96,3 +99,24 @@ def test_term_lists_are_bounded_and_in_first_seen_order(spark):
         ordered = [k for k, _ in sorted(ids.items(), key=lambda x: (x[1], x[0]))]
         want |= {(term, p // 7, tuple(ordered[p : p + 7])) for p in range(0, len(ordered), 7)}
     assert {(t, p, tuple(ids)) for t, p, ids in got} == want and len(got) == len(want)
+
+
+def test_reports_are_made_of_the_asked_nations_only(spark):
+    """The parts themselves hold no other nation: the anchors reach them before any aggregate."""
+    anchors = spark.createDataFrame([(3,), (8,), (77,)], "c_nationkey int")
+    parts = queries._nation_reports(spark, DATA, anchors)
+    found = {name: {r["c_nationkey"] for r in part.select("c_nationkey").collect()} for name, (part, _) in parts.items()}
+    assert all(keys <= {3, 8} for keys in found.values()) and any(found.values())
+
+
+def test_stored_reports_are_not_made_again(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    reports = spark.range(3).selectExpr("concat('s', id) AS strategy", "'text' AS context", "true AS anchor_found")
+    stored = streaming.stored_reports(reports.mapInArrow(count, reports.schema))
+    assert stored.count() == stored.filter("context = 'text'").count() == 3 and made.value == 3
