@@ -104,9 +104,10 @@ def _sets(length: int):
 
 
 def _deal(length: int, ranges: int):
-    """Rows (part, batch, content, owner, low, high) of the batch's shingles in a range; one of them also holds its classes and their sizes.
+    """Rows (part, batch, content, owner, low, high, tops) of the batch's shingles in a range; one of them also holds its classes and their sizes.
 
-    Within its range a shingle is 48 bits; owners are numbers of classes within the batch, so a shingle has 8 bytes at any scale.
+    A shingle is sent whole: its last 48 bits as low and high, its first 16 as counts over the range's sorted shingles (see `_tops`).
+    Owners are numbers of classes within the batch, so a shingle has 8 bytes at any scale, and a batch 64 KiB more at most.
     Ranges go by the first 32 bits of the hash, so there may be as many as the number of shingles asks for.
     """
 
@@ -129,9 +130,9 @@ def _deal(length: int, ranges: int):
     return run
 
 
-_DEALT = "part int, batch long, content long, owner binary, low binary, high binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
+_DEALT = "part int, batch long, content long, owner binary, low binary, high binary, tops binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
 _SHARED = "part int, batch long, content long, owner binary, tokens binary, counts binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
-#: A shingle (64 bits of its range and its 48 bits, see `_named`) and how many classes hold it.
+#: A shingle and how many classes hold it.
 _HEAVY = np.dtype([("token", "<u8"), ("count", "<u4")])
 
 
@@ -141,9 +142,24 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges, np.diff(np.append(edges, len(ordered)))
 
 
-def _named(part: np.ndarray | int, low: np.ndarray) -> np.ndarray:
-    """A shingle behind the exchange: the last 48 bits of its hash, below 16 bits of its range."""
-    return low & np.uint64((1 << 48) - 1) | (np.asarray(part, np.uint64) & np.uint64(0xFFFF)) << np.uint64(48)
+def _lowest(part: int, ranges: int) -> int:
+    """The first 16 bits of the smallest hash in a range."""
+    return -(-(part << 32) // ranges) >> 16
+
+
+def _tops(first: np.ndarray) -> bytes:
+    """Sorted small numbers as how often 0, 1, 2, ... occur: a byte each, after as many bytes of 255 as go into it."""
+    counts = np.bincount(first)
+    reps = counts // 255 + 1
+    out = np.full(reps.sum(), 255, np.uint8)
+    out[np.cumsum(reps) - 1] = counts % 255
+    return out.tobytes()
+
+
+def _from_tops(packed: bytes) -> np.ndarray:
+    """The numbers that `_tops` has packed."""
+    counts = np.frombuffer(packed, np.uint8)
+    return np.repeat(np.cumsum(counts != 255) - (counts != 255), counts).astype(np.uint64)
 
 
 def _dealt(name: int, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranges: int) -> pa.RecordBatch:
@@ -154,49 +170,56 @@ def _dealt(name: int, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ra
     firsts, count = _runs(tokens)
     common = count > HEAVY
     heavy, heavy_part = np.zeros(int(common.sum()), _HEAVY), part[firsts[common]]
-    heavy["token"], heavy["count"] = _named(heavy_part, tokens[firsts[common]]), count[common]
+    heavy["token"], heavy["count"] = tokens[firsts[common]], count[common]
     light = ~np.repeat(common, count)
     held_by = owner[~light]
     tokens, owner, part = tokens[light], owner[light], part[light]
     low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16)
+    top = (tokens >> np.uint64(48)).astype(np.int64)
     own = int(scramble(np.array([name], np.uint64))[0]) % ranges
     content = int(scramble(ids + scramble(np.arange(len(ids), dtype=np.uint64))).sum(dtype=np.uint64)) >> 1
     full = np.unique(np.concatenate((part, heavy_part, np.array([own], np.uint64))))
     cut, heavy_cut = ([slice(*x) for x in zip(np.searchsorted(p, full).tolist(), np.searchsorted(p, full, "right").tolist(), strict=True)] for p in (part, heavy_part))
     full = full.tolist()
     whole = [ids.tobytes(), sizes.astype(np.uint32).tobytes(), heavy.tobytes(), held_by.tobytes()]
-    columns = [[x[c].tobytes() for c in cut] for x in (owner, low, high)] + [[heavy[c].tobytes() for c in heavy_cut]] + [[x if k == own else None for k in full] for x in whole]
+    columns = [[x[c].tobytes() for c in cut] for x in (owner, low, high)] + [[_tops(top[c] - _lowest(k, ranges)) for c, k in zip(cut, full, strict=True)]]
+    columns += [[heavy[c].tobytes() for c in heavy_cut]] + [[x if k == own else None for k in full] for x in whole]
     return pa.RecordBatch.from_arrays(
         [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.int64()), pa.array([content] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)],
-        ["part", "batch", "content", "owner", "low", "high", "heavy", "classes", "sizes", "held", "held_by"],
+        ["part", "batch", "content", "owner", "low", "high", "tops", "heavy", "classes", "sizes", "held", "held_by"],
     )
 
 
-def _shared(group: pa.Table) -> pa.Table:
+def _shared(ranges: int):
     """Of one range: for each batch the shingles that others hold too, with the number of holders."""
-    part = group.column("part")[0].as_py()
-    columns = {x: [np.frombuffer(v.as_py(), kind) for v in group.column(x)] for x, kind in (("owner", np.uint16), ("low", np.uint32), ("high", np.uint16), ("heavy", _HEAVY))}
-    rows, heavy_rows = (np.repeat(np.arange(len(group), dtype=np.uint32), [len(x) for x in columns[c]]) for c in ("owner", "heavy"))
-    owner, heavy = np.concatenate(columns["owner"]), np.concatenate(columns["heavy"])
-    tokens = _named(part, np.concatenate(columns["low"]) | np.concatenate(columns["high"]).astype(np.uint64) << np.uint64(32))
-    every = np.concatenate((tokens, heavy["token"]))
-    order = np.argsort(every, kind="stable")
-    firsts, number = _runs(every[order])
-    holders = np.concatenate((np.ones(len(tokens), np.int64), heavy["count"]))[order]
-    total = np.add.reduceat(holders, firsts) if len(firsts) else holders
-    each = np.zeros(len(every), np.uint32)
-    each[order] = np.repeat(np.minimum(total, (1 << 32) - 1), number)
-    heavy = heavy.copy()
-    heavy["count"], each = each[len(tokens) :], each[: len(tokens)]
-    kept = each > 1
-    tokens, owner, rows, each = tokens[kept], owner[kept], rows[kept], each[kept]
-    edges, heavy_edges = (np.searchsorted(x, np.arange(len(group) + 1)).tolist() for x in (rows, heavy_rows))
-    cut, heavy_cut = ([slice(a, b) for a, b in zip(e[:-1], e[1:], strict=True)] for e in (edges, heavy_edges))
-    packed = {x: pa.array([v[c].tobytes() for c in cut], pa.binary()) for x, v in (("owner", owner), ("tokens", tokens), ("counts", each))}
-    packed["heavy"] = pa.array([heavy[c].tobytes() for c in heavy_cut], pa.binary())
-    out = pa.table({"part": group.column("part"), "batch": group.column("batch"), "content": group.column("content"), **packed, **{x: group.column(x) for x in ("classes", "sizes", "held", "held_by")}})
-    some = [c.start < c.stop or h.start < h.stop for c, h in zip(cut, heavy_cut, strict=True)]
-    return out.filter(pa.array([x or c for x, c in zip(some, group.column("classes").is_valid().to_pylist(), strict=True)]))
+
+    def run(group: pa.Table) -> pa.Table:
+        lowest = np.uint64(_lowest(group.column("part")[0].as_py(), ranges))
+        columns = {x: [np.frombuffer(v.as_py(), kind) for v in group.column(x)] for x, kind in (("owner", np.uint16), ("low", np.uint32), ("high", np.uint16), ("heavy", _HEAVY))}
+        rows, heavy_rows = (np.repeat(np.arange(len(group), dtype=np.uint32), [len(x) for x in columns[c]]) for c in ("owner", "heavy"))
+        owner, heavy = np.concatenate(columns["owner"]), np.concatenate(columns["heavy"])
+        tokens = np.concatenate([_from_tops(v.as_py()) for v in group.column("tops")]) + lowest << np.uint64(48)
+        tokens |= np.concatenate(columns["low"]) | np.concatenate(columns["high"]).astype(np.uint64) << np.uint64(32)
+        every = np.concatenate((tokens, heavy["token"]))
+        order = np.argsort(every, kind="stable")
+        firsts, number = _runs(every[order])
+        holders = np.concatenate((np.ones(len(tokens), np.int64), heavy["count"]))[order]
+        total = np.add.reduceat(holders, firsts) if len(firsts) else holders
+        each = np.zeros(len(every), np.uint32)
+        each[order] = np.repeat(np.minimum(total, (1 << 32) - 1), number)
+        heavy = heavy.copy()
+        heavy["count"], each = each[len(tokens) :], each[: len(tokens)]
+        kept = each > 1
+        tokens, owner, rows, each = tokens[kept], owner[kept], rows[kept], each[kept]
+        edges, heavy_edges = (np.searchsorted(x, np.arange(len(group) + 1)).tolist() for x in (rows, heavy_rows))
+        cut, heavy_cut = ([slice(a, b) for a, b in zip(e[:-1], e[1:], strict=True)] for e in (edges, heavy_edges))
+        packed = {x: pa.array([v[c].tobytes() for c in cut], pa.binary()) for x, v in (("owner", owner), ("tokens", tokens), ("counts", each))}
+        packed["heavy"] = pa.array([heavy[c].tobytes() for c in heavy_cut], pa.binary())
+        out = pa.table({"part": group.column("part"), "batch": group.column("batch"), "content": group.column("content"), **packed, **{x: group.column(x) for x in ("classes", "sizes", "held", "held_by")}})
+        some = [c.start < c.stop or h.start < h.stop for c, h in zip(cut, heavy_cut, strict=True)]
+        return out.filter(pa.array([x or c for x, c in zip(some, group.column("classes").is_valid().to_pylist(), strict=True)]))
+
+    return run
 
 
 def _in_classes(tokens: np.ndarray, groups: int) -> np.ndarray:
@@ -398,7 +421,7 @@ def class_components(docs: DataFrame, classes: DataFrame, length: int = 5, perce
     total = classes.agg(F.sum("n")).first()[0] or 0
     ranges = max(1, -(-total // RANGE))
     dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), _DEALT)
-    back = dealt.groupBy("part").applyInArrow(_shared, _SHARED)
+    back = dealt.groupBy("part").applyInArrow(_shared(ranges), _SHARED)
     rows = back.groupBy("batch").applyInArrow(_candidates(percent), "class_id long, n long, tokens binary, counts binary")
     once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "tokens", "counts")), F.count("*").alias("holders"))
     index = once.mapInArrow(_index(percent), "class_id long, n long, s long, central double, tokens binary, keys array<long>").join(classes.select("class_id", "name"), "class_id")

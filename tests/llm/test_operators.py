@@ -139,20 +139,35 @@ def test_jaccard_ranges_are_as_many_as_asked():
     assert wanted <= set(parts) and len(set(parts) - wanted) <= 1
 
 
-def test_jaccard_shingles_of_equal_last_bits_are_apart():
-    """Hashes of one range that agree in their last 40 bits are different shingles; equal ones are shared, also if common in one batch only."""
+@pytest.mark.parametrize("bits", [40, 48, 63])
+def test_jaccard_shingles_of_equal_last_bits_are_apart(bits):
+    """Hashes of one range that differ in their first bits only are different shingles; equal ones are shared, also if common in one batch only."""
     low = (1 << 40) - 5
+    top = 1 << bits
     ids, one = np.array([1], np.uint64), lambda *t: np.sort(np.array(t, np.uint64))
-    near = [low + (k << 40) for k in range(3)]
+    near = [low, low + top]
     rows = [jaccard_join._dealt(1, ids, np.array([2]), one(near[0], 7), 1), jaccard_join._dealt(2, ids + np.uint64(1), np.array([2]), one(near[1], 7), 1)]
     many = np.arange(20, dtype=np.uint64) + np.uint64(5)
     rows.append(jaccard_join._dealt(3, many, np.ones(20, np.int64), np.full(20, near[1], np.uint64), 1))
-    shared = jaccard_join._shared(pa.Table.from_batches(rows)).to_pylist()
+    shared = jaccard_join._shared(1)(pa.Table.from_batches(rows)).to_pylist()
     tokens = {r["batch"]: list(zip(np.frombuffer(r["tokens"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist())) for r in shared}
     assert tokens == {1: [(7, 2)], 2: [(7, 2), (near[1], 21)], 3: []}
     assert [int(h["count"]) for r in shared for h in np.frombuffer(r["heavy"], jaccard_join._HEAVY)] == [21]
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 1000, 65_537, 1 << 22])
+def test_jaccard_shingles_arrive_whole(ranges):
+    """All 64 bits of every shared shingle come back, for any number of ranges and however many have the same first bits."""
+    r = np.random.default_rng(ranges)
+    tokens = np.unique(np.concatenate((r.integers(0, 1 << 64, 2000, dtype=np.uint64), r.integers(0, 1 << 44, 1500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64))))
+    rows = [jaccard_join._dealt(k, np.array([k], np.uint64), np.array([len(tokens)]), tokens, ranges) for k in (1, 2)]
+    dealt = pa.Table.from_batches(rows)
+    found = [jaccard_join._shared(ranges)(dealt.filter(pa.compute.equal(dealt.column("part"), k))) for k in dealt.column("part").unique().to_pylist()]
+    for name in (1, 2):
+        got = [np.frombuffer(x["tokens"], np.uint64) for t in found for x in t.to_pylist() if x["batch"] == name]
+        assert np.array_equal(np.sort(np.concatenate(got)), tokens)
+
+
 def test_jaccard_stops_when_a_batch_is_split():
     whole = {"batch": [1, 1], "content": [5, 6], "owner": [b"", b""], "tokens": [b"", b""], "counts": [b"", b""], "classes": [b"", None], "sizes": [b"", None], "heavy": [b"", b""], "held": [b"", None], "held_by": [b"", None]}
     with pytest.raises(RuntimeError, match="dealt twice"):
