@@ -107,7 +107,8 @@ def _deal(length: int, ranges: int):
     """Rows (part, batch, content, owner, low, high, tops) of the batch's shingles in a range; one of them also holds its classes and their sizes.
 
     A shingle is sent whole: its last 48 bits as low and high, its first 16 as counts over the range's sorted shingles (see `_tops`).
-    Owners are numbers of classes within the batch, so a shingle has 8 bytes at any scale, and a batch 64 KiB more at most.
+    Owners are numbers of classes within the batch, in as many bits as they need, so a shingle has at most 8 bytes at any scale,
+    and a batch 64 KiB more at most. It comes back in the same form.
     Ranges go by the first 32 bits of the hash, so there may be as many as the number of shingles asks for.
     """
 
@@ -131,7 +132,7 @@ def _deal(length: int, ranges: int):
 
 
 _DEALT = "part int, batch long, content long, owner binary, low binary, high binary, tops binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
-_SHARED = "part int, batch long, content long, owner binary, tokens binary, counts binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
+_SHARED = "part int, batch long, content long, owner binary, low binary, high binary, tops binary, counts binary, heavy binary, classes binary, sizes binary, held binary, held_by binary"
 #: A shingle and how many classes hold it.
 _HEAVY = np.dtype([("token", "<u8"), ("count", "<u4")])
 
@@ -162,6 +163,46 @@ def _from_tops(packed: bytes) -> np.ndarray:
     return np.repeat(np.cumsum(counts != 255) - (counts != 255), counts).astype(np.uint64)
 
 
+def _few_bits(x: np.ndarray) -> bytes:
+    """16-bit numbers in as many bits as the largest one has, behind a byte that says how many."""
+    bits = int(x.max()).bit_length() if len(x) else 0
+    spread = (x[:, None] >> np.arange(bits, dtype=np.uint16) & 1).astype(np.uint8)
+    return bytes([bits]) + np.packbits(spread).tobytes()
+
+
+def _from_few_bits(packed: bytes, n: int) -> np.ndarray:
+    """The n numbers that `_few_bits` has packed."""
+    bits = packed[0]
+    spread = np.unpackbits(np.frombuffer(packed[1:], np.uint8), count=n * bits).reshape(n, bits).astype(np.uint16)
+    return (spread << np.arange(bits, dtype=np.uint16)).sum(axis=1, dtype=np.uint16)
+
+
+def _hashes(tokens: np.ndarray, cut: list[slice], parts: list[int], ranges: int) -> dict[str, list[bytes]]:
+    """The columns low, high and tops of slices of sorted shingles, each within one range."""
+    top = (tokens >> np.uint64(48)).astype(np.int64)
+    low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16)
+    tops = [_tops(top[c] - _lowest(k, ranges)) for c, k in zip(cut, parts, strict=True)]
+    return {"low": [low[c].tobytes() for c in cut], "high": [high[c].tobytes() for c in cut], "tops": tops}
+
+
+def _from_hashes(group: pa.Table, ranges: int) -> list[np.ndarray]:
+    """The shingles of each row of low, high and tops."""
+    rows = zip(*(group.column(x).to_pylist() for x in ("part", "low", "high", "tops")), strict=True)
+    return [
+        _from_tops(tops) + np.uint64(_lowest(part, ranges)) << np.uint64(48) | np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32) | np.frombuffer(low, np.uint32)
+        for part, low, high, tops in rows
+    ]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers by their first, second, third and fourth bytes: of small ones the last three are zeros in a row."""
+    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _dealt(name: int, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ranges: int) -> pa.RecordBatch:
     owner = np.repeat(np.arange(len(ids), dtype=np.uint16), sizes)
     order = np.argsort(tokens, kind="stable")  # by range as well, as ranges are intervals
@@ -174,15 +215,13 @@ def _dealt(name: int, ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, ra
     light = ~np.repeat(common, count)
     held_by = owner[~light]
     tokens, owner, part = tokens[light], owner[light], part[light]
-    low, high = (tokens & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tokens >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16)
-    top = (tokens >> np.uint64(48)).astype(np.int64)
     own = int(scramble(np.array([name], np.uint64))[0]) % ranges
     content = int(scramble(ids + scramble(np.arange(len(ids), dtype=np.uint64))).sum(dtype=np.uint64)) >> 1
     full = np.unique(np.concatenate((part, heavy_part, np.array([own], np.uint64))))
     cut, heavy_cut = ([slice(*x) for x in zip(np.searchsorted(p, full).tolist(), np.searchsorted(p, full, "right").tolist(), strict=True)] for p in (part, heavy_part))
     full = full.tolist()
     whole = [ids.tobytes(), sizes.astype(np.uint32).tobytes(), heavy.tobytes(), held_by.tobytes()]
-    columns = [[x[c].tobytes() for c in cut] for x in (owner, low, high)] + [[_tops(top[c] - _lowest(k, ranges)) for c, k in zip(cut, full, strict=True)]]
+    columns = [[_few_bits(owner[c]) for c in cut], *_hashes(tokens, cut, full, ranges).values()]
     columns += [[heavy[c].tobytes() for c in heavy_cut]] + [[x if k == own else None for k in full] for x in whole]
     return pa.RecordBatch.from_arrays(
         [pa.array(full, pa.int32()), pa.array([name] * len(full), pa.int64()), pa.array([content] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in columns)],
@@ -194,12 +233,11 @@ def _shared(ranges: int):
     """Of one range: for each batch the shingles that others hold too, with the number of holders."""
 
     def run(group: pa.Table) -> pa.Table:
-        lowest = np.uint64(_lowest(group.column("part")[0].as_py(), ranges))
-        columns = {x: [np.frombuffer(v.as_py(), kind) for v in group.column(x)] for x, kind in (("owner", np.uint16), ("low", np.uint32), ("high", np.uint16), ("heavy", _HEAVY))}
-        rows, heavy_rows = (np.repeat(np.arange(len(group), dtype=np.uint32), [len(x) for x in columns[c]]) for c in ("owner", "heavy"))
-        owner, heavy = np.concatenate(columns["owner"]), np.concatenate(columns["heavy"])
-        tokens = np.concatenate([_from_tops(v.as_py()) for v in group.column("tops")]) + lowest << np.uint64(48)
-        tokens |= np.concatenate(columns["low"]) | np.concatenate(columns["high"]).astype(np.uint64) << np.uint64(32)
+        each_tokens = _from_hashes(group, ranges)
+        each_owner = [_from_few_bits(v, len(x)) for v, x in zip(group.column("owner").to_pylist(), each_tokens, strict=True)]
+        each_heavy = [np.frombuffer(v, _HEAVY) for v in group.column("heavy").to_pylist()]
+        rows, heavy_rows = (np.repeat(np.arange(len(group), dtype=np.uint32), [len(x) for x in each]) for each in (each_tokens, each_heavy))
+        tokens, owner, heavy = (np.concatenate(x) for x in (each_tokens, each_owner, each_heavy))
         every = np.concatenate((tokens, heavy["token"]))
         order = np.argsort(every, kind="stable")
         firsts, number = _runs(every[order])
@@ -213,7 +251,8 @@ def _shared(ranges: int):
         tokens, owner, rows, each = tokens[kept], owner[kept], rows[kept], each[kept]
         edges, heavy_edges = (np.searchsorted(x, np.arange(len(group) + 1)).tolist() for x in (rows, heavy_rows))
         cut, heavy_cut = ([slice(a, b) for a, b in zip(e[:-1], e[1:], strict=True)] for e in (edges, heavy_edges))
-        packed = {x: pa.array([v[c].tobytes() for c in cut], pa.binary()) for x, v in (("owner", owner), ("tokens", tokens), ("counts", each))}
+        packed = {"owner": [_few_bits(owner[c]) for c in cut], **_hashes(tokens, cut, group.column("part").to_pylist(), ranges), "counts": [_planes(each[c]) for c in cut]}
+        packed = {x: pa.array(v, pa.binary()) for x, v in packed.items()}
         packed["heavy"] = pa.array([heavy[c].tobytes() for c in heavy_cut], pa.binary())
         out = pa.table({"part": group.column("part"), "batch": group.column("batch"), "content": group.column("content"), **packed, **{x: group.column(x) for x in ("classes", "sizes", "held", "held_by")}})
         some = [c.start < c.stop or h.start < h.stop for c, h in zip(cut, heavy_cut, strict=True)]
@@ -252,7 +291,7 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, n: int, percent: int) ->
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def _candidates(percent: int):
+def _candidates(percent: int, ranges: int):
     """Of one batch: the classes that could have index keys, with their shingles that others hold and the numbers of holders."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -261,7 +300,9 @@ def _candidates(percent: int):
         group = group.sort_by("part")  # in the order in which the batch was dealt
         joined = lambda x, kind: np.concatenate([np.frombuffer(v, kind) for v in group.column(x).to_pylist() if v is not None])
         classes, sizes = joined("classes", np.int64), joined("sizes", np.uint32).astype(np.int64)
-        owner, tokens, counts = joined("owner", np.uint16), joined("tokens", np.uint64), joined("counts", np.uint32)
+        each = _from_hashes(group, ranges)
+        owner = np.concatenate([_from_few_bits(v, len(x)) for v, x in zip(group.column("owner").to_pylist(), each, strict=True)])
+        tokens, counts = np.concatenate(each), np.concatenate([_from_planes(v) for v in group.column("counts").to_pylist()])
         held, total = joined("held", _HEAVY), joined("heavy", _HEAVY)
         if not np.array_equal(total["token"], held["token"]):
             raise RuntimeError("a batch of documents was dealt twice with different rows: give jaccard_join a stored table")
@@ -422,7 +463,7 @@ def class_components(docs: DataFrame, classes: DataFrame, length: int = 5, perce
     ranges = max(1, -(-total // RANGE))
     dealt = docs.select(text_or_empty().alias("text")).mapInArrow(_deal(length, ranges), _DEALT)
     back = dealt.groupBy("part").applyInArrow(_shared(ranges), _SHARED)
-    rows = back.groupBy("batch").applyInArrow(_candidates(percent), "class_id long, n long, tokens binary, counts binary")
+    rows = back.groupBy("batch").applyInArrow(_candidates(percent, ranges), "class_id long, n long, tokens binary, counts binary")
     once = rows.groupBy("class_id").agg(*(F.first(x).alias(x) for x in ("n", "tokens", "counts")), F.count("*").alias("holders"))
     index = once.mapInArrow(_index(percent), "class_id long, n long, s long, central double, tokens binary, keys array<long>").join(classes.select("class_id", "name"), "class_id")
     index = stored(index, "jaccard-index")

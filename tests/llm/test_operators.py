@@ -134,7 +134,7 @@ def test_jaccard_ranges_are_as_many_as_asked():
     row = lambda name: jaccard_join._dealt(name, np.arange(2, dtype=np.uint64) + np.uint64(1), np.array([1500, 1500]), np.concatenate((tokens[::2], tokens[1::2])), ranges)
     parts = row(1).column("part").to_pylist()
     assert 2990 <= len(set(parts)) == len(parts) and max(parts) > 65536 and parts == sorted(parts)
-    assert sum(len(x) // 2 for x in row(1).column("owner").to_pylist()) == 3000
+    assert sum(len(x) // 4 for x in row(1).column("low").to_pylist()) == 3000
     wanted = {int(t >> np.uint64(32)) * ranges >> 32 for t in tokens}
     assert wanted <= set(parts) and len(set(parts) - wanted) <= 1
 
@@ -149,8 +149,9 @@ def test_jaccard_shingles_of_equal_last_bits_are_apart(bits):
     rows = [jaccard_join._dealt(1, ids, np.array([2]), one(near[0], 7), 1), jaccard_join._dealt(2, ids + np.uint64(1), np.array([2]), one(near[1], 7), 1)]
     many = np.arange(20, dtype=np.uint64) + np.uint64(5)
     rows.append(jaccard_join._dealt(3, many, np.ones(20, np.int64), np.full(20, near[1], np.uint64), 1))
-    shared = jaccard_join._shared(1)(pa.Table.from_batches(rows)).to_pylist()
-    tokens = {r["batch"]: list(zip(np.frombuffer(r["tokens"], np.uint64).tolist(), np.frombuffer(r["counts"], np.uint32).tolist())) for r in shared}
+    back = jaccard_join._shared(1)(pa.Table.from_batches(rows))
+    shared, hashes = back.to_pylist(), jaccard_join._from_hashes(back, 1)
+    tokens = {r["batch"]: list(zip(h.tolist(), jaccard_join._from_planes(r["counts"]).tolist())) for r, h in zip(shared, hashes)}
     assert tokens == {1: [(7, 2)], 2: [(7, 2), (near[1], 21)], 3: []}
     assert [int(h["count"]) for r in shared for h in np.frombuffer(r["heavy"], jaccard_join._HEAVY)] == [21]
 
@@ -164,14 +165,14 @@ def test_jaccard_shingles_arrive_whole(ranges):
     dealt = pa.Table.from_batches(rows)
     found = [jaccard_join._shared(ranges)(dealt.filter(pa.compute.equal(dealt.column("part"), k))) for k in dealt.column("part").unique().to_pylist()]
     for name in (1, 2):
-        got = [np.frombuffer(x["tokens"], np.uint64) for t in found for x in t.to_pylist() if x["batch"] == name]
+        got = [h for t in found for x, h in zip(t.to_pylist(), jaccard_join._from_hashes(t, ranges)) if x["batch"] == name]
         assert np.array_equal(np.sort(np.concatenate(got)), tokens)
 
 
 def test_jaccard_stops_when_a_batch_is_split():
     whole = {"batch": [1, 1], "content": [5, 6], "owner": [b"", b""], "tokens": [b"", b""], "counts": [b"", b""], "classes": [b"", None], "sizes": [b"", None], "heavy": [b"", b""], "held": [b"", None], "held_by": [b"", None]}
     with pytest.raises(RuntimeError, match="dealt twice"):
-        jaccard_join._candidates(75)(pa.table(whole))
+        jaccard_join._candidates(75, 1)(pa.table(whole))
 
 
 def test_jaccard_ranges_get_few_entries_of_a_common_shingle(spark, monkeypatch):
@@ -183,7 +184,7 @@ def test_jaccard_ranges_get_few_entries_of_a_common_shingle(spark, monkeypatch):
     texts += [f"{texts[k]} more" for k in range(0, 120, 7)]
     docs = documents(spark, texts)
     dealt = docs.coalesce(1).select("text").mapInArrow(jaccard_join._deal(5, 1), jaccard_join._DEALT).first()
-    assert len(dealt["heavy"]) // 12 >= 26 and len(dealt["owner"]) // 2 < sum(len(set(zip(*(t.split()[k:] for k in range(5))))) for t in texts) - 26 * len(texts) + 200
+    assert len(dealt["heavy"]) // 12 >= 26 and len(dealt["low"]) // 4 < sum(len(set(zip(*(t.split()[k:] for k in range(5))))) for t in texts) - 26 * len(texts) + 200
     found = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_join(docs.repartition(3)).collect()}
     assert found == brute_components(texts)
 
