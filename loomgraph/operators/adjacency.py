@@ -77,7 +77,7 @@ def store_graph(graph: Graph, types: list[str] | None = None, part: int = PART,
 
     Edges without one of their ends are left out, as no pattern finds them; repeated edges and loops are kept. At most
     MOST_SPLIT nodes are split: those of more than `part` edges, or in very large graphs of more than that share of all.
-    The tables stay in the session's catalog and in the folder until they are dropped (see `drop`).
+    The files stay in the folder until `drop` removes them.
     """
     sides, edges = {}, {}
     for type_ in types or list(graph.edges):
@@ -90,7 +90,7 @@ def store_graph(graph: Graph, types: list[str] | None = None, part: int = PART,
 
 
 def drop(graph: StoredGraph) -> None:
-    """Removes the tables of a stored graph, files included, once nothing reads it any more."""
+    """Removes the files of a stored graph once nothing reads it any more; the tables' names stay in the catalog."""
     for side in graph.sides.values():
         context = side.split.sparkSession.sparkContext
         for folder in {f.rpartition("/")[0] for df in (side.edges, side.split) for f in df.inputFiles()}:

@@ -17,6 +17,10 @@ class Graph:
     edges: dict[str, DataFrame] = field(default_factory=dict)
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)
 
+    def edges_at(self, type_: str, near: str, ids: DataFrame) -> DataFrame:
+        """The edges of a type whose end `near` (source_id or target_id) is one of ids (column id)."""
+        return self.edges[type_].join(ids.select(F.col("id").alias(near)), near, "left_semi")
+
 
 def lookup(graph: Graph, label: str, id_: object) -> DataFrame:
     return graph.nodes[label].filter(F.col("id") == F.lit(id_))
@@ -49,9 +53,9 @@ def hop(graph: Graph, type_: str, ids: DataFrame, outward: bool = True, limit: i
     """The neighbours over one edge type of the nodes in ids (column id): anchor_id, the neighbour's columns, the edge's as edge_*; `limit` rows of each anchor."""
     source, target = ("source_id", "target_id") if outward else ("target_id", "source_id")
     label = graph.ends[type_][1 if outward else 0]
-    edges = graph.edges[type_]
+    edges = graph.edges_at(type_, source, ids)
     more = [F.col(c).alias(f"edge_{c}") for c in edges.columns if c not in ("source_id", "target_id")]
-    near = edges.select(F.col(source).alias("anchor_id"), F.col(target).alias("_other"), *more).join(ids.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi")
+    near = edges.select(F.col(source).alias("anchor_id"), F.col(target).alias("_other"), *more)
     found = near.join(graph.nodes[label], F.col("_other") == F.col("id")).drop("_other")
     return _limited(found, order, limit, ["anchor_id"])
 
@@ -62,8 +66,7 @@ def two_patterns(graph: Graph, first: str, second: str, anchor_ids: DataFrame, l
     A middle with a second edge brings a row at least, and rows go by its label first: so only the middles of the first `limit`
     labels of each anchor (and those of equal label) are expanded, however many edges there are.
     """
-    one = graph.edges[first].select(F.col("source_id").alias("_middle"), F.col("target_id").alias("anchor_id"))
-    one = one.join(anchor_ids.select(F.col("id").alias("anchor_id")), "anchor_id", "left_semi")
+    one = graph.edges_at(first, "target_id", anchor_ids).select(F.col("source_id").alias("_middle"), F.col("target_id").alias("anchor_id"))
     far = graph.nodes[graph.ends[second][1]].select(F.col("id").alias("_far"), F.col("label").alias("far_label"))
     two = graph.edges[second].select(F.col("source_id").alias("_middle"), F.col("target_id").alias("_far")).join(far, "_far")
     middle = graph.nodes[graph.ends[first][0]].select(F.col("id").alias("_middle"), F.col("label").alias("middle_label"))
@@ -91,14 +94,14 @@ def neighbours(graph: Graph, ids: DataFrame, types: Sequence[str] | None = None,
     """
     if direction not in ("out", "in", "both"):
         raise ValueError(f"direction must be 'out', 'in' or 'both', not {direction!r}")
-    wanted = ids.select(F.col("id").alias("_near")).distinct()
+    wanted = ids.select("id").distinct()
     parts: list[DataFrame] = []
     for type_ in types or list(graph.edges):
         more = [c for c in graph.edges[type_].columns if c not in ("source_id", "target_id")]
         own = F.to_json(F.struct(*more)) if more else F.lit("{}")
         for way, (near, far), label in (("out", ("source_id", "target_id"), graph.ends[type_][1]), ("in", ("target_id", "source_id"), graph.ends[type_][0])):
             if direction in (way, "both"):
-                edges = graph.edges[type_].select(F.col(near).alias("_near"), F.col(far).alias("_far"), own.alias("edge_properties")).join(wanted, "_near", "left_semi")
+                edges = graph.edges_at(type_, near, wanted).select(F.col(near).alias("_near"), F.col(far).alias("_far"), own.alias("edge_properties"))
                 if way == "in" and direction == "both":
                     edges = edges.filter("_near != _far")
                 nodes = graph.nodes[label]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import text as X
+from .operators import adjacency as A
 from .operators import graph as G
 from .operators import links as L
 from .operators import nodes as N
@@ -349,6 +350,21 @@ def hop_two(spark, d):
     return G.two_patterns(g, "BOUND_FOR", "CONTAINS", g.nodes["Region"])
 
 
+@_query(SQL["hop_out"])
+def stored_hop(spark, d):
+    """hop_out over edges stored by either end: the anchors move to the edges."""
+    g = trade_graph(spark, d)
+    return G.hop(A.store_graph(g, ["PLACED"]), "PLACED", g.nodes["Customer"].filter("segment = 'BUILDING'"))
+
+
+@_query("""SELECT CAST(p_partkey AS VARCHAR) AS anchor_id, 'CONTAINS' AS type, 'in' AS direction, 'Order ' || l_orderkey AS neighbour_label, CAST(l_orderkey AS VARCHAR) AS neighbour_id,
+             '{"id":' || o_orderkey || ',"label":"Order ' || o_orderkey || '","status":"' || o_orderstatus || '"}' AS properties, '{}' AS edge_properties FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey""")
+def stored_neighbors(spark, d):
+    """The orders of each part, over edges stored by either end."""
+    g = trade_graph(spark, d)
+    return G.neighbours(A.store_graph(g, ["CONTAINS"]), g.nodes["Part"], ["CONTAINS"], "in", limit=None)
+
+
 @_query("SELECT o_custkey AS source_id, c_name AS source_label, o_orderkey AS target_id, 'Order ' || o_orderkey AS target_label FROM orders JOIN customer ON c_custkey = o_custkey")
 def edge_scan(spark, d):
     return G.edge_scan(trade_graph(spark, d), "PLACED", limit=None)
