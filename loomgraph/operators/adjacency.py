@@ -2,8 +2,8 @@
 
 A table is bucketed by the end that it is looked up by, so a hop or a neighbourhood moves the asked ids to the edges and
 neither shuffles nor sorts an edge. A node of very many edges is split: its edges carry a salt from 0 to its number of
-parts less one, the tables are bucketed by (end, salt), and an asked id goes to each of its parts. A bucket thus holds a
-bounded number of edges, whatever the degrees.
+parts less one by its other end, the tables are bucketed by (end, salt), and an asked id goes to each of its parts. Only
+repeats of one edge stay together.
 """
 
 from __future__ import annotations
