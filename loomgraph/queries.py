@@ -697,16 +697,22 @@ def _fold(row, *order):
 
 def _order_pages(spark, d):
     """A page for each order: sections, labelled values, its lines as a versioned table under header rows, lines across groups, a timeline."""
-    li = P.spread(_read(spark, d, "lineitem"), "l_orderkey")  # one deal for both groupings and the join
-    part = lambda name: F.concat(F.lit(f"{name} "), F.col("l_partkey").cast("string"), F.lit(" (CSF)"))
-    link = F.concat(F.lit('see <a href="/notes/'), F.col("l_partkey").cast("string"), F.lit('">a<b>b</b></a> <a href="http://x.org/">y</a>'))
-    row = F.concat(F.lit("<tr>"), _cells(part("tau"), F.col("l_linenumber").cast("string"), F.concat(F.lit("&lt;"), F.col("l_discount").cast("string")), "-", "-", "-", "-", F.col("l_quantity").cast("int").cast("string"), "", "0.5", link), F.lit("</tr>"))
-    crossed = F.concat(F.lit("<tr>"), _cells(part("nfl"), F.col("l_linenumber").cast("string"), F.col("l_tax").cast("string"), "-"), F.lit("</tr>"))
-    head = lambda flag: F.concat(F.lit("<tr><td>Flag "), flag, F.lit("</td><td># n</td></tr>"))
-    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = li.groupBy("l_orderkey", "l_returnflag").agg(F.concat(head(F.col("l_returnflag")), _fold(row, *order)).alias("rows"), F.concat(head(F.col("l_returnflag")), _fold(crossed, *order)).alias("crossed"))
-    tables = lines.groupBy("l_orderkey").agg(_fold(F.col("rows"), "l_returnflag").alias("rows"), _fold(F.col("crossed"), "l_returnflag").alias("crossed"))
-    o = _read(spark, d, "orders").join(tables, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    li = P.spread(_read(spark, d, "lineitem"), "l_orderkey")  # one deal for the grouping and the join
+    keys, values = ("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), ("l_discount", "l_quantity", "l_tax")
+    lines = li.filter("l_returnflag is not null").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys, *values))).alias("lines"))
+    o = _read(spark, d, "orders").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")  # pages are never broadcast
+    part = lambda x, name: F.concat(F.lit(f"{name} "), x["l_partkey"].cast("string"), F.lit(" (CSF)"))
+    link = lambda x: F.concat(F.lit('see <a href="/notes/'), x["l_partkey"].cast("string"), F.lit('">a<b>b</b></a> <a href="http://x.org/">y</a>'))
+    row = lambda x: _cells(part(x, "tau"), x["l_linenumber"].cast("string"), F.concat(F.lit("&lt;"), x["l_discount"].cast("string")), "-", "-", "-", "-", x["l_quantity"].cast("int").cast("string"), "", "0.5", link(x))
+    crossed = lambda x: _cells(part(x, "nfl"), x["l_linenumber"].cast("string"), x["l_tax"].cast("string"), "-")
+    head = lambda x: F.concat(F.lit("<tr><td>Flag "), x["l_returnflag"], F.lit("</td><td># n</td></tr>"))
+
+    def body(cells):
+        """The rows of all lines, a header row above the first of each flag."""
+        first = lambda x, i: (i == 0) | (x["l_returnflag"] != F.get("lines", i - 1)["l_returnflag"])
+        texts = F.transform("lines", lambda x, i: F.concat(F.when(first(x, i), head(x)).otherwise(F.lit("")), F.coalesce(F.concat(F.lit("<tr>"), cells(x), F.lit("</tr>")), F.lit(""))))
+        return F.array_join(texts, "")
+
     key = F.col("o_orderkey").cast("string")
     table = lambda rows: F.concat(F.lit("<table><thead><tr><th>x</th></tr></thead><tbody>"), F.coalesce(rows, F.lit("")), F.lit("</tbody></table>"))
     span = lambda classes: F.concat(F.lit('<tr><td>trial</td><td><div class="'), classes, F.lit('"></div></td></tr>'))
@@ -715,7 +721,7 @@ def _order_pages(spark, d):
         F.lit("<html><body><script>var x='<table><tr><td>no</td></tr></table>';</script><article id=article><h1 class=page-title>Order "), key, F.lit('</h1><p>Synonyms (other): <i>no</i> '), key,
         F.lit('</p><div class="a primary"><section id="about-over-view"><h3>Before</h3>Wrong. x</section><section id="over-view"><h2 class="pane-title">Over<b>view</b></h2>Order '), key, F.lit(". It is "), "o_orderstatus", F.lit(".</section><section id=s2><h3>The "), "o_orderpriority",
         F.lit("</h3>Text<br>more<section id=inner>Deep</section></section><section>Third</section></div><p><strong>Priority:</strong> "), "o_orderpriority", F.lit("<br><strong>State:</strong> old</p><p><strong>State:</strong> "), "o_orderstatus",
-        F.lit("</p><p>Last updated: day "), key, F.lit("</p>"), table(F.col("rows")), table(F.col("crossed")), F.when(F.col("o_orderkey") % 2 == 0, timeline).otherwise(F.lit('<div id="timeline"></div>')), F.lit("</article></body></html>"),
+        F.lit("</p><p>Last updated: day "), key, F.lit("</p>"), table(body(row)), table(body(crossed)), F.when(F.col("o_orderkey") % 2 == 0, timeline).otherwise(F.lit('<div id="timeline"></div>')), F.lit("</article></body></html>"),
     )
     return o.select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://example.org/orders/"), key).alias("url"), html.alias("html"))
 
