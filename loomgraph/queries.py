@@ -732,20 +732,20 @@ def _order_pages(spark, d):
            UNION ALL SELECT l_orderkey, 'cross_group', 'Flag ' || l_returnflag, 'nfl_' || l_partkey || '_csf', 'nfl ' || l_partkey || ' (CSF)', 'nfl ' || l_partkey, 'CSF', 'neurodegeneration', 'cross', l_linenumber, l_tax, NULL, NULL, NULL FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def page_table_long(spark, d):
     """Both tables of a page in one: versions from the first, comparisons across groups from the second."""
-    return P.page_measurements(P.table_rows(P.parsed(_order_pages(spark, d))), base="https://example.org").drop("n_raw", "effect_raw", "p_raw")
+    return P.page_measurements(P.table_rows(P.parsed(_order_pages(spark, d), kinds=["tables"])), base="https://example.org").drop("n_raw", "effect_raw", "p_raw")
 
 
 @_query("""SELECT o_orderkey AS page_id, 'about-over-view' AS section_name, 'Before' AS section_title, 1 AS section_order, 'Wrong. x' AS text FROM orders UNION ALL SELECT o_orderkey AS page_id, 'over-view' AS section_name, 'Over view' AS section_title, 2 AS section_order, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS text FROM orders
            UNION ALL SELECT o_orderkey, 's2', 'The ' || o_orderpriority, 3, 'Text more Deep' FROM orders UNION ALL SELECT o_orderkey, 'section_4', 'Section 4', 4, 'Third' FROM orders""")
 def page_sections(spark, d):
-    return P.sections(P.parsed(_order_pages(spark, d)))
+    return P.sections(P.parsed(_order_pages(spark, d), kinds=["sections"]))
 
 
 @_query("SELECT o_orderkey AS page_id, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS overview, 'Order ' || o_orderkey || '.' AS short_summary, 'order' AS category, true AS has_overview, contains(lower(o_orderpriority), 'urgent') AS has_urgent FROM orders")
 def page_entities(spark, d):
     pages = _order_pages(spark, d)
     index = pages.select("page_id", F.col("url").alias("title"))
-    return P.entities(index, P.sections(P.parsed(pages)), {"has_overview": "over-view", "has_urgent": "urgent"}, "order", "over-view").drop("title")
+    return P.entities(index, P.sections(P.parsed(pages, kinds=["sections"])), {"has_overview": "over-view", "has_urgent": "urgent"}, "order", "over-view").drop("title")
 
 
 @_query("SELECT o_orderkey AS page_id, o_orderpriority AS priority, o_orderstatus AS state FROM orders")
@@ -763,7 +763,7 @@ def page_lines(spark, d):
 
 @_query("SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS blocks, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 13 AS INT) END AS phase_max FROM orders")
 def page_timeline(spark, d):
-    return P.timeline(P.parsed(_order_pages(spark, d)))
+    return P.timeline(P.parsed(_order_pages(spark, d), kinds=["marks"]))
 
 
 def _part_pages(spark, d):
@@ -783,7 +783,7 @@ def page_search_rows(spark, d):
 
 @_query("SELECT l_orderkey AS page_id, 'Flag ' || l_returnflag AS comparison, 'nfl ' || l_partkey || ' (CSF)' AS label, 'cross' AS version, l_linenumber AS n, l_tax AS effect, CAST(NULL AS DOUBLE) AS p_value FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def page_cross_group(spark, d):
-    rows = P.table_rows(P.parsed(_order_pages(spark, d))).filter("table_no = 1")
+    rows = P.table_rows(P.parsed(_order_pages(spark, d), kinds=["tables"])).filter("table_no = 1")
     return P.cross_group(rows).select("page_id", "comparison", "label", "version", "n", "effect", "p_value")
 
 

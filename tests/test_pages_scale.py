@@ -1,5 +1,7 @@
 """Page queries at size: what their plans must not do, and odd pages through the steps that were made for it."""
 
+import random
+
 import pytest
 
 from loomgraph import queries as Q
@@ -30,3 +32,27 @@ def test_labelled_values_stay_in_their_row(spark):
     found = P.labelled_values(pages, {"k": "kind"})
     assert "Exchange" not in _plan(found)
     assert sorted([(r[0] or 0, r[1]) for r in found.collect()], key=str) == [(0, {"kind": "z"}), (1, {"a_b": "2 & 3", "kind": "v"}), (1, {"q": "q"})]
+
+
+def _random_page(r) -> str:
+    pieces = ["<table>", "</table>", "<tbody>", "<tr>", "</tr>", "<td>", "</td>", "<th scope=row>", "</th>", "<section id=s>", "</section>", '<div class="a primary">', '<div id=z class="m">', "</div>", "<h2>", "</h2>", "<p>", "</p>", "t &lt;", " ", "<a href=/u>", "</a>"]
+    rows = ["<tr><td>a</td><td> b &amp; c</td></tr>", '<tr><td>x <a title="&gt;" href="/q?a&amp;b">l<b>m</b></a> y</td><td></td></tr>', "<tr><td>q</td> </tr>", '<tr><td><a href="">e</a></b></td></tr>']
+    return "".join(r.choices(pieces + rows, [2] * len(pieces) + [8] * len(rows), k=r.randint(1, 25)))
+
+
+def test_rows_in_one_step_equal_rows_tag_by_tag(monkeypatch):
+    """Pages of any nesting; what isn't asked for is left out and changes nothing of the rest."""
+    r, steps = random.Random(5), []
+    pages = [_random_page(r) for _ in range(4000)]
+    one_step = P._Parser._plain_row
+    monkeypatch.setattr(P._Parser, "_plain_row", lambda self, cells: (steps.append(1), one_step(self, cells)))
+    fast = [{k: P._Parser(k).result(html) for k in (P.KINDS, ("tables",), ("sections",), ("marks",))} for html in pages]
+    assert len(steps) > 1000
+    monkeypatch.setattr(P._Parser, "_row_follows", lambda self: False)
+    monkeypatch.setattr(P._Parser, "_table_is_idle", lambda self: False)
+    for html, found in zip(pages, fast, strict=True):
+        whole = P._Parser().result(html)
+        assert found[P.KINDS] == whole, html
+        assert found[("tables",)] == {**whole, "sections": [], "named": [], "headings": []}, html
+        assert found[("sections",)] == {**whole, "tables": [], "named": [], "headings": []}, html
+        assert found[("marks",)]["tables"] == [{**t, "cells": [], "urls": [], "head": None, "href": None} for t in whole["tables"]], html
