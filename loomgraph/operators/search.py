@@ -59,7 +59,13 @@ def search_texts(nodes: DataFrame, texts: DataFrame, text: str, columns: Sequenc
     there = [F.col(c) for c in columns if c in nodes.columns]
     late = F.lit(0) if preferred is None else F.when(preferred, 0).when(preferred.isNotNull(), 1).otherwise(2)
     places = nodes.groupBy(F.col("id").alias("key")).agg(F.min(late).alias("late"))
-    found = containing(texts, text, nodes, "id", there, index)
+    searched = nodes
+    if index is None:  # of nodes with equal texts only the first can be found, so only that one is searched
+        held = [f"held{k}" for k in range(len(there))]
+        alike = nodes.select(F.col("id").alias("key"), *(F.lower(t.cast("string")).alias(h) for t, h in zip(there, held, strict=True)))
+        firsts = alike.join(places, "key").groupBy(*held).agg(F.min(F.struct("late", "key")).alias("first"))
+        searched, there = firsts.select(F.col("first.key").alias("id"), *held), [F.col(h) for h in held]
+    found = containing(texts, text, searched, "id", there, index)
     best = found.join(places, "key").groupBy(F.col("text").alias("_asked")).agg(F.min_by("key", F.struct("late", "key")).alias("_found"))
     kept = [c for c in texts.columns if c not in ("node_id", "match")]
     out = texts.join(best, F.lower(F.col(text).cast("string")) == F.col("_asked"), "left")

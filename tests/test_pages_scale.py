@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import queries as Q
+from loomgraph.operators import links as L
 from loomgraph.operators import pages as P
+from loomgraph.operators import search as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +59,24 @@ def test_rows_in_one_step_equal_rows_tag_by_tag(monkeypatch):
         assert found[("tables",)] == {**whole, "sections": [], "named": [], "headings": []}, html
         assert found[("sections",)] == {**whole, "tables": [], "named": [], "headings": []}, html
         assert found[("marks",)]["tables"] == [{**t, "cells": [], "urls": [], "head": None, "href": None} for t in whole["tables"]], html
+
+
+def test_search_meets_equal_texts_once(spark):
+    """Of nodes with equal texts one is searched: the one that an id's best row puts first."""
+    nodes = spark.createDataFrame([(5, "Ab c", "x", False), (5, "q", None, True), (3, "aB C", "x", False), (9, None, "ab", None)] + [(20 + k, "ab c", "x", False) for k in range(50)], "id long, label string, synonyms string, p boolean")
+    texts = spark.createDataFrame([("AB C",), ("q",), ("ab",), ("zz",), (None,)], "t string")
+    found = S.search_texts(nodes, texts, "t", preferred=F.col("p"))
+    assert sorted((r["t"] or "", r["node_id"]) for r in found.collect()) == [("", None), ("AB C", 5), ("ab", 5), ("q", 5), ("zz", None)]
+    assert "min(struct(late" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_multi_key_compares_pairs_of_rows_with_several_names_only(spark):
+    targets = spark.createDataFrame([(1, "a"), (1, "B"), (1, "a "), (2, "b"), (3, ""), (4, None), (None, "c")], "row long, name string")
+    nodes = spark.createDataFrame([(10, "A", "b", ["c"]), (11, "a", "B", ["c", "a"]), (10, "A", "x", ["b"])], "id long, s string, l string, y array<string>")
+    found = L.multi_key(targets, "row", F.col("name"), nodes, F.col("s"), F.col("l"), F.col("y"), F.col("id"))
+    assert sorted(tuple(-1 if c is None else c for c in r) for r in found.collect()) == [(-1, 10), (1, 10), (1, 11), (2, 10), (2, 11)]
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hop_in_is_dealt_by_its_input(spark):
+    assert "REPARTITION_BY_NUM" in _plan(Q.queries()["hop_in"](spark, SF))
