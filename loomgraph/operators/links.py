@@ -30,8 +30,11 @@ def multi_key(targets: DataFrame, row: str, name: Column, nodes: DataFrame, symb
     named = keyed.select("id", "_order", F.posexplode("_synonyms").alias("_pos", "_key"))
     firsts = named.groupBy("_key").agg(F.min_by("id", F.struct("_order", "_pos")).alias("id"))
     keys = symbols.unionByName(labels).unionByName(firsts).filter("_key is not null and _key != ''").distinct()
-    wanted = targets.select(row, X.match_key(name).alias("_key")).filter("_key != ''")
-    return wanted.join(keys, "_key").select(row, "id").distinct()
+    wanted = targets.select(row, X.match_key(name).alias("_key")).filter("_key != ''").groupBy(row).agg(F.min("_key").alias("_key"), F.max("_key").alias("_last"), F.collect_set("_key").alias("_all"))
+    # keys are distinct by id, so a row of one name makes no pair twice: only rows of several names need their pairs compared
+    once = wanted.filter("_key = _last").select(row, "_key").join(keys, "_key").select(row, "id")
+    several = wanted.filter("_key != _last").select(row, F.explode("_all").alias("_key")).join(keys, "_key").select(row, "id").distinct()
+    return once.unionByName(several)
 
 
 def token_overlap(
