@@ -9,6 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Partitions for each one of a scan, whose bytes are packed: about a million short rows each.
+SHARES = 8
+
+
+def dealt(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes dealt by id to as many partitions as joins of them with these edges need, so that a task's memory doesn't grow with the edges.
+
+    The other side of a join on id goes to as many. A number that is given isn't made smaller at run time.
+    """
+    most = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), SHARES * edges.rdd.getNumPartitions())
+    return nodes.repartition(most, "id")
+
+
 @dataclass
 class Graph:
     """Node tables (id, label, ...) by label and edge tables (source_id, target_id, ...) by type, with their end labels."""

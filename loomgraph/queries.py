@@ -337,6 +337,8 @@ def hop_out(spark, d):
            FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON o_orderkey = l_orderkey""")
 def hop_in(spark, d):
     g = trade_graph(spark, d)
+    for label in ("Order", "Part"):
+        g.nodes[label] = G.dealt(g.nodes[label], g.edges["CONTAINS"])
     return G.hop(g, "CONTAINS", g.nodes["Part"], outward=False, limit=None).groupBy("anchor_id", "id", "label", "status").agg(F.count("*").alias("n"))
 
 
