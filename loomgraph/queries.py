@@ -702,7 +702,7 @@ def _order_pages(spark, d):
     li = P.spread(_read(spark, d, "lineitem"), "l_orderkey")  # one deal for the grouping and the join
     keys, values = ("l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), ("l_discount", "l_quantity", "l_tax")
     lines = li.filter("l_returnflag is not null").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*keys, *values))).alias("lines"))
-    o = _read(spark, d, "orders").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")  # pages are never broadcast
+    o = P.spread(_read(spark, d, "orders"), "o_orderkey").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")  # pages are never broadcast
     part = lambda x, name: F.concat(F.lit(f"{name} "), x["l_partkey"].cast("string"), F.lit(" (CSF)"))
     link = lambda x: F.concat(F.lit('see <a href="/notes/'), x["l_partkey"].cast("string"), F.lit('">a<b>b</b></a> <a href="http://x.org/">y</a>'))
     row = lambda x: _cells(part(x, "tau"), x["l_linenumber"].cast("string"), F.concat(F.lit("&lt;"), x["l_discount"].cast("string")), "-", "-", "-", "-", x["l_quantity"].cast("int").cast("string"), "", "0.5", link(x))
@@ -785,7 +785,7 @@ def page_search_rows(spark, d):
 
 @_query("SELECT l_orderkey AS page_id, 'Flag ' || l_returnflag AS comparison, 'nfl ' || l_partkey || ' (CSF)' AS label, 'cross' AS version, l_linenumber AS n, l_tax AS effect, CAST(NULL AS DOUBLE) AS p_value FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
 def page_cross_group(spark, d):
-    rows = P.table_rows(P.parsed(_order_pages(spark, d), kinds=["tables"])).filter("table_no = 1")
+    rows = P.headed_rows(_order_pages(spark, d), only=1, dealt=True)
     return P.cross_group(rows).select("page_id", "comparison", "label", "version", "n", "effect", "p_value")
 
 

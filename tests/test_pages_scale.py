@@ -80,3 +80,42 @@ def test_multi_key_compares_pairs_of_rows_with_several_names_only(spark):
 
 def test_hop_in_is_dealt_by_its_input(spark):
     assert "REPARTITION_BY_NUM" in _plan(Q.queries()["hop_in"](spark, SF))
+
+
+def _behind_the_parse(df) -> str:
+    """The plan of what is done with parsed pages."""
+    plan = _plan(df)
+    assert plan.count("MapInArrow") == 1
+    return plan.split("MapInArrow")[0]
+
+
+def _odd_page(r) -> str:
+    """A page as from _random_page, with headers, odd cells and whatever can't be cut at its brackets."""
+    pieces = ["<!-- <tr> -->", "<script>'<tr>'</script>", "<TABLE>", "<TR>", "<th>", "a < b", "x > y", '<a title="<tr>" href=/v>', "<br/>", "<span", "<div class='x>y'>", "<!DOCTYPE x>"]
+    rows = ["<tr><td>H</td><td># n</td></tr>", "<tr><td>G <b>x</b></td><td>#</td><td></td></tr>", "<tr><td>one</td></tr>", '<tr><td><a href="/q  \n r" title="\n">  m\n n </a>\t<b>o</b>&#32;</td><td>\u20031\xa0 2\x1f</td><td>&nbsp;&amp;lt;</td></tr>']
+    return "".join(r.choice([_random_page(r), r.choice(rows), r.choice(pieces) if r.random() < 0.1 else "<table><tbody>"]) for _ in range(r.randint(1, 8)))
+
+
+def test_cross_group_is_neither_dealt_nor_sorted_behind_the_parse(spark):
+    plan = _behind_the_parse(Q.queries()["page_cross_group"](spark, SF))
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_headed_rows_are_the_rows_of_the_parse_with_their_headers(spark):
+    r = random.Random(7)
+    pages = spark.createDataFrame([*enumerate(_odd_page(r) for _ in range(1500)), (-1, None), (-2, ""), (-3, "<p>no table")], "page_id long, html string").repartition(3)
+    names = ["page_id", "table_no", "row_no", "header", "cells", "urls", "head", "href"]
+    parsed = P.parsed(pages).cache()
+    for body_only in (True, False):
+        expected = sorted(map(str, P.carried_headers(P.table_rows(parsed, body_only)).select(names).collect()))
+        assert len(expected) > 2000 and sum("header=None" not in e for e in expected) > 200
+        assert sorted(map(str, P.headed_rows(pages, body_only=body_only).select(names).collect())) == expected
+    assert sorted(map(str, P.headed_rows(pages, body_only=False, only=1, dealt=True).select(names).collect())) == [e for e in expected if "table_no=1," in e]
+    parsed.unpersist()
+
+
+def test_a_header_is_carried_within_its_page(spark):
+    """Also if pages share an id, or have none."""
+    html = "<table><tbody><tr><td>{0}</td><td># n</td></tr><tr><td>r{0}</td><td>1</td></tr></tbody></table>"
+    pages = spark.createDataFrame([(1, html.format("a")), (1, html.format("b")), (None, html.format("c"))], "page_id long, html string").coalesce(1)
+    assert sorted((r["header"], r["cells"]) for r in P.headed_rows(pages).collect()) == [(k, [f"r{k}", "1"]) for k in "abc"]
