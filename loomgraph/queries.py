@@ -734,7 +734,7 @@ def _order_pages(spark, d):
            UNION ALL SELECT l_orderkey, 'cross_group', 'Flag ' || l_returnflag, 'nfl_' || l_partkey || '_csf', 'nfl ' || l_partkey || ' (CSF)', 'nfl ' || l_partkey, 'CSF', 'neurodegeneration', 'cross', l_linenumber, l_tax, NULL, NULL, NULL FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def page_table_long(spark, d):
     """Both tables of a page in one: versions from the first, comparisons across groups from the second."""
-    return P.page_measurements(P.table_rows(P.parsed(_order_pages(spark, d), kinds=["tables"])), base="https://example.org").drop("n_raw", "effect_raw", "p_raw")
+    return P.page_measurements(P.headed_rows(_order_pages(spark, d), dealt=True), base="https://example.org").drop("n_raw", "effect_raw", "p_raw")
 
 
 @_query("""SELECT o_orderkey AS page_id, 'about-over-view' AS section_name, 'Before' AS section_title, 1 AS section_order, 'Wrong. x' AS text FROM orders UNION ALL SELECT o_orderkey AS page_id, 'over-view' AS section_name, 'Over view' AS section_title, 2 AS section_order, 'Order ' || o_orderkey || '. It is ' || o_orderstatus || '.' AS text FROM orders

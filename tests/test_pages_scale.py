@@ -119,3 +119,21 @@ def test_a_header_is_carried_within_its_page(spark):
     html = "<table><tbody><tr><td>{0}</td><td># n</td></tr><tr><td>r{0}</td><td>1</td></tr></tbody></table>"
     pages = spark.createDataFrame([(1, html.format("a")), (1, html.format("b")), (None, html.format("c"))], "page_id long, html string").coalesce(1)
     assert sorted((r["header"], r["cells"]) for r in P.headed_rows(pages).collect()) == [(k, [f"r{k}", "1"]) for k in "abc"]
+
+
+def test_table_long_works_out_a_label_once_and_deals_no_page(spark):
+    plan = _behind_the_parse(Q.queries()["page_table_long"](spark, SF))
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+    assert plan.index("Generate explode") < plan.index("AS measure_key")
+
+
+def test_measurements_are_the_same_of_rows_and_of_headed_rows(spark):
+    cells = lambda *texts: "<tr>" + "".join(f"<td>{t}</td>" for t in texts) + "</tr>"
+    main = cells("Head", "# n", "") + cells("Tau (CSF)", "1", "&lt;2", "", "-", " ", "-", "", "3.5", "x", 'm <a href="/a">b</a><a href="http://c">d</a>') + cells("none", *["-"] * 9, "m") + cells("short", "1")
+    second = cells("NfL", "4", "-", "0.5") + cells("Other", "#") + cells("(x)", "", "1e3", "+7") + cells("", "-", "", "-")
+    html = f"<table><tbody>{main}</tbody></table><table><tbody>{second}</tbody></table><table><tbody>{second}</tbody></table>"
+    pages = spark.createDataFrame([(1, html), (2, html.replace("Head", "Top")), (3, None)], "page_id long, html string")
+    whole, headed = P.table_rows(P.parsed(pages)), P.headed_rows(pages)
+    for make, n in ((lambda rows: P.page_measurements(rows, base="http://x"), 8), (P.measurements, 4), (P.cross_group, 8)):
+        found = sorted(map(str, make(headed).collect()))
+        assert found == sorted(map(str, make(whole).collect())) and len(found) == n
