@@ -765,7 +765,7 @@ def page_lines(spark, d):
 
 @_query("SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 2 END AS blocks, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 13 AS INT) END AS phase_max FROM orders")
 def page_timeline(spark, d):
-    return P.timeline(P.parsed(_order_pages(spark, d), kinds=["marks"]))
+    return P.timeline(P.parsed(_order_pages(spark, d), kinds=["marks"], dealt=True))
 
 
 def _part_pages(spark, d):

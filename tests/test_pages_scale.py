@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,19 @@ def test_measurements_are_the_same_of_rows_and_of_headed_rows(spark):
     for make, n in ((lambda rows: P.page_measurements(rows, base="http://x"), 8), (P.measurements, 4), (P.cross_group, 8)):
         found = sorted(map(str, make(headed).collect()))
         assert found == sorted(map(str, make(whole).collect())) and len(found) == n
+
+
+def test_timeline_deals_no_page(spark):
+    """Orders and lines are dealt; pages made of them and what is read from them stay where they are."""
+    assert _plan(Q.queries()["page_timeline"](spark, SF)).count("Exchange hashpartitioning") == 2
+
+
+def test_pages_of_which_rows_alone_are_asked_for():
+    """Every column is as the walk of the whole page has it, whatever the slices."""
+    r = random.Random(11)
+    pages = [None, "", "<p>x", *(_odd_page(r) for _ in range(1500))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(pages))), pa.array(pages)], names=["page_id", "html"])
+    assert [len(p) for p in P._parts(batch, 1000)] == [1000, 503] and sum(len(p) for p in P._parts(batch, 1000, 50)) == len(pages)
+    for kinds in (("tables",), ("marks",)):
+        found = [row for part in P._parse(iter([batch]), kinds) for row in part.to_pylist()]
+        assert found == [{"page_id": k, **P._Parser(kinds).result(html)} for k, html in enumerate(pages)]
